@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import quality
+from loomstead.llm import decontaminate, jaccard, linededup, mixing, quality, sharding
 from loomstead.llm.common import documents
 
 
@@ -14,9 +14,31 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_lines(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "lines_.n_lines", "lines_.n_dropped", F.sha2("lines_.kept", 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.transform("items", lambda x: x["item_id"]).alias("item_ids"), F.coalesce(F.array_max(F.transform("items", lambda x: x["agree"])), F.lit(0)).alias("agree"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir, "doc_id", "source", "text"))
+
+
 def queries() -> dict:
-    return {"op3_quality_rules": op3_quality_rules}
+    return {f.__name__: f for f in (op3_quality_rules, op4_jaccard_join, op5_line_dedup, op8_decontamination, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.sql()}
+    return {"op3_quality_rules": quality.sql(), "op4_jaccard_join": jaccard.SQL, "op5_line_dedup": linededup.SQL}
