@@ -49,10 +49,12 @@ class LineRuns:
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """Runs merged two by two: full outer merge joins, which bucketed and sorted runs need no shuffle for."""
         runs = self.spark.table(names[0])
         for name in names[1:]:
-            runs = runs.unionByName(self.spark.table(name))
-        return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            other = self.spark.table(name).withColumnRenamed("n", "m").hint("merge")
+            runs = runs.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return runs
 
     def _push(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
