@@ -32,20 +32,12 @@ MASKS = ((0, 2, 6, 8, 9, 10), (0, 2, 3, 4, 5, 8))
 NUM, DEN = 4, 5
 #: Words of test items that are held against the documents at once (about 40 MB of tables in each task).
 BLOCK_WORDS = 500_000
-_STRIP = np.zeros(256, bool)
-_STRIP[[ord(c) for c in "!\"'()*,-./:;?[]_`{}"]] = True
 
 
 def tokens(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and byte start of every word; a word of punctuation alone counts whole."""
     starts, ends, rows = kn.word_bounds(body, at)
-    s, e = starts.copy(), ends.copy()
-    while (m := (s < e) & _STRIP[body[np.minimum(s, len(body) - 1)]]).any():
-        s[m] += 1
-    while (m := (s < e) & _STRIP[body[np.maximum(e - 1, 0)]]).any():
-        e[m] -= 1
-    bare = s >= e
-    s[bare], e[bare] = starts[bare], ends[bare]
+    s, e = kn.stripped(body, starts, ends)
     return kn.span_hashes(body, s, e), rows, starts
 
 

@@ -16,8 +16,10 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_STRIP = np.zeros(256, bool)
+_STRIP[[ord(c) for c in "!\"'()*,-./:;?[]_`{}"]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -81,11 +83,23 @@ def word_bounds(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.repeat(np.arange(len(at) - 1), counts)
 
 
+def stripped(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without ASCII punctuation at both ends; a word of punctuation alone stays whole."""
+    s, e = starts.copy(), ends.copy()
+    while (m := (s < e) & _STRIP[body[np.minimum(s, len(body) - 1)]]).any():
+        s[m] += 1
+    while (m := (s < e) & _STRIP[body[np.maximum(e - 1, 0)]]).any():
+        e[m] -= 1
+    bare = s >= e
+    s[bare], e[bare] = starts[bare], ends[bare]
+    return s, e
+
+
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each span of bytes, with A-Z lower-cased if asked. Spans may overlap."""
     p, q = powers(len(body) + 1)
     sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((_LOWER[body] if lower else body).astype(np.uint64).__iadd__(np.uint64(1)) * p[: len(body)], out=sums[1:])
+    np.cumsum((LOWER[body] if lower else body).astype(np.uint64).__iadd__(np.uint64(1)) * p[: len(body)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * q[starts], 1) ^ mix((ends - starts).astype(np.uint64), 2)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import decontaminate, jaccard, linededup, lm, mixing, quality, sharding
+from loomstead.llm import decontaminate, jaccard, linededup, lm, mixing, quality, sharding, toxicity
 from loomstead.llm.common import documents
 
 
@@ -13,6 +13,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,7 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_quality_rules, op4_jaccard_join, op5_line_dedup, op8_decontamination, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_quality_rules, op4_jaccard_join, op5_line_dedup, op8_decontamination, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
