@@ -107,7 +107,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, text: str
     flags = each.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("s"), F.max("hit").alias("any"))
     flags = written(flags.filter("any").select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("s.hit").alias(f)), "line-flags")
     k1, k2 = F.xxhash64(body), F.xxhash64(F.lit(1), body)
-    rows = sized_join(docs.drop(out), flags, (k1 == F.col(t1)) & (k2 == F.col(t2)), "left", limit=20_000)
+    rows = docs.drop(out).join(flags.hint("merge"), (k1 == F.col(t1)) & (k2 == F.col(t2)), "left")
     dropped = F.coalesce(F.size(F.filter(f, lambda x: x)), F.lit(0))
     dropped = F.when(F.col(f).isNull(), 0).otherwise(dropped)
     kept = F.when(F.col(f).isNull(), body).otherwise(F.array_join(F.filter(lines(F.col(text)), lambda line, i: ~F.get(F.col(f), i)), "\n"))
