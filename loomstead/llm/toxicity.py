@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-Inputs of a word are an embedding of the word and the sum of embeddings of its 4-byte pieces, both hashed. Texts are cut
+Inputs of a word are an embedding of the word and the sum of embeddings of its 4-byte pieces, both hashed; embeddings start
+at zero, so what training never met says nothing, and half of the word embeddings are left out in training, so pieces learn too. Texts are cut
 into windows of 64 words, each 16 words into the next, over the whole text; a text's score is that of its highest window.
 Training takes a bounded sample of labelled rows (POSITIVES and NEGATIVES, the first by hash of the id; of each text at most
 TRAIN_WINDOWS windows, evenly spread) on the driver; a minibatch takes each text's highest window, so a label of the whole
@@ -80,15 +81,16 @@ class Network:
     def __init__(self, seed: int = 0, bias: float = 0.0):
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.p = {"word": draw(WORD_ROWS, D, scale=0.1), "piece": draw(PIECE_ROWS, D, scale=0.1), "att": draw(2 * H, scale=0.3), "out": draw(2 * H, scale=0.5), "bias": np.array([bias], np.float32)}
+        self.p = {"word": np.zeros((WORD_ROWS, D), np.float32), "piece": np.zeros((PIECE_ROWS, D), np.float32), "att": draw(2 * H, scale=0.3), "out": draw(2 * H, scale=0.5), "bias": np.array([bias], np.float32)}
         for way in ("f", "b"):
             self.p |= {f"x{way}": draw(2 * D, 3 * H, scale=0.4), f"u{way}": draw(H, 3 * H, scale=0.3), f"c{way}": np.zeros(3 * H, np.float32)}
 
-    def inputs(self, t: Types, types: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inputs(self, t: Types, types: np.ndarray, shown: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner, piece = t.pieces(types)
         e = self.p["piece"][piece]
         sums = np.stack([np.bincount(owner, e[:, d], len(types)) for d in range(D)], 1) if len(types) else np.zeros((0, D))
-        return np.concatenate([self.p["word"][t.word[types]], sums.astype(np.float32)], 1), owner, piece
+        words = self.p["word"][t.word[types]]
+        return np.concatenate([words if shown is None else words * shown, sums.astype(np.float32)], 1), owner, piece
 
     def run(self, gates: dict[str, np.ndarray], tok: np.ndarray, length: np.ndarray, keep: bool = False):
         """States (time, window, 2H) of windows of tokens (time, window); with keep also what backward() needs."""
@@ -138,13 +140,14 @@ class Network:
             out[w] = self.pool(self.run(gates, inverse[at], length[w])[0], length[w])[2]
         return out
 
-    def learn(self, t: Types, first: np.ndarray, length: np.ndarray, y: np.ndarray, weight: np.ndarray, adam: Adam) -> None:
+    def learn(self, t: Types, first: np.ndarray, length: np.ndarray, y: np.ndarray, weight: np.ndarray, adam: Adam, rng: np.random.Generator) -> None:
         """One step on windows with labels y."""
         T = int(length.max())
         at = first + np.minimum(np.arange(T)[:, None], length - 1)
         types, tok = np.unique(t.tokens[at], return_inverse=True)
         tok = tok.reshape(at.shape)
-        x, owner, piece = self.inputs(t, types)
+        shown = (rng.random((len(types), 1)) < 0.5).astype(np.float32)
+        x, owner, piece = self.inputs(t, types, shown)
         states, kept = self.run(self.gates(x), tok, length, keep=True)
         a, c, logit = self.pool(states, length)
         d = ((_sigmoid(logit) - y) * weight / len(y)).astype(np.float32)
@@ -173,7 +176,7 @@ class Network:
             grad[f"u{way}"], grad[f"c{way}"], grad[f"x{way}"] = du, dpre.sum(0), x.T @ dpre
             dx += dpre @ self.p[f"x{way}"].T
         grad["word"], grad["piece"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["piece"])
-        np.add.at(grad["word"], t.word[types], dx[:, :D])
+        np.add.at(grad["word"], t.word[types], dx[:, :D] * shown)
         np.add.at(grad["piece"], piece, dx[owner, D:])
         adam.step(self.p, grad)
 
@@ -219,7 +222,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Network:
             at = (ends - length[w]) + np.minimum(np.arange(int(length[w].max()))[:, None], length[w] - 1)
             logit = net.pool(net.run(gates, inverse[at], length[w])[0], length[w])[2]
             best = [w[j:k][np.argmax(logit[j:k])] for j, k in zip(np.cumsum([0, *np.diff(begin)[docs]])[:-1], np.cumsum(np.diff(begin)[docs]), strict=True)]
-            net.learn(t, first[best], length[best], y[docs], np.where(y[docs] > 0, 1.5, 1.0).astype(np.float32), adam)
+            net.learn(t, first[best], length[best], y[docs], np.where(y[docs] > 0, 1.5, 1.0).astype(np.float32), adam, rng)
     return net
 
 
