@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import decontaminate, jaccard, linededup, lm, mixing, quality, sharding, suffixes, toxicity
+from loomstead.llm import decontaminate, jaccard, licenses, linededup, lm, mixing, quality, sharding, suffixes, toxicity
 from loomstead.llm.common import documents
 
 
@@ -35,6 +35,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents(spark, sf_dir, "doc_id", "text", "lang", "source").withColumn("path", F.expr(licenses.LAYOUT)).select("doc_id", "path", "text")
+    return licenses.licences(files).select("doc_id", "path", "own_licence", "licence", "granted_by")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.search(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.transform("items", lambda x: x["item_id"]).alias("item_ids"), F.coalesce(F.array_max(F.transform("items", lambda x: x["agree"])), F.lit(0)).alias("agree"))
@@ -49,8 +54,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_quality_rules, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op8_decontamination, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_quality_rules, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_license_scan, op8_decontamination, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.sql(), "op4_jaccard_join": jaccard.SQL, "op5_line_dedup": linededup.SQL}
+    return {"op3_quality_rules": quality.sql(), "op4_jaccard_join": jaccard.SQL, "op5_line_dedup": linededup.SQL, "op7_license_scan": licenses.sql()}
