@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-#: Each module has QUERIES (name: function of session and folder) and SQL (name: text).
-MODULES: tuple[str, ...] = ("portfolio",)
+MODULES: tuple[str, ...] = ("inputs", "columns", "basics")
+
+
+def _loaded():
+    for m in MODULES:
+        import_module(f"{__name__}.{m}")
+    return import_module(f"{__name__}.registry")
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in import_module(f"{__name__}.{m}").QUERIES.items()}
+    return dict(_loaded().QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for m in MODULES for name, text in import_module(f"{__name__}.{m}").SQL.items()}
+    return dict(_loaded().SQL)
