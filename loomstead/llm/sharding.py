@@ -4,7 +4,7 @@ The heap works on a bounded number of items, whatever the input: groups larger t
 of all bytes (there are fewer than shards x per_shard of them) and as many bundles of smaller groups, dealt
 by hash of the group. Items go largest first. The rows only meet broadcast tables of that bounded size.
 
-Defined results: null text has no bytes and forms one group, apart from the empty text; rows with equal
+Defined results: null text has no bytes and is grouped with the empty text; rows with equal
 texts share a shard, repeated rows and null ids included; ties of size go by item key; an empty table gives
 an empty result; columns of other names stay as they are, helper columns take names that are free.
 """
@@ -34,7 +34,7 @@ def longest_first(items: list[tuple[int, str]], n_shards: int) -> dict[str, int]
 
 
 def group_key(text: Column) -> Column:
-    return F.coalesce(F.sha2(text, 256), F.lit("none"))
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def assign(docs: DataFrame, n_shards: int = 40, text: str = "text", per_shard: int = 256, out: str = "shard") -> DataFrame:
