@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("inputs", "columns", "basics")
+MODULES: tuple[str, ...] = ("inputs", "columns", "basics", "portfolio")
 
 
 def _loaded():
