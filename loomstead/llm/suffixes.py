@@ -33,7 +33,8 @@ from loomstead.llm.common import sized_join, written
 
 LENGTH, GRAM, PLACES = 100, 8, 64
 SURE = LENGTH - PLACES + 1
-SHARD, CHUNK = 1 << 20, 4 << 20
+#: Small enough for the arrays of a merge to stay in a core's cache.
+SHARD, CHUNK = 1 << 18, 1 << 20
 LAST = (1 << 63) - 1
 #: Texts with kept anchors, or with repeats, up to which their lists (some hundred bytes each) are broadcast.
 BROADCAST_DOCS = 200_000
@@ -147,45 +148,60 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def transform(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of a text read as a ring, and its suffixes in order (of their first bytes, at least depth)."""
+def prefixes(text: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of every suffix of a text read as a ring, as a number."""
     n = len(text)
     ring = np.concatenate([text, np.resize(text, 8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | ring[k : k + n]
+    return key
+
+
+def transform(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of a text read as a ring, its suffixes in order (of their first bytes, at least depth), and
+    their first 8 bytes in that order."""
+    n = len(text)
+    first = key = prefixes(text)
     have = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
         if have >= depth or int(rank.max(initial=0)) == n - 1:
-            return text[order - 1], order
+            return text[order - 1], order, first[order]
         key = (rank.astype(np.uint64) << np.uint64(32)) | np.roll(rank, -(have % n)).astype(np.uint64)
         have *= 2
 
 
 def merge(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, block) of all suffixes of some shards, in merged order: suffixes (places in the shards laid end to end) of
-    one block have their first depth bytes in common. Only the transforms' symbols are dealt, round after round."""
+    one block have their first depth bytes in common. The interleave starts right for 8 bytes (or none, if depth is less),
+    by merging the shards' sorted first bytes; then only the transforms' symbols are dealt, round after round."""
     sorted_ = [transform(s, depth) for s in shards]
     base = np.cumsum([0, *(len(s) for s in shards)])
-    symbols = np.concatenate([b for b, _ in sorted_])
-    suffixes = np.concatenate([order + base[i] for i, (_, order) in enumerate(sorted_)])
-    n = len(symbols)
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), np.diff(base))
-    block = np.zeros(n, np.int32)
-    by_shard = np.arange(n)
-    for round_ in range(depth):
+    symbols = np.concatenate([b for b, _, _ in sorted_])
+    suffixes = np.concatenate([order + base[i] for i, (_, order, _) in enumerate(sorted_)])
+    n, ids = len(symbols), range(len(shards))
+    source = np.repeat(np.arange(len(shards), dtype=np.uint16 if len(shards) > 255 else np.uint8), np.diff(base))
+    block, done = np.zeros(n, np.int32), 0
+    if depth >= 8:
+        first = np.concatenate([f for _, _, f in sorted_])
+        order = np.argsort(first, kind="stable")
+        source, first, done = source[order], first[order], 8
+        block = np.cumsum(np.concatenate([[False], first[1:] != first[:-1]]), dtype=np.int32)
+    place = lambda: np.concatenate([np.flatnonzero(source == i) for i in ids])  # noqa: E731  where each shard's suffixes are
+    by_shard = place()
+    for round_ in range(done, depth):
+        if round_ % 8 == 0 and block[-1] == n - 1:
+            break
         current = np.empty(n, np.uint8)
         current[by_shard] = symbols
         order = np.argsort(current, kind="stable")
         source, s, b = source[order], current[order], block[order]
         block = np.cumsum(np.concatenate([[False], (s[1:] != s[:-1]) | (b[1:] != b[:-1])]), dtype=np.int32)
-        by_shard = np.argsort(source, kind="stable")
-        if round_ % 8 == 7 and block[-1] == n - 1:
-            break
+        by_shard = place()
     merged = np.empty(n, np.int64)
     merged[by_shard] = suffixes
     return merged, block
