@@ -4,7 +4,8 @@ A 100-byte string is judged at its anchor: the place of the least hash of 8 byte
 strings have equal anchors, 37 bytes or more before their ends, so strings can only repeat where those 37 bytes do.
 1. Anchors are dealt by a hash of their 37 bytes, packed; those that two places share are kept.
 2. Each kept anchor gives its context: the bytes of all 100-byte strings that have it as anchor. Contexts are dealt and
-   sorted by the same hash, so all equal strings meet in a task. Of equal contexts all but the earliest repeat whole.
+   sorted by the same hash, so all equal strings meet in a task. Of equal contexts all but the earliest repeat whole. A
+   context that is then alone under its hash holds no other repeat: its strings have the anchor at different distances.
 3. In a task, the distinct contexts are cut into shards. Each shard's suffixes are sorted and give its Burrows-Wheeler
    transform. The transforms are merged without sorting suffixes anew: the interleave starts with shard after shard, and
    each round deals it by the symbols of the transforms in their current order (Holt and McMillan). After k rounds the
@@ -245,7 +246,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.unique(code, return_index=True)[1]
         distinct = context.dictionary.to_pylist()
         order = np.argsort(first)
-        found = dict(zip(order.tolist(), repeats([distinct[i] for i in order]), strict=True))
+        found = {i: np.zeros(len(distinct[i]) - LENGTH + 1, bool) for i in order.tolist()}
+        _, group, partners = np.unique(rows.column("key").to_numpy()[first], return_inverse=True, return_counts=True)
+        order = order[partners[group][order] > 1]  # strings of a context alone under its key have the anchor at different distances
+        if len(order):
+            found |= dict(zip(order.tolist(), repeats([distinct[i] for i in order]), strict=True))
         th, start = rows.column("th").to_pylist(), rows.column("start").to_numpy()
         out: dict[int, list[int]] = {}
         for i, c in enumerate(code.tolist()):
