@@ -31,7 +31,9 @@ INPUTS["claims"] = """
 SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS topic_id, l_suppkey AS doc_id, l_returnflag || ' ' || l_linestatus || ' ' || CAST(l_quantity AS STRING) AS claim_text,
   CASE l_returnflag WHEN 'A' THEN 'fact' WHEN 'N' THEN 'rule' ELSE 'definition' END AS claim_type,
   CASE WHEN l_linenumber % 5 = 1 THEN 'superseded' WHEN l_linenumber % 5 = 2 THEN 'conflicted' WHEN l_linenumber % 5 = 3 THEN 'flagged' ELSE 'active' END AS status,
-  CASE WHEN l_linenumber % 5 = 1 THEN l_orderkey * 8 + l_linenumber + 1 END AS superseded_by, l_shipdate AS created_at FROM lineitem"""
+  CASE WHEN l_linenumber % 5 = 1 THEN l_orderkey * 8 + l_linenumber + 1 END AS superseded_by, l_shipdate AS created_at
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate
+  FROM lineitem GROUP BY l_orderkey, l_linenumber) AS l"""
 INPUTS["usage_log"] = """
 SELECT event_id AS id, ts AS created_at, CASE event_type WHEN 'view' THEN 'chat' WHEN 'click' THEN 'documents' WHEN 'signup' THEN 'knowledge' WHEN 'purchase' THEN 'market' ELSE 'unknown' END AS category,
   event_type AS operation, 'p' || CAST(user_id % 3 AS STRING) AS provider, 'm' || CAST(user_id % 4 AS STRING) AS model, CASE WHEN user_id % 2 = 0 THEN 'chat' ELSE 'embedding' END AS kind,
