@@ -66,3 +66,9 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def settled(column: Column) -> Column:
+    """The column, tied to a row number, which is never negative. Spark doesn't move filters below a column that counts rows,
+    so it can't put this column's expression into others, where a lambda would compute it anew for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)

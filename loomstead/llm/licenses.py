@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import fresh, sized_join, written
+from loomstead.llm.common import fresh, settled, sized_join, written
 
 #: Licences and the lines that announce them (their own published wording, or its usual short forms).
 TEMPLATES = (
@@ -72,7 +72,7 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", least: float
     weight = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
     times = lambda w: F.size(F.filter("known", lambda x: x == w)).cast("double")
     vector = F.transform(F.array_distinct("known"), lambda w: F.struct(w.alias("w"), (times(w) * F.element_at(weight, w)).alias("x")))
-    lines = lines.filter(F.size("known") > 0).withColumn("v", vector)
+    lines = lines.filter(F.size("known") > 0).withColumn("v", settled(vector))
     square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"])
     lines = lines.withColumn("inside", square).withColumn("norm", F.sqrt(F.col("inside") + (F.col("n") - F.size("known")) * none * none))
     lines = lines.filter(F.col("inside") >= least * least * F.col("norm") * F.col("norm"))  # no template can be nearer

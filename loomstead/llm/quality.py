@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import SPACE_CLASS, sized_join, written
+from loomstead.llm.common import SPACE_CLASS, settled, sized_join, written
 
 #: Characters counted as symbols, and the window of the repetition rule in words.
 SYMBOLS = "#*$%&|<>"
@@ -150,8 +150,9 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str
         }
     )
     near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.char_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.word_limit)
+    verdict = settled(~F.col("base_failed") & near)
     return d.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & near).alias("kept")
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", verdict.alias("kept")
     )
 
 
