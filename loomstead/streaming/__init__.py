@@ -1 +1,132 @@
-"""Part of loomstead."""
+"""Time-driven behaviour as Structured Streaming: throttles, tumbling totals, bursts, alert state, ingestion, expiry.
+
+Every function takes a streaming frame (or a batch one where it says so) and returns one; `drained` runs a stream over what
+there is and gives the rows it wrote."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstead.operators.corpus import chunk_text
+
+
+def _folder(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def read(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the parquet file or folder at a path, event times as timestamps."""
+    plain = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return plain.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"})
+
+
+def drained(stream: DataFrame, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote; each batch is written once under its number."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        (then(batch) if then else batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+
+
+def usage_totals(stream: DataFrame, hours: int, late: str = "1 hour") -> DataFrame:
+    """Totals of closed windows by category; rows later than the watermark are left out."""
+    w = stream.withWatermark("created_at", late).groupBy(F.window("created_at", f"{hours} hours").alias("w"), "category")
+    sums = w.agg(F.sum("total_tokens").alias("total"), F.count("*").alias("calls"))
+    return sums.select(F.col("w.start").cast("string").alias("bucket"), "category", "total", "calls")
+
+
+def bursts(stream: DataFrame, key: str, quiet: str, late: str = "1 hour") -> DataFrame:
+    """One row for each burst of a key that a quiet time has ended."""
+    s = stream.withWatermark("created_at", late).groupBy(F.session_window("created_at", quiet).alias("w"), key).agg(F.count("*").alias("n"))
+    return s.select(key, F.col("w.start").cast("string").alias("began"), "n")
+
+
+def _throttle(limit: int, window_s: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "id"])
+        opened, used, allowed = None, 0, []
+        for at in pdf["at"]:
+            if opened is None or at >= opened + window_s:
+                opened, used = at, 0
+            used += 1
+            allowed.append(used <= limit)
+        return pdf.assign(allowed=allowed)
+
+    return run
+
+
+def throttle(rows: DataFrame, key: str, limit: int, window_s: float) -> DataFrame:
+    """id, key, allowed (batch form): a window opens with a key's first event and lasts window_s; events past the limit are
+    denied until it ends. A key's events are a sequence, so they are run through in order in one task; see throttle_stream."""
+    return rows.select("id", key, F.unix_micros(F.col("created_at").cast("timestamp")).alias("at_us")).select("id", key, (F.col("at_us") / 1e6).alias("at")).groupBy(key).applyInPandas(_throttle(limit, window_s), f"id long, {key} long, at double, allowed boolean").drop("at")
+
+
+def throttle_stream(stream: DataFrame, key: str, limit: int, window_s: float) -> DataFrame:
+    """As throttle, on a stream: the state of a key is when its window opened and how many events it took. A key's state is two numbers."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, used = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values(["at", "id"])
+        allowed = []
+        for at in rows["at"]:
+            if opened is None or at >= opened + window_s:
+                opened, used = at, 0
+            used += 1
+            allowed.append(used <= limit)
+        state.update((opened, used))
+        yield pd.DataFrame({"id": rows["id"], key: k[0], "allowed": allowed})
+
+    keyed = stream.select("id", key, (F.unix_micros("created_at") / 1e6).alias("at"))
+    return keyed.groupBy(key).applyInPandasWithState(run, f"id long, {key} long, allowed boolean", "opened double, used long", "append", GroupStateTimeout.NoTimeout)
+
+
+def alert_state(stream: DataFrame) -> DataFrame:
+    """First seen, last seen and count of each alert so far (complete mode)."""
+    return stream.groupBy("asset_id", "title").agg(F.min("seen_at").cast("string").alias("first_seen"), F.max("seen_at").cast("string").alias("last_seen"), F.count("*").alias("n"))
+
+
+def ingest(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Documents whose content was not seen before, within the watermark."""
+    return stream.withColumn("h", F.sha2("text", 256)).withWatermark("arrived_at", late).dropDuplicatesWithinWatermark(["h"])
+
+
+def expire(rows: DataFrame, until: str, now) -> DataFrame:
+    """rows with whether they are past their time (batch or stream)."""
+    return rows.withColumn("expired", F.coalesce(F.col(until) <= now, F.lit(False)))
+
+
+def register(spark: SparkSession) -> None:
+    """fold(text) and chunks(text) for SQL users."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="chunk_no int, content string")
+    class Chunks:
+        def eval(self, text: str):
+            yield from enumerate(chunk_text(text))
+
+    spark.udtf.register("chunks", Chunks)
+    spark.sql(_fold_function())
+
+
+def _fold_function() -> str:
+    from loomstead.functions.text import DOUBLE, MARKED, PLAIN
+
+    body = f"translate(regexp_replace(t, '[\\\\u0300-\\\\u036f]', ''), '{MARKED}', '{PLAIN}')"
+    for letter, plain in DOUBLE:
+        body = f"replace({body}, '{letter}', '{plain}')"
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION fold(t STRING) RETURNS STRING RETURN {body}"
