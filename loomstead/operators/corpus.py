@@ -72,7 +72,7 @@ def cleaning_audit(raw: DataFrame, cleaned: DataFrame, key: str, text: str) -> D
     """Characters removed, share kept, and whether to fall back to the raw text because over 90 % is gone."""
     both = raw.select(key, F.length(text).alias("was")).join(cleaned.select(key, F.length(text).alias("now")), key)
     kept = F.when(F.col("was") > 0, F.col("now") / F.col("was")).otherwise(1.0)
-    return both.select(key, F.greatest(F.col("was") - F.col("now"), F.lit(0)).alias("removed"), F.round(kept, 6).alias("kept_share"), F.when(kept < 0.1, "fall back").when(kept < 0.5, "check").otherwise("fine").alias("verdict"))
+    return both.select(key, F.greatest(F.col("was") - F.col("now"), F.lit(0)).cast("long").alias("removed"), F.round(kept, 6).alias("kept_share"), F.when(kept < 0.1, "fall back").when(kept < 0.5, "check").otherwise("fine").alias("verdict"))
 
 
 def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -97,7 +97,7 @@ def bm25(index: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     scored = hits.join(df, "prefix").join(F.broadcast(total), how="cross").withColumn("part_", part)  # total is one row
     sums = asked.join(scored.select("prefix", key, "part_"), "prefix").groupBy("qid", key).agg(F.round(F.sum("part_"), 6).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), key)
-    return sums.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return sums.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def snippets(rows: DataFrame, text: str, term: str, width: int = 24) -> DataFrame:

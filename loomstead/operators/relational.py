@@ -76,7 +76,7 @@ def running_half(totals: DataFrame, group: list[str], value: str, tie: str) -> D
     """How many of the largest values make half of the sum, per group (none: over all, whose rows are few)."""
     w = Window.partitionBy(*group).orderBy(F.desc(value), tie)
     run = totals.withColumn("run_", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all_", F.sum(value).over(Window.partitionBy(*group)))
-    return run.withColumn("rank_", F.row_number().over(w)).filter(F.col("run_") * 2 >= F.col("all_")).groupBy(*group).agg(F.min("rank_").alias("leaders"))
+    return run.withColumn("rank_", F.row_number().over(w)).filter(F.col("run_") * 2 >= F.col("all_")).groupBy(*group).agg(F.min("rank_").cast("long").alias("leaders"))
 
 
 def keep_first_key(rows: DataFrame, key: str, by: str) -> DataFrame:

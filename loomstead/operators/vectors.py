@@ -57,9 +57,9 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, di
         part = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(_scan(_unit(m), ids, k), "qid long, id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return rows.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
+        return rows.sparkSession.createDataFrame([], "qid long, id long, score double, rank long")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return found.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -70,7 +70,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dimensions(rows: DataFrame, vector: str) -> DataFrame:
     """(dimension, n): more than one row means that the table is mixed; 0 stands for empty or missing vectors."""
-    return rows.groupBy(F.coalesce(F.when(F.size(vector) > 0, F.size(vector)), F.lit(0)).alias("dimension")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.coalesce(F.when(F.size(vector) > 0, F.size(vector)), F.lit(0)).cast("long").alias("dimension")).agg(F.count("*").alias("n"))
 
 
 def neighbour_graph(rows: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
@@ -124,7 +124,7 @@ def top_k_quantised(codes: DataFrame, rows: DataFrame, queries: DataFrame, key:
     a = rows.select(F.col(key).alias("id"), F.col(vector).alias("a_"))
     q = queries.select(F.col(key).alias("qid"), F.col(vector).alias("q_"))
     exact = near.select("qid", "id").join(a, "id").join(q, "qid").select("qid", "id", F.round(cosine(F.col("a_"), F.col("q_")), 5).alias("score"))
-    return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return exact.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def mark(rows: DataFrame, key: str, vector: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("inputs", "columns", "basics", "portfolio", "facts", "search", "graph", "streams")
+MODULES: tuple[str, ...] = ("inputs", "columns", "basics", "portfolio", "facts", "search", "graph", "streams", "context")
 
 
 def _loaded():

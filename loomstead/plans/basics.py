@@ -181,7 +181,7 @@ def a14(t):
 @query("W01_rank_by_score", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem")
 def w01(t):
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("rank"))
 
 
 @query("W02_best_per_group", "SELECT l_partkey, l_orderkey, l_linenumber, n FROM (SELECT l_partkey, l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
@@ -239,7 +239,7 @@ def w09(t):
 @query("W10_renumber_groups", "SELECT id, dense_rank() OVER (ORDER BY low) AS group_no FROM (SELECT id, min(id) OVER (PARTITION BY name) AS low FROM topics)")
 def w10(t):
     groups = t.topics.groupBy("name").agg(F.min("id").alias("low"))
-    numbered = groups.withColumn("group_no", F.row_number().over(Window.orderBy("low")))  # a row a group
+    numbered = groups.withColumn("group_no", F.row_number().over(Window.orderBy("low")).cast("long"))  # a row a group
     return t.topics.select("id", "name").join(numbered, "name").select("id", "group_no")
 
 

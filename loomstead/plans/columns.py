@@ -133,7 +133,7 @@ def phases(column):
     return F.coalesce(good, F.array().cast("array<struct<phase:string,startDate:string>>"))
 
 
-@query("X11_lifecycle_phases", f"SELECT id, CASE WHEN id % 7 = 0 THEN 0 WHEN id % 3 = 0 THEN 1 ELSE 2 END AS n_phases, CASE WHEN id % 7 <> 0 THEN 'phaseOut' END AS first_phase FROM ({PHASES})")
+@query("X11_lifecycle_phases", f"SELECT id, CAST(CASE WHEN id % 7 = 0 THEN 0 WHEN id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_phases, CASE WHEN id % 7 <> 0 THEN 'phaseOut' END AS first_phase FROM ({PHASES})")
 def x11(t):
     rows = t.spark.sql(PHASES.replace("FROM orders", "FROM {orders}").replace('{"', '{{"').replace('"}', '"}}'), orders=t.orders)
     return rows.select("id", F.size(phases(F.col("raw"))).cast("long").alias("n_phases"), F.get(phases(F.col("raw")), F.lit(0))["phase"].alias("first_phase"))

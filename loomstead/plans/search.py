@@ -112,7 +112,7 @@ def v04(t):
     return v.neighbour_graph(t.embeddings, "vec_id", "embedding", 5, 0.2).select("a", "b")
 
 
-@query("V05_quantised_codes", "SELECT vec_id, len(embedding) // 2 AS n_bytes, round(list_max(list_transform(embedding, lambda x: abs(x))), 5) AS scale FROM embeddings")
+@query("V05_quantised_codes", "SELECT vec_id, len(embedding) // 2 AS n_bytes, round(CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE), 5) AS scale FROM embeddings")
 def v05(t):
     return v.quantise(t.embeddings, "vec_id", "embedding").select("vec_id", F.length("codes").cast("long").alias("n_bytes"), F.round("scale", 5).alias("scale"))
 
@@ -147,7 +147,7 @@ def v09(t):
 @query("R01_topic_search", f"SELECT qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ({TOPK}) WHERE rank <= 15 AND score >= 0.1) WHERE rank <= 5")
 def r01(t):
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return exact(t, 15).filter("score >= 0.1").withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("qid", "id", "rank")
+    return exact(t, 15).filter("score >= 0.1").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("qid", "id", "rank")
 
 
 @query("R02_filter_after_top_k", f"SELECT qid, id FROM ({TOPK}) t WHERE rank <= 20 AND id IN (SELECT vec_id FROM embeddings WHERE label < 5)")
@@ -168,7 +168,7 @@ def r03(t):
     part = lambda x: F.coalesce(1 / (60 + F.col(x)), F.lit(0.0))
     both = vec.join(kw, ["qid", "doc_id"], "full_outer").withColumn("score", F.round(part("a") + part("b"), 9))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return both.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("qid", "doc_id", "rank")
+    return both.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 20").select("qid", "doc_id", "rank")
 
 
 @query("R04_no_tokens", "SELECT p_partkey AS qid, p_size % 4 = 0 AS vector_only FROM part")
