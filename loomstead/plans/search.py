@@ -185,7 +185,7 @@ def r05(t):
     return both.groupBy("qid", "id").agg(F.max("score").alias("score")).select("qid", "id")
 
 
-@query("R06_keyword_fallback", f"SELECT q.qid, o.id, 0.4 AS score FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT qid FROM ({TOPK}) WHERE rank <= 3 AND qid <> id AND score >= 0.45)) q JOIN asked a ON a.qid = q.qid JOIN topics o ON contains(lower(o.name), lower(split_part(a.query, ' ', 1)))")
+@query("R06_keyword_fallback", f"SELECT q.qid, o.id, 0.4 AS score FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT qid FROM ({TOPK}) WHERE rank <= 3 AND qid <> id AND score >= 0.45)) q JOIN asked a ON a.qid = q.qid JOIN topics o ON list_contains(string_split(lower(o.name), ' '), lower(split_part(a.query, ' ', 1)))")
 def r06(t):
     answered = exact(t, 3).filter("qid <> id AND score >= 0.45").select("qid").distinct()
     left = t.queries_vec.select(F.col("vec_id").alias("qid")).join(answered, "qid", "left_anti").join(t.asked, "qid")
