@@ -26,7 +26,7 @@ SELECT p_partkey AS id, p_name AS name, p_brand || ' ' || p_type AS description,
   CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(floor(p_partkey / 6) AS BIGINT) END AS parent_id FROM part"""
 INPUTS["topic_edges"] = """
 SELECT DISTINCT l_suppkey AS source_id, 1000000 + l_partkey AS target_id, CASE l_returnflag WHEN 'A' THEN 'is_part_of' WHEN 'N' THEN 'depends_on' ELSE 'references' END AS rel
-FROM lineitem WHERE (l_orderkey * 31 + l_linenumber) % 100 = 0"""
+FROM lineitem"""
 INPUTS["claims"] = """
 SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS topic_id, l_suppkey AS doc_id, l_returnflag || ' ' || l_linestatus || ' ' || CAST(l_quantity AS STRING) AS claim_text,
   CASE l_returnflag WHEN 'A' THEN 'fact' WHEN 'N' THEN 'rule' ELSE 'definition' END AS claim_type,
