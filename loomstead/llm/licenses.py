@@ -1,9 +1,10 @@
-"""Licence scans in DataFrame functions only: TF-IDF cosine of lines to templates, then inheritance by directory.
+"""Licence scans in DataFrame functions only: TF-IDF cosine of lines and windows to templates, then inheritance by directory.
 
 A line is a vector over the words of the templates: counts times ln((1 + lines) / (1 + lines with the word)) + 1. All its
 other words count as words that no line has, once for each occurrence, so they only lengthen it. A line bears the licence
-of the template with the largest cosine, if that is at least `least`; a file bears that of its best line. Files named like
-licences grant theirs to their directory. A file without a licence of its own inherits from its nearest directory that
+of the template with the largest cosine, if that is at least `least`. So does a window: as many words as a template has, from
+one of its words on, over the whole text, so that wrapped, commented and embedded notices are found; lines alone are counted
+for weights. A file bears the licence of its best line or window. Files named like licences grant theirs to their directory. A file without a licence of its own inherits from its nearest directory that
 grants one, found by joining all its ancestor directories.
 
 Defined results: null or empty text bears none; rows of equal path are one file, and so are those with a null path, which
@@ -52,11 +53,41 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), WORD), lambda w: w != "")
 
 
+def _known(units: DataFrame) -> DataFrame:
+    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
+    words = units.withColumn("known", F.filter("words", lambda w: F.array_contains(vocabulary, w)))
+    return words.select("path", F.size("words").alias("n"), "known").filter("n > 0")
+
+
 def _lines(files: DataFrame, text: str, path: str) -> DataFrame:
     lines = files.select(F.col(path).alias("path"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
+    return _known(lines.select("path", _words(F.col("line")).alias("words")))
+
+
+def _able(files: DataFrame, text: str, path: str, idf: dict[str, float], least: float) -> DataFrame:
+    """path, text, able: the templates (from 1) that a part of a text can be near to, and the texts that have any. The cosine
+    of a part is at most the length of the template's unit vector over the words that the text has, so none is lost."""
+    texts = files.select(F.col(path).alias("path"), F.col(text).alias("text")).filter("text IS NOT NULL")
     vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
-    words = lines.select("path", _words(F.col("line")).alias("words")).withColumn("known", F.filter("words", lambda w: F.array_contains(vocabulary, w)))
-    return words.select("path", F.size("words").alias("n"), "known").filter("n > 0")
+    texts = texts.withColumn("has", settled(F.array_intersect(F.split(F.lower("text"), WORD), vocabulary)))
+    able = []
+    for i, (_, body) in enumerate(TEMPLATES, 1):
+        t = {w: (k * idf[w]) ** 2 for w, k in template_words(body).items()}
+        share = F.create_map(*[F.lit(x) for w, y in sorted(t.items()) for x in (w, y / sum(t.values()))])
+        most = F.aggregate("has", F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(share, w), F.lit(0.0)))
+        able.append(F.when(most >= (least - 1e-6) ** 2, F.lit(i)))
+    return texts.withColumn("able", settled(F.array_compact(F.array(*able)))).filter("size(able) > 0").select("path", "text", "able")
+
+
+def _windows(able: DataFrame) -> DataFrame:
+    bodies = [template_words(body) for _, body in TEMPLATES]
+    own = F.array(*[F.array(*[F.lit(w) for w in sorted(b)]) for b in bodies])
+    size = F.array(*[F.lit(sum(b.values())) for b in bodies])
+    rows = able.select("path", settled(_words(F.col("text"))).alias("words"), "able").filter("size(words) > 0").withColumn("i", F.explode("able"))
+    rows = rows.select("path", "words", F.element_at(own, F.col("i")).alias("own"), F.element_at(size, F.col("i")).alias("size"))
+    start = F.filter(F.sequence(F.lit(1), F.size("words")), lambda j: F.array_contains(F.col("own"), F.element_at("words", j)))
+    rows = rows.withColumn("starts", settled(start))
+    return _known(rows.select("path", F.explode(F.transform("starts", lambda j: F.slice("words", j, F.col("size")))).alias("words")))
 
 
 def _dot(share: Column) -> Column:
@@ -72,6 +103,8 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", least: float
     weight = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
     times = lambda w: F.size(F.filter("known", lambda x: x == w)).cast("double")
     vector = F.transform(F.array_distinct("known"), lambda w: F.struct(w.alias("w"), (times(w) * F.element_at(weight, w)).alias("x")))
+    able = written(_able(files, text, path, idf, least), "licence-texts")
+    lines = _lines(able, "text", "path").unionByName(_windows(able))
     lines = lines.filter(F.size("known") > 0).withColumn("v", settled(vector))
     square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"])
     lines = lines.withColumn("inside", square).withColumn("norm", F.sqrt(F.col("inside") + (F.col("n") - F.size("known")) * none * none))
