@@ -25,8 +25,9 @@ def _folder(spark: SparkSession) -> str:
 
 
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stream of the parquet file or folder at a path, event times as timestamps."""
-    plain = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A stream of the parquet file or folder at a path, event times as timestamps. A trigger takes all files that are there:
+    files may overlap in time, and taken one by one the watermark of one would drop rows of the next as late."""
+    plain = spark.readStream.schema(schema).parquet(path)
     return plain.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"})
 
 

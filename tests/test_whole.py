@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import pytest
+
+from loomstead import plans
 from loomstead.plans.registry import Tables
+from tests.oracle import TABLES, compare
 
 REL = {"A": "is_part_of", "N": "depends_on"}
 
@@ -9,3 +13,15 @@ def test_topic_edges_take_every_lineitem_row(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_returnflag").collect()
     want = {(r.l_suppkey, 1_000_000 + r.l_partkey, REL.get(r.l_returnflag, "references")) for r in rows}
     assert {tuple(r) for r in Tables(spark, sf).topic_edges.select("source_id", "target_id", "rel").collect()} == want
+
+
+@pytest.mark.parametrize("name", ["S02_tumbling_totals", "S03_bursts"])
+def test_replays_of_several_files_count_all_rows(spark, sf, tmp_path, name):
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for k in range(4):  # each file spans the whole time
+        events.filter(f"event_id % 4 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) == 4
+    compare(spark, str(tmp_path), plans.queries()[name], plans.oracle_sql()[name])
