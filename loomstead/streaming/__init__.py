@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,24 +57,33 @@ def bursts(stream: DataFrame, key: str, quiet: str, late: str = "1 hour") -> Dat
     return s.select(key, F.col("w.start").cast("string").alias("began"), "n")
 
 
-def _throttle(limit: int, window_s: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        opened, used, allowed = None, 0, []
-        for at in pdf["at"]:
-            if opened is None or at >= opened + window_s:
-                opened, used = at, 0
-            used += 1
-            allowed.append(used <= limit)
-        return pdf.assign(allowed=allowed)
+def _throttle(key: str, limit: int, window_s: float):
+    """Rows come sorted by key, at and id; from batch to batch only the last key's window and count are carried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, last, opened, used = False, None, None, 0
+        for b in batches:
+            allowed = []
+            for k, at in zip(b.column(key).to_pylist(), b.column("at").to_pylist(), strict=True):
+                if not started or k != last:
+                    started, last, opened, used = True, k, at, 0
+                elif at is not None and opened is not None and at >= opened + window_s:
+                    opened, used = at, 0
+                used += 1
+                allowed.append(used <= limit)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column(key), pa.array(allowed, pa.bool_())], ["id", key, "allowed"])
 
     return run
 
 
 def throttle(rows: DataFrame, key: str, limit: int, window_s: float) -> DataFrame:
     """id, key, allowed (batch form): a window opens with a key's first event and lasts window_s; events past the limit are
-    denied until it ends. A key's events are a sequence, so they are run through in order in one task; see throttle_stream."""
-    return rows.select("id", key, F.unix_micros(F.col("created_at").cast("timestamp")).alias("at_us")).select("id", key, (F.col("at_us") / 1e6).alias("at")).groupBy(key).applyInPandas(_throttle(limit, window_s), f"id long, {key} long, at double, allowed boolean").drop("at")
+    denied until it ends. A key's events are a sequence, so one task runs through them in order, batch by batch, and holds
+    two numbers of the key; events without a time come last, in the window that is open. See throttle_stream."""
+    at = (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6).alias("at")
+    events = rows.select(F.col("id").cast("long").alias("id"), F.col(key).cast("long").alias(key), at)
+    events = events.repartition(key).sortWithinPartitions(key, F.asc_nulls_last("at"), "id")
+    return events.mapInArrow(_throttle(key, limit, window_s), f"id long, {key} long, allowed boolean")
 
 
 def throttle_stream(stream: DataFrame, key: str, limit: int, window_s: float) -> DataFrame:
