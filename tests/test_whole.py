@@ -12,6 +12,7 @@ REL = {"A": "is_part_of", "N": "depends_on"}
 
 
 def test_topic_edges_take_every_lineitem_row(spark, sf):
+    plans.queries()  # registers the inputs
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_returnflag").collect()
     want = {(r.l_suppkey, 1_000_000 + r.l_partkey, REL.get(r.l_returnflag, "references")) for r in rows}
     assert {tuple(r) for r in Tables(spark, sf).topic_edges.select("source_id", "target_id", "rel").collect()} == want
