@@ -3,45 +3,46 @@ the shared folder, so lineage stays short and lost executors cost a round at mos
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.storage import kept, sized_join
+
 #: Weight of an edge by its kind.
 WEIGHTS = {"is_part_of": 3.0, "depends_on": 2.0, "references": 1.0}
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder that the cluster shares and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable; a node without edges is its own. Labels move to the least neighbour,
-    then to their own label's label, so long paths take few rounds."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = kept(both, "graph-edges")
-    label = kept(nodes.select("node", F.col("node").alias("c")), "graph-labels")
-    mark = None
-    for _ in range(rounds):
-        low = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        step = label.join(low, F.col("node") == F.col("a"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
-        jump = step.join(step.select(F.col("node").alias("j"), F.col("c").alias("d")), F.col("c") == F.col("j"), "left").select("node", F.least("c", F.coalesce("d", "c")).alias("c"))
-        label = kept(jump, "graph-labels")
-        now = label.agg(F.sum(F.xxhash64("node", "c").cast("decimal(38,0)"))).first()[0]
+def links(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) to (node, root): root is the smallest node that edges reach. Loops and repeats are ignored; nodes without
+    edges are not listed. Large-star and small-star rounds alternate until nothing changes (some log2 of the longest path);
+    each is written, so lineage stays short.
+
+    Edges point from the smaller node to the larger. A round hands what hangs on a node to that node's least neighbour. Only
+    nodes that both hang on others and have others hanging on them take part in that join, and the centre of a large star is
+    not one of them: its edges stay where they are."""
+    edges = edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, mark = kept(edges, "links"), None
+    while True:
+        low = edges.groupBy(F.col("b").alias("x_")).agg(F.min("a").alias("m_"))
+        middle = kept(low.join(edges.select(F.col("a").alias("x_")).distinct().hint("merge"), "x_", "left_semi"), "links-middle")
+        large = sized_join(edges, middle, F.col("a") == F.col("x_"), "left").select(F.coalesce("m_", "a").alias("a"), "b").distinct()
+        large = kept(large, "links-large")
+        least = large.groupBy(F.col("b").alias("x_")).agg(F.min("a").alias("m_"), F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
+        least = kept(least, "links-least")
+        moved = sized_join(large, least, F.col("b") == F.col("x_"), "left")
+        up = moved.filter("m_ IS NOT NULL AND m_ <> a").select(F.col("m_").alias("a"), F.col("a").alias("b"))
+        edges = kept(moved.select(F.coalesce("m_", "a").alias("a"), "b").unionByName(up).distinct(), "links")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
-            return label.withColumnRenamed("c", "component")
+            break
         mark = now
-    raise RuntimeError("components did not settle")
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable; a node without edges is its own."""
+    found = links(edges).withColumnRenamed("node", "n_")
+    return nodes.join(found.hint("merge"), F.col("node") == F.col("n_"), "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -150,18 +151,16 @@ def tree_depths(rows: DataFrame, most: int = 12) -> DataFrame:
     return sound.select("id").join(found, "id", "left")
 
 
-def break_cycles(rows: DataFrame, rounds: int = 40) -> DataFrame:
+def break_cycles(rows: DataFrame) -> DataFrame:
     """(id, parent_id): unknown and own parents go, and so does that of every node whose chain of parents comes to a loop.
-    Chains double in length each round."""
+    Chains double in length each round; what has no end after as many steps as there are nodes is in a loop."""
     known = rows.select(F.col("id").alias("p_"))
     sound = kept(rows.join(known, F.col("parent_id") == F.col("p_"), "left").select("id", F.when(F.col("parent_id") != F.col("id"), F.col("p_")).alias("parent_id")), "cycle")
-    up, last = sound, None
-    for _ in range(rounds):
+    up, steps = sound, 1
+    open_ = up.filter("parent_id IS NOT NULL").count()
+    while open_ and steps <= open_:
         two = up.select(F.col("id").alias("m_"), F.col("parent_id").alias("t_"))
         up = kept(up.join(two, F.col("parent_id") == F.col("m_"), "left").select("id", F.col("t_").alias("parent_id")), "cycle-up")
-        open_ = up.filter("parent_id IS NOT NULL").count()
-        if open_ == 0 or (open_ == last and _ > 6):
-            break
-        last = open_
+        open_, steps = up.filter("parent_id IS NOT NULL").count(), steps * 2
     looping = up.filter("parent_id IS NOT NULL").select("id").withColumn("l_", F.lit(True))
     return sound.join(looping, "id", "left").select("id", F.when(F.col("l_").isNull(), F.col("parent_id")).alias("parent_id"))

@@ -5,7 +5,6 @@ there is and gives the rows it wrote."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,14 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.operators.corpus import chunk_text
-
-
-def _folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from loomstead.storage import shared_dir
 
 
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -34,7 +26,8 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def drained(stream: DataFrame, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote; each batch is written once under its number."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         (then(batch) if then else batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")

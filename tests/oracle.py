@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,7 +28,7 @@ def text_of(v) -> str:
         return text_of(list(v.values()))
     if hasattr(v, "asDict"):
         return text_of(list(v))
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "-"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
