@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join may be broadcast after it was counted (keys of 8 to 40 bytes: under 40 MB).
-BROADCAST_ROWS = 500_000
+from loomstead.storage import kept as written
+from loomstead.storage import sized_join
+
+__all__ = ["SPACE_CLASS", "commonest", "crc32_text", "documents", "fresh", "in_fold", "settled", "sized_join", "utf8_bytes", "written"]
 
 #: Characters that part words.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -19,29 +18,6 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text", "lang", "source", "n_chars")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none (tests), a new local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: short lineage, sizes that Spark knows, no work done twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """left join right, with right broadcast only if it was counted to have at most limit rows; else both are shuffled."""
-    rows = right.count() if rows is None else rows
-    return left.join(right.hint("broadcast" if rows <= limit else "merge"), on, how)
-
-
 def utf8_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
@@ -72,3 +48,25 @@ def settled(column: Column) -> Column:
     """The column, tied to a row number, which is never negative. Spark doesn't move filters below a column that counts rows,
     so it can't put this column's expression into others, where a lambda would compute it anew for each element."""
     return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def commonest(counts: DataFrame, count: str, most: int) -> tuple[DataFrame, int]:
+    """The rows of counts whose count is above a threshold, and how many they are: at most `most`, ties at the edge all left
+    out. The threshold comes from a histogram of 16 bands in each power of two, so the driver sees some hundred numbers and
+    not rows of every partition, as a limited sort would send."""
+
+    def above(rows: DataFrame, band: Column, room: int) -> tuple[int, int]:
+        """The least band that fits in with all above it, and how many rows these are."""
+        best, held = -1, 0
+        for b, n in sorted(((r[0], r[1]) for r in rows.groupBy(band.alias("b")).agg(F.count("*")).collect()), reverse=True):
+            if held + n > room:
+                return best, held
+            best, held = b, held + n
+        return 0, held
+
+    c = F.col(count)
+    power = F.floor(F.log2(c.cast("double")) * 16).cast("int")  # 16 bands in each power of two: some hundred in all
+    low, held = above(counts, power, most)
+    if low == 0 and held:
+        return counts, held
+    return counts.filter(power >= low) if low > 0 else counts.limit(0), held

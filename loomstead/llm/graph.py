@@ -1,29 +1,7 @@
-"""Connected components of a table of links, by alternating large-star and small-star rounds."""
+"""Connected components of a table of links: the library's star rounds, under the names that the corpus operators use."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from loomstead.operators.graph import links as components
 
-from loomstead.llm.common import written
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """links (a, b) of 64-bit nodes to (node, root): root is the smallest node that links reach. Loops and repeats are
-    ignored; nodes without links are not listed. Each round is written to the shared folder, so lineage stays short."""
-    edges = links.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, mark = written(edges, "links"), None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low.hint("merge"), "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low.hint("merge"), "b").select(F.col("m").alias("lo"), F.explode(F.array("a", "b")).alias("hi"))
-        edges = written(small.filter("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "links")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+__all__ = ["components"]

@@ -2,9 +2,10 @@
 
 A run is a bucketed, sorted table of line hashes (128 bits) and in how many documents each occurs. Each
 batch of documents is merge-anti-joined with the sealed runs (keys that have reached the limit already),
-and what is new in it becomes a run of the lowest level. A level that is full is compacted: its runs are
-merged, keys at the limit are sealed, the rest moves up a level. Buckets and sort order are the same in
-every run, so joins of runs are merge joins.
+and what is new in it becomes a run of the lowest level. Keys in open runs aren't taken out: their counts are
+still needed. A level that is full is compacted: its runs are merged, keys that were sealed meanwhile go, keys
+at the limit are sealed, the rest moves up a level; so each key is sealed once. Buckets and sort order are the
+same in every run, so joins of runs are merge joins. The tables of the runs are dropped when the keys are known.
 
 Defined results: null and empty text have one empty line; empty keys are never dropped; a repeated row is a
 document of its own, and so is one with a null id; an empty table gives an empty result; columns of other
@@ -56,6 +57,12 @@ class LineRuns:
             runs = runs.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
         return runs
 
+    def _unsealed(self, keys: DataFrame) -> DataFrame:
+        """keys without those that are sealed: merge-anti-joins, for which runs of the same buckets need no shuffle."""
+        for name in self.sealed:
+            keys = keys.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return keys
+
     def _push(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
@@ -63,7 +70,7 @@ class LineRuns:
         if len(self.levels[level]) < self.fanout:
             return
         old, self.levels[level] = self.levels[level], []
-        merged = self._save(self._merged(old))
+        merged = self._save(self._unsealed(self._merged(old)))  # a key may have been sealed after one of the runs was made
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
         rest, full = self.spark.table(merged).filter(F.col("n") < self.min_docs), self.spark.table(merged).filter(F.col("n") >= self.min_docs)
@@ -72,21 +79,24 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE {merged}")
 
     def add(self, keys: DataFrame) -> None:
-        new = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-        for name in self.sealed:
-            new = new.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self._push(0, self._save(new))
+        self._push(0, self._save(self._unsealed(keys.groupBy("h1", "h2").agg(F.count("*").alias("n")))))
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of every key in at least min_docs documents."""
+        """(h1, h2) of every key in at least min_docs documents, each once."""
         found = [self.spark.table(name).select("h1", "h2") for name in self.sealed]
         if open_ := [name for level in self.levels for name in level]:
-            found.append(self._merged(open_).filter(F.col("n") >= self.min_docs).select("h1", "h2"))
+            found.append(self._unsealed(self._merged(open_).filter(F.col("n") >= self.min_docs).select("h1", "h2")))
         every = found[0]
         for d in found[1:]:
             every = every.unionByName(d)
         return every
 
+    def drop(self) -> None:
+        """Drops the tables of all runs."""
+        for name in [*self.sealed, *(name for level in self.levels for name in level)]:
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels, self.sealed = [], []
+
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, text: str = "text", out: str = "lines_") -> DataFrame:
     """docs with `out`: a struct of n_lines, n_dropped and kept (the text without lines that min_docs documents have).
@@ -98,10 +108,11 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, text: str
     hashed = docs.select(F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2"), F.transform(lines(F.col(text)), line_hash).alias("hs"))
     hashed = written(hashed, "line-hashes")
     runs = LineRuns(spark, min_docs)
-    for k in range(batches):
+    for k in range(batches):  # the result is the same for any number of batches
         batch = hashed.filter(F.pmod("t1", F.lit(batches)) == k)
         runs.add(batch.select(F.explode(F.array_distinct(F.filter("hs", lambda h: h.isNotNull()))).alias("h")).select("h.h1", "h.h2"))
     frequent = written(runs.frequent(), "line-frequent").withColumn("hit", F.lit(True))
+    runs.drop()
     each = hashed.groupBy("t1", "t2").agg(F.first("hs").alias("hs")).select("t1", "t2", F.posexplode("hs").alias("pos", "h"))
     each = sized_join(each.select("t1", "t2", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")), frequent, ["h1", "h2"], "left")
     flags = each.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("s"), F.max("hit").alias("any"))

@@ -213,6 +213,26 @@ def test_line_runs_compact_and_seal(spark):
     count = {x: sum(x % 6 <= k for k in range(6)) for x in range(10)}
     assert sorted(r.h1 for r in runs.frequent().collect()) == [x for x, c in count.items() if c >= 3]
     assert all(len(level) < 2 for level in runs.levels) and runs.sealed
+    runs.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 4, 9, 15])
+def test_lines_do_not_depend_on_the_batches(spark, batches):
+    r, rows = random.Random(7), []
+    for i in range(400):
+        own = [f"common line {k}" for k in r.sample(range(60), 4)] + [f"own {i}", "" if i % 3 else "Common Line 1 "]
+        rows.append((i, "\n".join(r.sample(own, len(own))), "en", "a", 1))
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    times = {}
+    for row in rows:
+        for k in {key(x) for x in row[1].split("\n")}:
+            times[k] = times.get(k, 0) + 1
+    assert sum(9 < n < 60 for k, n in times.items() if k) > 20
+    want = {row[0]: "\n".join(x for x in row[1].split("\n") if not key(x) or times[key(x)] < 10) for row in rows}
+    before = {t.name for t in spark.catalog.listTables()}
+    out = linededup.drop_lines(spark.createDataFrame(rows, SCHEMA), batches=batches)
+    assert {x.doc_id: x.lines_.kept for x in out.collect()} == want
+    assert {t.name for t in spark.catalog.listTables()} <= before
 
 
 # 6
