@@ -1,31 +1,36 @@
 """Mixing sources to target weights by the cube method.
 
-Each source has a target of words and so a number of copies that each of its documents gets on average.
-The whole part is given to all; for the fraction, documents are drawn with equal probability, balanced on
-the number of documents and of words: in blocks of some thousand documents the vector of probabilities
-moves through the null-space of the two constraints until all but two are 0 or 1. What is left of all
-blocks is dealt to blocks anew, until one block a source is left and its last one or two documents are
-landed (words balanced first, then a draw). Random numbers depend on seed, level, source and block alone.
-
-Defined results: null text has no words; null source is a source of its own, last in order; rows of equal
-id, source and size share one decision; a source without words has target 0; an empty table gives an empty
-result; columns of other names stay as they are, helper columns take names that are free.
+Each source has a target of words and so a number of copies that each of its documents gets on average. Equal rows (of one
+id, source and size) are a class: of m rows whose mean number of copies is c, floor(m x c) copies are given for certain, and
+the fraction that is left is one unit with that probability; a row alone is a class of one. Units are drawn balanced on the
+number of documents and of words: in blocks of some thousand units the vector of probabilities moves through the null-space
+of the two constraints until all but two are 0 or 1. Units go largest first, so what stays open is small. What is left of
+all blocks is dealt to blocks anew, until one block a source is left; its last one or two units land on the outcome that is
+nearest in words, then in documents. Random numbers depend on seed, level, source and block alone. A class's copies are
+dealt evenly to its rows.
+
+Nothing is held for all sources or documents at once: targets come from a few sums over the table of sources.
+
+Defined results: null text has no words; null source is a source of its own, last in order; which of some equal rows gets
+one copy more is open, the rows of the result are not; a source without words has target 0 and gives nothing; an empty table
+gives an empty result; columns of other names stay as they are, helper columns take names that are free.
 """
 
 from __future__ import annotations
 
 import random
+from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import SPACE_CLASS, fresh, written
+from loomstead.llm.common import SPACE_CLASS, fresh, sized_join, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Documents in a block of the flight. A source's list of words is small; more sources than this are refused.
-BLOCK, MOST_SOURCES = 4096, 1_000_000
+#: Units in a block of the flight.
+BLOCK = 4096
 _EPS = 1e-9
 
 
@@ -33,20 +38,37 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_CLASS.replace("[", "[^", 1) + "+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> dict[str | None, float]:
-    """Words that each source is to give. Sources by code point, null last; what a source can't give is shared out anew."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
-    open_, found, left = list(order), {}, sum(sizes.values())
-    while open_:
-        w = sum(weight[s] for s in open_)
-        above = [s for s in open_ if left * weight[s] > most * sizes[s] * w]
-        if not above:
-            return found | {s: left * weight[s] / w for s in open_}
-        found |= {s: float(most * sizes[s]) for s in above}
-        left -= sum(most * sizes[s] for s in above)
-        open_ = [s for s in open_ if s not in found]
-    return found
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """sizes (source, size), a row a source, to source, source_no, source_size and target. Sources by code point, null last,
+    take the weights in turn; what a source can't give is shared out anew.
+
+    A source is full if its share is above `most` times its size. With the full ones out, the others' shares only grow, so
+    each round's full sources contain the last round's, and rounds end when none comes to them."""
+    spark = sizes.sparkSession
+    null_last = [F.col("source").isNull(), F.col("source")]
+    ranged = written(sizes.repartitionByRange(*null_last).withColumn("part", F.spark_partition_id()), "mix-sources")
+    counts = ranged.groupBy("part").count().orderBy("part").collect()  # a row a partition
+    before, at = [], 0
+    for r in counts:
+        before.append((r["part"], at))
+        at += r["count"]
+    starts = spark.createDataFrame(before or [(-1, 0)], "p_ int, before long")
+    w = Window.partitionBy("part").orderBy(*null_last)
+    rank = F.col("before") + F.row_number().over(w) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
+    rows = ranged.join(F.broadcast(starts), F.col("part") == F.col("p_")).withColumn("source_no", rank).withColumn("weight", weight)
+    rows = written(rows.select("source", "source_no", F.col("size").alias("source_size"), "weight"), "mix-ranked")
+    total, every = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left, open_ = float(total), float(every)
+    is_full = lambda: F.lit(left) * F.col("weight") > F.lit(float(most)) * F.col("source_size") * F.lit(open_)
+    while True:
+        full = is_full()
+        taken, n = rows.filter(full).agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if (float(total - most * taken), float(every - n)) == (left, open_):
+            break
+        left, open_ = float(total - most * taken), float(every - n)
+    share = F.lit(left) * F.col("weight") / F.lit(max(open_, 1.0))
+    return written(rows.select("source", "source_no", "source_size", F.when(full, most * F.col("source_size").cast("double")).otherwise(share).alias("target")), "mix-targets")
 
 
 def _step(p: list[float], at: list[int], u: list[float], rng: random.Random) -> None:
@@ -75,84 +97,105 @@ def _null(rows: list[list[float]], n: int) -> list[float]:
 
 def flight(p: list[float], docs: list[float], words: list[float], rng: random.Random, land: bool) -> list[float]:
     """Probabilities after the flight: all but two are 0 or 1, and with land all of them."""
-    for rows in ([docs, words], [words], []) if land else ([docs, words],):
-        window, todo = [], iter([i for i, x in enumerate(p) if 0 < x < 1])
-        while True:
-            window = [i for i in window if 0 < p[i] < 1]
-            while len(window) <= len(rows) and (i := next(todo, None)) is not None:
-                window.append(i)
-            if len(window) <= len(rows):
-                break
-            _step(p, window, _null([[r[i] for i in window] for r in rows], len(window)), rng)
+    rows = [docs, words]
+    window, todo = [], iter([i for i, x in enumerate(p) if 0 < x < 1])
+    while True:
+        window = [i for i in window if 0 < p[i] < 1]
+        while len(window) <= len(rows) and (i := next(todo, None)) is not None:
+            window.append(i)
+        if len(window) <= len(rows):
+            break
+        _step(p, window, _null([[r[i] for i in window] for r in rows], len(window)), rng)
+    if land and window:
+        gap = lambda values, out: abs(sum(values[i] * (x - p[i]) for i, x in zip(window, out, strict=True)))
+        outcomes = [(round(gap(words, out), 6), round(gap(docs, out), 6), rng.random(), out) for out in product((0.0, 1.0), repeat=len(window))]
+        for i, x in zip(window, min(outcomes)[3], strict=True):
+            p[i] = x
     return p
 
 
 def _fly(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size", "rows"], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
         rng = random.Random(f"{seed} {pdf.level.iloc[0]} {pdf.source_no.iloc[0]} {pdf.block.iloc[0]}")
-        docs = pdf.rows.astype(float).tolist()
-        words = (pdf["size"] * pdf.rows).astype(float).tolist()
-        return pdf.assign(p=flight(pdf.p.tolist(), docs, words, rng, bool(pdf.blocks.iloc[0] == 1)))
+        words = pdf["size"].astype(float).tolist()
+        return pdf.assign(p=flight(pdf.p.tolist(), [1.0] * len(words), words, rng, bool(pdf.blocks.iloc[0] == 1)))
 
     return run
 
 
 def copies(units: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """units: doc_id, source, size, a row a document. Gives (doc_id, source, size, copies), one row for each distinct
-    triple, and (source, source_size, target), one row a source."""
-    spark = units.sparkSession
-    units = units.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
-    units = written(units.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-units")
-    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words")).limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r.source: r.words for r in sums}
-    goal = targets(sizes)
-    rows = [(k, s, sizes[s], goal[s], int(c := goal[s] / sizes[s] if sizes[s] else 0.0), c - int(c)) for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))]
-    table = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double, whole int, p double")
-    left = units.join(F.broadcast(table.withColumnRenamed("source", "s_")), F.col("source").eqNullSafe(F.col("s_"))).drop("s_", "source_size", "target").withColumn("level", F.lit(0))
-    done, level = [], 0
+    """units: doc_id, source, size, a row a document. Gives (doc_id, source, size, rows, copies), one row for each distinct
+    triple with its number of rows and the copies that all of them together get, and (source, source_size, target)."""
+    classes = units.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    classes = written(classes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-classes")
+    table = targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size")))
+    n_sources = table.count()
+    mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("rows")
+    given = sized_join(classes, table.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")), "inner", rows=n_sources)
+    given = given.withColumn("whole", F.floor(mean + 1e-9).cast("long")).withColumn("p", F.greatest(F.lit(0.0), mean - F.col("whole")))
+    p = F.when(F.col("p") < 1e-9, 0.0).when(F.col("p") > 1 - 1e-9, 1.0).otherwise(F.col("p"))
+    names = ["doc_id", "source", "size", "rows", "h", "source_no", "whole", "p"]
+    left = given.withColumn("p", p).select(*names)
+    schema = "doc_id long, source string, size long, rows long, h long, source_no long, whole long, p double, level int, blocks int, block int"
+    done, level, is_open = [], 0, (F.col("p") > 0) & (F.col("p") < 1)
     while True:
-        counts = left.filter((F.col("p") > 0) & (F.col("p") < 1)).groupBy("source_no").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        blocks = {r.source_no: r.blocks for r in counts.collect()}  # a row a source
-        if not blocks:
+        left = written(left, f"mix-left-{level}")
+        done.append(left.filter(~is_open))
+        left = left.filter(is_open)
+        number = written(left.groupBy(F.col("source_no").alias("b_")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "mix-blocks")
+        if not (n := number.count()):
             break
-        number = spark.createDataFrame(list(blocks.items()), "b_ int, blocks int")
-        flown = left.join(F.broadcast(number), F.col("source_no") == F.col("b_"), "left").drop("b_")
-        flown = flown.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(F.lit(level), "h"), F.col("blocks")).cast("int"))
-        schema = "doc_id long, source string, size long, rows long, h long, source_no int, whole int, p double, level int, blocks int, block int"
-        fixed = flown.filter((F.col("p") <= 0) | (F.col("p") >= 1)).selectExpr("doc_id", "source", "size", "rows", "h", "source_no", "whole", "p", "level", "blocks", "block")
-        moved = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).groupBy("source_no", "block").applyInPandas(_fly(seed), schema)
-        flown = written(moved.unionByName(fixed), f"mix-flight-{level}").drop("blocks", "block")
-        done.append(flown.filter((F.col("p") <= 0) | (F.col("p") >= 1)))
+        flown = sized_join(left, number, F.col("source_no") == F.col("b_"), "inner", rows=n).drop("b_")
+        flown = flown.withColumns({"level": F.lit(level), "block": F.pmod(F.xxhash64(F.lit(level), "h"), F.col("blocks")).cast("int")})
+        left = flown.groupBy("source_no", "block").applyInPandas(_fly(seed), schema).select(*names)
         level += 1
-        left = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn("level", F.lit(level))
-    done.append(left)
     every = done[0]
     for d in done[1:]:
-        every = every.unionByName(d.select(*every.columns))
-    return every.select("doc_id", "source", "size", (F.col("whole") + F.round("p").cast("int")).alias("copies")), table.drop("source_no", "whole", "p")
+        every = every.unionByName(d)
+    return every.select("doc_id", "source", "size", "rows", (F.col("whole") + F.round("p").cast("long")).alias("copies")), table.drop("source_no")
+
+
+def dealt(rows: DataFrame, classes: DataFrame, doc_id: str, source: str, size: str, out: str) -> DataFrame:
+    """rows with `out`, the copies of each: its class's, dealt evenly. Rows of a class are numbered for that only if they share
+    its copies unevenly, and by partition, so that a class of very many rows is no task of its own."""
+    d, s, n, m, c, part, no, before, again = fresh(rows, "d_", "s_", "n_", "m_", "c_", "part_", "no_", "before_", "again_")
+    known = classes.toDF(d, s, n, m, c)
+    on = F.col(doc_id).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(size) == F.col(n))
+    even = rows.join(known.filter(F.col(c) % F.col(m) == 0).hint("merge"), on).withColumn(out, (F.col(c) / F.col(m)).cast("int"))
+    odd = known.filter(F.col(c) % F.col(m) != 0)
+    if (n_odd := odd.count()) == 0:
+        return even.drop(d, s, n, m, c)
+    some = sized_join(rows, odd, on, "inner", rows=n_odd)
+    some = written(some.withColumn(part, F.spark_partition_id()), "mix-uneven")
+    key = [d, s, n]
+    counts = some.groupBy(*key, part).agg(F.count("*").alias("k"))
+    first = F.sum("k").over(Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(x).alias(f"{x}{again}") for x in (*key, part)], F.coalesce(first, F.lit(0)).alias(before))
+    some = some.withColumn(no, F.row_number().over(Window.partitionBy(*key, part).orderBy(F.lit(0))))
+    same = [F.col(x).eqNullSafe(F.col(f"{x}{again}")) for x in (*key, part)]
+    some = some.join(counts.hint("merge"), same[0] & same[1] & same[2] & same[3])
+    share = F.floor(F.col(c) / F.col(m)) + F.when(F.col(before) + F.col(no) <= F.col(c) % F.col(m), 1).otherwise(0)
+    some = some.withColumn(out, share.cast("int"))
+    return even.select(*rows.columns, out).unionByName(some.select(*rows.columns, out))
 
 
 def mix(docs: DataFrame, seed: int = 0, text: str = "text", out: str = "copies", source_out: str | None = None) -> DataFrame:
     """docs with `out`: how many times the mix takes the row, 0 to 3; with source_out also a struct of its source's size and target."""
-    size, d, s, n, c, q = fresh(docs, "size_", "d_", "s_", "n_", "c_", "q_")
+    size, q = fresh(docs, "size_", "q_")
     sized = docs.drop(out).withColumn(size, n_words(F.col(text)))
-    taken, table = copies(sized.select("doc_id", "source", F.col(size).alias("size")), seed)
-    taken = taken.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(c))
-    on = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(n))
-    rows = sized.join(taken.hint("merge"), on).withColumn(out, F.col(c)).drop(d, n, c, s)
+    classes, table = copies(sized.select("doc_id", "source", F.col(size).alias("size")), seed)
+    rows = dealt(sized, classes, "doc_id", "source", size, out)
     if source_out:
-        rows = rows.join(F.broadcast(table.select(F.col("source").alias(q), F.struct("source_size", "target").alias(source_out))), F.col("source").eqNullSafe(F.col(q))).drop(q)
+        table = table.select(F.col("source").alias(q), F.struct("source_size", "target").alias(source_out))
+        rows = sized_join(rows, table, F.col("source").eqNullSafe(F.col(q)), "inner").drop(q)
     return rows.drop(size)
 
 
 def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every row."""
     rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
-    taken, table = copies(rows, seed)
-    taken = taken.select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("n_"), "copies")
-    on = F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("size") == F.col("n_"))
-    rows = rows.join(taken.hint("merge"), on).join(F.broadcast(table.withColumnRenamed("source", "q_")), F.col("source").eqNullSafe(F.col("q_")))
+    classes, table = copies(rows, seed)
+    rows = dealt(rows, classes, "doc_id", "source", "size", "copies")
+    rows = sized_join(rows, table.withColumnRenamed("source", "q_"), F.col("source").eqNullSafe(F.col("q_")), "inner")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

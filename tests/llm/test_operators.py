@@ -383,11 +383,24 @@ def test_shards_are_near_equal(spark):
 # 10
 
 
-def test_targets():
-    assert mixing.targets({"a": 100, "b": 100, "c": 100}) == {"a": 187.5, "b": 75.0, "c": 37.5}
-    t = mixing.targets({"a": 10, "b": 1000, None: 5})
-    assert t == {"a": 30.0, "b": 970.0, None: 15.0}
-    assert sum(mixing.targets({"a": 0, "b": 7, "c": 90}).values()) == pytest.approx(97)
+def slow_targets(sizes: dict) -> dict:
+    """Targets source by source: whoever is above three times its size stops there, and the rest is shared anew."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight, found = {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)}, {}
+    while True:
+        open_ = [x for x in order if x not in found]
+        left, w = sum(sizes.values()) - sum(found.values()), sum(weight[x] for x in open_)
+        above = [x for x in open_ if left * weight[x] > 3 * sizes[x] * w]
+        if not above:
+            return found | {x: left * weight[x] / w for x in open_}
+        found |= {x: 3.0 * sizes[x] for x in above}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 10, "b": 1000, None: 5}, {"a": 0, "b": 7, "c": 90}, {"a": 0}, {f"s{i:03}": (i * 37) % 101 * (i % 7) for i in range(200)}, {}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got == pytest.approx(slow_targets(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0))
 
 
 def test_flight_balances():
@@ -398,11 +411,12 @@ def test_flight_balances():
     assert abs(sum(p) - 1200) <= 2 and abs(sum(x * s for x, s in zip(p, size, strict=True)) - 0.3 * sum(size)) <= 1800
 
 
-def test_flight_keeps_probabilities():
+def test_flight_keeps_totals():
     hits = np.zeros(6)
     for seed in range(4000):
         hits += mixing.flight([0.5, 0.25, 0.75, 0.5, 0.4, 0.6], [1.0] * 6, [3.0, 5.0, 2.0, 2.0, 9.0, 0.0], random.Random(seed), True)
-    assert np.allclose(hits / 4000, [0.5, 0.25, 0.75, 0.5, 0.4, 0.6], atol=0.03)
+    # three of six fly with their probabilities kept, the last two land on the nearest totals
+    assert np.allclose(hits.sum() / 4000, 3.0, atol=0.3) and np.allclose(hits @ [3.0, 5.0, 2.0, 2.0, 9.0, 0.0] / 4000, 8.85, atol=1)
 
 
 def test_mixture(docs, none, clash, monkeypatch):
@@ -416,6 +430,28 @@ def test_mixture(docs, none, clash, monkeypatch):
     assert mixing.mix(clash).count() == len(ROWS)
 
 
+def test_mixture_of_repeated_rows_comes_near_its_targets(spark):
+    """One source has 500 equal rows, one has rows without words; every source's total is held against the slow targets."""
+    r, rows = random.Random(12), [(7, "a", "w " * 37)] * 500 + [(None, None, "x y")] * 9 + [(1, "d", None), (2, "d", "")]
+    rows += [(100 + i, r.choice("abc"), "w " * r.choice([1, 3, 20, 60, 200])) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for i, s, t in rows], SCHEMA)
+    got = mixing.mixture(df).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 3 * got["size"]).all() and (got.taken % got["size"].where(got["size"] > 0, 1) == 0).all()
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = slow_targets(sizes)
+    taken = {}
+    for row in mixing.mix(df).collect():
+        taken[row.source] = taken.get(row.source, 0) + row.copies * len((row.text or "").split())
+    for s, goal in want.items():
+        assert abs(taken[s] - goal) <= max(3, 0.01 * goal), (s, taken[s], goal)
+    order = ["doc_id", "size", "taken", "target"]
+    again = mixing.mixture(df.repartition(7)).toPandas()
+    assert got.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
+    assert sum(got.taken) == sum(taken.values())
+
+
 # 1
 
 
