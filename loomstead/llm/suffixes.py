@@ -3,14 +3,16 @@
 A 100-byte string is judged at its anchor: the place of the least hash of 8 bytes among its first 64 places. Equal
 strings have equal anchors, 37 bytes or more before their ends, so strings can only repeat where those 37 bytes do.
 1. Anchors are dealt by a hash of their 37 bytes, packed; those that two places share are kept.
-2. Each kept anchor gives its context: the bytes of all 100-byte strings that have it as anchor. Contexts are dealt and
-   sorted by the same hash, so all equal strings meet in a task. Of equal contexts all but the earliest repeat whole. A
-   context that is then alone under its hash holds no other repeat: its strings have the anchor at different distances.
+2. Each kept anchor gives its context: the bytes of all 100-byte strings that have it as anchor. Of equal contexts all but
+   the earliest repeat whole: a task sends on only those that no earlier one of its own equals, so that a passage which very
+   many texts share reaches the next task at most some times for each task. Contexts are dealt and sorted by the same
+   hash, so all equal strings meet in a task, and equal ones are settled there again. A context that is then alone under its
+   hash holds no other repeat: its strings have the anchor at different distances.
 3. In a task, the distinct contexts are cut into shards. Each shard's suffixes are sorted and give its Burrows-Wheeler
    transform. The transforms are merged without sorting suffixes anew: the interleave starts with shard after shard, and
    each round deals it by the symbols of the transforms in their current order (Holt and McMillan). After k rounds the
    interleave is right for prefixes of k bytes, and the block borders carried along part suffixes whose common prefix is
-   shorter. Blocks after 100 rounds are the repeated intervals; all but the earliest start of each are repeats.
+   shorter; they give the common prefixes up to 100 bytes, which is as far as they are needed. Blocks after 100 rounds are the repeated intervals; all but the earliest start of each are repeats.
 4. Repeated starts are gathered by text, and bytes they cover are removed.
 A text that an earlier document has whole isn't searched: all of it goes, if it has 100 bytes at all.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +40,10 @@ SURE = LENGTH - PLACES + 1
 #: Small enough for the arrays of a merge to stay in a core's cache.
 SHARD, CHUNK = 1 << 18, 1 << 20
 LAST = (1 << 63) - 1
-#: Texts with kept anchors, or with repeats, up to which their lists (some hundred bytes each) are broadcast.
-BROADCAST_DOCS = 200_000
+#: Bytes of lists of kept anchors, or of repeats, up to which they are broadcast after they were summed.
+BROADCAST_BYTES = 32 << 20
+#: Distinct contexts that a task remembers (some 200 bytes each), to settle equal ones before the shuffle.
+REMEMBERED = 500_000
 
 
 def anchors(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,25 +133,51 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, th, start, context) of each kept anchor."""
+    """(key, doc, th, start, context, whole): kept anchors, each with its context and whole null; those whose context the task
+    met before at an earlier place repeat whole, and come as packed runs (first, last) of their text, under a key of the
+    text's own. What the task remembers only saves rows: the next step settles what is left."""
+    first: dict[int, tuple[int, int, int]] = {}
     for b in batches:
-        docs, th, places = b.column("doc"), b.column("th"), b.column("places")
+        docs, ths, places = b.column("doc").to_numpy(), b.column("th").to_numpy(), b.column("places")
         for lo, hi, body, at in kn.slices(b.column("text")):
-            row, a, first, last, key = anchors(body, at)
+            row, a, begin, last, key = anchors(body, at)
             edge = np.searchsorted(row, np.arange(hi - lo + 1))
             keep = np.zeros(len(row), bool)
             for i in range(hi - lo):
                 wanted = np.frombuffer(b"".join(places[lo + i].as_py()), np.uint32).astype(np.int64) + at[i]
                 keep[edge[i] : edge[i + 1]] = np.isin(a[edge[i] : edge[i + 1]], wanted)
-            row, first, last, key = row[keep], first[keep], last[keep], key[keep]
-            for i in range(0, len(row), 20_000):
-                s = slice(i, i + 20_000)
-                raw = body.tobytes() if i == 0 else raw
-                took = pa.array(lo + row[s])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[s].view(np.int64)), docs.take(took), th.take(took), pa.array((first[s] - at[row[s]]).astype(np.int32)), pa.array([raw[x : y + LENGTH] for x, y in zip(first[s], last[s], strict=True)], pa.binary())],
-                    ["key", "doc", "th", "start", "context"],
-                )
+            row, begin, last, key = row[keep], begin[keep], last[keep], key[keep]
+            if not len(row):
+                continue
+            doc, th, start = docs[lo + row], ths[lo + row], (begin - at[row]).astype(np.int32)
+            known = kn.span_hashes(body, begin, last + LENGTH, lower=False) ^ kn.mix(key, 51)
+            order = np.lexsort((start, th, doc))
+            u, place = np.unique(known[order], return_index=True)
+            least = order[place]  # the earliest of each context in this slice
+            lead = np.zeros(len(row), bool)
+            if len(first) + len(u) > REMEMBERED:
+                first.clear()
+            for h, i, p in zip(u.tolist(), least.tolist(), zip(doc[least].tolist(), th[least].tolist(), start[least].tolist(), strict=True), strict=True):
+                if (old := first.get(h)) is None or p < old:
+                    first[h] = p
+                    lead[i] = True
+            rest = np.flatnonzero(~lead)
+            if len(rest):
+                rest = rest[np.argsort(row[rest], kind="stable")]
+                cut = np.flatnonzero(np.concatenate([[True], row[rest][1:] != row[rest][:-1]]))
+                runs = np.stack([start[rest], start[rest] + (last - begin)[rest].astype(np.int32)], 1).astype(np.int32)
+                packed = [runs[x:y].tobytes() for x, y in zip(cut, np.append(cut[1:], len(rest)), strict=True)]
+                own = th[rest[cut]]
+                yield _row(kn.mix(own.view(np.uint64), 52).view(np.int64), doc[rest[cut]], own, np.zeros(len(cut), np.int32), None, packed)
+            raw, new = body.tobytes(), np.flatnonzero(lead)
+            for i in range(0, len(new), 20_000):
+                s = new[i : i + 20_000]
+                yield _row(key[s].view(np.int64), doc[s], th[s], start[s], [raw[x : y + LENGTH] for x, y in zip(begin[s], last[s], strict=True)], None)
+
+
+def _row(key: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, context: list[bytes] | None, whole: list[bytes] | None) -> pa.RecordBatch:
+    lists = [pa.nulls(len(key), pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (context, whole)]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(th), pa.array(start), *lists], ["key", "doc", "th", "start", "context", "whole"])
 
 
 def prefixes(text: np.ndarray) -> np.ndarray:
@@ -159,53 +190,47 @@ def prefixes(text: np.ndarray) -> np.ndarray:
     return key
 
 
-def transform(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of a text read as a ring, its suffixes in order (of their first bytes, at least depth), and
-    their first 8 bytes in that order."""
+def transform(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of a text read as a ring, and its suffixes in order (of their first bytes, at least depth)."""
     n = len(text)
-    first = key = prefixes(text)
-    have = 8
+    key, have = prefixes(text), 8
     while True:
         order = np.argsort(key)
         s = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
         if have >= depth or int(rank.max(initial=0)) == n - 1:
-            return text[order - 1], order, first[order]
+            return text[order - 1], order
         key = (rank.astype(np.uint64) << np.uint64(32)) | np.roll(rank, -(have % n)).astype(np.uint64)
         have *= 2
 
 
 def merge(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, block) of all suffixes of some shards, in merged order: suffixes (places in the shards laid end to end) of
-    one block have their first depth bytes in common. The interleave starts right for 8 bytes (or none, if depth is less),
-    by merging the shards' sorted first bytes; then only the transforms' symbols are dealt, round after round."""
+    one block have their first depth bytes in common. The interleave starts with shard after shard and one block; each
+    round deals the shards' numbers by the transforms' symbols in the order so far."""
     sorted_ = [transform(s, depth) for s in shards]
     base = np.cumsum([0, *(len(s) for s in shards)])
-    symbols = np.concatenate([b for b, _, _ in sorted_])
-    suffixes = np.concatenate([order + base[i] for i, (_, order, _) in enumerate(sorted_)])
+    symbols = np.concatenate([b for b, _ in sorted_])
+    suffixes = np.concatenate([order + base[i] for i, (_, order) in enumerate(sorted_)])
     n, ids = len(symbols), range(len(shards))
     source = np.repeat(np.arange(len(shards), dtype=np.uint16 if len(shards) > 255 else np.uint8), np.diff(base))
-    block, done = np.zeros(n, np.int32), 0
-    if depth >= 8:
-        first = np.concatenate([f for _, _, f in sorted_])
-        order = np.argsort(first, kind="stable")
-        source, first, done = source[order], first[order], 8
-        block = np.cumsum(np.concatenate([[False], first[1:] != first[:-1]]), dtype=np.int32)
+    new = np.zeros(n, bool)  # where a block begins
     place = lambda: np.concatenate([np.flatnonzero(source == i) for i in ids])  # noqa: E731  where each shard's suffixes are
     by_shard = place()
-    for round_ in range(done, depth):
-        if round_ % 8 == 0 and block[-1] == n - 1:
+    for round_ in range(depth):
+        if round_ % 8 == 0 and np.count_nonzero(new) == n - 1:
             break
         current = np.empty(n, np.uint8)
         current[by_shard] = symbols
         order = np.argsort(current, kind="stable")
-        source, s, b = source[order], current[order], block[order]
-        block = np.cumsum(np.concatenate([[False], (s[1:] != s[:-1]) | (b[1:] != b[:-1])]), dtype=np.int32)
+        block = np.cumsum(new, dtype=np.int32)[order]
+        source, s = source[order], current[order]
+        new[1:] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
         by_shard = place()
     merged = np.empty(n, np.int64)
     merged[by_shard] = suffixes
-    return merged, block
+    return merged, np.cumsum(new, dtype=np.int32)
 
 
 def repeats(contexts: list[bytes]) -> list[np.ndarray]:
@@ -265,6 +290,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size = 0
     for b in batches:
+        whole = b.filter(pc.is_valid(b.column("whole")))
+        if whole.num_rows:
+            yield pa.RecordBatch.from_arrays([whole.column("th"), whole.column("whole")], ["th", "starts"])
+            b = b.filter(pc.is_null(b.column("whole")))
+            if not b.num_rows:
+                continue
         held.append(b)
         size += b.nbytes
         if size < CHUNK:
@@ -318,13 +349,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     shared = packed.repartition("bucket").mapInArrow(_shared, "th long, places binary").groupBy("th").agg(F.collect_list("places").alias("places"))
     wanted = shared.join(firsts.select("th", F.col("first").alias("doc")).hint("merge"), "th").withColumnsRenamed({"th": "t_", "doc": "d_"})
     wanted = written(wanted, "suffix-anchors")
-    found = sized_join(long_, wanted, (F.col("th") == F.col("t_")) & (F.col("doc") == F.col("d_")), "inner", limit=BROADCAST_DOCS)
-    found = found.select("doc", "th", "places", "text").mapInArrow(_contexts, "key long, doc long, th long, start int, context binary")
+    size = wanted.agg(F.sum(F.aggregate("places", F.lit(40), lambda s, x: s + F.octet_length(x)).cast("long"))).first()[0] or 0
+    found = sized_join(long_, wanted, (F.col("th") == F.col("t_")) & (F.col("doc") == F.col("d_")), "inner", rows=size, limit=BROADCAST_BYTES)
+    found = found.select("doc", "th", "places", "text").mapInArrow(_contexts, "key long, doc long, th long, start int, context binary, whole binary")
     found = found.repartition("key").sortWithinPartitions("key", "doc", "th", "start")
     runs = found.mapInArrow(_repeated, "th long, starts binary").groupBy(F.col("th").alias("r_")).agg(F.collect_list("starts").alias("runs"))
     copies = firsts.filter("first < last").select(F.col("th").alias("c_"), "first")
     marks = written(runs.join(copies.hint("merge"), F.col("r_") == F.col("c_"), "full_outer").select(F.coalesce("r_", "c_").alias("m_"), "runs", "first"), "suffix-runs")
-    rows = sized_join(rows, marks, F.col("th") == F.col("m_"), "left", limit=BROADCAST_DOCS)
+    size = marks.agg(F.sum(F.coalesce(F.aggregate("runs", F.lit(0), lambda s, x: s + F.octet_length(x)), F.lit(0)).cast("long") + 40)).first()[0] or 0
+    rows = sized_join(rows, marks, F.col("th") == F.col("m_"), "left", rows=size, limit=BROADCAST_BYTES)
     again = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
     rows = rows.select("doc_id", "text", again.alias("again"), "runs")
     return rows.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
