@@ -1,11 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-Inputs of a word are an embedding of the word and the sum of embeddings of its 4-byte pieces, both hashed; embeddings start
-at zero, so what training never met says nothing, and half of the word embeddings are left out in training, so pieces learn too. Texts are cut
-into windows of 64 words, each 16 words into the next, over the whole text; a text's score is that of its highest window.
-Training takes a bounded sample of labelled rows (POSITIVES and NEGATIVES, the first by hash of the id; of each text at most
-TRAIN_WINDOWS windows, evenly spread) on the driver; a minibatch takes each text's highest window, so a label of the whole
-text teaches the window that bears it.
+Inputs of a word are an embedding of the word and the sum of embeddings of its 4-byte pieces (with a mark before its first
+byte, so that beginnings differ from middles), both hashed. Texts are cut into windows of 64 words, each 16 words into the
+next, over the whole text; a text's score is that of its highest window.
+
+Training takes a bounded sample of labelled rows (POSITIVES and NEGATIVES, the first by hash of the id) on the driver, with
+all windows of their texts, in STEPS minibatches, however many rows there are. With few labels a network would learn its texts
+by heart, so embeddings start at what the sample vouches for: the first number of each is the evidence that a word or piece
+stands for label 1 (see _evidence), the others are 0, so what training never met says nothing. From there they move at the
+slow rate, and half of the word embeddings are left out at each step, so that pieces count too. A label is of a whole text, and
+a minibatch takes one window of each text: in the first third of the steps the one with the most evidence, so that the
+network sees the windows that bear the label before it can find them itself; after that the text's highest window.
 
 Defined results: null and empty texts have one window without words, so they get the score of the bias; rows with a null id
 are in the fold of the empty text and teach nothing; a label that is null teaches nothing; without labels of both kinds the
@@ -27,10 +32,12 @@ from loomstead.llm.common import in_fold
 
 WINDOW, STRIDE = 64, 48
 H, D = 8, 8
-WORD_ROWS, PIECE_ROWS = 1 << 14, 1 << 15
+WORD_ROWS, PIECE_ROWS = 1 << 17, 1 << 16
 #: The bounded sample of labelled rows that the network is fitted on.
-POSITIVES, NEGATIVES, TRAIN_WINDOWS = 1200, 2400, 24
-EPOCHS, BATCH, RATE = 8, 48, 0.01
+POSITIVES, NEGATIVES = 1200, 2400
+STEPS, BATCH, RATE, SLOW = 300, 48, 0.01, 0.001
+#: Standard deviations of the interval by which words and pieces are vouched for.
+SURE = 2.58
 CHUNK = 2048
 
 
@@ -175,23 +182,50 @@ class Network:
                 dh = np.where(m, live * (1 - z) + drh * r + dzr @ u[:, : 2 * H].T, dh)
             grad[f"u{way}"], grad[f"c{way}"], grad[f"x{way}"] = du, dpre.sum(0), x.T @ dpre
             dx += dpre @ self.p[f"x{way}"].T
-        grad["word"], grad["piece"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["piece"])
-        np.add.at(grad["word"], t.word[types], dx[:, :D] * shown)
-        np.add.at(grad["piece"], piece, dx[owner, D:])
-        adam.step(self.p, grad)
+        adam.step(self.p, grad, {"word": _by_row(t.word[types], dx[:, :D] * shown), "piece": _by_row(piece, dx[owner, D:])})
+
+
+def _by_row(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a table and the sum of what goes to each."""
+    rows, place = np.unique(at, return_inverse=True)
+    return rows, np.stack([np.bincount(place, d[:, k], len(rows)) for k in range(d.shape[1])], 1)
 
 
 class Adam:
-    def __init__(self, rate: float = RATE):
-        self.rate, self.n, self.m, self.v = rate, 0, {}, {}
+    def __init__(self, rate: float = RATE, slow: float = SLOW):
+        self.rate, self.slow, self.n, self.m, self.v = rate, slow, 0, {}, {}
 
-    def step(self, p: dict[str, np.ndarray], grad: dict[str, np.ndarray]) -> None:
+    def step(self, p: dict[str, np.ndarray], grad: dict[str, np.ndarray], tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        """grad: of whole parameters; tables: of some rows of the embeddings, which move at the slow rate."""
         self.n += 1
-        for k, g in grad.items():
-            g = g.astype(np.float32)
-            m = self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * g
-            v = self.v[k] = 0.99 * self.v.get(k, 0) + 0.01 * g * g
-            p[k] -= self.rate * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.99**self.n)) + 1e-6)
+        whole = {k: (slice(None), g, self.rate) for k, g in grad.items()}
+        for k, (at, g, rate) in (whole | {k: (rows, g, self.slow) for k, (rows, g) in tables.items()}).items():
+            if k not in self.m:
+                self.m[k], self.v[k] = np.zeros(p[k].shape, np.float32), np.zeros(p[k].shape, np.float32)
+            g = np.asarray(g, np.float32)
+            m, v = 0.9 * self.m[k][at] + 0.1 * g, 0.99 * self.v[k][at] + 0.01 * g * g
+            self.m[k][at], self.v[k][at] = m, v
+            p[k][at] -= rate * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.99**self.n)) + 1e-6)
+
+
+def _evidence(owner: np.ndarray, thing: np.ndarray, n_things: int, y: np.ndarray) -> np.ndarray:
+    """For each thing, the log-odds of label 1 among the texts that have it above those of all texts, as far as the counts
+    vouch for it: by the lower end of Wilson's interval, and never below 0, so what few texts have says little or nothing."""
+    pair = np.unique(owner.astype(np.int64) * n_things + thing)
+    owner, thing = pair // n_things, pair % n_things
+    n = np.maximum(1, np.bincount(thing, minlength=n_things)).astype(float)
+    k, z2 = np.bincount(thing, y[owner], n_things), SURE * SURE
+    low = (k + z2 / 2 - SURE * np.sqrt(k * (n - k) / n + z2 / 4)) / (n + z2)
+    low, share = np.clip(low, 1e-6, 1 - 1e-6), float(y.mean())
+    return np.maximum(0.0, np.log(low / (1 - low)) - np.log(share / (1 - share)))
+
+
+def evidence(t: Types, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of each distinct word, and of each piece, of labelled texts."""
+    count = (t.begin[1:] - t.begin[:-1])[t.tokens]
+    rows = np.repeat(t.rows, count)
+    at = np.repeat(t.begin[:-1][t.tokens] - (np.cumsum(count) - count), count) + np.arange(len(rows))
+    return _evidence(t.rows, t.tokens, len(t.word), y), _evidence(rows, t.piece[at], PIECE_ROWS, y)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 0) -> Network:
@@ -203,29 +237,41 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Network:
         return net
     t = Types(*kn.utf8(pa.array(texts, pa.string())))
     row, first, length = windows(t.rows, len(texts))
-    per = np.bincount(row, minlength=len(texts))
-    number = np.arange(len(row)) - (np.cumsum(per) - per)[row]
-    step = np.maximum(1.0, per / TRAIN_WINDOWS)[row]
-    use = np.floor(number / step) != np.floor((number - 1) / step)
-    row, first, length = row[use], first[use], length[use]
     begin = np.searchsorted(row, np.arange(len(texts) + 1))
     full = np.flatnonzero(np.diff(begin) > 0)
-    epochs = max(EPOCHS, min(40, 150 * BATCH // max(1, len(full))))
-    for _ in range(epochs):
-        order = rng.permutation(full)
-        for i in range(0, len(order), BATCH):
-            docs = order[i : i + BATCH]
-            w = np.concatenate([np.arange(begin[d], begin[d + 1]) for d in docs])
-            types, inverse = np.unique(np.concatenate([t.tokens[first[k] : first[k] + length[k]] for k in w]), return_inverse=True)
-            gates = net.gates(net.inputs(t, types)[0])
-            ends = np.cumsum(length[w])
-            at = (ends - length[w]) + np.minimum(np.arange(int(length[w].max()))[:, None], length[w] - 1)
-            logit = net.pool(net.run(gates, inverse[at], length[w])[0], length[w])[2]
-            best = [w[j:k][np.argmax(logit[j:k])] for j, k in zip(np.cumsum([0, *np.diff(begin)[docs]])[:-1], np.cumsum(np.diff(begin)[docs]), strict=True)]
-            net.learn(t, first[best], length[best], y[docs], np.where(y[docs] > 0, 1.5, 1.0).astype(np.float32), adam, rng)
+    if not len(full):
+        return net
+    words, pieces = evidence(t, y)
+    np.maximum.at(net.p["word"][:, 0], t.word, words.astype(np.float32))
+    net.p["piece"][:, 0] = pieces
+    owner, piece = t.pieces(np.arange(len(t.word)))
+    sign = (words + np.bincount(owner, pieces[piece], len(t.word)))[t.tokens]
+    sign = np.array([sign[f : f + n].max() for f, n in zip(first.tolist(), length.tolist(), strict=True)])
+    order = np.zeros(0, np.int64)
+    for step in range(STEPS):
+        if len(order) < min(BATCH, len(full)):
+            order = np.concatenate([order, rng.permutation(full)])
+        docs, order = order[:BATCH], order[BATCH:]
+        w = np.concatenate([np.arange(begin[d], begin[d + 1]) for d in docs])
+        value = sign[w] if step < STEPS // 3 else _highest(net, t, first[w], length[w])
+        ends = np.cumsum(np.diff(begin)[docs])
+        best = np.array([w[j:k][np.argmax(value[j:k])] for j, k in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)])
+        net.learn(t, first[best], length[best], y[docs], np.where(y[docs] > 0, 1.5, 1.0).astype(np.float32), adam, rng)
     return net
 
 
+def _highest(net: Network, t: Types, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Logits of some windows, by the words that they have."""
+    types, inverse = np.unique(np.concatenate([t.tokens[f : f + n] for f, n in zip(first.tolist(), length.tolist(), strict=True)]), return_inverse=True)
+    gates, out = net.gates(net.inputs(t, types)[0]), np.zeros(len(first), np.float32)
+    start = np.cumsum(length) - length
+    for i in range(0, len(first), CHUNK):
+        s = slice(i, i + CHUNK)
+        at = start[s] + np.minimum(np.arange(int(length[s].max()))[:, None], length[s] - 1)
+        out[s] = net.pool(net.run(gates, inverse[at], length[s])[0], length[s])[2]
+    return out
+
+
 def _score(net):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = net.value
