@@ -5,14 +5,121 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Kinds of relation, and other words for them.
+#: The kinds of relation.
 RELATIONS = (
-    "is_part_of", "depends_on", "references", "related_to", "replaces", "implements", "uses", "owns", "produces", "requires", "governs", "precedes", "contradicts", "supports", "defines",
-)
+    "governs",
+    "depends_on",
+    "is_part_of",
+    "is_a",
+    "manages",
+    "uses",
+    "defines",
+    "implements",
+    "complies_with",
+    "references",
+    "supports",
+    "includes",
+    "constrains",
+    "enforces",
+    "enables",
+)
+#: Other words for them.
 SYNONYMS = {
-    "part_of": "is_part_of", "belongs_to": "is_part_of", "needs": "requires", "relies_on": "depends_on", "refers_to": "references", "mentions": "references", "relates_to": "related_to",
-    "supersedes": "replaces", "utilizes": "uses", "creates": "produces", "regulates": "governs", "comes_before": "precedes", "conflicts_with": "contradicts",
-}
+    "governed_by": "governs",
+    "is_governed_by": "governs",
+    "governs_usage_of": "governs",
+    "governs_stages_of": "governs",
+    "governs_safety_of": "governs",
+    "governs_process_of": "governs",
+    "governs_new_instances_of": "governs",
+    "governs_conditions_of": "governs",
+    "oversees": "governs",
+    "regulated_by": "governs",
+    "is_regulated_by": "governs",
+    "enforced_by": "enforces",
+    "is_enforced_by": "enforces",
+    "enforces_training_for": "enforces",
+    "enforces_protection_of": "enforces",
+    "must_comply_with": "complies_with",
+    "must_adhere_to": "complies_with",
+    "upheld_by": "complies_with",
+    "sub_process_of": "is_part_of",
+    "is_subset_of": "is_part_of",
+    "is_a_subset_of": "is_part_of",
+    "is_subject_to": "is_part_of",
+    "specializes": "is_a",
+    "extends": "is_a",
+    "includes_variant": "includes",
+    "includes_references_to": "includes",
+    "populates": "includes",
+    "integrates_with": "includes",
+    "requires": "depends_on",
+    "requires_approval_by": "depends_on",
+    "requires_assignment_of": "depends_on",
+    "requires_documentation": "depends_on",
+    "requires_documentation_from": "depends_on",
+    "requires_format": "depends_on",
+    "depends_on_approval_from": "depends_on",
+    "is_required_by": "depends_on",
+    "is_mandatory_in": "depends_on",
+    "must_use": "uses",
+    "utilizes": "uses",
+    "uses_data_from": "uses",
+    "uses_for_monitoring": "uses",
+    "operates_and_secures": "manages",
+    "owns_and_manages": "manages",
+    "manages_operations_of": "manages",
+    "managed_by": "manages",
+    "coordinates": "manages",
+    "coordinates_with": "manages",
+    "responsible_for": "manages",
+    "creates_and_maintains": "manages",
+    "initiates": "manages",
+    "executes": "implements",
+    "applies_to": "implements",
+    "implements_for": "implements",
+    "defines_rules_for": "defines",
+    "defines_principles_for": "defines",
+    "defines_requirements_for": "defines",
+    "defines_structure_of": "defines",
+    "defines_parameters_for": "defines",
+    "defines_accountability_for": "defines",
+    "defines_legal_status_of": "defines",
+    "defines_approval_framework_for": "defines",
+    "defines_risk_level_of": "defines",
+    "defines_level_S": "defines",
+    "defined_in": "defines",
+    "is_the_basis_for": "defines",
+    "classifies": "defines",
+    "augments": "supports",
+    "complements": "supports",
+    "funds": "supports",
+    "enables_resource_acquisition_for": "enables",
+    "enables_usage_of": "enables",
+    "is_tracked_via": "enables",
+    "secures": "constrains",
+    "threatens": "constrains",
+    "limits_hardware_for": "constrains",
+    "restricts_scope_of": "constrains",
+    "determines_thresholds_for": "constrains",
+    "references_topic": "references",
+    "follows_rules_of": "references",
+    "follows_process_of": "references",
+    "methodologically_directs": "references",
+    "transfers_deliverables_to": "references",
+    "hands_over_to": "references",
+    "precedes": "references",
+    "triggers": "references",
+    "must_be_recorded_in": "references",
+    "is_applied_at_level_D": "references",
+    "provides_standards_for": "defines",
+    "provides_deviation_pathway_for": "enables",
+    "verifies": "complies_with",
+    "verifies_compliance_with": "complies_with",
+    "validates": "complies_with",
+    "authorizes": "enables",
+    "approves": "enables",
+}
 
 
 def ranking(values: Column, n: Column) -> Column:
@@ -51,11 +158,10 @@ def distinct_by_label(values: Column, name: str) -> Column:
 
 
 def relation(value: Column) -> Column:
-    """One of the known relations; else null."""
-    key = F.regexp_replace(F.lower(F.trim(value)), r"[\s-]+", "_")
+    """One of the known relations, or that which the word stands for; else null. Spaces count as underscores."""
+    key = F.regexp_replace(F.trim(F.lower(value)), r"\s+", "_")
     same = F.element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), key)
-    known = F.coalesce(same, key)
-    return F.when(known.isin(*RELATIONS), known)
+    return F.when(key.isin(*RELATIONS), key).otherwise(same)
 
 
 def json_or(text: Column, schema: str, fallback: Column) -> Column:

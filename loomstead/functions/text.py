@@ -2,37 +2,71 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks, and the plain letters they fold to, in the same order; then those that fold to two.
-MARKED = "áàâäãåāăąçćčĉċďđéèêëēėęěíìîïīįłľĺñńňóòôöõōőøŕřśšşșťțţúùûüūůűųýÿžźżÁÀÂÄÃÅĀĂĄÇĆČĎĐÉÈÊËĒĖĘĚÍÌÎÏĪĮŁĽĹÑŃŇÓÒÔÖÕŌŐØŔŘŚŠŞȘŤȚŢÚÙÛÜŪŮŰŲÝŸŽŹŻ"
-PLAIN = "aaaaaaaaacccccddeeeeeeeeiiiiiilllnnnoooooooorrsssstttuuuuuuuuyyzzzAAAAAAAAACCCDDEEEEEEEEIIIIIILLLNNNOOOOOOOORRSSSSTTTUUUUUUUUYYZZZ"
-DOUBLE = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("Æ", "AE"), ("Œ", "OE"), ("Þ", "TH"))
-#: Words that a topic name may end with and its key leaves out; labels that don't follow the rule.
-SUFFIXES = ("process", "system", "policy", "procedure", "guideline", "guidelines", "standard", "standards", "framework", "management", "overview", "documentation")
+#: Letters that do not decompose, and what they fold to.
+PLAIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ħ": "h", "ı": "i"}
+#: Words that a topic name may end with and its display name leaves out; labels that don't follow the rule.
+SUFFIXES = ("Methodology", "Methodologies", "Process", "Processes", "Guideline", "Guidelines", "Policy", "Policies", "Standard", "Standards", "Framework", "Frameworks")
 LABELS = {"missionCritical": "Mission critical", "endOfLife": "End of life", "phaseIn": "Phase in", "phaseOut": "Phase out"}
+MARKS = (0x0300, 0x036F)
+
+
+def _letters() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters and what is left of them without marks: of one letter, and of more. By canonical decomposition of all
+    characters of the first plane (syllable blocks, which bear no such marks, stay), and by PLAIN in both cases."""
+    own = {}
+    for letter, plain in PLAIN.items():
+        own[letter] = plain
+        if len(letter.upper()) == 1 and letter != "ı":
+            own[letter.upper()] = plain.capitalize()
+    own["ẞ"] = PLAIN["ß"].capitalize()
+    one, more = {}, {}
+    for code in [*range(0x80, 0xAC00), *range(0xF900, 0xFFFE)]:
+        letter = chr(code)
+        rest = "".join(own.get(c, c) for c in unicodedata.normalize("NFD", letter) if not MARKS[0] <= ord(c) <= MARKS[1])
+        if rest and rest != letter and max(rest) <= "\uffff":
+            (one if len(rest) == 1 else more)[letter] = rest
+    return one, more
+
+
+SINGLE, SEVERAL = _letters()
 
 
 def fold(text: Column) -> Column:
-    """Letters without marks; case stays. Combining marks (U+0300 to U+036F) are dropped."""
-    out = F.translate(F.regexp_replace(text, "[̀-ͯ]", ""), MARKED, PLAIN)
-    for letter, plain in DOUBLE:
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    return out
+    """Letters without marks; case stays. Combining marks (U+0300 to U+036F) are dropped. Letters that fold to several are
+    looked for first, as most texts have none."""
+    bare = F.regexp_replace(text, "[\u0300-\u036f]", "")
+    out = F.translate(bare, "".join(SINGLE), "".join(SINGLE.values()))
+    full = out
+    for letter, plain in SEVERAL.items():
+        if plain.isascii():
+            full = F.replace(full, F.lit(letter), F.lit(plain))
+    rest = {k: v for k, v in SEVERAL.items() if not v.isascii()}
+    known = F.create_map(*[F.lit(x) for kv in rest.items() for x in kv])
+    each = F.array_join(F.transform(F.split(full, ""), lambda c: F.coalesce(F.element_at(known, c), c)), "")
+    full = F.when(text.rlike("[" + "".join(rest) + "]"), each).otherwise(full)
+    return F.when(text.rlike("[" + "".join(SEVERAL) + "]"), full).otherwise(out)
 
 
 def topic_name(name: Column) -> Column:
-    """Dashes, underscores and spaces become one space; one of the closing words of SUFFIXES goes, unless it is all there is."""
-    plain = F.trim(F.regexp_replace(name, r"[-_\s‐-―]+", " "))
-    return F.regexp_replace(plain, r"(?i)^(.+?) (" + "|".join(SUFFIXES) + ")$", "$1")
+    """Dashes are one dash, underscores and spaces one space; one of the closing words of SUFFIXES goes, unless it is all there is."""
+    dashed = F.translate(F.regexp_replace(name, "[\u2010-\u2015]", "-"), "_", " ")
+    plain = F.trim(F.regexp_replace(dashed, r"(?U)\s+", " "))
+    bare = F.regexp_replace(plain, r"(?i)\s+(" + "|".join(SUFFIXES) + ")$", "")
+    return F.when(bare == "", F.trim(name)).otherwise(bare)
 
 
 def topic_key(name: Column) -> Column:
-    """The display name without parentheses, folded, lower-cased, letters and digits only; else the name lower-cased."""
-    bare = F.regexp_replace(topic_name(name), r"\([^)]*\)", " ")
-    key = F.regexp_replace(F.lower(fold(bare)), r"[^a-z0-9]", "")
-    return F.when(key != "", key).otherwise(F.lower(F.trim(name)))
+    """The display name lower-cased, without parentheses, folded, letters, digits and single spaces only; if nothing is left,
+    the display name lower-cased. Dashes part words as spaces do."""
+    low = F.lower(topic_name(name))
+    spaced = F.regexp_replace(fold(F.regexp_replace(low, r"\([^)]*\)", " ")), r"(?U)[-\s]+", " ")
+    key = F.trim(F.regexp_replace(F.regexp_replace(spaced, "[^a-z0-9 ]", ""), " +", " "))
+    return F.when(key != "", key).otherwise(low)
 
 
 def words_key(text: Column) -> Column:

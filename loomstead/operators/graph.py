@@ -8,8 +8,25 @@ from pyspark.sql import functions as F
 
 from loomstead.storage import kept, sized_join
 
-#: Weight of an edge by its kind.
-WEIGHTS = {"is_part_of": 3.0, "depends_on": 2.0, "references": 1.0}
+#: Weight of an edge by its kind, and of any other.
+WEIGHTS = {
+    "is_part_of": 1.0,
+    "is_a": 1.0,
+    "governs": 0.8,
+    "enforces": 0.8,
+    "constrains": 0.8,
+    "depends_on": 0.7,
+    "manages": 0.7,
+    "defines": 0.7,
+    "implements": 0.7,
+    "complies_with": 0.6,
+    "includes": 0.6,
+    "supports": 0.5,
+    "enables": 0.5,
+    "uses": 0.4,
+    "references": 0.3,
+}
+OTHER_WEIGHT = 0.3
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -64,9 +81,9 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def weighted(edges: DataFrame, rel: str) -> DataFrame:
     """(a, b, weight), both ways: weights of parallel edges added."""
-    w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col(rel)), F.lit(1.0))
+    w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col(rel)), F.lit(OTHER_WEIGHT))
     one = edges.filter("a <> b").select("a", "b", w.alias("weight"))
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
 def reach(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

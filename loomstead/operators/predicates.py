@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.text import fold, topic_key
 
-#: Words that open a question, in English and Czech.
+#: Words that mark a question of what is allowed or due, in English and Czech.
 QUESTION_WORDS = (
-    "what", "when", "where", "which", "who", "whom", "whose", "why", "how", "is", "are", "does", "do", "did", "can", "could", "should", "would", "will",
-    "co", "kdo", "kde", "kdy", "jak", "jaký", "jaká", "jaké", "který", "která", "které", "proč", "kolik", "kam", "odkud", "čí",
+    "does", "can", "is", "should", "will", "could", "would", "may", "might", "must",
+    "musí", "může", "lze", "smí", "má", "mají", "je", "jsou",
+    "kdo", "kdy", "jak", "jaká", "jaké", "jaký", "který", "která", "které",
+    "nutné", "povinné", "zakázáno", "povoleno",
 )
 ROLES_ALL = ("admin",)
 OPEN_STATUSES = ("active", "all")
@@ -48,8 +50,8 @@ def visible_status(column: Column, wanted: str, role: str) -> Column:
 
 
 def is_question(text: Column) -> Column:
-    """A question mark at the end, or a question word anywhere as a whole word."""
-    return F.coalesce(text.rlike(r"\?\s*$") | text.rlike(r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(QUESTION_WORDS) + r")(?![\p{L}\p{N}])"), F.lit(False))
+    """One of QUESTION_WORDS as a whole word, in any case."""
+    return F.coalesce(text.rlike(r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(QUESTION_WORDS) + r")(?![\p{L}\p{N}])"), F.lit(False))
 
 
 def table_search(term: str, kind: str | None, columns: list[str], kind_column: str) -> Column:

@@ -210,10 +210,10 @@ def w05(t):
     return r.running_half(t.part.groupBy("p_brand").agg(F.count("*").alias("n")), [], "n", "p_brand")
 
 
-@query("W06_neighbour_text", "SELECT conv_id, turn, right(coalesce(lag(text) OVER w, ''), 80) AS before, left(coalesce(lead(text) OVER w, ''), 80) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("W06_neighbour_text", "SELECT conv_id, turn, right(coalesce(lag(text) OVER w, ''), 800) AS before, left(coalesce(lead(text) OVER w, ''), 800) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def w06(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.right(F.coalesce(F.lag("text").over(w), F.lit("")), F.lit(80)).alias("before"), F.left(F.coalesce(F.lead("text").over(w), F.lit("")), F.lit(80)).alias("after"))
+    return t.conversations.select("conv_id", "turn", F.right(F.coalesce(F.lag("text").over(w), F.lit("")), F.lit(800)).alias("before"), F.left(F.coalesce(F.lead("text").over(w), F.lit("")), F.lit(800)).alias("after"))
 
 
 @query("W07_keep_first_key", "SELECT id, CASE WHEN r = 1 THEN name END AS name, r > 1 AS collides FROM (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM topics)")

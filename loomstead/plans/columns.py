@@ -17,7 +17,7 @@ def f01(t):
     return t.part.filter(p.contains(F.col("p_name"), "RING")).select("p_partkey", "p_name")
 
 
-@query("F02_folded_search", "SELECT id, name FROM topics WHERE contains(lower(name), 'red bolt') OR contains(lower(description), 'red bolt') OR contains(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), 'redbolt')")
+@query("F02_folded_search", "SELECT id, name FROM topics WHERE contains(lower(name), 'red bolt') OR contains(lower(description), 'red bolt') OR contains(trim(regexp_replace(regexp_replace(lower(name), '[-\\s]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')), 'red bolt')")
 def f02(t):
     return t.topics.filter(p.folded_search(F.col("name"), F.col("description"), "Red Bolt")).select("id", "name")
 
@@ -51,27 +51,29 @@ def f07(t):
     return t.assets.filter(p.table_search("SMALL", "Product", ["name", "category", "lifecycle"], "fs_type")).select("id", "name")
 
 
-@query("F08_questions", "SELECT conv_id, turn, regexp_matches(text, '\\?\\s*$') OR regexp_matches(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), '(^| )(" + "|".join(p.QUESTION_WORDS) + ")( |$)') AS question FROM conversations")
+@query("F08_questions", "SELECT conv_id, turn, regexp_matches(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), '(^| )(" + "|".join(p.QUESTION_WORDS) + ")( |$)') AS question FROM conversations")
 def f08(t):
     return t.conversations.select("conv_id", "turn", p.is_question(F.col("text")).alias("question"))
 
 
-@query("F09_drop_malformed", "SELECT e.source_id, e.target_id, e.rel FROM topic_edges e JOIN topics t ON t.id = e.target_id - 1000000 WHERE e.source_id <> e.target_id AND e.rel <> 'references' AND t.name <> ''")
+@query("F09_drop_malformed", "SELECT e.source_id, e.target_id, e.rel FROM topic_edges e JOIN topics t ON t.id = e.target_id - 1000000 WHERE e.source_id <> e.target_id AND e.rel <> 'is_part_of' AND t.name <> ''")
 def f09(t):
-    edges = t.topic_edges.withColumn("rel", F.when(F.col("rel") != "references", repair.relation(F.col("rel"))))
+    edges = t.topic_edges.withColumn("rel", repair.relation(F.when(F.col("rel") == "depends_on", "Requires  Approval by").when(F.col("rel") == "is_part_of", "replaces").otherwise(F.col("rel"))))
     known = t.topics.filter("name <> ''").select((F.col("id") + 1000000).alias("target_id"))
     return edges.filter("source_id <> target_id AND rel IS NOT NULL").join(known, "target_id", "left_semi").select("source_id", "target_id", "rel")
 
 
-@query("X01_fold", "SELECT doc_id, replace(replace(strip_accents(text), 'ß', 'ss'), 'æ', 'ae') AS folded FROM documents WHERE lang IN ('de', 'fr', 'es')")
+@query("X01_fold", "SELECT doc_id, replace(replace(replace(translate(strip_accents(text), 'øđðłħı', 'oddlhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS folded FROM documents WHERE lang IN ('de', 'fr', 'es')")
 def x01(t):
     return t.documents.filter(F.col("lang").isin("de", "fr", "es")).select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
-@query("X02_topic_key", "SELECT id, trim(regexp_replace(name || ' Policy', '[-_\\s]+', ' ', 'g')) AS raw, regexp_replace(name, '[-_\\s]+', ' ', 'g') AS display, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS topic_key FROM topics")
+@query("X02_topic_key", "SELECT id, name || '-Standard Deviation' AS display, trim(regexp_replace(lower(replace(name, '_', ' ')), '[^a-z0-9]+', ' ', 'g')) || ' standard deviation' AS topic_key FROM topics")
 def x02(t):
-    raw = F.concat(F.col("name"), F.lit("_-Policy"))
-    return t.topics.select("id", F.trim(F.regexp_replace(raw, r"[-_\s]+", " ")).alias("raw"), text.topic_name(raw).alias("display"), text.topic_key(F.concat("name", F.lit(" (old) policy"))).alias("topic_key"))
+    """Underscores, runs of spaces, dashes, parentheses and a closing word, around names of which only the spaces differ."""
+    said = F.concat(F.lit("  "), F.col("name"), F.lit("\u2013Standard__Deviation \t Guidelines "))
+    held = F.concat(F.col("name"), F.lit(" (old) Stand\u00e1rd-Deviation PROCESS"))
+    return t.topics.select("id", text.topic_name(said).alias("display"), text.topic_key(held).alias("topic_key"))
 
 
 @query("X03_duplicate_key", "SELECT doc_id, trim(regexp_replace(lower(replace(strip_accents(text), 'ß', 'ss')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS words_key FROM documents")
@@ -230,7 +232,7 @@ def x26(t):
     return t.events.select("event_id", a["identified"].alias("identified"), a["verdict"].alias("verdict"), F.round(a["confidence"], 6).alias("confidence"), F.size(a["strengths"]).alias("n_strengths"))
 
 
-@query("X27_relations", "SELECT rel, count(*) AS n FROM (SELECT CASE rel WHEN 'is_part_of' THEN 'is_part_of' WHEN 'depends_on' THEN 'depends_on' END AS rel FROM topic_edges) GROUP BY rel")
+@query("X27_relations", "SELECT rel, count(*) AS n FROM (SELECT CASE rel WHEN 'is_part_of' THEN 'is_a' WHEN 'depends_on' THEN 'manages' END AS rel FROM topic_edges) GROUP BY rel")
 def x27(t):
-    said = F.when(F.col("rel") == "is_part_of", "Belongs To").when(F.col("rel") == "depends_on", "relies-on").otherwise("odd word")
+    said = F.when(F.col("rel") == "is_part_of", " Is A").when(F.col("rel") == "depends_on", "responsible FOR").otherwise("replaces")
     return t.topic_edges.groupBy(repair.relation(said).alias("rel")).agg(F.count("*").alias("n"))

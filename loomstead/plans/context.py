@@ -29,10 +29,10 @@ def r07(t):
     return r.community_hits(reports(t), members, 0.05, 2).select("qid", "id")
 
 
-INPUTS["starts"] = "SELECT DISTINCT l_suppkey AS id, l_suppkey % 3 AS qid FROM lineitem WHERE l_suppkey < 9"
+INPUTS["starts"] = "SELECT node AS id, CAST(floor(node / 50) AS BIGINT) % 7 AS qid FROM graph_nodes WHERE node % 50 = 0"
 
 
-@query("R08_one_hop", """WITH e AS (SELECT a, b, sum(CASE rel WHEN 'is_part_of' THEN 3.0 WHEN 'depends_on' THEN 2.0 ELSE 1.0 END) AS weight FROM (SELECT source_id AS a, target_id AS b, rel FROM topic_edges UNION ALL SELECT target_id, source_id, rel FROM topic_edges) GROUP BY 1, 2),
+@query("R08_one_hop", """WITH e AS (SELECT a, b, round(sum(CAST(CASE rel WHEN 'is_part_of' THEN 1.0 WHEN 'depends_on' THEN 0.7 ELSE 0.3 END AS DOUBLE)), 6) AS weight FROM (SELECT source_id AS a, target_id AS b, rel FROM topic_edges UNION ALL SELECT target_id, source_id, rel FROM topic_edges) GROUP BY 1, 2),
 n AS (SELECT qid, b AS id, max(weight) AS weight FROM starts JOIN e ON a = id GROUP BY 1, 2), x AS (SELECT n.*, row_number() OVER (PARTITION BY n.qid ORDER BY weight DESC, n.id) AS p FROM n ANTI JOIN starts s ON s.qid = n.qid AND s.id = n.id)
 SELECT qid, id, 0.9 AS score FROM starts UNION ALL SELECT x.qid, x.id, 0.5 FROM x JOIN (SELECT qid, count(*) AS have FROM starts GROUP BY 1) h ON h.qid = x.qid WHERE p <= have""")
 def r08(t):

@@ -103,7 +103,7 @@ def c16(t):
     return t.documents.select("doc_id", "source").join(repos, "source", "left").orderBy(F.desc("doc_id")).limit(100).select("doc_id", "source", "repo")
 
 
-@query("K01_merge_topics", "SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key, min(id) AS id, arg_min(name, id) AS name, arg_max(description, length(description) * 1000000000 - id) AS description, arg_min(category, id) FILTER (WHERE category IS NOT NULL) AS category FROM topics GROUP BY 1")
+@query("K01_merge_topics", "SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, min(id) AS id, arg_min(name, id) AS name, arg_max(description, length(description) * 1000000000 - id) AS description, arg_min(category, id) FILTER (WHERE category IS NOT NULL) AS category FROM topics GROUP BY 1")
 def k01(t):
     return k.merge_topics(t.topics.select("id", "name", "description", "category"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import members_hash
@@ -36,7 +37,7 @@ def g02(t):
     return g.components(t.graph_nodes, pairs(t))
 
 
-@query("G03_weighted", "SELECT a, b, sum(CASE rel WHEN 'is_part_of' THEN 3.0 WHEN 'depends_on' THEN 2.0 ELSE 1.0 END) AS weight FROM (SELECT a, b, rel FROM graph_edges UNION ALL SELECT b, a, rel FROM graph_edges) GROUP BY 1, 2")
+@query("G03_weighted", "SELECT a, b, round(sum(CAST(CASE rel WHEN 'is_part_of' THEN 1.0 WHEN 'depends_on' THEN 0.7 ELSE 0.3 END AS DOUBLE)), 6) AS weight FROM (SELECT a, b, rel FROM graph_edges UNION ALL SELECT b, a, rel FROM graph_edges) GROUP BY 1, 2")
 def g03(t):
     return g.weighted(t.graph_edges, "rel")
 
@@ -48,23 +49,28 @@ def g04(t):
 
 
 TWO_WAY = "(SELECT a, b FROM graph_pairs UNION ALL SELECT b, a FROM graph_pairs)"
-WALK = f"SELECT start, node, min(depth) AS depth FROM (SELECT node AS start, node, 0 AS depth FROM graph_nodes WHERE node < 3 UNION ALL SELECT e.a, e.b, 1 FROM {TWO_WAY} e WHERE e.a < 3 UNION ALL SELECT e.a, f.b, 2 FROM {TWO_WAY} e JOIN {TWO_WAY} f ON f.a = e.b WHERE e.a < 3) GROUP BY 1, 2"
+WALK = f"SELECT start, node, min(depth) AS depth FROM (SELECT node AS start, node, 0 AS depth FROM graph_nodes WHERE node % 50 = 0 UNION ALL SELECT e.a, e.b, 1 FROM {TWO_WAY} e WHERE e.a % 50 = 0 UNION ALL SELECT e.a, f.b, 2 FROM {TWO_WAY} e JOIN {TWO_WAY} f ON f.a = e.b WHERE e.a % 50 = 0) GROUP BY 1, 2"
 
 
 @query("G05_bounded_search", WALK)
 def g05(t):
-    return g.reach(t.graph_nodes.filter("node < 3"), two_way(t), 2).select("start", "node", "depth")
+    return g.reach(t.graph_nodes.filter("node % 50 = 0"), two_way(t), 2).select("start", "node", "depth")
 
 
 @query("G06_ego", f"SELECT start, node, depth FROM (SELECT w.*, row_number() OVER (PARTITION BY start ORDER BY w.depth, d.degree DESC NULLS LAST, w.node) AS r FROM ({WALK}) w LEFT JOIN (SELECT a AS node, count(*) AS degree FROM {TWO_WAY} GROUP BY 1) d ON d.node = w.node WHERE depth > 0) WHERE r <= 15")
 def g06(t):
-    return g.ego(t.graph_nodes.filter("node < 3"), two_way(t), degrees(pairs(t), "a", "b"), 2, 15)
+    return g.ego(t.graph_nodes.filter("node % 50 = 0"), two_way(t), degrees(pairs(t), "a", "b"), 2, 15)
 
 
-@query("G07_overview", f"SELECT a, b FROM graph_pairs WHERE a IN (SELECT node FROM (SELECT a AS node, count(*) AS n FROM {TWO_WAY} GROUP BY 1 ORDER BY n DESC, node LIMIT 25)) AND b IN (SELECT node FROM (SELECT a AS node, count(*) AS n FROM {TWO_WAY} GROUP BY 1 ORDER BY n DESC, node LIMIT 25))")
+TOP = f"(SELECT node FROM (SELECT node, row_number() OVER (PARTITION BY node < 1000000 ORDER BY n DESC, node) AS r FROM (SELECT a AS node, count(*) AS n FROM {TWO_WAY} GROUP BY 1)) WHERE r <= 25)"
+
+
+@query("G07_overview", f"SELECT a, b FROM graph_pairs WHERE a IN {TOP} AND b IN {TOP}")
 def g07(t):
-    top = degrees(pairs(t), "a", "b").orderBy(F.desc("degree"), "node").limit(25).select("node")
-    return pairs(t).join(top.withColumnRenamed("node", "a"), "a", "left_semi").join(top.withColumnRenamed("node", "b"), "b", "left_semi")
+    """The 25 best connected nodes of each kind, and the edges among them."""
+    w = Window.partitionBy(F.col("node") < 1000000).orderBy(F.desc("degree"), "node")
+    top = degrees(pairs(t), "a", "b").withColumn("r", F.row_number().over(w)).filter("r <= 25").select("node")
+    return pairs(t).join(top.withColumnRenamed("node", "a"), "a", "left_semi").join(top.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
 
 
 @query("G08_communities")

@@ -67,10 +67,10 @@ def s06(t):
     return s.expire(t.assets.select("id", "end_date"), "end_date", F.expr(NOW)).select("id", "expired")
 
 
-@query("D01_fold_in_sql", "SELECT doc_id, replace(replace(strip_accents(left(text, 300)), 'ß', 'ss'), 'æ', 'ae') AS folded FROM documents")
+@query("D01_fold_in_sql", "SELECT doc_id, replace(replace(replace(translate(strip_accents(text), 'øđðłħı', 'oddlhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS folded FROM documents")
 def d01(t):
     s.register(t.spark)
-    return t.spark.sql("SELECT doc_id, fold(left(text, 300)) AS folded FROM {documents}", documents=t.documents)
+    return t.spark.sql("SELECT doc_id, fold(text) AS folded FROM {documents}", documents=t.documents)
 
 
 @query("D03_chunks_in_sql")

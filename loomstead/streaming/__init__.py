@@ -128,9 +128,11 @@ def register(spark: SparkSession) -> None:
 
 
 def _fold_function() -> str:
-    from loomstead.functions.text import DOUBLE, MARKED, PLAIN
+    """The SQL of functions.text.fold, for letters that fold to ASCII (others are left to the column function)."""
+    from loomstead.functions.text import SEVERAL, SINGLE
 
-    body = f"translate(regexp_replace(t, '[\\\\u0300-\\\\u036f]', ''), '{MARKED}', '{PLAIN}')"
-    for letter, plain in DOUBLE:
-        body = f"replace({body}, '{letter}', '{plain}')"
+    body = f"translate(regexp_replace(t, '[\\\\u0300-\\\\u036f]', ''), '{''.join(SINGLE)}', '{''.join(SINGLE.values())}')"
+    for letter, plain in SEVERAL.items():
+        if plain.isascii():
+            body = f"replace({body}, '{letter}', '{plain}')"
     return f"CREATE OR REPLACE TEMPORARY FUNCTION fold(t STRING) RETURNS STRING RETURN {body}"
