@@ -33,15 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm import kernels as kn
-from loomstead.llm.common import sized_join, written
+from loomstead.llm.common import written
 
 LENGTH, GRAM, PLACES = 100, 8, 64
 SURE = LENGTH - PLACES + 1
 #: Small enough for the arrays of a merge to stay in a core's cache.
 SHARD, CHUNK = 1 << 18, 1 << 20
 LAST = (1 << 63) - 1
-#: Bytes of lists of kept anchors, or of repeats, up to which they are broadcast after they were summed.
-BROADCAST_BYTES = 32 << 20
 #: Distinct contexts that a task remembers (some 200 bytes each), to settle equal ones before the shuffle.
 REMEMBERED = 500_000
 
@@ -349,15 +347,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     shared = packed.repartition("bucket").mapInArrow(_shared, "th long, places binary").groupBy("th").agg(F.collect_list("places").alias("places"))
     wanted = shared.join(firsts.select("th", F.col("first").alias("doc")).hint("merge"), "th").withColumnsRenamed({"th": "t_", "doc": "d_"})
     wanted = written(wanted, "suffix-anchors")
-    size = wanted.agg(F.sum(F.aggregate("places", F.lit(40), lambda s, x: s + F.octet_length(x)).cast("long"))).first()[0] or 0
-    found = sized_join(long_, wanted, (F.col("th") == F.col("t_")) & (F.col("doc") == F.col("d_")), "inner", rows=size, limit=BROADCAST_BYTES)
+    found = long_.join(wanted.hint("merge"), (F.col("th") == F.col("t_")) & (F.col("doc") == F.col("d_")))
     found = found.select("doc", "th", "places", "text").mapInArrow(_contexts, "key long, doc long, th long, start int, context binary, whole binary")
     found = found.repartition("key").sortWithinPartitions("key", "doc", "th", "start")
     runs = found.mapInArrow(_repeated, "th long, starts binary").groupBy(F.col("th").alias("r_")).agg(F.collect_list("starts").alias("runs"))
     copies = firsts.filter("first < last").select(F.col("th").alias("c_"), "first")
     marks = written(runs.join(copies.hint("merge"), F.col("r_") == F.col("c_"), "full_outer").select(F.coalesce("r_", "c_").alias("m_"), "runs", "first"), "suffix-runs")
-    size = marks.agg(F.sum(F.coalesce(F.aggregate("runs", F.lit(0), lambda s, x: s + F.octet_length(x)), F.lit(0)).cast("long") + 40)).first()[0] or 0
-    rows = sized_join(rows, marks, F.col("th") == F.col("m_"), "left", rows=size, limit=BROADCAST_BYTES)
+    rows = rows.join(marks.hint("merge"), F.col("th") == F.col("m_"), "left")
     again = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
     rows = rows.select("doc_id", "text", again.alias("again"), "runs")
     return rows.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")

@@ -265,7 +265,7 @@ def test_suffixes(spark, none):
     assert suffixes.dedup(none).count() == 0
 
 
-def test_suffixes_of_a_shared_passage_and_a_long_text(spark, monkeypatch):
+def test_suffixes_of_a_shared_passage_and_a_long_text(spark):
     """One passage in most texts, some of them copies of it alone, a long text of its own repeats, and rows in any order."""
     passage, r = prose(90, 41), random.Random(3)
     rows = [(i, prose(12, 4000 + i) + " " + passage + (" " + prose(8, 5000 + i) if i % 3 else "")) for i in range(150)]
@@ -274,8 +274,6 @@ def test_suffixes_of_a_shared_passage_and_a_long_text(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA).repartition(3)
     want = brute_spans(sorted(rows))
     assert pairs((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.dedup(df).collect()) == want
-    monkeypatch.setattr(suffixes, "BROADCAST_BYTES", 0)
-    assert pairs((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.dedup(df).collect()) == want
 
 
 def test_suffixes_take_null_ids_and_repeats(docs):
