@@ -49,7 +49,7 @@ class Types:
         starts, ends = kn.stripped(body, starts, ends) if len(starts) else (starts, ends)
         h = kn.span_hashes(body, starts, ends)
         u, first, self.tokens = np.unique(h, return_index=True, return_inverse=True)
-        self.word = (u % np.uint64(WORD_ROWS)).astype(np.int64)
+        self.hash, self.word = u, (u % np.uint64(WORD_ROWS)).astype(np.int64)
         s, e = starts[first], ends[first]
         n = np.maximum(1, e - s - 2)
         self.begin = np.concatenate([[0], np.cumsum(n)])
@@ -62,6 +62,27 @@ class Types:
             code = (code << np.uint64(8)) | byte.astype(np.uint64)
         self.piece = (kn.mix(code, 40) % np.uint64(PIECE_ROWS)).astype(np.int64)
 
+    @classmethod
+    def of(cls, texts: list[str]) -> Types:
+        """Of many texts, taken in slices, so that what is needed for each byte is never held for all."""
+        parts, rows = [], []
+        for lo, _, body, at in kn.slices(pa.array(texts, pa.string())):
+            parts.append(cls(body, at))
+            rows.append(parts[-1].rows + lo)
+        if len(parts) < 2:
+            return parts[0] if parts else cls(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        out = cls.__new__(cls)
+        out.rows = np.concatenate(rows)
+        out.hash, first, at = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
+        edge = np.cumsum([0, *(len(p.hash) for p in parts)])
+        out.tokens = np.concatenate([at[edge[i] + p.tokens] for i, p in enumerate(parts)])
+        out.word = (out.hash % np.uint64(WORD_ROWS)).astype(np.int64)
+        begin, n = np.concatenate([p.begin[:-1] + sum(len(q.piece) for q in parts[:i]) for i, p in enumerate(parts)]), np.concatenate([np.diff(p.begin) for p in parts])
+        piece, n = np.concatenate([p.piece for p in parts]), n[first]
+        out.begin = np.concatenate([[0], np.cumsum(n)])
+        out.piece = piece[np.repeat(begin[first] - out.begin[:-1], n) + np.arange(out.begin[-1])]
+        return out
+
     def pieces(self, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in types, piece) of the pieces of some types."""
         n = self.begin[types + 1] - self.begin[types]
@@ -208,24 +229,31 @@ class Adam:
             p[k][at] -= rate * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.99**self.n)) + 1e-6)
 
 
-def _evidence(owner: np.ndarray, thing: np.ndarray, n_things: int, y: np.ndarray) -> np.ndarray:
-    """For each thing, the log-odds of label 1 among the texts that have it above those of all texts, as far as the counts
-    vouch for it: by the lower end of Wilson's interval, and never below 0, so what few texts have says little or nothing."""
-    pair = np.unique(owner.astype(np.int64) * n_things + thing)
-    owner, thing = pair // n_things, pair % n_things
-    n = np.maximum(1, np.bincount(thing, minlength=n_things)).astype(float)
-    k, z2 = np.bincount(thing, y[owner], n_things), SURE * SURE
+def _evidence(n: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
+    """Of things that n texts have, k of them with label 1: the log-odds of label 1 above those of all texts, as far as the
+    counts vouch for it: by the lower end of Wilson's interval, and never below 0, so what few texts have says little or
+    nothing."""
+    n, z2 = np.maximum(1, n).astype(float), SURE * SURE
     low = (k + z2 / 2 - SURE * np.sqrt(k * (n - k) / n + z2 / 4)) / (n + z2)
-    low, share = np.clip(low, 1e-6, 1 - 1e-6), float(y.mean())
+    low = np.clip(low, 1e-6, 1 - 1e-6)
     return np.maximum(0.0, np.log(low / (1 - low)) - np.log(share / (1 - share)))
 
 
-def evidence(t: Types, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Evidence of each distinct word, and of each piece, of labelled texts."""
-    count = (t.begin[1:] - t.begin[:-1])[t.tokens]
-    rows = np.repeat(t.rows, count)
-    at = np.repeat(t.begin[:-1][t.tokens] - (np.cumsum(count) - count), count) + np.arange(len(rows))
-    return _evidence(t.rows, t.tokens, len(t.word), y), _evidence(rows, t.piece[at], PIECE_ROWS, y)
+def evidence(t: Types, y: np.ndarray, docs: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of each distinct word, and of each piece, of labelled texts; texts are counted some at a time."""
+    n = [np.zeros(len(t.word)), np.zeros(PIECE_ROWS)]
+    k = [np.zeros(len(t.word)), np.zeros(PIECE_ROWS)]
+    edge = np.searchsorted(t.rows, np.arange(0, len(y) + docs, docs))
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        pair = np.unique(t.rows[lo:hi].astype(np.int64) * len(t.word) + t.tokens[lo:hi])
+        row, word = pair // max(1, len(t.word)), pair % max(1, len(t.word))
+        at, piece = t.pieces(word)
+        pair = np.unique(row[at] * PIECE_ROWS + piece)
+        for i, (r, thing) in enumerate(((row, word), (pair // PIECE_ROWS, pair % PIECE_ROWS))):
+            n[i] += np.bincount(thing, minlength=len(n[i]))
+            k[i] += np.bincount(thing, y[r], len(n[i]))
+    share = float(y.mean())
+    return _evidence(n[0], k[0], share), _evidence(n[1], k[1], share)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 0) -> Network:
@@ -235,7 +263,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Network:
     net, adam, rng = Network(seed, float(np.log(share / (1 - share)))), Adam(), np.random.default_rng(seed)
     if not 0 < y.sum() < len(y):
         return net
-    t = Types(*kn.utf8(pa.array(texts, pa.string())))
+    t = Types.of(texts)
     row, first, length = windows(t.rows, len(texts))
     begin = np.searchsorted(row, np.arange(len(texts) + 1))
     full = np.flatnonzero(np.diff(begin) > 0)
