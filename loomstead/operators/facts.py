@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import topic_key, words_key
+from loomstead.operators.relational import numbered
 
 
 def merge_topics(rows: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def refresh_due(rows: DataFrame, most: int) -> DataFrame:
     why = F.when(F.col("researched_days").isNull(), "new").when(F.col("hash_changed"), "changed").when(F.col("had_error"), "errored").when(F.col("researched_days") > F.when(F.col("identified"), 90).otherwise(30), "stale").when(F.col("forced"), "forced")
     due = rows.withColumn("reason", why).filter("reason IS NOT NULL")
     order = [F.array_position(F.array(*[F.lit(x) for x in reasons]), F.col("reason")), F.desc("priority"), F.desc_nulls_first("researched_days"), F.col("id")]
-    return due.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("deferred", F.col("place") > most)
+    return numbered(due, order, "place").withColumn("deferred", F.col("place") > most)
 
 
 def aligned(topic: Column, claim: Column, cosine: Column, least: float = 0.35) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.operators.relational import numbered
 from loomstead.storage import kept, sized_join
 
 #: Weight of an edge by its kind, and of any other.
@@ -141,8 +142,7 @@ def communities(edges: DataFrame, rounds: int = 12, levels: int = 3, seed: int =
         level_edges = level_edges.join(of.select(F.col("node").alias("a"), F.col("c").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("c").alias("y")), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight"))
         level_edges = kept(level_edges, "community-edges")
     low = member.groupBy("c").agg(F.min("node").alias("low"))
-    ids = low.withColumn("community", F.row_number().over(Window.orderBy("low")))  # a row a community
-    return member.join(ids, "c").select("node", "community")
+    return member.join(numbered(low, [F.col("low")], "community").hint("merge"), "c").select("node", "community")
 
 
 def modularity(edges: DataFrame, of: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.functions import dates
+from loomstead.operators.predicates import eq_or_null
+from loomstead.operators.relational import half_at, levels
+from loomstead.storage import sized_cross
 
 
 def far_counts(edges: DataFrame, rel: str, near: str = "from_id", far: str = "to_id", name: str = "reach") -> DataFrame:
@@ -18,28 +23,24 @@ def concentration(edges: DataFrame, rel: str) -> DataFrame:
     return edges.filter(F.col("rel") == rel).groupBy(F.col("to_name").alias("name")).agg(F.count_distinct("from_id").alias("n"))
 
 
-def concentration_statistics(totals: DataFrame, name: str, n: str, top: int = 5) -> DataFrame:
+def concentration_statistics(totals: DataFrame, n: str, top: int = 5) -> DataFrame:
     """One row: groups, their sum, share of the largest, groups that make half, sum of the first `top`, and the rest."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc(n), name)  # a row a group
-    run = totals.select(F.col(n).alias("n"), F.row_number().over(w).alias("rank"), F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("run"), F.sum(n).over(Window.partitionBy()).alias("total"))
-    return run.agg(
-        F.count("*").alias("n_groups"),
-        F.max("total").alias("total"),
-        F.round(F.max("n") / F.max("total"), 6).alias("top_share"),
-        F.min(F.when(F.col("run") * 2 >= F.col("total"), F.col("rank"))).cast("long").alias("to_half"),
-        F.sum(F.when(F.col("rank") <= top, F.col("n"))).alias("top_sum"),
-        F.coalesce(F.sum(F.when(F.col("rank") > top, F.col("n"))), F.lit(0)).alias("rest"),
+    first = F.least("k", F.greatest(F.lit(0), F.lit(top) - F.col("above"))) * F.col(n)
+    return levels(totals, [], n).agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n_groups"),
+        F.max("all").alias("total"),
+        F.round(F.max(n) / F.max("all"), 6).alias("top_share"),
+        F.min(half_at(n)).cast("long").alias("to_half"),
+        F.sum(first).cast("long").alias("top_sum"),
+        (F.max("all") - F.sum(first)).cast("long").alias("rest"),
     )
 
 
 def dense_matrix(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, y, n) with every cell of the values that occur, nulls among them; the axes are short."""
-    xs, ys = rows.select(F.col(x).alias("x_")).distinct(), rows.select(F.col(y).alias("y_")).distinct()
-    cells = F.broadcast(xs).join(ys, how="cross")
+    """(x, y, n) with every cell of the values that occur, nulls among them."""
     n = rows.groupBy(x, y).agg(F.count("*").alias("n"))
-    found = cells.join(n, F.col("x_").eqNullSafe(F.col(x)) & F.col("y_").eqNullSafe(F.col(y)), "left")
+    xs, ys = n.select(F.col(x).alias("x_")).distinct(), n.select(F.col(y).alias("y_")).distinct()
+    found = sized_cross(ys, xs).join(n.hint("merge"), F.col("x_").eqNullSafe(F.col(x)) & F.col("y_").eqNullSafe(F.col(y)), "left")
     return found.select(F.col("x_").alias(x), F.col("y_").alias(y), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -59,23 +60,72 @@ def action_gap(assets: DataFrame, reach: DataFrame, planned: DataFrame, poor: li
     return rows.join(planned.select("id").distinct().withColumn("p_", F.lit(True)), "id", "left").select("id", "reach", F.array_join("reasons", ",").alias("reasons"), F.coalesce("p_", F.lit(False)).alias("planned"))
 
 
-#: What a drill-down asks of an asset, for each dimension; key "" stands for null.
-DIMENSIONS = {"type": "fs_type", "lifecycle": "lifecycle", "fit": "fit", "category": "category", "criticality": "criticality"}
-FAR = {"vendor": "vendor", "capability": "capability", "organisation": "org"}
-
-
-def drill(assets: DataFrame, edges: DataFrame, dimension: str, key: str = "", key2: str | None = None) -> DataFrame:
-    """The assets behind a figure, by the same predicate as the figure's."""
+#: What a drill-down asks of an asset, for each dimension: a column, and the kind of asset it is asked of, if only of one.
+DIMENSIONS = {
+    "type": ("fs_type", None),
+    "lifecycle": ("lifecycle", None),
+    "fit": ("fit", None),
+    "category": ("category", "component"),
+    "time": ("time_class", "application"),
+}
+#: The relation whose far end a dimension names.
+FAR = {"vendor": "vendor", "capability": "capability", "business_capability": "business", "organisation": "org"}
+
+
+@dataclass(frozen=True)
+class Portfolio:
+    """What drill-downs read: assets, edges (from_id, rel, to_name), roles (id, kind, role), research (id, identified,
+    verdict), and what the two kinds of asset are called."""
+
+    assets: DataFrame
+    edges: DataFrame
+    roles: DataFrame
+    research: DataFrame
+    component: str
+    application: str
+
+    def having(self, rows: DataFrame) -> DataFrame:
+        return self.assets.join(rows.select("id"), "id", "left_semi")
+
+    def near(self, rel: str, name: str | None = None) -> DataFrame:
+        """Near ends of a relation, to a far end of some name."""
+        edges = self.edges.filter(F.col("rel") == rel)
+        return (edges if name is None else edges.filter(F.col("to_name") == name)).select(F.col("from_id").alias("id"))
+
+    def gap(self, key: str) -> DataFrame:
+        """Assets whose record lacks something."""
+        a = self.assets
+        responsible = self.roles.filter("kind = 'RESPONSIBLE'").select("id")
+        known = {
+            "no_description": lambda: a.filter(F.coalesce("description", F.lit("")) == ""),
+            "no_fit": lambda: a.filter("fit IS NULL"),
+            "no_lifecycle": lambda: a.filter("lifecycle IS NULL"),
+            "no_owner": lambda: a.join(responsible, "id", "left_anti"),
+            "no_capability": lambda: a.filter(F.col("fs_type") == self.component).join(self.near("capability"), "id", "left_anti"),
+        }
+        return known[key]()
+
+
+def drill(p: Portfolio, dimension: str, key: str = "", key2: str = "") -> DataFrame:
+    """The assets behind a figure, by the same predicate as the figure's; the key "" stands for null. An unknown dimension or
+    gap is an error, so that it isn't read as a figure of 0."""
+    kinds = {"component": p.component, "application": p.application}
     if dimension == "all":
-        return assets
-    if dimension == "matrix":
-        return assets.filter(F.col("criticality").eqNullSafe(F.lit(key or None)) & F.col("lifecycle").eqNullSafe(F.lit(key2 or None)))
-    if dimension == "time":
-        return assets.filter(F.date_format("end_date", "yyyy-MM") == key)
+        return p.assets
+    if dimension == "criticality":
+        cell = eq_or_null(F.col("criticality"), key) & eq_or_null(F.col("data_class"), key2)
+        return p.assets.filter(cell & (F.col("fs_type") == p.application))
+    if dimension == "gap":
+        return p.gap(key)
+    if dimension == "verdict":
+        return p.having(p.research.filter(F.col("identified") & (F.col("verdict") == key)))
+    if dimension == "role":
+        return p.having(p.roles.filter((F.col("kind") == "RESPONSIBLE") & (F.col("role") == key)))
     if dimension in FAR:
-        near = edges.filter((F.col("rel") == FAR[dimension]) & (F.col("to_name") == key)).select(F.col("from_id").alias("id"))
-        return assets.join(near, "id", "left_semi")
-    return assets.filter(F.col(DIMENSIONS[dimension]).eqNullSafe(F.lit(key or None)))
+        return p.having(p.near(FAR[dimension], key))
+    column, kind = DIMENSIONS[dimension]
+    same = eq_or_null(F.col(column), key)
+    return p.assets.filter(same & (F.col("fs_type") == kinds[kind]) if kind else same)
 
 
 def resolve(rows: DataFrame, key: Column, levels: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.storage import kept
+
 
 def both_ways(edges: DataFrame, source: str, target: str, rel: str) -> DataFrame:
     """(node, other, rel, direction) of every edge from either end: what touches a node becomes an equi-join."""
@@ -72,11 +74,38 @@ def insert_if_absent(stored: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return stored.unionByName(new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti"))
 
 
-def running_half(totals: DataFrame, group: list[str], value: str, tie: str) -> DataFrame:
-    """How many of the largest values make half of the sum, per group (none: over all, whose rows are few)."""
-    w = Window.partitionBy(*group).orderBy(F.desc(value), tie)
-    run = totals.withColumn("run_", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all_", F.sum(value).over(Window.partitionBy(*group)))
-    return run.withColumn("rank_", F.row_number().over(w)).filter(F.col("run_") * 2 >= F.col("all_")).groupBy(*group).agg(F.min("rank_").cast("long").alias("leaders"))
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """rows with `out`: their numbers from 1 in an order, without a task that holds them all. Rows are dealt by ranges of the
+    order and numbered within; each range begins where those before it end."""
+    ranged = kept(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy("part_").count().orderBy("part_").collect()  # a row a partition
+    before = [(r["part_"], sum(x["count"] for x in counts[:i])) for i, r in enumerate(counts)]
+    starts = rows.sparkSession.createDataFrame(before or [(-1, 0)], "p_ int, before_ long")
+    place = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    found = ranged.withColumn("place_", place).join(F.broadcast(starts), F.col("part_") == F.col("p_"))
+    return found.withColumn(out, (F.col("before_") + F.col("place_")).cast("long")).drop("part_", "p_", "before_", "place_")
+
+
+def levels(totals: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, k, above, run, all): how often each value occurs, and how many totals, with what sum, are larger. There
+    are at most about sqrt(2 x sum) different values, so a window over them is small where one over all totals is not."""
+    w = Window.partitionBy(*group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    each = totals.groupBy(*group, value).agg(F.count("*").alias("k"))
+    zero = F.lit(0).cast("long")
+    part = (F.col("k") * F.col(value)).cast("long")
+    return each.withColumns({"above": F.coalesce(F.sum("k").over(w), zero), "run": F.coalesce(F.sum(part).over(w), zero), "all": F.sum(part).over(Window.partitionBy(*group))})
+
+
+def half_at(value: str) -> Column:
+    """Of levels(): the rank at which the sum of the largest reaches half, if that is inside the level; else null."""
+    into = F.when(F.col(value) > 0, F.ceil((F.col("all") - 2 * F.col("run")) / (2 * F.col(value)))).otherwise(1)
+    into = F.greatest(into, F.lit(1))
+    return F.when(into <= F.col("k"), F.col("above") + into)
+
+
+def running_half(totals: DataFrame, group: list[str], value: str) -> DataFrame:
+    """How many of the largest values make half of the sum, per group (none: over all)."""
+    return levels(totals, group, value).groupBy(*group).agg(F.min(half_at(value)).cast("long").alias("leaders"))
 
 
 def keep_first_key(rows: DataFrame, key: str, by: str) -> DataFrame:

@@ -207,7 +207,7 @@ def w04(t):
 
 @query("W05_leaders_of_half", "SELECT min(rank) AS leaders FROM (SELECT n, row_number() OVER (ORDER BY n DESC, p_brand) AS rank, sum(n) OVER (ORDER BY n DESC, p_brand) AS run, sum(n) OVER () AS total FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)) WHERE run * 2 >= total")
 def w05(t):
-    return r.running_half(t.part.groupBy("p_brand").agg(F.count("*").alias("n")), [], "n", "p_brand")
+    return r.running_half(t.part.groupBy("p_brand").agg(F.count("*").alias("n")), [], "n")
 
 
 @query("W06_neighbour_text", "SELECT conv_id, turn, right(coalesce(lag(text) OVER w, ''), 800) AS before, left(coalesce(lead(text) OVER w, ''), 800) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -239,8 +239,7 @@ def w09(t):
 @query("W10_renumber_groups", "SELECT id, dense_rank() OVER (ORDER BY low) AS group_no FROM (SELECT id, min(id) OVER (PARTITION BY name) AS low FROM topics)")
 def w10(t):
     groups = t.topics.groupBy("name").agg(F.min("id").alias("low"))
-    numbered = groups.withColumn("group_no", F.row_number().over(Window.orderBy("low")).cast("long"))  # a row a group
-    return t.topics.select("id", "name").join(numbered, "name").select("id", "group_no")
+    return t.topics.select("id", "name").join(r.numbered(groups, [F.col("low")], "group_no").hint("merge"), "name").select("id", "group_no")
 
 
 @query("L01_page", "SELECT id, name, (SELECT count(*) FROM topics) AS total, CAST(ceil((SELECT count(*) FROM topics) / 20.0) AS BIGINT) AS n_pages FROM topics ORDER BY name, id LIMIT 20 OFFSET 40")

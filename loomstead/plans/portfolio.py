@@ -10,11 +10,13 @@ from loomstead.operators import portfolio as p
 from loomstead.operators import relational as r
 from loomstead.plans.basics import VALID
 from loomstead.plans.columns import NOW, REACH, WIDE
-from loomstead.plans.registry import query
+from loomstead.plans.registry import INPUTS, query
+from loomstead.storage import sized_cross
 
 
 def reach(t):
-    return p.far_counts(t.relations, "serves").withColumnRenamed("from_id", "id")
+    """Far ends of each asset; relations are distinct, so they are just counted."""
+    return t.relations.filter("rel = 'serves'").groupBy(F.col("from_id").alias("id")).agg(F.count("to_id").alias("reach"))
 
 
 @query("P01_headline", "SELECT count(*) AS n, count(*) FILTER (WHERE fs_type = 'Platform') AS platforms, count(*) FILTER (WHERE end_date IS NOT NULL OR lifecycle IN ('phaseOut', 'endOfLife')) AS ending, round(avg(completion), 6) AS completeness, (SELECT count(DISTINCT to_id) FROM relations WHERE rel = 'vendor') AS vendors, (SELECT count(DISTINCT to_id) FROM relations WHERE rel = 'capability') AS capabilities FROM assets")
@@ -45,7 +47,7 @@ def p04(t):
 
 @query("P05_concentration_statistics", "SELECT count(*) AS n_groups, CAST(max(total) AS BIGINT) AS total, round(max(n) / max(total), 6) AS top_share, min(rank) FILTER (WHERE run * 2 >= total) AS to_half, CAST(sum(n) FILTER (WHERE rank <= 5) AS BIGINT) AS top_sum, CAST(sum(n) FILTER (WHERE rank > 5) AS BIGINT) AS rest FROM (SELECT n, row_number() OVER w AS rank, sum(n) OVER w AS run, sum(n) OVER () AS total FROM (SELECT to_name, count(DISTINCT from_id) AS n FROM relations WHERE rel = 'vendor' GROUP BY 1) WINDOW w AS (ORDER BY n DESC, to_name))")
 def p05(t):
-    return p.concentration_statistics(p.concentration(t.relations, "vendor"), "name", "n")
+    return p.concentration_statistics(p.concentration(t.relations, "vendor"), "n")
 
 
 @query("P06_thin_ends", "SELECT count(*) AS n_groups, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS most FROM (SELECT count(DISTINCT from_id) AS n FROM relations WHERE rel = 'serves' GROUP BY to_id)")
@@ -91,19 +93,54 @@ def p12(t):
     return t.assets.select("id", "name").join(far, "id", "left").withColumn("n_serves", F.coalesce("n_serves", F.lit(0)))
 
 
-@query("P13_drill_matrix", "SELECT id, name, (SELECT count(*) FROM assets WHERE criticality IS NULL AND lifecycle = 'active') AS total, false AS truncated FROM assets WHERE criticality IS NULL AND lifecycle = 'active' ORDER BY lower(name), id LIMIT 500")
-def p13(t):
-    return r.capped(p.drill(t.assets, t.relations, "matrix", "", "active").select("id", "name"), [F.lower("name"), F.col("id")])
-
-
-@query("P13_drill_far_end", "SELECT id, name FROM assets WHERE id IN (SELECT from_id FROM relations WHERE rel = 'vendor' AND to_name = 'Brand#7')")
-def p13b(t):
-    return p.drill(t.assets, t.relations, "vendor", "Brand#7").select("id", "name")
-
-
-@query("P13_drill_time", "SELECT id, name FROM assets WHERE strftime(end_date, '%Y-%m') = '2024-03'")
-def p13c(t):
-    return p.drill(t.assets, t.relations, "time", "2024-03").select("id", "name")
+INPUTS["drill_assets"] = """
+SELECT a.*, CASE WHEN completion % 4 = 0 THEN NULL WHEN completion % 4 = 1 THEN '' ELSE name END AS description,
+  CASE completion % 5 WHEN 0 THEN 'tolerate' WHEN 1 THEN 'invest' WHEN 2 THEN 'migrate' WHEN 3 THEN 'eliminate' END AS time_class,
+  CASE completion % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'confidential' END AS data_class FROM assets a"""
+INPUTS["drill_edges"] = "SELECT from_id, rel, to_name FROM relations UNION ALL SELECT id, 'business', category FROM assets WHERE fs_type = 'Platform'"
+INPUTS["drill_roles"] = """
+SELECT id, CASE WHEN completion % 2 = 0 THEN 'RESPONSIBLE' ELSE 'OBSERVER' END AS kind,
+  CASE WHEN completion % 3 = 0 THEN 'architect' ELSE 'owner' END AS role FROM assets WHERE completion % 7 <> 0"""
+INPUTS["drill_research"] = """
+SELECT id, completion % 4 <> 0 AS identified,
+  CASE completion % 3 WHEN 0 THEN 'solid' WHEN 1 THEN 'replace' ELSE 'adequate' END AS verdict FROM assets WHERE completion % 2 = 0"""
+NEAR = "id IN (SELECT from_id FROM drill_edges WHERE rel = '{}' AND to_name = '{}')"
+#: Dimension, keys, and the same predicate in SQL.
+DRILLS = [
+    ("all", "", "", "true"),
+    ("type", "Product", "", "fs_type = 'Product'"),
+    ("lifecycle", "", "", "lifecycle IS NULL"),
+    ("fit", "appropriate", "", "fit = 'appropriate'"),
+    ("category", "ECONOMY", "", "fs_type = 'Product' AND category = 'ECONOMY'"),
+    ("time", "", "", "fs_type = 'Platform' AND time_class IS NULL"),
+    ("time", "migrate", "", "fs_type = 'Platform' AND time_class = 'migrate'"),
+    ("criticality", "missionCritical", "", "fs_type = 'Platform' AND criticality = 'missionCritical' AND data_class IS NULL"),
+    ("criticality", "", "public", "fs_type = 'Platform' AND criticality IS NULL AND data_class = 'public'"),
+    ("gap", "no_description", "", "coalesce(description, '') = ''"),
+    ("gap", "no_fit", "", "fit IS NULL"),
+    ("gap", "no_lifecycle", "", "lifecycle IS NULL"),
+    ("gap", "no_owner", "", "id NOT IN (SELECT id FROM drill_roles WHERE kind = 'RESPONSIBLE')"),
+    ("gap", "no_capability", "", "fs_type = 'Product' AND id NOT IN (SELECT from_id FROM drill_edges WHERE rel = 'capability')"),
+    ("verdict", "solid", "", "id IN (SELECT id FROM drill_research WHERE identified AND verdict = 'solid')"),
+    ("vendor", "Brand#7", "", NEAR.format("vendor", "Brand#7")),
+    ("capability", "ECONOMY", "", NEAR.format("capability", "ECONOMY")),
+    ("business_capability", "NATION_3", "", NEAR.format("business", "NATION_3")),
+    ("organisation", "NATION_3", "", NEAR.format("org", "NATION_3")),
+    ("role", "architect", "", "id IN (SELECT id FROM drill_roles WHERE kind = 'RESPONSIBLE' AND role = 'architect')"),
+]
+
+
+def drilled(t, dimension, key, key2):
+    found = p.drill(p.Portfolio(t.drill_assets, t.drill_edges, t.drill_roles, t.drill_research, "Product", "Platform"), dimension, key, key2)
+    return r.capped(found.select("id", "name"), [F.lower("name"), F.col("id")])
+
+
+for dimension_, key_, key2_, where in DRILLS:
+    title = "_".join(x for x in ("P13_drill", dimension_, key_.replace("#", ""), key2_) if x)
+    total = f"SELECT count(*) AS total FROM drill_assets WHERE {where}"
+    query(title, f"SELECT id, name, ({total}) AS total, ({total}) > 500 AS truncated FROM drill_assets WHERE {where} ORDER BY lower(name), id LIMIT 500")(
+        lambda t, args=(dimension_, key_, key2_): drilled(t, *args)
+    )
 
 
 @query("P14_platform_edges", "SELECT to_id, coalesce(to_name, to_id) AS name, lifecycle, (SELECT count(*) FROM relations WHERE from_id = 'S5' AND rel = 'serves') AS total FROM relations r LEFT JOIN assets a ON a.id = r.to_id WHERE from_id = 'S5' AND rel = 'serves' ORDER BY name, to_id LIMIT 500")
@@ -134,15 +171,32 @@ def p16(t):
     return p.resolve(rows.select("c_custkey", said.alias("said")), words_key(F.col("said")), taxonomy(t)).select("c_custkey", "node", "level")
 
 
-@query("P17_single_child", "SELECT r_name, CASE WHEN count(*) = 1 THEN min(n_name) END AS only_child FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0 OR n_regionkey < 2 GROUP BY r_name")
+INPUTS["sub_towers"] = "SELECT n_name AS sub_tower, r_name AS tower FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0 OR n_regionkey < 2"
+
+
+@query(
+    "P17_tower_resolution",
+    """WITH lone AS (SELECT tower, min(sub_tower) AS sub_tower FROM sub_towers GROUP BY tower HAVING count(*) = 1),
+    found AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN (SELECT min(sub_tower) FROM sub_towers) WHEN 1 THEN s.sub_tower WHEN 2 THEN l.sub_tower END AS sub_tower
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN sub_towers s ON s.sub_tower = n_name LEFT JOIN lone l ON l.tower = r_name)
+    SELECT c_custkey, f.sub_tower, tower FROM found f LEFT JOIN sub_towers s ON s.sub_tower = f.sub_tower""",
+)
 def p17(t):
-    kids = t.nation.filter("n_nationkey % 5 = 0 OR n_regionkey < 2").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return kids.groupBy("r_name").agg(F.when(F.count("*") == 1, F.min("n_name")).alias("only_child"))
+    """By alias, by sub-tower, or by a tower that has exactly one sub-tower; other towers stay unresolved."""
+    subs = t.sub_towers
+    lone = subs.groupBy("tower").agg(F.min("sub_tower").alias("node"), F.count("*").alias("n")).filter("n = 1")
+    alias = subs.agg(F.min("sub_tower").alias("node")).select(F.lit("main hub").alias("key"), "node")
+    tables = [("alias", alias), ("sub", subs.select(words_key(F.col("sub_tower")).alias("key"), F.col("sub_tower").alias("node"))), ("tower", lone.select(words_key(F.col("tower")).alias("key"), "node"))]
+    said = F.when(F.col("c_custkey") % 4 == 0, " Main-Hub").when(F.col("c_custkey") % 4 == 1, F.lower("n_name")).when(F.col("c_custkey") % 4 == 2, F.concat(F.col("r_name"), F.lit("!"))).otherwise("nowhere")
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", said.alias("said"))
+    found = p.resolve(rows, words_key(F.col("said")), tables).select("c_custkey", F.col("node").alias("sub_tower"))
+    return found.join(subs, "sub_tower", "left").select("c_custkey", "sub_tower", "tower")
 
 
 @query("P18_coverage_map", "SELECT r_name, n_name, c_mktsegment, count(DISTINCT c_custkey) AS members, count(DISTINCT CASE WHEN c_acctbal > 0 THEN c_custkey END) AS covered FROM (SELECT r_name, n_name, s.c_mktsegment, c.c_custkey, c.c_acctbal FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s LEFT JOIN customer c ON c.c_nationkey = n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_custkey % 3 = 0) GROUP BY ROLLUP (r_name, n_name, c_mktsegment)")
 def p18(t):
-    frame = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(F.broadcast(t.customer.select(F.col("c_mktsegment").alias("seg")).distinct()), how="cross")  # a taxonomy
+    segments = t.customer.select(F.col("c_mktsegment").alias("seg")).distinct()
+    frame = sized_cross(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")), segments)
     c = t.customer.filter("c_custkey % 3 = 0")
     rows = frame.join(c, (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("c_mktsegment") == F.col("seg")), "left").drop("c_mktsegment").withColumnRenamed("seg", "c_mktsegment")
     return rows.rollup("r_name", "n_name", "c_mktsegment").agg(F.count_distinct("c_custkey").alias("members"), F.count_distinct(F.when(F.col("c_acctbal") > 0, F.col("c_custkey"))).alias("covered"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,14 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None
     """left join right, with right broadcast only if it was counted to have at most limit rows; else both are shuffled."""
     rows = right.count() if rows is None else rows
     return left.join(right.hint("broadcast" if rows <= limit else "merge"), on, how)
+
+
+def settled(column: Column) -> Column:
+    """The column, tied to a row number, which is never negative. Spark doesn't move filters below a column that counts rows,
+    nor does it put this column's expression into others, where a lambda would compute it anew for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def sized_cross(left: DataFrame, right: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Every pair of rows; right is broadcast only if it was counted to have at most limit rows."""
+    return left.join(right.hint("broadcast" if right.count() <= limit else "shuffle_replicate_nl"), how="cross")
