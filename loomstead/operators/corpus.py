@@ -10,43 +10,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import fold, tokens
+from loomstead.storage import kept, settled
 
 #: Constants of BM25.
 K1, B = 1.2, 0.75
 
 
-def _pieces(text: str, size: int, overlap: int) -> list[str]:
-    """Parts of a text no longer than size: by paragraph, then by sentence, each new one opening with the end of the last."""
-    out, held = [], ""
-    for para in re.split(r"\n\s*\n", text):
-        units = [para] if len(para) <= size else re.split(r"(?<=[.!?])\s+", para)
-        for at, unit in enumerate(units):
-            sep = " " if at else "\n\n"
-            while len(unit) > size:
-                out += [held] if held else []
-                out.append(unit[:size])
-                held, unit = "", unit[size - overlap :]
-            if held and len(held) + len(unit) + len(sep) > size:
-                out.append(held)
-                held = (tail + " " + unit).strip() if (tail := held[-overlap:]) and len(tail) + len(unit) < size else unit
-            else:
-                held = f"{held}{sep}{unit}" if held else unit
-    return out + ([held] if held else [])
-
-
-def chunk_text(text: str, size: int = 1500, overlap: int = 200) -> list[str]:
-    """Chunks of a text: sections begin at headings, small ones are packed, large ones cut; shreds are left out."""
-    packed, held = [], ""
-    for section in re.split(r"(?m)^(?=#{1,6} )", text or ""):
-        if len(held) + len(section) <= size:
-            held += section
+class _Filling:
+    """Chunks that grow by units until the next one would be too much; each new one opens with the end of the last."""
+
+    def __init__(self, size: int, overlap: int):
+        self.size, self.overlap, self.held, self.done = size, overlap, "", []
+
+    def close(self) -> None:
+        if self.held:
+            self.done.append(self.held.strip())
+            self.held = self.held[-self.overlap :]
+
+    def add(self, joint: str, unit: str) -> None:
+        if len(self.held) + len(unit) <= self.size:
+            self.held += (joint if self.held else "") + unit
+        else:
+            self.close()
+            self.held = f"{self.held}{joint}{unit}".strip()
+
+
+def _cut(section: str, size: int, overlap: int) -> list[str]:
+    """A section that is too large: by paragraphs, and too large paragraphs by sentences and lines. A sentence stays whole."""
+    out = _Filling(size, overlap)
+    for para in re.split(r"\n\n+", section):
+        if len(para) <= size:
+            out.add("\n\n", para)
+            continue
+        out.close()
+        for sentence in re.split(r"(?<=[.!?])\s+|\n", para):
+            out.add(" ", sentence)
+    if out.held:
+        out.done.append(out.held.strip())
+    return out.done
+
+
+def chunk_text(text: str | None, size: int = 1500, overlap: int = 200) -> list[str]:
+    """Chunks of a text: sections begin at headings, small ones are packed, large ones cut; chunks of half an overlap or less
+    are left out. Null has none."""
+    found, pack = [], ""
+    for section in [*re.split(r"(?=\n#{1,6} )", text or ""), None]:
+        if section is not None and len(pack) + len(section) <= size:
+            pack += section
             continue
-        packed += [held] if held else []
-        held = section if len(section) <= size else ""
-        packed += _pieces(section, size, overlap) if len(section) > size else []
-    packed += [held] if held else []
-    found = [c.strip() for c in packed]
-    return [c for c in found if len(c) > overlap // 2] or ([found[0]] if len(found) == 1 and found[0] else [])
+        found.append(pack.strip())
+        large = section is not None and len(section) > size
+        found += _cut(section, size, overlap) if large else []
+        pack = "" if large else section or ""
+    return [c for c in found if len(c) > overlap / 2]
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 1500, overlap: int = 200) -> DataFrame:
@@ -60,12 +76,27 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 1500, overlap: int
     return docs.select(key, text).mapInPandas(run, f"{key} long, chunk_no int, content string")
 
 
-def supplied_or_cut(docs: DataFrame, supplied: DataFrame, key: str, text: str, most: int = 4000) -> DataFrame:
-    """Supplied chunks where they hold 80 % of a text's non-space characters and none is too long; else chunks()."""
-    solid = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
-    sums = supplied.groupBy(key).agg(F.sum(solid(F.col("content"))).alias("held_"), F.max(F.length("content")).alias("max_"))
-    good = docs.join(sums, key).filter((F.col("held_") >= 0.8 * solid(F.col(text))) & (F.col("max_") <= most)).select(key)
-    return supplied.join(good, key, "left_semi").select(key, "chunk_no", "content").unionByName(chunks(docs.join(good, key, "left_anti"), key, text))
+def supplied_or_cut(sections: DataFrame, supplied: DataFrame, keys: list[str], text: str, least: float = 0.8, most: int = 4000) -> DataFrame:
+    """(keys, chunk_no, content): for each section the supplied chunks, if they hold at least 80 % of its non-space characters,
+    with those that are too long cut again; else its own chunks. Supplied: keys, chunk_no, content; null chunks count as none."""
+    solid = lambda c: F.length(F.regexp_replace(c, r"(?U)\s", ""))
+    given = supplied.filter("content IS NOT NULL").groupBy(*keys).agg(F.sum(solid(F.col("content"))).alias("held_"), F.sort_array(F.collect_list(F.struct("chunk_no", "content"))).alias("given_"))
+    rows = sections.join(given.hint("merge"), keys, "left")
+    good = F.coalesce(F.col("held_") >= least * solid(F.col(text)), F.lit(False))
+    wanted = F.when(good, F.transform("given_", lambda x: x["content"])).otherwise(F.array(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.select(*keys, good.alias("good_"), F.posexplode(wanted).alias("at_", "part_"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cut = [[part] if ok and len(part) <= most else chunk_text(part) for ok, part in zip(b["good_"], b["part_"], strict=True)]
+            at = [i for i, found in enumerate(cut) for _ in found]
+            out = b[[*keys, "at_"]].take(at).reset_index(drop=True)
+            yield out.assign(sub_=[k for found in cut for k in range(len(found))], content=[c for found in cut for c in found])
+
+    kinds = ", ".join(f"`{k}` {sections.schema[k].dataType.simpleString()}" for k in keys)
+    found = rows.mapInPandas(run, f"{kinds}, at_ int, sub_ int, content string")
+    w = Window.partitionBy(*keys).orderBy("at_", "sub_")
+    return found.select(*keys, (F.row_number().over(w) - 1).alias("chunk_no"), "content")
 
 
 def cleaning_audit(raw: DataFrame, cleaned: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,28 +107,37 @@ def cleaning_audit(raw: DataFrame, cleaned: DataFrame, key: str, text: str) -> D
 
 
 def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, tf, length): folded lower-case tokens, and each document's number of them."""
-    words = docs.select(key, F.transform(tokens(F.lower(fold(F.col(text)))), lambda w: w).alias("w_"))
-    each = words.select(key, F.size("w_").cast("long").alias("length"), F.explode("w_").alias("token"))
-    return each.groupBy("token", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def bm25(index: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
-    """(qid, key, score, rank): any query token, as a prefix. Query tokens meet the vocabulary first, then the index; a
-    prefix counts as one term, whose documents are those of all its words."""
+    """(token, key, tf, length): folded lower-case tokens, and each document's number of them. A document is a row, so its
+    tokens are sorted and counted inside it, and nothing is shuffled."""
+    rows = docs.select(key, settled(F.sort_array(tokens(F.lower(fold(F.col(text)))))).alias("w_"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("w_") - 1), lambda i: (i == 0) | (F.get("w_", i) != F.get("w_", i - 1)))
+    rows = rows.filter(F.size("w_") > 0).withColumn("b_", settled(begins))
+    each = F.transform("b_", lambda i, j: F.struct(F.get("w_", i).alias("token"), (F.coalesce(F.get("b_", j + 1), F.size("w_")) - i).cast("long").alias("tf")))
+    rows = rows.select(key, F.size("w_").cast("long").alias("length"), F.explode(each).alias("e_"))
+    return rows.select("e_.token", key, "e_.tf", "length")
+
+
+def bm25(index: DataFrame, queries: DataFrame, key: str, k: int | None = None) -> DataFrame:
+    """(qid, key, score, rank): any query token, as a prefix; the best k of a query, or all that match. Query tokens meet the
+    vocabulary first, then the index; a prefix counts as one term, whose documents are those of all its words. The index is
+    written once, sorted by token, as it is read three times."""
+    index = kept(index.repartition("token").sortWithinPartitions("token"), "index")
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.lower(fold(F.col("query")))))).alias("prefix"))
-    vocabulary = index.select("token").distinct().withColumn("head_", F.substring("token", 1, 3))
-    terms = asked.select("prefix").distinct().withColumn("h_", F.substring("prefix", 1, 3))
-    words = terms.join(vocabulary, F.col("head_") == F.col("h_")).filter(F.startswith("token", F.col("prefix"))).select("prefix", "token")
-    hits = words.join(index, "token").groupBy("prefix", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    asked = kept(asked, "index-asked")
+    vocabulary = index.groupBy("token").agg(F.lit(1).alias("one")).select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n_"))
+    vocabulary = vocabulary.select("token", F.substring("token", F.lit(1), F.col("n_")).alias("prefix"))
+    words = vocabulary.join(asked.select("prefix").distinct().hint("merge"), "prefix", "left_semi")  # only prefixes that are asked for stay
+    hits = index.join(words.hint("merge"), "token").groupBy("prefix", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    hits = kept(hits, "index-hits")
     df = hits.groupBy("prefix").agg(F.count("*").alias("df"))
-    total = index.groupBy(key).agg(F.first("length").alias("length")).agg(F.count("*").alias("n_"), F.avg("length").alias("avg_"))
+    total = index.select(key, "length").groupBy(key).agg(F.first("length").alias("length")).agg(F.count("*").alias("n_"), F.avg("length").alias("avg_"))
     idf = F.log(1 + (F.col("n_") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_")))
-    scored = hits.join(df, "prefix").join(F.broadcast(total), how="cross").withColumn("part_", part)  # total is one row
-    sums = asked.join(scored.select("prefix", key, "part_"), "prefix").groupBy("qid", key).agg(F.round(F.sum("part_"), 6).alias("score"))
+    scored = hits.join(df.hint("merge"), "prefix").join(F.broadcast(total), how="cross").withColumn("part_", part)  # total is one row
+    sums = scored.select("prefix", key, "part_").join(asked.hint("merge"), "prefix").groupBy("qid", key).agg(F.round(F.sum("part_"), 6).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), key)
-    return sums.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    found = sums.withColumn("rank", F.row_number().over(w).cast("long"))
+    return found if k is None else found.filter(F.col("rank") <= k)
 
 
 def snippets(rows: DataFrame, text: str, term: str, width: int = 24) -> DataFrame:

@@ -70,7 +70,7 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     n = nodes.agg(F.count("*").alias("n_nodes"))
     e = edges.agg(F.count("*").alias("n_edges"))
-    lone = nodes.join(ends, "node", "left_anti").agg(F.count("*").alias("n_isolated"))
+    lone = nodes.join(ends.hint("merge"), "node", "left_anti").agg(F.count("*").alias("n_isolated"))
     one = n
     for other in (e, lone, sizes):  # a row each
         one = one.join(F.broadcast(other), how="cross")
@@ -105,7 +105,7 @@ def reach(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 def ego(start: DataFrame, edges: DataFrame, degree: DataFrame, hops: int, most: int) -> DataFrame:
     """(start, node, depth): nodes by hop, the best connected first in each, at most `most` of them beside the start."""
-    found = reach(start, edges, hops).join(degree, "node", "left").filter("depth > 0")
+    found = reach(start, edges, hops).join(degree.hint("merge"), "node", "left").filter("depth > 0")
     w = Window.partitionBy("start").orderBy("depth", F.desc_nulls_last("degree"), "node")
     return found.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= most).select("start", "node", "depth")
 

@@ -29,7 +29,7 @@ def concentration_statistics(totals: DataFrame, n: str, top: int = 5) -> DataFra
     return levels(totals, [], n).agg(
         F.coalesce(F.sum("k"), F.lit(0)).alias("n_groups"),
         F.max("all").alias("total"),
-        F.round(F.max(n) / F.max("all"), 6).alias("top_share"),
+        F.round(F.try_divide(F.max(n), F.max("all")), 6).alias("top_share"),
         F.min(half_at(n)).cast("long").alias("to_half"),
         F.sum(first).cast("long").alias("top_sum"),
         (F.max("all") - F.sum(first)).cast("long").alias("rest"),

@@ -98,7 +98,7 @@ def levels(totals: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def half_at(value: str) -> Column:
     """Of levels(): the rank at which the sum of the largest reaches half, if that is inside the level; else null."""
-    into = F.when(F.col(value) > 0, F.ceil((F.col("all") - 2 * F.col("run")) / (2 * F.col(value)))).otherwise(1)
+    into = F.when(F.col(value) > 0, F.ceil(F.try_divide(F.col("all") - 2 * F.col("run"), 2 * F.col(value)))).otherwise(1)
     into = F.greatest(into, F.lit(1))
     return F.when(into <= F.col("k"), F.col("above") + into)
 

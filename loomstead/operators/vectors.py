@@ -123,7 +123,7 @@ def top_k_quantised(codes: DataFrame, rows: DataFrame, queries: DataFrame, key:
     near = found.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= k * over)
     a = rows.select(F.col(key).alias("id"), F.col(vector).alias("a_"))
     q = queries.select(F.col(key).alias("qid"), F.col(vector).alias("q_"))
-    exact = near.select("qid", "id").join(a, "id").join(q, "qid").select("qid", "id", F.round(cosine(F.col("a_"), F.col("q_")), 5).alias("score"))
+    exact = near.select("qid", "id").join(a.hint("merge"), "id").join(q.hint("merge"), "qid").select("qid", "id", F.round(cosine(F.col("a_"), F.col("q_")), 5).alias("score"))
     return exact.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 

@@ -20,7 +20,7 @@ def reports(t):
     """Each label's first vector stands for its report."""
     rows = t.embeddings.join(t.first_of_label.select("vec_id"), "vec_id", "left_semi")
     hits = v.top_k(rows, t.queries_vec, "vec_id", "embedding", 10)
-    return hits.join(t.first_of_label.select(F.col("vec_id").alias("id"), F.col("label").alias("community")), "id").select("qid", "community", "score")
+    return hits.join(t.first_of_label.select(F.col("vec_id").alias("id"), F.col("label").alias("community")).hint("merge"), "id").select("qid", "community", "score")
 
 
 @query("R07_community_search", f"SELECT qid, e.vec_id AS id FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY score DESC, label) AS n FROM ({TOPK}) k JOIN first_of_label f ON f.vec_id = k.id WHERE score >= 0.05) h JOIN embeddings e ON e.label = h.label WHERE n <= 2")
@@ -58,7 +58,7 @@ def r09(t):
 @query("R10_contexts", f"SELECT qid, count(DISTINCT topic_id) AS n_topics, CAST(sum(n) AS BIGINT) AS n_claims, bool_or(d) AS disputed FROM (SELECT s.qid, c.topic_id, count(DISTINCT c.claim_text) AS n, bool_or(c.status = 'conflicted') AS d FROM ({SLOTS}) s JOIN claims c ON c.id = s.claim_id GROUP BY 1, 2) GROUP BY qid")
 def r10(t):
     c = t.claims.select(F.col("id").alias("claim_id"), F.col("topic_id").cast("string").alias("topic"), "status", "claim_text")
-    return r.contexts(slots(t).join(c, "claim_id")).drop("context")
+    return r.contexts(slots(t).join(c.hint("merge"), "claim_id")).drop("context")
 
 
 @query("G10_assigned_and_noise", "SELECT count(*) FILTER (WHERE node IN (SELECT a FROM graph_edges) OR node IN (SELECT b FROM graph_edges)) AS assigned, count(*) FILTER (WHERE node NOT IN (SELECT a FROM graph_edges) AND node NOT IN (SELECT b FROM graph_edges)) AS noise FROM graph_nodes")
@@ -91,7 +91,7 @@ def perturbed(rows, key: str, vector: str, level: float):
 def q02(t):
     norm = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     noisy = perturbed(t.queries_vec, "vec_id", "embedding", 0.3).withColumnRenamed("embedding", "noisy")
-    return noisy.join(t.queries_vec, "vec_id").select("vec_id", F.size("noisy").cast("long").alias("n"), (F.abs(norm("noisy") - norm("embedding")) < 1e-4).alias("same_length"))
+    return noisy.join(t.queries_vec.hint("merge"), "vec_id").select("vec_id", F.size("noisy").cast("long").alias("n"), (F.abs(norm("noisy") - norm("embedding")) < 1e-4).alias("same_length"))
 
 
 @query("Q04_summary", f"SELECT count(*) AS n_queries, round(avg(score), 5) AS mean_best, round(quantile_cont(score, 0.5), 5) AS median_best FROM ({TOPK}) WHERE rank = 2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomstead import sources as s
@@ -9,6 +11,7 @@ from loomstead.functions.text import fingerprint, topic_key
 from loomstead.operators import facts as k
 from loomstead.operators.relational import page
 from loomstead.plans.registry import query
+from loomstead.storage import shared_dir
 
 
 def nodes(t):
@@ -20,6 +23,18 @@ def nodes(t):
     return t.part.select(F.struct(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit(" "), "p_name").alias("name"), F.lit("Product").alias("type"), desc.alias("description"), F.struct(phases.alias("phases")).alias("lifecycle"), far(F.col("p_brand")).alias("vendor"), far(F.when(F.col("p_size") % 7 > 0, F.col("p_type"))).alias("capability"), people.alias("people")).alias("node"))
 
 
+@query("C02_text_files", "SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL AND doc_id % 4 < 2")
+def c02(t):
+    """Files of the documents' ids and hashes in four folders, written first: two that are read, an ignored one, and the one for
+    cleaned copies; then read below their common folder."""
+    folder = f"{shared_dir(t.spark)}/files-{uuid.uuid4().hex}"
+    rows = t.documents.filter("text IS NOT NULL").select("doc_id", F.concat_ws(" ", "doc_id", F.sha2("text", 256)).alias("value"))
+    for place, name in enumerate(("notes", "notes/deep/er", "notes/!drafts", "cleaned")):
+        rows.filter(F.pmod("doc_id", F.lit(4)) == place).select("value").write.mode("append").text(f"{folder}/{name}")
+    lines = s.text_files(t.spark, folder, ["TXT"]).select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
+    return lines.select(F.split_part("line", F.lit(" "), F.lit(1)).cast("long").alias("doc_id"), F.split_part("line", F.lit(" "), F.lit(2)).alias("h"))
+
+
 @query("C03_flat_records", "SELECT 'P' || CAST(p_partkey AS STRING) AS id, p_name AS name, 'Product' AS type, CASE WHEN p_size % 4 <> 0 THEN p_type END AS description, 2 AS n_phases, CASE WHEN p_size % 2 = 0 THEN '2024-06-30' END AS end_date FROM part")
 def c03(t):
     return nodes(t).select(*s.flat_asset("node"))

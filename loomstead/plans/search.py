@@ -24,8 +24,13 @@ def t01(t):
 
 @query("T02_supplied_chunks")
 def t02(t):
-    supplied = t.documents.filter("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("content"))
-    return c.supplied_or_cut(t.documents, supplied, "doc_id", "text")
+    """Two sections a document, half by half; every second document has chunks supplied, every fourth too little of them."""
+    half = F.ceil(F.length("text") / 2).cast("int")
+    cuts = F.array(F.struct(F.lit(0).alias("section"), F.substring("text", F.lit(1), half).alias("body")), F.struct(F.lit(1).alias("section"), F.substring("text", half + 1, F.length("text")).alias("body")))
+    sections = t.documents.filter("text IS NOT NULL").select("doc_id", F.explode(cuts).alias("s")).select("doc_id", "s.section", "s.body")
+    content = F.when(F.col("doc_id") % 4 == 0, F.substring("body", F.lit(1), (F.length("body") / 2).cast("int"))).otherwise(F.col("body"))
+    supplied = sections.filter("doc_id % 2 = 0").select("doc_id", "section", F.lit(0).alias("chunk_no"), content.alias("content"))
+    return c.supplied_or_cut(sections, supplied, ["doc_id", "section"], "body")
 
 
 @query("T03_cleaning_audit", "SELECT doc_id, length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')) AS removed, round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[aeiou]', '', 'g')) / length(text) ELSE 1 END, 6) AS kept_share, CASE WHEN length(text) > 0 AND length(regexp_replace(text, '[aeiou]', '', 'g')) / length(text) < 0.5 THEN 'check' ELSE 'fine' END AS verdict FROM documents")
@@ -57,7 +62,7 @@ sc AS (SELECT qid, doc_id, round(sum(ln(1 + (tot.n - df + 0.5) / (df + 0.5)) * t
 rk AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
-def ranked(t, k=10):
+def ranked(t, k: int | None = 10):
     return c.bm25(c.inverted_index(t.texts, "doc_id", "text"), t.asked, "doc_id", k)
 
 
@@ -72,10 +77,10 @@ def t07(t):
     return c.snippets(rows, "text", "the").select("doc_id", "snippet")
 
 
-@query("T08_passage_search", BM25 + " SELECT doc_id, count(*) AS n_matches, min(rank) AS best FROM rk WHERE rank <= 200 AND doc_id % 2 = 0 GROUP BY doc_id")
+@query("T08_passage_search", BM25 + " SELECT doc_id, count(*) AS n_matches, min(rank) AS best FROM rk WHERE doc_id % 2 = 0 GROUP BY doc_id")
 def t08(t):
     allowed = t.texts.filter("doc_id % 2 = 0").select("doc_id")
-    return ranked(t, 200).join(allowed, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.min("rank").alias("best"))
+    return ranked(t, None).join(allowed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.min("rank").alias("best"))
 
 
 @query("T09_summaries", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'given' ELSE left(text, 500) END AS summary FROM documents")
@@ -97,6 +102,13 @@ def v01(t):
     return exact(t, 10).select("qid", "rank", "id")
 
 
+@query("D02_vector_scan", f"SELECT qid, id, rank FROM ({TOPK}) WHERE rank <= 20")
+def d02(t):
+    """The vector extension's table function as SQL users call it: nearest rows of a view, with their distances."""
+    exact(t, 20).createOrReplaceTempView("vector_scan")
+    return t.spark.sql("SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY 1 - score, id) AS rank FROM vector_scan").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("V02_floor", f"SELECT qid, id FROM ({TOPK}) WHERE rank <= 10 AND score >= 0.25")
 def v02(t):
     return exact(t, 10).filter("score >= 0.25").select("qid", "id")
@@ -153,7 +165,7 @@ def r01(t):
 @query("R02_filter_after_top_k", f"SELECT qid, id FROM ({TOPK}) t WHERE rank <= 20 AND id IN (SELECT vec_id FROM embeddings WHERE label < 5)")
 def r02(t):
     allowed = t.embeddings.filter("label < 5").select(F.col("vec_id").alias("id"))
-    return exact(t, 20).join(allowed, "id", "left_semi").select("qid", "id")
+    return exact(t, 20).join(allowed.hint("merge"), "id", "left_semi").select("qid", "id")
 
 
 @query("R02_filter_before_top_k", f"SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM ({TOPK}) t WHERE id IN (SELECT vec_id FROM embeddings WHERE label < 5)) WHERE r <= 20")
@@ -166,7 +178,7 @@ def r03(t):
     vec = exact(t, 50).select("qid", F.col("id").alias("doc_id"), F.col("rank").alias("a"))
     kw = ranked(t, 50).select("qid", "doc_id", F.col("rank").alias("b"))
     part = lambda x: F.coalesce(1 / (60 + F.col(x)), F.lit(0.0))
-    both = vec.join(kw, ["qid", "doc_id"], "full_outer").withColumn("score", F.round(part("a") + part("b"), 9))
+    both = vec.join(kw.hint("merge"), ["qid", "doc_id"], "full_outer").withColumn("score", F.round(part("a") + part("b"), 9))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return both.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 20").select("qid", "doc_id", "rank")
 
@@ -188,23 +200,23 @@ def r05(t):
 @query("R06_keyword_fallback", f"SELECT q.qid, o.id, 0.4 AS score FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT qid FROM ({TOPK}) WHERE rank <= 3 AND qid <> id AND score >= 0.45)) q JOIN asked a ON a.qid = q.qid JOIN topics o ON list_contains(string_split(lower(o.name), ' '), lower(split_part(a.query, ' ', 1)))")
 def r06(t):
     answered = exact(t, 3).filter("qid <> id AND score >= 0.45").select("qid").distinct()
-    left = t.queries_vec.select(F.col("vec_id").alias("qid")).join(answered, "qid", "left_anti").join(t.asked, "qid")
+    left = t.queries_vec.select(F.col("vec_id").alias("qid")).join(answered.hint("merge"), "qid", "left_anti").join(t.asked.hint("merge"), "qid")
     words = left.select("qid", F.lower(F.split_part("query", F.lit(" "), F.lit(1))).alias("word"))
     named = t.topics.select("id", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    return words.join(named, "word").select("qid", "id", F.lit(0.4).alias("score"))
+    return named.join(words.hint("merge"), "word").select("qid", "id", F.lit(0.4).alias("score"))
 
 
 @query("Q01_recall", "SELECT 0.9 AS least, true AS good")
 def q01(t):
     e, a = exact(t, 10).select("qid", "id"), approximate(t, 10).select("qid", "id")
-    share = a.join(e, ["qid", "id"], "left_semi").agg(F.count("*").alias("hit")).join(F.broadcast(e.agg(F.count("*").alias("n"))), how="cross")  # a row each
+    share = a.join(e.hint("merge"), ["qid", "id"], "left_semi").agg(F.count("*").alias("hit")).join(F.broadcast(e.agg(F.count("*").alias("n"))), how="cross")  # a row each
     return share.select(F.lit(0.9).alias("least"), (F.col("hit") >= 0.9 * F.col("n")).alias("good"))
 
 
 @query("Q03_case_scores", f"SELECT qid, count(*) FILTER (WHERE l.label = e.label) / 10.0 AS precision_, coalesce(1.0 / min(rank) FILTER (WHERE l.label = e.label AND qid <> id), 0) AS reciprocal_rank FROM ({TOPK}) k JOIN embeddings l ON l.vec_id = k.qid JOIN embeddings e ON e.vec_id = k.id WHERE rank <= 10 GROUP BY qid")
 def q03(t):
     lab = t.embeddings.select("vec_id", "label")
-    rows = exact(t, 10).join(lab.select(F.col("vec_id").alias("qid"), F.col("label").alias("want")), "qid").join(lab.select(F.col("vec_id").alias("id"), F.col("label").alias("got")), "id")
+    rows = exact(t, 10).join(lab.select(F.col("vec_id").alias("qid"), F.col("label").alias("want")).hint("merge"), "qid").join(lab.select(F.col("vec_id").alias("id"), F.col("label").alias("got")).hint("merge"), "id")
     good = F.col("want") == F.col("got")
     return rows.groupBy("qid").agg((F.count(F.when(good, 1)) / 10).alias("precision_"), F.coalesce(1 / F.min(F.when(good & (F.col("qid") != F.col("id")), F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"))
 

@@ -56,15 +56,27 @@ def _all():
     return Window.partitionBy("asset_id", "title")
 
 
-@query("S05_ingest_unseen", "SELECT sha256(text) AS h, count(*) > 0 AS kept FROM documents GROUP BY 1")
+STRIPPED = "length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''))"
+
+
+@query("S05_ingest_unseen", f"SELECT sha256(text) AS h, {STRIPPED} > 100 AS has_chunks FROM documents WHERE text IS NOT NULL GROUP BY ALL")
 def s05(t):
-    docs = s.read(t.spark, f"{t.sf_dir}/documents.parque[t]", t.documents.schema).withColumn("arrived_at", F.lit("2024-01-01").cast("timestamp"))
-    return s.drained(s.ingest(docs)).select("h", F.lit(True).alias("kept"))
+    """Unseen contents, and whether the chunk sink holds any of theirs: all do whose text is longer than half an overlap."""
+    arrived = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod("doc_id", F.lit(3600))).alias("arrived_at")
+    docs = s.read(t.spark, f"{t.sf_dir}/documents.parque[t]", t.documents.schema).filter("text IS NOT NULL").select("doc_id", "text", arrived)
+    unseen, chunks = s.ingested(docs, "doc_id")
+    found = chunks.select("doc_id").distinct().withColumn("has_chunks", F.lit(True))
+    return unseen.join(found.hint("merge"), "doc_id", "left").select("h", F.coalesce("has_chunks", F.lit(False)).alias("has_chunks"))
 
 
-@query("S06_expiry", f"SELECT id, coalesce(end_date <= {NOW}, false) AS expired FROM assets")
+@query("S06_expiry", f"SELECT id FROM assets WHERE end_date IS NULL OR end_date >= {NOW}")
 def s06(t):
-    return s.expire(t.assets.select("id", "end_date"), "end_date", F.expr(NOW)).select("id", "expired")
+    return s.expire(t.assets.select("id", "end_date"), "end_date", F.expr(NOW))[0].select("id")
+
+
+@query("S06_expired", f"SELECT id FROM assets WHERE end_date < {NOW}")
+def s06b(t):
+    return s.expire(t.assets.select("id", "end_date"), "end_date", F.expr(NOW))[1].select("id")
 
 
 @query("D01_fold_in_sql", "SELECT doc_id, replace(replace(replace(translate(strip_accents(text), 'øđðłħı', 'oddlhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS folded FROM documents")

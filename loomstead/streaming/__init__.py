@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.operators.corpus import chunk_text
+from loomstead.operators.corpus import chunk_text, chunks
 from loomstead.storage import shared_dir
 
 
@@ -24,13 +24,16 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
     return plain.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"})
 
 
-def drained(stream: DataFrame, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote; each batch is written once under its number."""
+def drained(stream: DataFrame, mode: str = "append", also: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote; each batch is written once under its number, and then
+    given to `also` as it was written."""
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
-        (then(batch) if then else batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        if also:
+            also(spark.read.schema(batch.schema).parquet(f"{folder}/rows/batch={number}"), number)
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
@@ -109,9 +112,22 @@ def ingest(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withColumn("h", F.sha2("text", 256)).withWatermark("arrived_at", late).dropDuplicatesWithinWatermark(["h"])
 
 
-def expire(rows: DataFrame, until: str, now) -> DataFrame:
-    """rows with whether they are past their time (batch or stream)."""
-    return rows.withColumn("expired", F.coalesce(F.col(until) <= now, F.lit(False)))
+def ingested(stream: DataFrame, key: str, late: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Runs an ingestion over all that is there: (documents, chunks) as its sinks hold them. A batch writes its unseen
+    documents and their chunks under its number, so one that is repeated writes the same again."""
+    folder = f"{shared_dir(stream.sparkSession)}/chunks-{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        chunks(batch, key, "text").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    documents = drained(ingest(stream, late), also=sink)
+    return documents, stream.sparkSession.read.option("basePath", folder).parquet(folder)
+
+
+def expire(rows: DataFrame, until: str, now) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows whose time is past): batch or stream. Rows without an end stay."""
+    past = F.coalesce(F.col(until) < now, F.lit(False))
+    return rows.filter(~past), rows.filter(past)
 
 
 def register(spark: SparkSession) -> None:

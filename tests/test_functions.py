@@ -9,9 +9,9 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from loomstead import sources
+from loomstead import sources, streaming
 from loomstead.functions import dates, repair, text
-from loomstead.operators import corpus, facts, graph, predicates, vectors
+from loomstead.operators import corpus, facts, graph, portfolio, predicates, relational, vectors
 
 
 def one(spark, column, **values):
@@ -91,13 +91,76 @@ def test_predicates(spark):
     assert [one(spark, predicates.is_question(F.lit(q))) for q in ("Really?", "Must it be so", "show", "Kdo to je", "the island", "smíchat", "(MUSÍ)")] == [False, True, False, True, False, False, True]
 
 
-def test_chunks_hold_their_sizes():
-    r = random.Random(3)
-    body = "\n\n".join(f"# Part {i}\n" + " ".join("".join(r.choice("abcd") for _ in range(r.randint(2, 9))) + ("." if r.random() < 0.1 else "") for _ in range(r.randint(5, 900))) for i in range(12))
-    found = corpus.chunk_text(body)
-    assert found and max(map(len, found)) <= 1500
-    assert all(w in " ".join(found) for w in ("# Part 0", "# Part 11"))
-    assert corpus.chunk_text("") == [] and corpus.chunk_text("short") == ["short"]
+LINE = "A short line. "  # 14 characters
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        (None, []),
+        ("", []),
+        ("x" * 10, []),
+        ("x" * 11, ["x" * 11]),
+        # small sections are packed until 100 characters would be passed, large ones stand alone
+        ("# One\n" + "a" * 40 + "\n# Two\n" + "b" * 40, ["# One\n" + "a" * 40 + "\n# Two\n" + "b" * 40]),
+        ("# One\n" + "a" * 60 + "\n# Two\n" + "b" * 40, ["# One\n" + "a" * 60, "# Two\n" + "b" * 40]),
+        ("#One\n" + "a" * 60 + "\n####### Two " + "b" * 20, ["#One\n" + "a" * 60 + "\n####### Two " + "b" * 20]),
+        # a large section is cut at paragraphs; each new chunk opens with the last 20 characters
+        ("a" * 70 + "\n\n\n" + "b" * 60, ["a" * 70, "a" * 20 + "\n\n" + "b" * 60]),
+        ("a" * 50 + "\n\n" + "b" * 50 + "\n\nc", ["a" * 50 + "\n\n" + "b" * 50, "b" * 20 + "\n\nc"]),
+        # a large paragraph is cut at sentences, joined by spaces; a sentence without an end stays whole
+        ("aaa. " * 25, [" ".join(["aaa."] * 20), " ".join(["aaa."] * 9)]),
+        ("z" * 130, ["z" * 130]),
+        ("a" * 30 + "\n\n" + "y" * 101 + "\nq", ["a" * 30, "a" * 20, "a" * 20 + " " + "y" * 101, "y" * 20 + " q"]),
+    ],
+)
+def test_chunks(said, want):
+    """Worked by hand for chunks of 100 characters with 20 of overlap."""
+    assert corpus.chunk_text(said, 100, 20) == want
+
+
+def test_supplied_chunks_by_section(spark):
+    long_ = " ".join(f"Sentence {i} is here." for i in range(300))
+    sections = spark.createDataFrame([(1, 0, "one two " * 40), (1, 1, "three " * 60), (2, 0, long_), (3, 0, None), (4, 0, "kept whole " * 20)], "id long, section int, body string")
+    supplied = spark.createDataFrame([(1, 0, 1, "two " * 40), (1, 0, 0, "one " * 40), (1, 1, 0, "three"), (2, 0, 0, long_), (4, 0, 0, None)], "id long, section int, chunk_no int, content string")
+    got = {}
+    for r in corpus.supplied_or_cut(sections, supplied, ["id", "section"], "body").orderBy("id", "section", "chunk_no").collect():
+        got.setdefault((r.id, r.section), []).append(r.content)
+    assert got[1, 0] == ["one " * 40, "two " * 40]  # all of it is held, in order
+    assert got[1, 1] == ["three " * 59 + "three"]  # too little is held
+    assert got[2, 0] == corpus.chunk_text(long_) and len(got[2, 0]) > 3  # held, but too long
+    assert (3, 0) not in got and got[4, 0] == ["kept whole " * 19 + "kept whole"]
+
+
+def test_numbers_without_one_task(spark):
+    rows = [(i, (i * 37) % 50 if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(5)
+    got = {r.id: r.n for r in relational.numbered(df, [F.desc_nulls_first("v"), F.col("id")], "n").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: i + 1 for i, r in enumerate(want)}
+    assert relational.numbered(df.limit(0), [F.col("id")], "n").count() == 0
+
+
+@pytest.mark.parametrize("values", [[5], [3, 3, 3, 3], [9, 1, 1, 1, 1, 1, 1], [0, 0], list(range(40)), [7] * 9 + [1] * 100])
+def test_leaders_of_half(spark, values):
+    totals = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "name long, n long")
+    ordered, run = sorted(values, reverse=True), 0
+    for want, v in enumerate(ordered, 1):
+        run += v
+        if 2 * run >= sum(values):
+            break
+    assert relational.running_half(totals, [], "n").first().leaders == want
+    row = portfolio.concentration_statistics(totals, "n").first()
+    assert (row.n_groups, row.total, row.to_half, row.top_sum, row.rest) == (len(values), sum(values), want, sum(ordered[:5]), sum(ordered[5:]))
+
+
+def test_ingestion_chunks_unseen_content_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 6} " + "word " * 500 * (i % 2)) for i in range(30)], "id long, text string").withColumn("arrived_at", F.timestamp_seconds("id"))
+    docs.repartition(3).write.parquet(f"{tmp_path}/in")
+    unseen, chunks = streaming.ingested(streaming.read(spark, f"{tmp_path}/in", docs.schema), "id")
+    assert unseen.count() == 6
+    ids = {r.id for r in unseen.collect()}
+    assert {r.id for r in chunks.collect()} == {i for i in ids if i % 2}
 
 
 def test_text_files(spark, tmp_path):
