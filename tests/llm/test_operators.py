@@ -386,6 +386,23 @@ def test_shards(docs, none, clash):
     assert set(sharding.assign(clash, 3).columns) == set(clash.columns)
 
 
+def test_shards_equal_a_slow_version(spark):
+    """With a bundle for nearly every group, loads are those of longest first over all groups, one heap, done slowly."""
+    r = random.Random(4)
+    rows = [(i, "x" * r.choice([1, 5, 40, 300, 2000]) + str(r.randrange(60)), "en", "a", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for x in sharding.assign(df, 6, per_shard=4096).collect():
+        got.setdefault(x.shard, []).append(len(x.text) + 16)
+    groups = {}
+    for x in rows:
+        groups[x[1]] = groups.get(x[1], 0) + len(x[1]) + 16
+    load = [0] * 6
+    for size in sorted(groups.values(), reverse=True):
+        load[load.index(min(load))] += size
+    assert sorted(map(sum, got.values())) == pytest.approx(sorted(load), abs=60)
+
+
 def test_shards_are_near_equal(spark):
     df = spark.range(3000).select("id", F.expr("repeat('x', cast(id % 97 as int))").alias("t")).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), "t").alias("text"))
     load = sharding.shards(df, 8).groupBy("shard").agg(F.sum("size").alias("s")).toPandas().s
@@ -487,6 +504,31 @@ def test_lm_tail_join(docs, monkeypatch):
     assert pairs((r.doc_id, r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()) == full
 
 
+def test_lm_probabilities_sum_to_one_and_reruns_agree(spark):
+    """score() of "a b w" less that of "a b", for every known word w and one unknown one of each class, after some histories:
+    their probabilities and that of the end sum to 1."""
+    train = [(i, prose(60, 8000 + i), "en", "a", 1) for i in range(60)]
+    known = sorted({w for _, t, *_ in train for w in t.split()})
+    counts = spark.createDataFrame(train, SCHEMA)
+    head, model = lm.fit(counts.select("text"), 1)
+    tokens = [list(x) for x in lm.sequences(pa.array([" ".join(known)]))][0]
+    _, _, _, h, tail = tokens
+    rank = head.words.find(h)
+    assert (rank >= 0).sum() >= len(known) - 1
+    cls = head.classes(rank, tail)
+    share = np.where(rank >= 0, (head.counts[np.maximum(rank, 0)] + 1.0), 0) / 10 ** head.log_class[cls]
+    unknown = 1.0 / 10 ** head.log_class  # each class has one slot for all words that it doesn't know
+    unknown[: lm.OWN] = 0
+    for first, second in ((0, 1), (5, lm.N_FEATURE - 1), (lm.N_FEATURE - 1, lm.N_FEATURE - 1)):
+        p = 10 ** model.log10(np.arange(lm.OWN + lm.SURFACE, dtype=np.int32), np.full(256, first, np.int32), np.full(256, second, np.int32))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+        empty = p[sorted(set(range(lm.OWN)) - set(cls.tolist()))].sum()  # classes of their own that no word has taken
+        assert (p[cls] * share).sum() + (p * unknown).sum() == pytest.approx(1 - empty, abs=1e-4)
+    docs = spark.createDataFrame([*train, *ROWS], SCHEMA)
+    scores = lambda df: pairs((r.doc_id, round(r.score, 6)) for r in lm.score(df).collect())
+    assert scores(docs.coalesce(1)) == scores(docs.coalesce(1))
+
+
 def test_maxent_learns_what_follows():
     r = np.random.default_rng(0)
     first = r.integers(0, 50, 60_000).astype(np.int32)
