@@ -5,7 +5,7 @@ against the same histograms of all documents of that language, by Jensen-Shannon
 so 0 to 1). Short documents and languages with little text are not judged by distance.
 
 Defined results: null text counts as empty; empty text has no words and fails the base rule; a null
-language is a language of its own; null ids and repeated rows are judged row by row, ties in the
+language counts as the empty one, which is a language of its own; null ids and repeated rows are judged row by row, ties in the
 commonest words go by code point; an empty table gives an empty result; other columns, whatever
 their names, are kept inside one struct and cannot clash.
 """

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstead.llm import decontaminate, jaccard, kernels, licenses, linededup, lm, mixing, quality, queries, sharding, suffixes, toxicity
-from tests.oracle import compare
+from tests.oracle import compare, database, rows_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -155,6 +155,17 @@ def test_jaccard_near_copies(spark, n, num, den):
     assert got == components_of(rows, n, num, den)
 
 
+def test_jaccard_of_the_pipeline_equals_sql_on_the_tables(spark):
+    """Five words and a similarity of 0.8, as the pipeline takes them, on sf0.01."""
+    folder, sql = "/root/testdata/sf0.01", jaccard.SQL
+    for a, b in (("len(w) >= 3", "len(w) >= 5"), ("len(w) - 1)", "len(w) - 3)"), ("i, i + 2)", "i, i + 4)"), ("shared >= 90 *", "shared >= 80 *")):
+        assert a in sql
+        sql = sql.replace(a, b)
+    got = jaccard.component_ids(spark.read.parquet(f"{folder}/documents.parquet"), 5, 4, 5).toPandas()
+    want = database(folder).sql(sql).df()
+    assert rows_of(got) == rows_of(want) and (got.component_id != got.doc_id).any()
+
+
 def test_signature_tree_equals_all_pairs():
     r = np.random.default_rng(3)
     base = [r.integers(0, 1 << 63, 80).astype(np.uint64) for _ in range(6)]
