@@ -23,17 +23,43 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.where(norm > 0, m / np.where(norm > 0, norm, 1), 0).astype(np.float32)
 
 
-def _scan(queries: np.ndarray, qids: np.ndarray, k: int):
+#: Scores are rounded to five digits before ties go by id, so whatever may tie after rounding comes along.
+TIE = 1.1e-5
+
+
+class _Best:
+    """The k best scores of each query among the rows that a task has seen, with what may tie at the edge."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        self.edge = np.full(n, -np.inf, np.float32)
+
+    def see(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row a query, a column an id."""
+        if scores.shape[1] > self.k:
+            self.edge = np.maximum(self.edge, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        q, i = np.nonzero(scores >= self.edge[:, None] - TIE)
+        q, ids, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids[i]]), np.concatenate([self.score, scores[q, i]])
+        order = np.lexsort((-score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        begin = np.searchsorted(q, np.arange(self.n))
+        last = begin + self.k - 1
+        full = np.flatnonzero(np.bincount(q, minlength=self.n) >= self.k)
+        self.edge[full] = np.maximum(self.edge[full], score[last[full]])
+        keep = score >= self.edge[q] - TIE
+        self.q, self.id, self.score = q[keep], ids[keep], score[keep]
+
+
+def _scan(queries: np.ndarray, qids: np.ndarray, k: int, rows):
+    """(qid, id, score) of what may be among the k best of each query, once for each task; rows: unit vectors of a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(len(qids), k)
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, scores = b.column("id").to_numpy(), queries @ _unit(_matrix(b.column("v"))).T
-            best = min(k, len(ids))
-            top = np.argpartition(-scores, best - 1, axis=1)[:, :best]
-            edge = np.take_along_axis(scores, top, 1).min(1, keepdims=True)
-            q, i = np.nonzero(scores >= edge - 1e-6)  # ties at the edge come along
-            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[i]), pa.array(scores[q, i].astype(np.float64))], ["qid", "id", "score"])
+            if b.num_rows:
+                best.see(b.column("id").to_numpy(), queries @ rows(b).T)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.id), pa.array(best.score.astype(np.float64))], ["qid", "id", "score"])
 
     return run
 
@@ -54,7 +80,7 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, di
     """(qid, id, score, rank): the k rows of largest cosine for each query, ties by id; a zero vector scores 0."""
     found = None
     for ids, m in blocks(queries, key, vector):
-        part = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(_scan(_unit(m), ids, k), "qid long, id long, score double")
+        part = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(_scan(_unit(m), ids, k, lambda b: _unit(_matrix(b.column("v")))), "qid long, id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.sparkSession.createDataFrame([], "qid long, id long, score double, rank long")
@@ -106,18 +132,8 @@ def top_k_quantised(codes: DataFrame, rows: DataFrame, queries: DataFrame, key:
     """As top_k, by codes: over x k candidates for each query, scored again on their vectors."""
     found = None
     for ids, m in blocks(queries, key, vector):
-        unit, n = _unit(m), k * over
-
-        def run(batches: Iterator[pa.RecordBatch], unit=unit, ids=ids, n=n) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                row_ids, scores = b.column("id").to_numpy(), unit @ _unit(_decode(b.column("codes"), unit.shape[1])).T
-                best = min(n, len(row_ids))
-                top = np.argpartition(-scores, best - 1, axis=1)[:, :best]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best)), pa.array(row_ids[top.ravel()]), pa.array(np.take_along_axis(scores, top, 1).ravel().astype(np.float64))], ["qid", "id", "score"])
-
-        part = codes.select(F.col(key).alias("id"), "codes").mapInArrow(run, "qid long, id long, score double")
+        unit = _unit(m)
+        part = codes.select(F.col(key).alias("id"), "codes").mapInArrow(_scan(unit, ids, k * over, lambda b, n=unit.shape[1]: _unit(_decode(b.column("codes"), n))), "qid long, id long, score double")
         found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     near = found.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= k * over)

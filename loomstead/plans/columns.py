@@ -17,7 +17,10 @@ def f01(t):
     return t.part.filter(p.contains(F.col("p_name"), "RING")).select("p_partkey", "p_name")
 
 
-@query("F02_folded_search", "SELECT id, name FROM topics WHERE contains(lower(name), 'red bolt') OR contains(lower(description), 'red bolt') OR contains(trim(regexp_replace(regexp_replace(lower(name), '[-\\s]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')), 'red bolt')")
+@query("F02_folded_search", """SELECT id, name
+    FROM topics
+    WHERE contains(lower(name), 'red bolt') OR contains(lower(description),
+      'red bolt') OR contains(trim(regexp_replace(regexp_replace(lower(name), '[-\\s]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')), 'red bolt')""")
 def f02(t):
     return t.topics.filter(p.folded_search(F.col("name"), F.col("description"), "Red Bolt")).select("id", "name")
 
@@ -27,7 +30,9 @@ def f03(t):
     return t.assets.filter(p.eq_or_null(F.col("fit"), "")).select("id", "fit")
 
 
-@query("F04_ignored_path", "SELECT id, path, regexp_matches(path, '(^|[\\\\/])!') AS ignored FROM (SELECT id, CASE WHEN id % 3 = 0 THEN replace(path, '/src1', '/!src1') ELSE path END AS path FROM snapshot_old)")
+@query("F04_ignored_path", """SELECT id, path, regexp_matches(path, '(^|[\\\\/])!') AS ignored
+    FROM (SELECT id, CASE WHEN id % 3 = 0 THEN replace(path, '/src1', '/!src1') ELSE path END AS path
+    FROM snapshot_old)""")
 def f04(t):
     paths = t.snapshot_old.select("id", F.when(F.col("id") % 3 == 0, F.replace("path", F.lit("/src1"), F.lit("/!src1"))).otherwise(F.col("path")).alias("path"))
     return paths.withColumn("ignored", p.ignored_path(F.col("path")))
@@ -41,12 +46,23 @@ def f05(t):
 WIDE = """CASE WHEN length(d) = 4 THEN make_date(CAST(d AS INT), 12, 31) WHEN length(d) = 7 THEN last_day(try_cast(d || '-01' AS DATE)) ELSE try_cast(d AS DATE) END"""
 
 
-@query("F06_current_events", f"SELECT id, event_date, {WIDE} >= DATE '2023-07-31' AS current_event FROM (SELECT id, event_date, event_date AS d FROM alerts WHERE try_cast(CASE length(event_date) WHEN 4 THEN event_date || '-01-01' WHEN 7 THEN event_date || '-01' ELSE event_date END AS DATE) IS NOT NULL) UNION ALL SELECT id, event_date, false FROM alerts WHERE event_date IS NULL OR try_cast(CASE length(event_date) WHEN 4 THEN event_date || '-01-01' WHEN 7 THEN event_date || '-01' ELSE event_date END AS DATE) IS NULL")
+@query("F06_current_events", f"""SELECT id, event_date, {WIDE} >= DATE '2023-07-31' AS current_event
+    FROM (SELECT id, event_date, event_date AS d
+    FROM alerts
+    WHERE try_cast(CASE length(event_date) WHEN 4 THEN event_date || '-01-01' WHEN 7 THEN event_date || '-01'
+      ELSE event_date END AS DATE) IS NOT NULL)
+    UNION ALL SELECT id, event_date, false
+    FROM alerts
+    WHERE event_date IS NULL OR try_cast(CASE length(event_date) WHEN 4 THEN event_date || '-01-01' WHEN 7
+      THEN event_date || '-01' ELSE event_date END AS DATE) IS NULL""")
 def f06(t):
     return t.alerts.select("id", "event_date", dates.is_current(F.col("event_date"), F.expr(NOW), 6).alias("current_event"))
 
 
-@query("F07_table_search", "SELECT id, name FROM assets WHERE fs_type = 'Product' AND (contains(lower(name), 'small') OR contains(lower(coalesce(category, '')), 'small') OR contains(lower(coalesce(lifecycle, '')), 'small'))")
+@query("F07_table_search", """SELECT id, name
+    FROM assets
+    WHERE fs_type = 'Product' AND (contains(lower(name), 'small') OR contains(lower(coalesce(category, '')), 'small')
+      OR contains(lower(coalesce(lifecycle, '')), 'small'))""")
 def f07(t):
     return t.assets.filter(p.table_search("SMALL", "Product", ["name", "category", "lifecycle"], "fs_type")).select("id", "name")
 
@@ -56,19 +72,26 @@ def f08(t):
     return t.conversations.select("conv_id", "turn", p.is_question(F.col("text")).alias("question"))
 
 
-@query("F09_drop_malformed", "SELECT e.source_id, e.target_id, e.rel FROM topic_edges e JOIN topics t ON t.id = e.target_id - 1000000 WHERE e.source_id <> e.target_id AND e.rel <> 'is_part_of' AND t.name <> ''")
+@query("F09_drop_malformed", """SELECT e.source_id, e.target_id, e.rel
+    FROM topic_edges e
+    JOIN topics t ON t.id = e.target_id - 1000000
+    WHERE e.source_id <> e.target_id AND e.rel <> 'is_part_of' AND t.name <> ''""")
 def f09(t):
     edges = t.topic_edges.withColumn("rel", repair.relation(F.when(F.col("rel") == "depends_on", "Requires  Approval by").when(F.col("rel") == "is_part_of", "replaces").otherwise(F.col("rel"))))
     known = t.topics.filter("name <> ''").select((F.col("id") + 1000000).alias("target_id"))
     return edges.filter("source_id <> target_id AND rel IS NOT NULL").join(known, "target_id", "left_semi").select("source_id", "target_id", "rel")
 
 
-@query("X01_fold", "SELECT doc_id, replace(replace(replace(translate(strip_accents(text), 'øđðłħı', 'oddlhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS folded FROM documents WHERE lang IN ('de', 'fr', 'es')")
+@query("X01_fold", """SELECT doc_id, replace(replace(replace(translate(strip_accents(text), 'øđðłħı', 'oddlhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS folded
+    FROM documents
+    WHERE lang IN ('de', 'fr', 'es')""")
 def x01(t):
     return t.documents.filter(F.col("lang").isin("de", "fr", "es")).select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
-@query("X02_topic_key", "SELECT id, name || '-Standard Deviation' AS display, trim(regexp_replace(lower(replace(name, '_', ' ')), '[^a-z0-9]+', ' ', 'g')) || ' standard deviation' AS topic_key FROM topics")
+@query("X02_topic_key", """SELECT id, name || '-Standard Deviation' AS display,
+      trim(regexp_replace(lower(replace(name, '_', ' ')), '[^a-z0-9]+', ' ', 'g')) || ' standard deviation' AS topic_key
+    FROM topics""")
 def x02(t):
     """Underscores, runs of spaces, dashes, parentheses and a closing word, around names of which only the spaces differ."""
     said = F.concat(F.lit("  "), F.col("name"), F.lit("\u2013Standard__Deviation \t Guidelines "))
@@ -99,22 +122,30 @@ def reach_of(t):
     return t.relations.filter("rel = 'serves'").groupBy(F.col("from_id").alias("id")).agg(F.countDistinct("to_id").alias("reach"))
 
 
-@query("X06_research_priority", f"SELECT id, coalesce(reach, 0) + CASE criticality WHEN 'missionCritical' THEN 30 WHEN 'businessCritical' THEN 20 WHEN 'businessOperational' THEN 10 ELSE 0 END AS priority FROM assets LEFT JOIN ({REACH}) r ON r.from_id = id")
+@query("X06_research_priority", f"""SELECT id, coalesce(reach, 0) + CASE criticality WHEN 'missionCritical' THEN 30 WHEN 'businessCritical' THEN 20 WHEN 'businessOperational' THEN 10 ELSE 0 END AS priority
+    FROM assets
+    LEFT
+    JOIN ({REACH}) r ON r.from_id = id""")
 def x06(t):
     return t.assets.join(reach_of(t), "id", "left").select("id", dates.research_priority(F.col("reach"), F.col("criticality")).alias("priority"))
 
 
-@query("X07_keyword_probe", "SELECT id, CASE WHEN NOT contains(lower(name), lower(split_part(description, ' ', 1))) OR NOT contains(lower(name), lower(split_part(description, ' ', 2))) THEN array_to_string(string_split(description, ' '), ' ') END AS probe FROM topics")
+@query("X07_keyword_probe", """SELECT id, CASE WHEN NOT contains(lower(name), lower(split_part(description, ' ', 1))) OR NOT contains(lower(name),
+      lower(split_part(description, ' ', 2))) THEN array_to_string(string_split(description, ' '), ' ') END AS probe
+    FROM topics""")
 def x07(t):
     return t.topics.select("id", repair.keyword_probe(F.col("name"), F.split("description", " ")).alias("probe"))
 
 
-@query("X08_coarse_date", "SELECT id, CASE WHEN try_cast(CASE length(event_date) WHEN 4 THEN event_date || '-01-01' WHEN 7 THEN event_date || '-01' ELSE event_date END AS DATE) IS NOT NULL THEN event_date END AS coarse FROM alerts")
+@query("X08_coarse_date", """SELECT id, CASE WHEN try_cast(CASE length(event_date) WHEN 4 THEN event_date || '-01-01' WHEN 7 THEN event_date || '-01' ELSE event_date END AS DATE) IS NOT NULL THEN event_date END AS coarse
+    FROM alerts""")
 def x08(t):
     return t.alerts.select("id", dates.coarse_date(F.col("event_date")).alias("coarse"))
 
 
-@query("X09_widened_date", f"SELECT id, CAST({WIDE} AS STRING) AS last_day FROM (SELECT id, CASE WHEN try_cast(CASE length(event_date) WHEN 4 THEN event_date || '-01-01' WHEN 7 THEN event_date || '-01' ELSE event_date END AS DATE) IS NOT NULL THEN event_date END AS d FROM alerts)")
+@query("X09_widened_date", f"""SELECT id, CAST({WIDE} AS STRING) AS last_day
+    FROM (SELECT id, CASE WHEN try_cast(CASE length(event_date) WHEN 4 THEN event_date || '-01-01' WHEN 7 THEN event_date || '-01' ELSE event_date END AS DATE) IS NOT NULL THEN event_date END AS d
+    FROM alerts)""")
 def x09(t):
     return t.alerts.select("id", dates.widened(F.col("event_date")).cast("string").alias("last_day"))
 
@@ -135,7 +166,9 @@ def phases(column):
     return F.coalesce(good, F.array().cast("array<struct<phase:string,startDate:string>>"))
 
 
-@query("X11_lifecycle_phases", f"SELECT id, CAST(CASE WHEN id % 7 = 0 THEN 0 WHEN id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_phases, CASE WHEN id % 7 <> 0 THEN 'phaseOut' END AS first_phase FROM ({PHASES})")
+@query("X11_lifecycle_phases", f"""SELECT id, CAST(CASE WHEN id % 7 = 0 THEN 0 WHEN id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_phases,
+      CASE WHEN id % 7 <> 0 THEN 'phaseOut' END AS first_phase
+    FROM ({PHASES})""")
 def x11(t):
     rows = t.spark.sql(PHASES.replace("FROM orders", "FROM {orders}").replace('{"', '{{"').replace('"}', '"}}'), orders=t.orders)
     return rows.select("id", F.size(phases(F.col("raw"))).cast("long").alias("n_phases"), F.get(phases(F.col("raw")), F.lit(0))["phase"].alias("first_phase"))
@@ -157,7 +190,8 @@ def x13(t):
     return t.assets.filter("end_date IS NOT NULL").select("id", F.round(away, 6).alias("months"), (away < 0).alias("started"))
 
 
-@query("X14_exposure", "SELECT id, round(CASE severity WHEN 'critical' THEN 1000 WHEN 'high' THEN 300 WHEN 'medium' THEN 60 WHEN 'low' THEN 10 ELSE 1 END * (1 + log10(1 + greatest(0, id % 50 - 3))), 6) AS exposure FROM alerts")
+@query("X14_exposure", """SELECT id, round(CASE severity WHEN 'critical' THEN 1000 WHEN 'high' THEN 300 WHEN 'medium' THEN 60 WHEN 'low' THEN 10 ELSE 1 END * (1 + log10(1 + greatest(0, id % 50 - 3))), 6) AS exposure
+    FROM alerts""")
 def x14(t):
     return t.alerts.select("id", F.round(dates.exposure(F.col("severity"), F.col("id") % 50 - 3), 6).alias("exposure"))
 
@@ -167,7 +201,10 @@ def x15(t):
     return t.alerts.select("id", dates.severity_rank(F.col("severity")).alias("rank"))
 
 
-@query("X16_hashes", "SELECT l_orderkey, sha256(string_agg(CAST(l_partkey AS STRING), ',' ORDER BY l_partkey) || ':' || CAST(count(*) AS STRING)) AS members FROM lineitem GROUP BY l_orderkey")
+@query("X16_hashes", """SELECT l_orderkey, sha256(string_agg(CAST(l_partkey AS STRING), ','
+    ORDER BY l_partkey) || ':' || CAST(count(*) AS STRING)) AS members
+    FROM lineitem
+    GROUP BY l_orderkey""")
 def x16(t):
     return t.lineitem.groupBy("l_orderkey").agg(text.members_hash(F.collect_list("l_partkey")).alias("members"))
 
@@ -177,7 +214,8 @@ def x17(t):
     return t.documents.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("X18_local_buckets", "SELECT id, CAST(to_timestamp(floor((epoch(date_trunc('second', created_at)) - 28800) / 21600) * 21600 + 28800) AT TIME ZONE 'UTC' AS STRING) AS bucket FROM usage_log")
+@query("X18_local_buckets", """SELECT id, CAST(to_timestamp(floor((epoch(date_trunc('second', created_at)) - 28800) / 21600) * 21600 + 28800) AT TIME ZONE 'UTC' AS STRING) AS bucket
+    FROM usage_log""")
 def x18(t):
     return t.usage_log.select("id", dates.bucket_start(F.col("created_at"), 6, -480).cast("string").alias("bucket"))
 
@@ -199,20 +237,33 @@ def x21(t):
     return t.topics.select("id", F.concat_ws(": ", "name", text.blank_to_null(F.col("description"))).alias("to_embed"))
 
 
-@query("X22_distinct_labels", "SELECT o_orderkey, string_agg(p, ',' ORDER BY i) AS labels FROM (SELECT o_orderkey, p, min(i) AS i FROM (SELECT o_orderkey, unnest([o_orderpriority, o_orderstatus, o_orderpriority, '']) AS p, unnest([1, 2, 3, 4]) AS i FROM orders) WHERE p <> '' GROUP BY ALL) GROUP BY o_orderkey")
+@query("X22_distinct_labels", """SELECT o_orderkey, string_agg(p, ','
+    ORDER BY i) AS labels
+    FROM (SELECT o_orderkey, p, min(i) AS i
+    FROM (SELECT o_orderkey, unnest([o_orderpriority, o_orderstatus, o_orderpriority, '']) AS p, unnest([1, 2, 3, 4]) AS i
+    FROM orders)
+    WHERE p <> ''
+    GROUP BY ALL)
+    GROUP BY o_orderkey""")
 def x22(t):
     s = lambda c: F.struct(c.alias("label"))
     values = F.array(s(F.col("o_orderpriority")), s(F.col("o_orderstatus")), s(F.col("o_orderpriority")), s(F.lit("")))
     return t.orders.select("o_orderkey", F.array_join(F.transform(repair.distinct_by_label(values, "label"), lambda x: x["label"]), ",").alias("labels"))
 
 
-@query("X23_ranking", "SELECT l_orderkey, l_linenumber, list_distinct_order AS ranking FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 8 = l_linenumber THEN [l_linenumber] ELSE [l_linenumber, CAST(l_quantity % 8 AS INT)] END AS h, h || [x FOR x IN range(0, 8) IF NOT list_contains(h, x)] AS list_distinct_order FROM lineitem)")
+@query("X23_ranking", """SELECT l_orderkey, l_linenumber, list_distinct_order AS ranking
+    FROM (SELECT l_orderkey, l_linenumber,
+      CASE WHEN l_quantity % 8 = l_linenumber THEN [l_linenumber] ELSE [l_linenumber, CAST(l_quantity % 8 AS INT)] END AS h,
+      h || [x FOR x IN range(0, 8) IF NOT list_contains(h, x)] AS list_distinct_order
+    FROM lineitem)""")
 def x23(t):
     values = F.array(F.col("l_linenumber") + F.lit(0.4), F.col("l_quantity") % 8, F.lit(99.0), F.lit(float("nan")), F.lit(-3.0))
     return t.lineitem.select("l_orderkey", "l_linenumber", F.transform(repair.ranking(values, F.lit(8)), lambda x: x.cast("long")).alias("ranking"))
 
 
-@query("X24_verdicts", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'update' WHEN event_type = 'click' THEN 'conflict' ELSE 'consistent' END AS status, CASE WHEN event_type = 'view' AND event_id % 4 <> 0 THEN CAST(event_id % 4 AS INT) END AS supersedes FROM events")
+@query("X24_verdicts", """SELECT event_id, CASE WHEN event_type = 'view' THEN 'update' WHEN event_type = 'click' THEN 'conflict' ELSE 'consistent' END AS status,
+      CASE WHEN event_type = 'view' AND event_id % 4 <> 0 THEN CAST(event_id % 4 AS INT) END AS supersedes
+    FROM events""")
 def x24(t):
     status = F.when(F.col("event_type") == "view", "update").when(F.col("event_type") == "click", "conflict").otherwise(F.col("event_type"))
     index = F.when(F.col("event_id") % 4 == 0, F.lit("-1")).otherwise((F.col("event_id") % 4).cast("string"))
@@ -225,14 +276,21 @@ def x25(t):
     return t.part.select("p_partkey", repair.keywords(F.split(F.concat("p_name", F.lit(" a  x")), " ")).alias("keywords"))
 
 
-@query("X26_assessments", "SELECT event_id, event_type <> 'error' AS identified, CASE event_type WHEN 'view' THEN 'solid' WHEN 'click' THEN 'replace' ELSE 'unknown' END AS verdict, CASE WHEN event_type = 'error' THEN 0 ELSE round(least(1, greatest(0, value / 50 - 0.1)), 6) END AS confidence, CASE WHEN event_type = 'error' THEN 0 ELSE 2 END AS n_strengths FROM events")
+@query("X26_assessments", """SELECT event_id, event_type <> 'error' AS identified,
+      CASE event_type WHEN 'view' THEN 'solid' WHEN 'click' THEN 'replace' ELSE 'unknown' END AS verdict,
+      CASE WHEN event_type = 'error' THEN 0 ELSE round(least(1, greatest(0, value / 50 - 0.1)), 6) END AS confidence,
+      CASE WHEN event_type = 'error' THEN 0 ELSE 2 END AS n_strengths
+    FROM events""")
 def x26(t):
     v = F.when(F.col("event_type") == "view", "solid").when(F.col("event_type") == "click", "replace").otherwise(F.col("event_type"))
     a = repair.assessment(F.col("event_type") != "error", v, F.col("value") / 50 - 0.1, F.array(F.lit(" a "), F.lit(" "), F.lit("b")), F.array().cast("array<string>"))
     return t.events.select("event_id", a["identified"].alias("identified"), a["verdict"].alias("verdict"), F.round(a["confidence"], 6).alias("confidence"), F.size(a["strengths"]).alias("n_strengths"))
 
 
-@query("X27_relations", "SELECT rel, count(*) AS n FROM (SELECT CASE rel WHEN 'is_part_of' THEN 'is_a' WHEN 'depends_on' THEN 'manages' END AS rel FROM topic_edges) GROUP BY rel")
+@query("X27_relations", """SELECT rel, count(*) AS n
+    FROM (SELECT CASE rel WHEN 'is_part_of' THEN 'is_a' WHEN 'depends_on' THEN 'manages' END AS rel
+    FROM topic_edges)
+    GROUP BY rel""")
 def x27(t):
     said = F.when(F.col("rel") == "is_part_of", " Is A").when(F.col("rel") == "depends_on", "responsible FOR").otherwise("replaces")
     return t.topic_edges.groupBy(repair.relation(said).alias("rel")).agg(F.count("*").alias("n"))

@@ -23,7 +23,14 @@ def reports(t):
     return hits.join(t.first_of_label.select(F.col("vec_id").alias("id"), F.col("label").alias("community")).hint("merge"), "id").select("qid", "community", "score")
 
 
-@query("R07_community_search", f"SELECT qid, e.vec_id AS id FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY score DESC, label) AS n FROM ({TOPK}) k JOIN first_of_label f ON f.vec_id = k.id WHERE score >= 0.05) h JOIN embeddings e ON e.label = h.label WHERE n <= 2")
+@query("R07_community_search", f"""SELECT qid, e.vec_id AS id
+    FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid
+    ORDER BY score DESC, label) AS n
+    FROM ({TOPK}) k
+    JOIN first_of_label f ON f.vec_id = k.id
+    WHERE score >= 0.05) h
+    JOIN embeddings e ON e.label = h.label
+    WHERE n <= 2""")
 def r07(t):
     members = t.embeddings.select(F.col("label").alias("community"), F.col("vec_id").alias("id"))
     return r.community_hits(reports(t), members, 0.05, 2).select("qid", "id")
@@ -55,19 +62,41 @@ def r09(t):
     return slots(t).select("qid", "claim_id", "score", "place")
 
 
-@query("R10_contexts", f"SELECT qid, count(DISTINCT topic_id) AS n_topics, CAST(sum(n) AS BIGINT) AS n_claims, bool_or(d) AS disputed FROM (SELECT s.qid, c.topic_id, count(DISTINCT c.claim_text) AS n, bool_or(c.status = 'conflicted') AS d FROM ({SLOTS}) s JOIN claims c ON c.id = s.claim_id GROUP BY 1, 2) GROUP BY qid")
+@query("R10_contexts", f"""SELECT qid, count(DISTINCT topic_id) AS n_topics, CAST(sum(n) AS BIGINT) AS n_claims, bool_or(d) AS disputed
+    FROM (SELECT s.qid, c.topic_id, count(DISTINCT c.claim_text) AS n, bool_or(c.status = 'conflicted') AS d
+    FROM ({SLOTS}) s
+    JOIN claims c ON c.id = s.claim_id
+    GROUP BY 1, 2)
+    GROUP BY qid""")
 def r10(t):
     c = t.claims.select(F.col("id").alias("claim_id"), F.col("topic_id").cast("string").alias("topic"), "status", "claim_text")
     return r.contexts(slots(t).join(c.hint("merge"), "claim_id")).drop("context")
 
 
-@query("G10_assigned_and_noise", "SELECT count(*) FILTER (WHERE node IN (SELECT a FROM graph_edges) OR node IN (SELECT b FROM graph_edges)) AS assigned, count(*) FILTER (WHERE node NOT IN (SELECT a FROM graph_edges) AND node NOT IN (SELECT b FROM graph_edges)) AS noise FROM graph_nodes")
+@query("G10_assigned_and_noise", """SELECT count(*) FILTER (WHERE node IN (SELECT a
+    FROM graph_edges) OR node IN (SELECT b
+    FROM graph_edges)) AS assigned, count(*) FILTER (WHERE node NOT IN (SELECT a
+    FROM graph_edges) AND node NOT IN (SELECT b
+    FROM graph_edges)) AS noise
+    FROM graph_nodes""")
 def g10(t):
     of = g.communities(g.weighted(t.graph_edges, "rel"), rounds=4, levels=1)
     return t.graph_nodes.join(of, "node", "left").agg(F.count("community").alias("assigned"), F.count(F.when(F.col("community").isNull(), 1)).alias("noise"))
 
 
-@query("G13_report_inputs", "SELECT category, count(*) AS n_claims, count(DISTINCT topic_id) AS n_topics, min(id) AS first_claim FROM (SELECT category, topic_id, id, row_number() OVER (PARTITION BY category ORDER BY topic_id, id) AS q FROM (SELECT t.category, c.topic_id, c.id, row_number() OVER (PARTITION BY c.topic_id ORDER BY c.id) AS r, k.n FROM claims c JOIN topics t ON t.id = c.topic_id JOIN (SELECT category, count(*) AS n FROM topics GROUP BY category) k ON k.category = t.category) WHERE r <= ceil(40.0 / n)) WHERE q <= 40 GROUP BY category")
+@query("G13_report_inputs", """SELECT category, count(*) AS n_claims, count(DISTINCT topic_id) AS n_topics, min(id) AS first_claim
+    FROM (SELECT category, topic_id, id, row_number() OVER (PARTITION BY category
+    ORDER BY topic_id, id) AS q
+    FROM (SELECT t.category, c.topic_id, c.id, row_number() OVER (PARTITION BY c.topic_id
+    ORDER BY c.id) AS r, k.n
+    FROM claims c
+    JOIN topics t ON t.id = c.topic_id
+    JOIN (SELECT category, count(*) AS n
+    FROM topics
+    GROUP BY category) k ON k.category = t.category)
+    WHERE r <= ceil(40.0 / n))
+    WHERE q <= 40
+    GROUP BY category""")
 def g13(t):
     return w04(t).groupBy("category").agg(F.count("*").alias("n_claims"), F.count_distinct("topic_id").alias("n_topics"), F.min("id").alias("first_claim"))
 

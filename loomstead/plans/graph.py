@@ -14,7 +14,14 @@ from loomstead.plans.registry import INPUTS, query
 INPUTS["graph_nodes"] = "SELECT s_suppkey AS node FROM supplier UNION ALL SELECT 1000000 + p_partkey FROM part"
 INPUTS["graph_edges"] = "SELECT source_id AS a, target_id AS b, rel FROM topic_edges"
 INPUTS["graph_pairs"] = "SELECT DISTINCT a, b FROM graph_edges"
-COMPONENTS = "WITH RECURSIVE both_ways AS (SELECT a, b FROM graph_pairs UNION ALL SELECT b, a FROM graph_pairs), reach AS (SELECT node, node AS m FROM graph_nodes UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.m)"
+COMPONENTS = """WITH RECURSIVE both_ways AS (SELECT a, b
+    FROM graph_pairs
+    UNION ALL SELECT b, a
+    FROM graph_pairs), reach AS (SELECT node, node AS m
+    FROM graph_nodes
+    UNION SELECT r.node, e.b
+    FROM reach r
+    JOIN both_ways e ON e.a = r.m)"""
 
 
 def pairs(t):
@@ -27,7 +34,24 @@ def two_way(t):
     return w.join(out, ["a", "b"]).select("a", "b", "weight", F.col("l").alias("label"))
 
 
-@query("G01_statistics", COMPONENTS + ", comp AS (SELECT node, min(m) AS c FROM reach GROUP BY node) SELECT (SELECT count(*) FROM graph_nodes) AS n_nodes, (SELECT count(*) FROM graph_pairs) AS n_edges, round(2.0 * (SELECT count(*) FROM graph_pairs) / (SELECT count(*) FROM graph_nodes), 4) AS average_degree, round((SELECT count(*) FROM graph_pairs) * 1.0 / ((SELECT count(*) FROM graph_nodes) * ((SELECT count(*) FROM graph_nodes) - 1)), 6) AS density, (SELECT count(*) FROM graph_nodes WHERE node NOT IN (SELECT a FROM both_ways)) AS n_isolated, (SELECT count(DISTINCT c) FROM comp) AS n_components, round((SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY c)) * 1.0 / (SELECT count(*) FROM graph_nodes), 4) AS largest_share")
+@query("G01_statistics", COMPONENTS + """, comp AS (SELECT node, min(m) AS c
+    FROM reach
+    GROUP BY node) SELECT (SELECT count(*)
+    FROM graph_nodes) AS n_nodes, (SELECT count(*)
+    FROM graph_pairs) AS n_edges, round(2.0 * (SELECT count(*)
+    FROM graph_pairs) / (SELECT count(*)
+    FROM graph_nodes), 4) AS average_degree, round((SELECT count(*)
+    FROM graph_pairs) * 1.0 / ((SELECT count(*)
+    FROM graph_nodes) * ((SELECT count(*)
+    FROM graph_nodes) - 1)), 6) AS density, (SELECT count(*)
+    FROM graph_nodes
+    WHERE node NOT IN (SELECT a
+    FROM both_ways)) AS n_isolated, (SELECT count(DISTINCT c)
+    FROM comp) AS n_components, round((SELECT max(n)
+    FROM (SELECT count(*) AS n
+    FROM comp
+    GROUP BY c)) * 1.0 / (SELECT count(*)
+    FROM graph_nodes), 4) AS largest_share""")
 def g01(t):
     return g.statistics(t.graph_nodes, pairs(t))
 
@@ -37,19 +61,47 @@ def g02(t):
     return g.components(t.graph_nodes, pairs(t))
 
 
-@query("G03_weighted", "SELECT a, b, round(sum(CAST(CASE rel WHEN 'is_part_of' THEN 1.0 WHEN 'depends_on' THEN 0.7 ELSE 0.3 END AS DOUBLE)), 6) AS weight FROM (SELECT a, b, rel FROM graph_edges UNION ALL SELECT b, a, rel FROM graph_edges) GROUP BY 1, 2")
+@query("G03_weighted", """SELECT a, b, round(sum(CAST(CASE rel WHEN 'is_part_of' THEN 1.0 WHEN 'depends_on' THEN 0.7 ELSE 0.3 END AS DOUBLE)), 6) AS weight
+    FROM (SELECT a, b, rel
+    FROM graph_edges
+    UNION ALL SELECT b, a, rel
+    FROM graph_edges)
+    GROUP BY 1, 2""")
 def g03(t):
     return g.weighted(t.graph_edges, "rel")
 
 
-@query("G04_viable", COMPONENTS + ", comp AS (SELECT node, min(m) AS c FROM reach GROUP BY node) SELECT 2.0 * (SELECT count(*) FROM graph_pairs) / (SELECT count(*) FROM graph_nodes) > 3 AND (SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY c)) > 0.6 * (SELECT count(*) FROM graph_nodes) AND (SELECT count(*) FROM graph_nodes WHERE node NOT IN (SELECT a FROM both_ways)) < 0.2 * (SELECT count(*) FROM graph_nodes) AS viable")
+@query("G04_viable", COMPONENTS + """, comp AS (SELECT node, min(m) AS c
+    FROM reach
+    GROUP BY node) SELECT 2.0 * (SELECT count(*)
+    FROM graph_pairs) / (SELECT count(*)
+    FROM graph_nodes) > 3 AND (SELECT max(n)
+    FROM (SELECT count(*) AS n
+    FROM comp
+    GROUP BY c)) > 0.6 * (SELECT count(*)
+    FROM graph_nodes) AND (SELECT count(*)
+    FROM graph_nodes
+    WHERE node NOT IN (SELECT a
+    FROM both_ways)) < 0.2 * (SELECT count(*)
+    FROM graph_nodes) AS viable""")
 def g04(t):
     s = g.statistics(t.graph_nodes, pairs(t))
     return s.select(((F.col("average_degree") > 3) & (F.col("largest_share") > 0.6) & (F.col("n_isolated") < 0.2 * F.col("n_nodes"))).alias("viable"))
 
 
 TWO_WAY = "(SELECT a, b FROM graph_pairs UNION ALL SELECT b, a FROM graph_pairs)"
-WALK = f"SELECT start, node, min(depth) AS depth FROM (SELECT node AS start, node, 0 AS depth FROM graph_nodes WHERE node % 50 = 0 UNION ALL SELECT e.a, e.b, 1 FROM {TWO_WAY} e WHERE e.a % 50 = 0 UNION ALL SELECT e.a, f.b, 2 FROM {TWO_WAY} e JOIN {TWO_WAY} f ON f.a = e.b WHERE e.a % 50 = 0) GROUP BY 1, 2"
+WALK = f"""SELECT start, node, min(depth) AS depth
+    FROM (SELECT node AS start, node, 0 AS depth
+    FROM graph_nodes
+    WHERE node % 50 = 0
+    UNION ALL SELECT e.a, e.b, 1
+    FROM {TWO_WAY} e
+    WHERE e.a % 50 = 0
+    UNION ALL SELECT e.a, f.b, 2
+    FROM {TWO_WAY} e
+    JOIN {TWO_WAY} f ON f.a = e.b
+    WHERE e.a % 50 = 0)
+    GROUP BY 1, 2"""
 
 
 @query("G05_bounded_search", WALK)
@@ -57,12 +109,27 @@ def g05(t):
     return g.reach(t.graph_nodes.filter("node % 50 = 0"), two_way(t), 2).select("start", "node", "depth")
 
 
-@query("G06_ego", f"SELECT start, node, depth FROM (SELECT w.*, row_number() OVER (PARTITION BY start ORDER BY w.depth, d.degree DESC NULLS LAST, w.node) AS r FROM ({WALK}) w LEFT JOIN (SELECT a AS node, count(*) AS degree FROM {TWO_WAY} GROUP BY 1) d ON d.node = w.node WHERE depth > 0) WHERE r <= 15")
+@query("G06_ego", f"""SELECT start, node, depth
+    FROM (SELECT w.*, row_number() OVER (PARTITION BY start
+    ORDER BY w.depth, d.degree DESC NULLS LAST, w.node) AS r
+    FROM ({WALK}) w
+    LEFT
+    JOIN (SELECT a AS node, count(*) AS degree
+    FROM {TWO_WAY}
+    GROUP BY 1) d ON d.node = w.node
+    WHERE depth > 0)
+    WHERE r <= 15""")
 def g06(t):
     return g.ego(t.graph_nodes.filter("node % 50 = 0"), two_way(t), degrees(pairs(t), "a", "b"), 2, 15)
 
 
-TOP = f"(SELECT node FROM (SELECT node, row_number() OVER (PARTITION BY node < 1000000 ORDER BY n DESC, node) AS r FROM (SELECT a AS node, count(*) AS n FROM {TWO_WAY} GROUP BY 1)) WHERE r <= 25)"
+TOP = f"""(SELECT node
+    FROM (SELECT node, row_number() OVER (PARTITION BY node < 1000000
+    ORDER BY n DESC, node) AS r
+    FROM (SELECT a AS node, count(*) AS n
+    FROM {TWO_WAY}
+    GROUP BY 1))
+    WHERE r <= 25)"""
 
 
 @query("G07_overview", f"SELECT a, b FROM graph_pairs WHERE a IN {TOP} AND b IN {TOP}")
@@ -87,13 +154,20 @@ def g09(t):
     return of.join(small, "community").select("node", F.when(F.col("n") >= 2, F.col("community")).alias("community"))
 
 
-@query("G11_members", "SELECT category, id, n FROM (SELECT t.category, t.id, count(c.id) AS n FROM topics t LEFT JOIN claims c ON c.topic_id = t.id AND c.status = 'active' GROUP BY 1, 2)")
+@query("G11_members", """SELECT category, id, n
+    FROM (SELECT t.category, t.id, count(c.id) AS n
+    FROM topics t
+    LEFT
+    JOIN claims c ON c.topic_id = t.id AND c.status = 'active'
+    GROUP BY 1, 2)""")
 def g11(t):
     n = t.claims.filter("status = 'active'").groupBy(F.col("topic_id").alias("id")).agg(F.count("*").alias("n"))
     return t.topics.select("category", "id").join(n, "id", "left").select("category", "id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("G12_report_reuse", "SELECT p_brand AS community, CASE WHEN count(*) < 3 THEN 'small' WHEN max(p_partkey) % 2 = 0 THEN 'reused' ELSE 'new' END AS report FROM part GROUP BY p_brand")
+@query("G12_report_reuse", """SELECT p_brand AS community, CASE WHEN count(*) < 3 THEN 'small' WHEN max(p_partkey) % 2 = 0 THEN 'reused' ELSE 'new' END AS report
+    FROM part
+    GROUP BY p_brand""")
 def g12(t):
     now = t.part.groupBy("p_brand").agg(members_hash(F.collect_list("p_partkey")).alias("h"), F.count("*").alias("n"), F.max("p_partkey").alias("m"))
     stored = now.filter("m % 2 = 0").select(F.col("h").alias("s_"))
@@ -101,7 +175,13 @@ def g12(t):
     return rows.select(F.col("p_brand").alias("community"), F.when(F.col("n") < 3, "small").when(F.col("s_").isNotNull(), "reused").otherwise("new").alias("report"))
 
 
-TREE = "WITH RECURSIVE d AS (SELECT id, 0 AS depth FROM topics WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM topics) OR parent_id = id UNION ALL SELECT t.id, d.depth + 1 FROM topics t JOIN d ON t.parent_id = d.id AND t.id <> t.parent_id)"
+TREE = """WITH RECURSIVE d AS (SELECT id, 0 AS depth
+    FROM topics
+    WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id
+    FROM topics) OR parent_id = id
+    UNION ALL SELECT t.id, d.depth + 1
+    FROM topics t
+    JOIN d ON t.parent_id = d.id AND t.id <> t.parent_id)"""
 
 
 @query("G14_topic_tree", TREE + " SELECT id, depth FROM d")
@@ -109,7 +189,9 @@ def g14(t):
     return g.tree_depths(t.topics.select("id", "parent_id"))
 
 
-@query("G15_break_cycles", "SELECT id, CASE WHEN id % 6 = 5 OR id = 1 THEN NULL ELSE parent_id END AS parent_id FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey - p_partkey % 6 END AS parent_id FROM part)")
+@query("G15_break_cycles", """SELECT id, CASE WHEN id % 6 = 5 OR id = 1 THEN NULL ELSE parent_id END AS parent_id
+    FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey - p_partkey % 6 END AS parent_id
+    FROM part)""")
 def g15(t):
     k = F.col("p_partkey")
     parent = F.when(k % 6 == 5, k).when(k == 1, F.lit(1).cast("long")).when(k % 6 > 0, k - k % 6)

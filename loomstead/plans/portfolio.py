@@ -19,7 +19,14 @@ def reach(t):
     return t.relations.filter("rel = 'serves'").groupBy(F.col("from_id").alias("id")).agg(F.count("to_id").alias("reach"))
 
 
-@query("P01_headline", "SELECT count(*) AS n, count(*) FILTER (WHERE fs_type = 'Platform') AS platforms, count(*) FILTER (WHERE end_date IS NOT NULL OR lifecycle IN ('phaseOut', 'endOfLife')) AS ending, round(avg(completion), 6) AS completeness, (SELECT count(DISTINCT to_id) FROM relations WHERE rel = 'vendor') AS vendors, (SELECT count(DISTINCT to_id) FROM relations WHERE rel = 'capability') AS capabilities FROM assets")
+@query("P01_headline", """SELECT count(*) AS n, count(*) FILTER (WHERE fs_type = 'Platform') AS platforms,
+      count(*) FILTER (WHERE end_date IS NOT NULL OR lifecycle IN ('phaseOut', 'endOfLife')) AS ending, round(avg(completion), 6) AS completeness,
+      (SELECT count(DISTINCT to_id)
+    FROM relations
+    WHERE rel = 'vendor') AS vendors, (SELECT count(DISTINCT to_id)
+    FROM relations
+    WHERE rel = 'capability') AS capabilities
+    FROM assets""")
 def p01(t):
     ending = F.col("end_date").isNotNull() | F.col("lifecycle").isin("phaseOut", "endOfLife")
     a = t.assets.agg(F.count("*").alias("n"), F.count(F.when(F.col("fs_type") == "Platform", 1)).alias("platforms"), F.count(F.when(ending, 1)).alias("ending"), F.round(F.avg("completion"), 6).alias("completeness"))
@@ -28,7 +35,10 @@ def p01(t):
     return a.join(F.broadcast(e), how="cross")  # a row each
 
 
-@query("P02_breakdown", "SELECT CASE lifecycle WHEN 'plan' THEN 'Plan' WHEN 'phaseIn' THEN 'Phase in' WHEN 'active' THEN 'Active' WHEN 'phaseOut' THEN 'Phase out' WHEN 'endOfLife' THEN 'End of life' ELSE 'Not set' END AS label, count(*) AS n FROM assets GROUP BY lifecycle")
+@query("P02_breakdown", """SELECT CASE lifecycle WHEN 'plan' THEN 'Plan' WHEN 'phaseIn' THEN 'Phase in' WHEN 'active' THEN 'Active'
+      WHEN 'phaseOut' THEN 'Phase out' WHEN 'endOfLife' THEN 'End of life' ELSE 'Not set' END AS label, count(*) AS n
+    FROM assets
+    GROUP BY lifecycle""")
 def p02(t):
     return t.assets.groupBy("lifecycle").agg(F.count("*").alias("n")).select(label(F.col("lifecycle")).alias("label"), "n")
 
@@ -38,35 +48,72 @@ def p03(t):
     return t.assets.join(reach(t), "id").select("id", "name", "lifecycle", "reach").orderBy(F.desc("reach"), "id").limit(15)
 
 
-@query("P04_vendor_concentration", "SELECT s_name, count(DISTINCT l_partkey) AS n_parts FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name ORDER BY n_parts DESC, s_name LIMIT 15")
+@query("P04_vendor_concentration", """SELECT s_name, count(DISTINCT l_partkey) AS n_parts
+    FROM lineitem
+    JOIN supplier ON l_suppkey = s_suppkey
+    GROUP BY s_name
+    ORDER BY n_parts DESC, s_name LIMIT 15""")
 def p04(t):
     parts = t.lineitem.groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n_parts"))
     named = t.supplier.select("s_suppkey", "s_name")
     return parts.join(named, parts.l_suppkey == named.s_suppkey).select("s_name", "n_parts").orderBy(F.desc("n_parts"), "s_name").limit(15)
 
 
-@query("P05_concentration_statistics", "SELECT count(*) AS n_groups, CAST(max(total) AS BIGINT) AS total, round(max(n) / max(total), 6) AS top_share, min(rank) FILTER (WHERE run * 2 >= total) AS to_half, CAST(sum(n) FILTER (WHERE rank <= 5) AS BIGINT) AS top_sum, CAST(sum(n) FILTER (WHERE rank > 5) AS BIGINT) AS rest FROM (SELECT n, row_number() OVER w AS rank, sum(n) OVER w AS run, sum(n) OVER () AS total FROM (SELECT to_name, count(DISTINCT from_id) AS n FROM relations WHERE rel = 'vendor' GROUP BY 1) WINDOW w AS (ORDER BY n DESC, to_name))")
+@query("P05_concentration_statistics", """SELECT count(*) AS n_groups, CAST(max(total) AS BIGINT) AS total, round(max(n) / max(total), 6) AS top_share,
+      min(rank) FILTER (WHERE run * 2 >= total) AS to_half, CAST(sum(n) FILTER (WHERE rank <= 5) AS BIGINT) AS top_sum,
+      CAST(sum(n) FILTER (WHERE rank > 5) AS BIGINT) AS rest
+    FROM (SELECT n, row_number() OVER w AS rank, sum(n) OVER w AS run, sum(n) OVER () AS total
+    FROM (SELECT to_name, count(DISTINCT from_id) AS n
+    FROM relations
+    WHERE rel = 'vendor'
+    GROUP BY 1)
+    WINDOW w AS (ORDER BY n DESC, to_name))""")
 def p05(t):
     return p.concentration_statistics(p.concentration(t.relations, "vendor"), "n")
 
 
-@query("P06_thin_ends", "SELECT count(*) AS n_groups, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS most FROM (SELECT count(DISTINCT from_id) AS n FROM relations WHERE rel = 'serves' GROUP BY to_id)")
+@query("P06_thin_ends", """SELECT count(*) AS n_groups, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS most
+    FROM (SELECT count(DISTINCT from_id) AS n
+    FROM relations
+    WHERE rel = 'serves'
+    GROUP BY to_id)""")
 def p06(t):
     n = t.relations.filter("rel = 'serves'").groupBy("to_id").agg(F.count_distinct("from_id").alias("n"))
     return n.agg(F.count("*").alias("n_groups"), F.count(F.when(F.col("n") == 1, 1)).alias("singletons"), F.max("n").alias("most"))
 
 
-@query("P07_dense_matrix", "SELECT c.criticality, l.lifecycle, count(a.id) AS n FROM (SELECT DISTINCT criticality FROM assets) c CROSS JOIN (SELECT DISTINCT lifecycle FROM assets) l LEFT JOIN assets a ON a.criticality IS NOT DISTINCT FROM c.criticality AND a.lifecycle IS NOT DISTINCT FROM l.lifecycle GROUP BY 1, 2")
+@query("P07_dense_matrix", """SELECT c.criticality, l.lifecycle, count(a.id) AS n
+    FROM (SELECT DISTINCT criticality
+    FROM assets) c
+    CROSS
+    JOIN (SELECT DISTINCT lifecycle
+    FROM assets) l
+    LEFT
+    JOIN assets a ON a.criticality IS NOT DISTINCT
+    FROM c.criticality AND a.lifecycle IS NOT DISTINCT
+    FROM l.lifecycle
+    GROUP BY 1, 2""")
 def p07(t):
     return p.dense_matrix(t.assets, "criticality", "lifecycle")
 
 
-@query("P08_runway", f"SELECT id, name, round(date_diff('day', {NOW}, end_date) / 30.44, 6) AS months, end_date < {NOW} AS started, coalesce(reach, 0) AS reach FROM assets LEFT JOIN ({REACH}) r ON r.from_id = id WHERE end_date IS NOT NULL ORDER BY end_date, id LIMIT 25")
+@query("P08_runway", f"""SELECT id, name, round(date_diff('day', {NOW}, end_date) / 30.44, 6) AS months, end_date < {NOW} AS started, coalesce(reach, 0) AS reach
+    FROM assets
+    LEFT
+    JOIN ({REACH}) r ON r.from_id = id
+    WHERE end_date IS NOT NULL
+    ORDER BY end_date, id LIMIT 25""")
 def p08(t):
     return p.runway(t.assets, reach(t), F.expr(NOW)).orderBy("months", "id").limit(25)
 
 
-@query("P09_action_gap", f"SELECT id, reach, concat_ws(',', CASE WHEN end_date IS NOT NULL OR lifecycle IN ('phaseOut', 'endOfLife') THEN 'ending' END, CASE WHEN fit = 'unreasonable' THEN 'poor fit' END) AS reasons, id IN (SELECT from_id FROM relations WHERE rel = 'org' AND to_id LIKE '%1') AS planned FROM assets JOIN ({REACH}) r ON r.from_id = id WHERE reach >= 20 AND (end_date IS NOT NULL OR lifecycle IN ('phaseOut', 'endOfLife') OR fit = 'unreasonable')")
+@query("P09_action_gap", f"""SELECT id, reach, concat_ws(',', CASE WHEN end_date IS NOT NULL OR lifecycle IN ('phaseOut', 'endOfLife') THEN 'ending' END,
+      CASE WHEN fit = 'unreasonable' THEN 'poor fit' END) AS reasons, id IN (SELECT from_id
+    FROM relations
+    WHERE rel = 'org' AND to_id LIKE '%1') AS planned
+    FROM assets
+    JOIN ({REACH}) r ON r.from_id = id
+    WHERE reach >= 20 AND (end_date IS NOT NULL OR lifecycle IN ('phaseOut', 'endOfLife') OR fit = 'unreasonable')""")
 def p09(t):
     planned = t.relations.filter("rel = 'org' AND to_id LIKE '%1'").select(F.col("from_id").alias("id"))
     return p.action_gap(t.assets, reach(t), planned, ["unreasonable", "inappropriate"])
@@ -78,7 +125,13 @@ def p10(t):
     return rows.orderBy(F.desc("n"), "owner").limit(12)
 
 
-@query("P11_record_gaps", "SELECT count(*) FILTER (WHERE fit IS NULL) AS no_fit, count(*) FILTER (WHERE criticality IS NULL) AS no_criticality, count(*) FILTER (WHERE lifecycle IS NULL) AS no_lifecycle, count(*) FILTER (WHERE id NOT IN (SELECT from_id FROM relations WHERE rel = 'capability')) AS no_capability, count(*) FILTER (WHERE id NOT IN (SELECT from_id FROM relations WHERE rel = 'vendor')) AS no_vendor FROM assets")
+@query("P11_record_gaps", """SELECT count(*) FILTER (WHERE fit IS NULL) AS no_fit, count(*) FILTER (WHERE criticality IS NULL) AS no_criticality,
+      count(*) FILTER (WHERE lifecycle IS NULL) AS no_lifecycle, count(*) FILTER (WHERE id NOT IN (SELECT from_id
+    FROM relations
+    WHERE rel = 'capability')) AS no_capability, count(*) FILTER (WHERE id NOT IN (SELECT from_id
+    FROM relations
+    WHERE rel = 'vendor')) AS no_vendor
+    FROM assets""")
 def p11(t):
     has = t.relations.groupBy(F.col("from_id").alias("id")).agg(F.bool_or(F.col("rel") == "capability").alias("c"), F.bool_or(F.col("rel") == "vendor").alias("v"))
     none = lambda c, n: F.count(F.when(c, 1)).alias(n)
@@ -86,7 +139,12 @@ def p11(t):
     return rows.agg(none(F.col("fit").isNull(), "no_fit"), none(F.col("criticality").isNull(), "no_criticality"), none(F.col("lifecycle").isNull(), "no_lifecycle"), none(~F.coalesce("c", F.lit(False)), "no_capability"), none(~F.coalesce("v", F.lit(False)), "no_vendor"))
 
 
-@query("P12_asset_table", "SELECT a.id, a.name, string_agg(r.to_name, ', ' ORDER BY r.to_name) FILTER (WHERE r.rel <> 'serves') AS far_ends, count(*) FILTER (WHERE r.rel = 'serves') AS n_serves FROM assets a LEFT JOIN relations r ON r.from_id = a.id GROUP BY a.id, a.name")
+@query("P12_asset_table", """SELECT a.id, a.name, string_agg(r.to_name, ', '
+    ORDER BY r.to_name) FILTER (WHERE r.rel <> 'serves') AS far_ends, count(*) FILTER (WHERE r.rel = 'serves') AS n_serves
+    FROM assets a
+    LEFT
+    JOIN relations r ON r.from_id = a.id
+    GROUP BY a.id, a.name""")
 def p12(t):
     names = F.array_join(F.sort_array(F.collect_list(F.when(F.col("rel") != "serves", F.col("to_name")))), ", ")
     far = t.relations.groupBy(F.col("from_id").alias("id")).agg(F.nullif(names, F.lit("")).alias("far_ends"), F.count(F.when(F.col("rel") == "serves", 1)).alias("n_serves"))
@@ -143,7 +201,14 @@ for dimension_, key_, key2_, where in DRILLS:
     )
 
 
-@query("P14_platform_edges", "SELECT to_id, coalesce(to_name, to_id) AS name, lifecycle, (SELECT count(*) FROM relations WHERE from_id = 'S5' AND rel = 'serves') AS total FROM relations r LEFT JOIN assets a ON a.id = r.to_id WHERE from_id = 'S5' AND rel = 'serves' ORDER BY name, to_id LIMIT 500")
+@query("P14_platform_edges", """SELECT to_id, coalesce(to_name, to_id) AS name, lifecycle, (SELECT count(*)
+    FROM relations
+    WHERE from_id = 'S5' AND rel = 'serves') AS total
+    FROM relations r
+    LEFT
+    JOIN assets a ON a.id = r.to_id
+    WHERE from_id = 'S5' AND rel = 'serves'
+    ORDER BY name, to_id LIMIT 500""")
 def p14(t):
     edges = t.relations.filter("from_id = 'S5' AND rel = 'serves'").join(t.assets.select(F.col("id").alias("to_id"), "lifecycle"), "to_id", "left")
     return r.capped(edges.select("to_id", F.coalesce("to_name", "to_id").alias("name"), "lifecycle"), [F.col("name"), F.col("to_id")]).drop("truncated")
@@ -164,7 +229,10 @@ def taxonomy(t):
     return [("alias", alias), ("3", keyed(t.customer, "c_mktsegment")), ("2", keyed(t.nation.filter("n_nationkey % 4 <> 0"), "n_name")), ("1", keyed(t.region, "r_name"))]
 
 
-@query("P16_taxonomy_resolution", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN c_mktsegment WHEN 2 THEN CASE WHEN c_nationkey % 4 <> 0 THEN n_name END WHEN 3 THEN r_name END AS node, CASE c_custkey % 5 WHEN 0 THEN 'alias' WHEN 1 THEN '3' WHEN 2 THEN CASE WHEN c_nationkey % 4 <> 0 THEN '2' END WHEN 3 THEN '1' END AS level FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("P16_taxonomy_resolution", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN c_mktsegment WHEN 2 THEN CASE WHEN c_nationkey % 4 <> 0 THEN n_name END WHEN 3 THEN r_name END AS node, CASE c_custkey % 5 WHEN 0 THEN 'alias' WHEN 1 THEN '3' WHEN 2 THEN CASE WHEN c_nationkey % 4 <> 0 THEN '2' END WHEN 3 THEN '1' END AS level
+    FROM customer
+    JOIN nation ON c_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey""")
 def p16(t):
     said = F.when(F.col("c_custkey") % 5 == 0, F.lit("Shop")).when(F.col("c_custkey") % 5 == 1, F.lower("c_mktsegment")).when(F.col("c_custkey") % 5 == 2, F.replace("n_name", F.lit("_"), F.lit(" - "))).when(F.col("c_custkey") % 5 == 3, F.lower("r_name")).otherwise("nowhere")
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -193,7 +261,16 @@ def p17(t):
     return found.join(subs, "sub_tower", "left").select("c_custkey", "sub_tower", "tower")
 
 
-@query("P18_coverage_map", "SELECT r_name, n_name, c_mktsegment, count(DISTINCT c_custkey) AS members, count(DISTINCT CASE WHEN c_acctbal > 0 THEN c_custkey END) AS covered FROM (SELECT r_name, n_name, s.c_mktsegment, c.c_custkey, c.c_acctbal FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s LEFT JOIN customer c ON c.c_nationkey = n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_custkey % 3 = 0) GROUP BY ROLLUP (r_name, n_name, c_mktsegment)")
+@query("P18_coverage_map", """SELECT r_name, n_name, c_mktsegment, count(DISTINCT c_custkey) AS members, count(DISTINCT CASE WHEN c_acctbal > 0 THEN c_custkey END) AS covered
+    FROM (SELECT r_name, n_name, s.c_mktsegment, c.c_custkey, c.c_acctbal
+    FROM nation
+    JOIN region ON n_regionkey = r_regionkey
+    CROSS
+    JOIN (SELECT DISTINCT c_mktsegment
+    FROM customer) s
+    LEFT
+    JOIN customer c ON c.c_nationkey = n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_custkey % 3 = 0)
+    GROUP BY ROLLUP (r_name, n_name, c_mktsegment)""")
 def p18(t):
     segments = t.customer.select(F.col("c_mktsegment").alias("seg")).distinct()
     frame = sized_cross(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")), segments)
@@ -213,11 +290,19 @@ def p20(t):
     return aliases.join(t.customer.select(F.col("c_mktsegment").alias("node")).distinct(), "node", "left_anti").withColumn("problem", F.lit("unknown node"))
 
 
-FEED = f"SELECT id, asset_id, title, event_date, severity, w FROM (SELECT *, {WIDE} AS w FROM (SELECT *, {VALID} AS d FROM alerts)) WHERE w >= DATE '2023-07-31'"
+FEED = f"""SELECT id, asset_id, title, event_date, severity, w
+    FROM (SELECT *, {WIDE} AS w
+    FROM (SELECT *, {VALID} AS d
+    FROM alerts))
+    WHERE w >= DATE '2023-07-31'"""
 IREACH = "SELECT to_id, count(DISTINCT from_id) AS reach FROM relations WHERE rel = 'serves' GROUP BY to_id"
 
 
-@query("P21_alert_feed", f"SELECT f.id, f.title, round(CASE f.severity WHEN 'critical' THEN 1000 WHEN 'high' THEN 300 WHEN 'medium' THEN 60 WHEN 'low' THEN 10 ELSE 1 END * (1 + log10(1 + coalesce(reach, 0))), 4) AS exposure FROM ({FEED}) f LEFT JOIN ({IREACH}) r ON r.to_id = f.asset_id ORDER BY exposure DESC, w DESC, title, f.id LIMIT 60")
+@query("P21_alert_feed", f"""SELECT f.id, f.title, round(CASE f.severity WHEN 'critical' THEN 1000 WHEN 'high' THEN 300 WHEN 'medium' THEN 60 WHEN 'low' THEN 10 ELSE 1 END * (1 + log10(1 + coalesce(reach, 0))), 4) AS exposure
+    FROM ({FEED}) f
+    LEFT
+    JOIN ({IREACH}) r ON r.to_id = f.asset_id
+    ORDER BY exposure DESC, w DESC, title, f.id LIMIT 60""")
 def p21(t):
     wide = p.far_counts(t.relations, "serves", "to_id", "from_id").withColumnRenamed("to_id", "asset_id")
     rows = t.alerts.filter(dates.is_current(F.col("event_date"), F.expr(NOW), 6)).join(wide, "asset_id", "left")
@@ -225,7 +310,13 @@ def p21(t):
     return rows.orderBy(F.desc("exposure"), F.desc_nulls_last("w"), "title", "id").limit(60).drop("w")
 
 
-@query("P22_exposure_summary", f"SELECT count(DISTINCT asset_id) AS exposed, (SELECT count(DISTINCT from_id) FROM relations WHERE rel = 'serves' AND to_id IN (SELECT asset_id FROM ({FEED}) WHERE severity IN ('critical', 'high'))) AS far_ends FROM ({FEED}) WHERE severity IN ('critical', 'high')")
+@query("P22_exposure_summary", f"""SELECT count(DISTINCT asset_id) AS exposed, (SELECT count(DISTINCT from_id)
+    FROM relations
+    WHERE rel = 'serves' AND to_id IN (SELECT asset_id
+    FROM ({FEED})
+    WHERE severity IN ('critical', 'high'))) AS far_ends
+    FROM ({FEED})
+    WHERE severity IN ('critical', 'high')""")
 def p22(t):
     urgent = t.alerts.filter(dates.is_current(F.col("event_date"), F.expr(NOW), 6) & F.col("severity").isin("critical", "high")).select(F.col("asset_id").alias("to_id")).distinct()
     far = t.relations.filter("rel = 'serves'").join(urgent, "to_id", "left_semi").agg(F.count_distinct("from_id").alias("far_ends"))
@@ -237,7 +328,9 @@ def p23(t):
     return t.assets.filter("fit IS NOT NULL").groupBy(F.col("fit").alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query("P24_disagreements", "SELECT id, fit, criticality, CASE WHEN fit = 'appropriate' THEN 'over' ELSE 'under' END AS direction FROM assets WHERE (fit = 'appropriate' AND criticality IS NULL) OR (fit IN ('inappropriate', 'unreasonable') AND criticality = 'missionCritical')")
+@query("P24_disagreements", """SELECT id, fit, criticality, CASE WHEN fit = 'appropriate' THEN 'over' ELSE 'under' END AS direction
+    FROM assets
+    WHERE (fit = 'appropriate' AND criticality IS NULL) OR (fit IN ('inappropriate', 'unreasonable') AND criticality = 'missionCritical')""")
 def p24(t):
     over, under = (F.col("fit") == "appropriate") & F.col("criticality").isNull(), F.col("fit").isin("inappropriate", "unreasonable") & (F.col("criticality") == "missionCritical")
     return t.assets.filter(over | under).select("id", "fit", "criticality", F.when(over, "over").otherwise("under").alias("direction"))

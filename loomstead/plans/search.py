@@ -33,7 +33,10 @@ def t02(t):
     return c.supplied_or_cut(sections, supplied, ["doc_id", "section"], "body")
 
 
-@query("T03_cleaning_audit", "SELECT doc_id, length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')) AS removed, round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[aeiou]', '', 'g')) / length(text) ELSE 1 END, 6) AS kept_share, CASE WHEN length(text) > 0 AND length(regexp_replace(text, '[aeiou]', '', 'g')) / length(text) < 0.5 THEN 'check' ELSE 'fine' END AS verdict FROM documents")
+@query("T03_cleaning_audit", """SELECT doc_id, length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')) AS removed,
+      round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[aeiou]', '', 'g')) / length(text) ELSE 1 END, 6) AS kept_share,
+      CASE WHEN length(text) > 0 AND length(regexp_replace(text, '[aeiou]', '', 'g')) / length(text) < 0.5 THEN 'check' ELSE 'fine' END AS verdict
+    FROM documents""")
 def t03(t):
     cleaned = t.documents.select("doc_id", F.regexp_replace("text", "[aeiou]", "").alias("text"))
     return c.cleaning_audit(t.documents, cleaned, "doc_id", "text")
@@ -46,7 +49,10 @@ def t04(t):
     return t.documents.select("doc_id", F.size(tokens(F.lower(fold(F.col("text"))))).cast("long").alias("n_tokens"))
 
 
-INDEX = f"SELECT token, doc_id, count(*) AS tf, max(n) AS length FROM (SELECT doc_id, unnest({TOKENS}) AS token, len({TOKENS}) AS n FROM documents) GROUP BY 1, 2"
+INDEX = f"""SELECT token, doc_id, count(*) AS tf, max(n) AS length
+    FROM (SELECT doc_id, unnest({TOKENS}) AS token, len({TOKENS}) AS n
+    FROM documents)
+    GROUP BY 1, 2"""
 
 
 @query("T05_inverted_index", INDEX)
@@ -90,7 +96,11 @@ def t09(t):
 
 
 COS = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5)"
-TOPK = f"SELECT q.vec_id AS qid, e.vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN queries_vec q"
+TOPK = f"""SELECT q.vec_id AS qid, e.vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id
+    ORDER BY {COS} DESC, e.vec_id) AS rank
+    FROM embeddings e
+    CROSS
+    JOIN queries_vec q"""
 
 
 def exact(t, k):
@@ -119,12 +129,21 @@ def v03(t):
     return v.dimensions(t.embeddings, "embedding")
 
 
-@query("V04_neighbour_graph", "SELECT a, b FROM (SELECT least(qid, id) AS a, greatest(qid, id) AS b FROM (SELECT x.vec_id AS qid, y.vec_id AS id, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 5) AS s, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 5) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id) WHERE r <= 5 AND s >= 0.2) GROUP BY 1, 2")
+@query("V04_neighbour_graph", """SELECT a, b
+    FROM (SELECT least(qid, id) AS a, greatest(qid, id) AS b
+    FROM (SELECT x.vec_id AS qid, y.vec_id AS id, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 5) AS s,
+      row_number() OVER (PARTITION BY x.vec_id
+    ORDER BY round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 5) DESC, y.vec_id) AS r
+    FROM embeddings x
+    JOIN embeddings y ON x.vec_id <> y.vec_id)
+    WHERE r <= 5 AND s >= 0.2)
+    GROUP BY 1, 2""")
 def v04(t):
     return v.neighbour_graph(t.embeddings, "vec_id", "embedding", 5, 0.2).select("a", "b")
 
 
-@query("V05_quantised_codes", "SELECT vec_id, len(embedding) // 2 AS n_bytes, round(CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE), 5) AS scale FROM embeddings")
+@query("V05_quantised_codes", """SELECT vec_id, len(embedding) // 2 AS n_bytes, round(CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE), 5) AS scale
+    FROM embeddings""")
 def v05(t):
     return v.quantise(t.embeddings, "vec_id", "embedding").select("vec_id", F.length("codes").cast("long").alias("n_bytes"), F.round("scale", 5).alias("scale"))
 
@@ -150,13 +169,20 @@ def v08(t):
     return t.topics.join(have, "id", "left_anti").select("id", F.concat_ws(": ", "name", "category").alias("to_embed"))
 
 
-@query("V09_alignment", "SELECT id, length(split_part(name, ' ', 1)) <= 3 OR length(split_part(name, ' ', 2)) <= 3 OR contains(lower(description), lower(split_part(name, ' ', 1))) OR contains(lower(description), lower(split_part(name, ' ', 2))) OR id % 3 = 0 AS aligned FROM topics")
+@query("V09_alignment", """SELECT id, length(split_part(name, ' ', 1)) <= 3 OR length(split_part(name, ' ', 2)) <= 3 OR contains(lower(description),
+      lower(split_part(name, ' ', 1))) OR contains(lower(description), lower(split_part(name, ' ', 2))) OR id % 3 = 0 AS aligned
+    FROM topics""")
 def v09(t):
     near = F.when(F.col("id") % 3 == 0, F.lit(0.5)).when(F.col("id") % 3 == 1, F.lit(0.1))
     return t.topics.select("id", aligned(F.col("name"), F.col("description"), near).alias("aligned"))
 
 
-@query("R01_topic_search", f"SELECT qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ({TOPK}) WHERE rank <= 15 AND score >= 0.1) WHERE rank <= 5")
+@query("R01_topic_search", f"""SELECT qid, id, rank
+    FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid
+    ORDER BY score DESC, id) AS rank
+    FROM ({TOPK})
+    WHERE rank <= 15 AND score >= 0.1)
+    WHERE rank <= 5""")
 def r01(t):
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return exact(t, 15).filter("score >= 0.1").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("qid", "id", "rank")
@@ -168,12 +194,31 @@ def r02(t):
     return exact(t, 20).join(allowed.hint("merge"), "id", "left_semi").select("qid", "id")
 
 
-@query("R02_filter_before_top_k", f"SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM ({TOPK}) t WHERE id IN (SELECT vec_id FROM embeddings WHERE label < 5)) WHERE r <= 20")
+@query("R02_filter_before_top_k", f"""SELECT qid, id
+    FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid
+    ORDER BY score DESC, id) AS r
+    FROM ({TOPK}) t
+    WHERE id IN (SELECT vec_id
+    FROM embeddings
+    WHERE label < 5))
+    WHERE r <= 20""")
 def r02b(t):
     return v.top_k(t.embeddings.filter("label < 5"), t.queries_vec, "vec_id", "embedding", 20).select("qid", "id")
 
 
-@query("R03_fused_search", BM25 + f", vec AS (SELECT qid, id AS doc_id, rank FROM ({TOPK}) WHERE rank <= 50), kw AS (SELECT qid, doc_id, rank FROM rk WHERE rank <= 50), fu AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score FROM vec a FULL JOIN kw b ON a.qid = b.qid AND a.doc_id = b.doc_id) SELECT qid, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fu) WHERE rank <= 20")
+@query("R03_fused_search", BM25 + f""", vec AS (SELECT qid, id AS doc_id, rank
+    FROM ({TOPK})
+    WHERE rank <= 50), kw AS (SELECT qid, doc_id, rank
+    FROM rk
+    WHERE rank <= 50), fu AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc_id,
+      round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score
+    FROM vec a
+    FULL
+    JOIN kw b ON a.qid = b.qid AND a.doc_id = b.doc_id) SELECT qid, doc_id, rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY qid
+    ORDER BY score DESC, doc_id) AS rank
+    FROM fu)
+    WHERE rank <= 20""")
 def r03(t):
     vec = exact(t, 50).select("qid", F.col("id").alias("doc_id"), F.col("rank").alias("a"))
     kw = ranked(t, 50).select("qid", "doc_id", F.col("rank").alias("b"))
@@ -197,7 +242,14 @@ def r05(t):
     return both.groupBy("qid", "id").agg(F.max("score").alias("score")).select("qid", "id")
 
 
-@query("R06_keyword_fallback", f"SELECT q.qid, o.id, 0.4 AS score FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT qid FROM ({TOPK}) WHERE rank <= 3 AND qid <> id AND score >= 0.45)) q JOIN asked a ON a.qid = q.qid JOIN topics o ON list_contains(string_split(lower(o.name), ' '), lower(split_part(a.query, ' ', 1)))")
+@query("R06_keyword_fallback", f"""SELECT q.qid, o.id, 0.4 AS score
+    FROM (SELECT vec_id AS qid
+    FROM embeddings
+    WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT qid
+    FROM ({TOPK})
+    WHERE rank <= 3 AND qid <> id AND score >= 0.45)) q
+    JOIN asked a ON a.qid = q.qid
+    JOIN topics o ON list_contains(string_split(lower(o.name), ' '), lower(split_part(a.query, ' ', 1)))""")
 def r06(t):
     answered = exact(t, 3).filter("qid <> id AND score >= 0.45").select("qid").distinct()
     left = t.queries_vec.select(F.col("vec_id").alias("qid")).join(answered.hint("merge"), "qid", "left_anti").join(t.asked.hint("merge"), "qid")
@@ -213,7 +265,13 @@ def q01(t):
     return share.select(F.lit(0.9).alias("least"), (F.col("hit") >= 0.9 * F.col("n")).alias("good"))
 
 
-@query("Q03_case_scores", f"SELECT qid, count(*) FILTER (WHERE l.label = e.label) / 10.0 AS precision_, coalesce(1.0 / min(rank) FILTER (WHERE l.label = e.label AND qid <> id), 0) AS reciprocal_rank FROM ({TOPK}) k JOIN embeddings l ON l.vec_id = k.qid JOIN embeddings e ON e.vec_id = k.id WHERE rank <= 10 GROUP BY qid")
+@query("Q03_case_scores", f"""SELECT qid, count(*) FILTER (WHERE l.label = e.label) / 10.0 AS precision_, coalesce(1.0 / min(rank) FILTER (WHERE l.label = e.label AND qid <> id),
+      0) AS reciprocal_rank
+    FROM ({TOPK}) k
+    JOIN embeddings l ON l.vec_id = k.qid
+    JOIN embeddings e ON e.vec_id = k.id
+    WHERE rank <= 10
+    GROUP BY qid""")
 def q03(t):
     lab = t.embeddings.select("vec_id", "label")
     rows = exact(t, 10).join(lab.select(F.col("vec_id").alias("qid"), F.col("label").alias("want")).hint("merge"), "qid").join(lab.select(F.col("vec_id").alias("id"), F.col("label").alias("got")).hint("merge"), "id")
@@ -221,7 +279,11 @@ def q03(t):
     return rows.groupBy("qid").agg((F.count(F.when(good, 1)) / 10).alias("precision_"), F.coalesce(1 / F.min(F.when(good & (F.col("qid") != F.col("id")), F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"))
 
 
-@query("Q05_draft_cases", "SELECT topic_id, count(*) AS n, array_to_string(string_split(arg_max(claim_text, length(claim_text) * 100000000 - id), ' ')[:8], ' ') AS claim FROM claims WHERE status = 'active' GROUP BY topic_id HAVING count(*) >= 3")
+@query("Q05_draft_cases", """SELECT topic_id, count(*) AS n, array_to_string(string_split(arg_max(claim_text, length(claim_text) * 100000000 - id), ' ')[:8], ' ') AS claim
+    FROM claims
+    WHERE status = 'active'
+    GROUP BY topic_id
+    HAVING count(*) >= 3""")
 def q05(t):
     longest = F.max_by("claim_text", F.struct(F.length("claim_text"), -F.col("id")))
     rows = t.claims.filter("status = 'active'").groupBy("topic_id").agg(F.count("*").alias("n"), longest.alias("claim")).filter("n >= 3")

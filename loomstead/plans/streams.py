@@ -34,17 +34,34 @@ def s01(t):
     return s.throttle(rows, "user_id", 2, 86400.0)
 
 
-@query("S02_tumbling_totals", "SELECT CAST(to_timestamp(floor(epoch(date_trunc('second', created_at)) / 21600) * 21600) AT TIME ZONE 'UTC' AS STRING) AS bucket, category, CAST(sum(total_tokens) AS BIGINT) AS total, count(*) AS calls FROM usage_log GROUP BY 1, 2 HAVING floor(max(epoch(created_at)) / 21600) * 21600 + 21600 <= (SELECT max(epoch(created_at)) - 3600 FROM usage_log)")
+@query("S02_tumbling_totals", """SELECT CAST(to_timestamp(floor(epoch(date_trunc('second', created_at)) / 21600) * 21600) AT TIME ZONE 'UTC' AS STRING) AS bucket, category,
+      CAST(sum(total_tokens) AS BIGINT) AS total, count(*) AS calls
+    FROM usage_log
+    GROUP BY 1, 2
+    HAVING floor(max(epoch(created_at)) / 21600) * 21600 + 21600 <= (SELECT max(epoch(created_at)) - 3600
+    FROM usage_log)""")
 def s02(t):
     return s.drained(s.usage_totals(usage(t), 6)).select("bucket", "category", "total", "calls")
 
 
-@query("S03_bursts", "SELECT user_id, count(*) AS n_bursts FROM (SELECT user_id, burst, max(e) AS last_at FROM (SELECT user_id, e, sum(fresh) OVER (PARTITION BY user_id ORDER BY e, id) AS burst FROM (SELECT event_id AS id, user_id, ts AS e, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 3 HOUR, true) THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY 1, 2) WHERE last_at + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY user_id")
+@query("S03_bursts", """SELECT user_id, count(*) AS n_bursts
+    FROM (SELECT user_id, burst, max(e) AS last_at
+    FROM (SELECT user_id, e, sum(fresh) OVER (PARTITION BY user_id
+    ORDER BY e, id) AS burst
+    FROM (SELECT event_id AS id, user_id, ts AS e, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id
+    ORDER BY ts, event_id) >= INTERVAL 3 HOUR, true) THEN 1 ELSE 0 END AS fresh
+    FROM events))
+    GROUP BY 1, 2)
+    WHERE last_at + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR
+    FROM events)
+    GROUP BY user_id""")
 def s03(t):
     return s.drained(s.bursts(usage(t), "user_id", "3 hours")).groupBy("user_id").agg(F.count("*").alias("n_bursts"))
 
 
-@query("S04_alert_state", "SELECT asset_id, title, CAST(min(seen_at) AS STRING) AS first_seen, CAST(max(seen_at) AS STRING) AS last_seen, count(*) AS n FROM alerts GROUP BY 1, 2")
+@query("S04_alert_state", """SELECT asset_id, title, CAST(min(seen_at) AS STRING) AS first_seen, CAST(max(seen_at) AS STRING) AS last_seen, count(*) AS n
+    FROM alerts
+    GROUP BY 1, 2""")
 def s04(t):
     rows = events(t).select(F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("asset_id"), F.concat_ws(" ", "event_type", (F.col("event_id") % 7).cast("string")).alias("title"), F.col("ts").alias("seen_at"))
     return s.drained(s.alert_state(rows), "complete").withColumn("b", F.max("batch").over(_all())).filter("batch = b").drop("b", "batch")
@@ -79,7 +96,8 @@ def s06b(t):
     return s.expire(t.assets.select("id", "end_date"), "end_date", F.expr(NOW))[1].select("id")
 
 
-@query("D01_fold_in_sql", "SELECT doc_id, replace(replace(replace(translate(strip_accents(text), 'øđðłħı', 'oddlhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS folded FROM documents")
+@query("D01_fold_in_sql", """SELECT doc_id, replace(replace(replace(translate(strip_accents(text), 'øđðłħı', 'oddlhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS folded
+    FROM documents""")
 def d01(t):
     s.register(t.spark)
     return t.spark.sql("SELECT doc_id, fold(text) AS folded FROM {documents}", documents=t.documents)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 import unicodedata
 
 import pytest
@@ -198,6 +199,102 @@ def test_communities_find_planted_groups(spark):
     assert sum(len(g) == 1 for g in groups.values()) >= 3
 
 
+def one_by_one(weights: dict) -> dict:
+    """Communities by moving nodes one after the other, then communities as nodes, until nothing gains."""
+    total, of = sum(weights.values()), {a: a for a, _ in weights}
+    level = dict(weights)
+    while True:
+        near, k = {}, {}
+        for (a, b), w in level.items():
+            near.setdefault(a, {})[b] = w
+            k[a] = k.get(a, 0) + w
+        c, size, moved = {n: n for n in k}, dict(k), False
+        for _ in range(20):
+            still = True
+            for n in sorted(k):
+                size[c[n]] -= k[n]
+                gain = {c[n]: 0.0}
+                for m, w in near[n].items():
+                    if m != n:
+                        gain[c[m]] = gain.get(c[m], 0.0) + w
+                best = max(sorted(gain), key=lambda x: gain[x] - k[n] * size[x] / total)
+                if best != c[n]:
+                    still, moved = False, True
+                c[n] = best
+                size[best] += k[n]
+            if still:
+                break
+        of = {n: c[x] for n, x in of.items()}
+        if not moved:
+            return of
+        up = {}
+        for (a, b), w in level.items():
+            up[c[a], c[b]] = up.get((c[a], c[b]), 0) + w
+        level = up
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_communities_are_about_as_good_as_one_by_one(spark, seed):
+    r = random.Random(seed)
+    pairs = {(a, b) for a in range(120) for b in range(a) if r.random() < (0.35 if a % 6 == b % 6 else 0.03)}
+    weights = {e: 1.0 for a, b in pairs for e in ((a, b), (b, a))}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "a long, b long, weight double")
+    sequential = spark.createDataFrame(list(one_by_one(weights).items()), "node long, community long")
+    want = graph.modularity(edges, sequential).first().modularity
+    assert graph.modularity(edges, graph.communities(edges)).first().modularity >= want - 0.05
+
+
+def test_similarity_communities_follow_planted_directions(spark):
+    r = random.Random(5)
+    rows = [(i, [1.0 if d == i % 4 else r.gauss(0, 0.1) for d in range(8)]) for i in range(80)]
+    near = vectors.neighbour_graph(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", 5, 0.5)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    groups = {}
+    for x in graph.communities(both).collect():
+        groups.setdefault(x.community, set()).add(x.node % 4)
+    assert all(len(g) == 1 for g in groups.values())
+
+
+def test_top_k_equals_brute_force_with_ties_and_small_batches(spark):
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)]) for i in range(300)]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b)), 5) if norm(a) and norm(b) else 0.0
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = {(x.qid, x["rank"]): x.id for x in vectors.top_k(df, df.filter("id % 25 = 0"), "id", "v", 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for q, v in rows[::25]:
+        for n, (_, i) in enumerate(sorted((-cos(v, w), i) for i, w in rows)[:7], 1):
+            want[q, n] = i
+    assert got == want
+
+
+def test_snippets_show_the_best_span(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["the", "Then", "a", "cat", "sat"]) for _ in range(r.choice([1, 5, 24, 25, 90])))) for i in range(40)] + [(99, "no hit")]
+    got = {x.id: x.snippet for x in corpus.snippets(spark.createDataFrame(rows, "id long, body string"), "body", "THE", 24).collect()}
+    for i, text_ in rows:
+        w = text_.split()
+        hit = [x.lower().startswith("the") for x in w]
+        last = max(0, len(w) - 24)
+        shown = re.sub(r"\[\[/?HL\]\]", "", got[i])
+        at = 0 if not shown.startswith("... ") else next(s for s in range(1, last + 1) if w[s : s + 24] == shown[4:].removesuffix(" ...").split() and sum(hit[s : s + 24]) == got[i].count("[[HL]]"))
+        assert got[i].count("[[HL]]") == max(sum(hit[s : s + 24]) for s in range(last + 1))
+        assert shown == ("... " if at else "") + " ".join(w[at : at + 24]) + (" ..." if at + 24 < len(w) else "")
+
+
+def test_chunks_in_sql_are_those_of_the_function(spark):
+    streaming.register(spark)
+    said = "# One\n" + "A sentence here. " * 200 + "\n# Two\nshort"
+    spark.createDataFrame([(said,)], "said string").createOrReplaceTempView("said_")
+    found = [r.content for r in spark.sql("SELECT c.content FROM said_, LATERAL chunks(said) c ORDER BY c.chunk_no").collect()]
+    assert found == corpus.chunk_text(said) and len(found) > 2
+
+
 def test_quantised_recall(spark):
     r = random.Random(2)
     rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(32)]) for i in range(600)], "vec_id long, embedding array<float>")
