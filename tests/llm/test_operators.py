@@ -540,6 +540,52 @@ def test_lm_probabilities_sum_to_one_and_reruns_agree(spark):
     assert scores(docs.coalesce(1)) == scores(docs.coalesce(1))
 
 
+def test_lm_scores_texts_that_occur_twice_apart(spark):
+    """Texts of new words' orders: those that training has elsewhere score higher by the token than those it has once."""
+    texts = {i: prose(150, 9000 + i) for i in range(60)}
+    rows = [(i, t, "en", "a", 1) for i, t in texts.items()] + [(1000 + i, texts[i], "en", "a", 1) for i in range(20)]
+    got = lm.score(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    got["each"] = got.score / got.n_tokens
+    train = {r.doc_id for r in got.itertuples() if not r.held_out}
+    twice = got.doc_id.map(lambda d: (d % 1000 < 20) and (d + 1000 if d < 1000 else d - 1000) in train)
+    assert twice.sum() > 20 and got.each[twice].min() > got.each[~twice].max()
+
+
+def test_lm_followers_keep_probabilities(spark):
+    """Of every history, q times the gain summed over all words is 1: over those that followed it, and the rest of q."""
+    r = random.Random(3)
+    rows = []
+    for rid in range(200):
+        before = [r.randrange(6) for _ in range(4)]
+        word = [r.randrange(5) for _ in before]
+        rows.append((rid, rid % 5 == 0, before, word, [float(np.log10(0.02 * (w + 1) + 0.01 * b)) for b, w in zip(before, word, strict=True)]))
+    df = spark.createDataFrame(rows, "rid long, held_out boolean, before array<long>, word array<long>, q array<float>")
+    gain = {}
+    for x in lm.followed(df).collect():
+        gain[x.rid] = gain.get(x.rid, 0.0) + x.logs
+    count = {}
+    for _, held, before, word, _ in rows:
+        for k in zip(before, word, strict=True):
+            count[k] = count.get(k, 0) + (not held)
+    q = lambda b, w: 0.02 * (w + 1) + 0.01 * b
+
+    def total(weight):
+        """Of each text, the gains by brute force."""
+        out = {}
+        for rid, held, before, word, _ in rows:
+            for b, w in zip(before, word, strict=True):
+                c = {x: count.get((b, x), 0) - (not held and x == w) for x in range(5)}
+                s = sum(q(b, x) for x in c if c[x] > 0)
+                z = 1 + np.expm1(weight) * s
+                out[rid] = out.get(rid, 0.0) + (weight / np.log(10) if c[w] > 0 else 0.0) - np.log10(z)
+                assert sum(q(b, x) * (np.exp(weight) if c[x] > 0 else 1) / z for x in range(5)) + (1 - sum(q(b, x) for x in range(5))) / z == pytest.approx(1)
+        return out
+
+    best = max(np.linspace(0, 8, 401), key=lambda x: sum(v for rid, v in total(x).items() if rid % 5))
+    want = total(best)
+    assert all(gain.get(rid, 0.0) == pytest.approx(want[rid], abs=0.02) for rid in want)
+
+
 def test_maxent_learns_what_follows():
     r = np.random.default_rng(0)
     first = r.integers(0, 50, 60_000).astype(np.int32)
