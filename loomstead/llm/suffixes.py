@@ -37,8 +37,9 @@ from loomstead.llm.common import written
 
 LENGTH, GRAM, PLACES = 100, 8, 64
 SURE = LENGTH - PLACES + 1
-#: Small enough for the arrays of a merge to stay in a core's cache.
-SHARD, CHUNK = 1 << 18, 1 << 20
+#: Bytes of a shard and of the contexts merged at once, small enough for the arrays of a merge to stay in a core's cache, and bytes
+#: of rows that are gathered before they are cut into such chunks.
+SHARD, CHUNK, READ = 1 << 15, 1 << 17, 1 << 20
 LAST = (1 << 63) - 1
 #: Distinct contexts that a task remembers (some 200 bytes each), to settle equal ones before the shuffle.
 REMEMBERED = 500_000
@@ -286,6 +287,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.setdefault(th[i], []).extend((edge + int(start[i])).tolist())
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([np.array(v, np.int32).tobytes() for v in out.values()], pa.binary())], ["th", "starts"])
 
+    def chunks(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Chunks of about CHUNK bytes of contexts that part no key."""
+        key = rows.column("key").to_numpy()
+        edge = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+        held = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("context")).to_numpy().astype(np.int64))])[edge]
+        i = 0
+        while i < len(edge) - 1:
+            j = max(i + 1, int(np.searchsorted(held, held[i] + CHUNK, "right")) - 1)
+            yield chunk(rows.slice(edge[i], edge[j] - edge[i]))
+            i = j
+
     size = 0
     for b in batches:
         whole = b.filter(pc.is_valid(b.column("whole")))
@@ -296,17 +308,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
         held.append(b)
         size += b.nbytes
-        if size < CHUNK:
+        if size < READ:
             continue
         rows = pa.Table.from_batches(held)
         key = rows.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            yield chunk(rows.slice(0, cut))
+            yield from chunks(rows.slice(0, cut))
         held = rows.slice(cut).to_batches()
         size = sum(x.nbytes for x in held) if cut else 0  # a key alone is larger than a chunk: look again after as much more
     if held and (rows := pa.Table.from_batches(held)).num_rows:
-        yield chunk(rows)
+        yield from chunks(rows)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
