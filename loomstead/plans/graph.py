@@ -189,12 +189,15 @@ def g14(t):
     return g.tree_depths(t.topics.select("id", "parent_id"))
 
 
-@query("G15_break_cycles", """SELECT id, CASE WHEN id % 6 = 5 OR id = 1 THEN NULL ELSE parent_id END AS parent_id
-    FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey - p_partkey % 6 END AS parent_id
-    FROM part)""")
+@query("G15_break_cycles", """SELECT id, CASE WHEN id % 6 IN (4, 5) OR id = 1 THEN NULL ELSE parent_id END AS parent_id
+    FROM (SELECT p_partkey AS id, nullif(p_partkey - p_partkey % 6, p_partkey) AS parent_id FROM part)
+    WHERE parent_id IS NULL OR parent_id IN (SELECT p_partkey FROM part)
+    UNION ALL
+    SELECT p_partkey, NULL FROM part WHERE p_partkey % 6 > 0 AND p_partkey - p_partkey % 6 NOT IN (SELECT p_partkey FROM part)""")
 def g15(t):
+    """Loops of two (4 and 5 of every six), an own parent, unknown parents, and sound ones."""
     k = F.col("p_partkey")
-    parent = F.when(k % 6 == 5, k).when(k == 1, F.lit(1).cast("long")).when(k % 6 > 0, k - k % 6)
+    parent = F.when(k % 6 == 5, k - 1).when(k % 6 == 4, k + 1).when(k == 1, F.lit(1).cast("long")).when(k % 6 > 0, k - k % 6)
     return g.break_cycles(t.part.select(k.alias("id"), parent.alias("parent_id")))
 
 
