@@ -40,6 +40,8 @@ SURE = LENGTH - PLACES + 1
 #: Bytes of a shard and of the contexts merged at once, small enough for the arrays of a merge to stay in a core's cache, and bytes
 #: of rows that are gathered before they are cut into such chunks.
 SHARD, CHUNK, READ = 1 << 15, 1 << 17, 1 << 20
+#: Shards of a key that is larger than a chunk: each round looks for the places of every shard.
+MOST_SHARDS = 8
 LAST = (1 << 63) - 1
 #: Distinct contexts that a task remembers (some 200 bytes each), to settle equal ones before the shuffle.
 REMEMBERED = 500_000
@@ -236,9 +238,10 @@ def repeats(contexts: list[bytes]) -> list[np.ndarray]:
     """For each of some distinct contexts, earliest first: whether each of its 100-byte strings also starts before."""
     length = np.array([len(c) for c in contexts])
     base = np.cumsum([0, *length])
+    size = max(SHARD, int(base[-1]) // MOST_SHARDS)
     shards, i = [], 0
     while i < len(contexts):
-        j = max(i + 1, int(np.searchsorted(base, base[i] + SHARD, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(base, base[i] + size, "right")) - 1)
         shards.append(np.frombuffer(b"".join(contexts[i:j]), np.uint8))
         i = j
     suffix, block = merge(shards)
