@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import decontaminate, jaccard, licenses, linededup, lm, mixing, quality, sharding, suffixes, toxicity
+from loomstead.llm import bpe, decontaminate, jaccard, licenses, linededup, lm, merkle, mixing, negatives, quality, sharding, suffixes, toxicity
 from loomstead.llm.common import documents
 
 
@@ -53,9 +54,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = documents(spark, sf_dir, "doc_id", "text").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    rows = rows.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("decoded"))
+    return rows.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_quality_rules, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_license_scan, op8_decontamination, op9_sharding, op10_mixing)}
+    found = (op1_lm_scoring, op2_toxicity, op3_quality_rules, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_license_scan, op8_decontamination, op9_sharding, op10_mixing)
+    return {f.__name__: f for f in (*found, op11_hard_negatives, op12_bpe, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.sql(), "op4_jaccard_join": jaccard.SQL, "op5_line_dedup": linededup.SQL, "op7_license_scan": licenses.sql()}
+    return {"op3_quality_rules": quality.sql(), "op4_jaccard_join": jaccard.SQL, "op5_line_dedup": linededup.SQL, "op7_license_scan": licenses.sql(), "op11_hard_negatives": negatives.SQL, "op13_merkle_manifest": merkle.sql()}
