@@ -4,10 +4,11 @@ Each source has a target of words and so a number of copies that each of its doc
 id, source and size) are a class: of m rows whose mean number of copies is c, floor(m x c) copies are given for certain, and
 the fraction that is left is one unit with that probability; a row alone is a class of one. Units are drawn balanced on the
 number of documents and of words: in blocks of some thousand units the vector of probabilities moves through the null-space
-of the two constraints until all but two are 0 or 1. Units go largest first, so what stays open is small. What is left of
-all blocks is dealt to blocks anew, until one block a source is left; its last one or two units land on the outcome that is
-nearest in words, then in documents. Random numbers depend on seed, level, source and block alone. A class's copies are
-dealt evenly to its rows.
+of the two constraints until all but two are 0 or 1. What is left of all blocks is dealt to blocks anew, until one block a
+source is left. The units that stay open in a flight are the largest and the smallest of it, so the last block flies in strata
+of like size, largest first: the one or two units that a stratum leaves land on the nearest outcome, and the next stratum's
+probabilities take up the words that this one missed. After the last landing units are exchanged while that brings the words
+nearer to the target. Random numbers depend on seed, level, source and block alone. A class's copies are dealt evenly to its rows.
 
 Nothing is held for all sources or documents at once: targets come from a few sums over the table of sources.
 
@@ -19,6 +20,7 @@ gives an empty result; columns of other names stay as they are, helper columns t
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 from itertools import product
 
 import pandas as pd
@@ -95,31 +97,107 @@ def _null(rows: list[list[float]], n: int) -> list[float]:
     return [1.0]
 
 
-def flight(p: list[float], docs: list[float], words: list[float], rng: random.Random, land: bool) -> list[float]:
-    """Probabilities after the flight: all but two are 0 or 1, and with land all of them."""
-    rows = [docs, words]
-    window, todo = [], iter([i for i, x in enumerate(p) if 0 < x < 1])
+def flight(p: list[float], at: list[int], words: list[float], rng: random.Random) -> list[int]:
+    """Moves p[at] until all but two are 0 or 1, number and words kept; gives those that are open."""
+    window, todo = [], iter([i for i in at if 0 < p[i] < 1])
     while True:
         window = [i for i in window if 0 < p[i] < 1]
-        while len(window) <= len(rows) and (i := next(todo, None)) is not None:
+        while len(window) <= 2 and (i := next(todo, None)) is not None:
             window.append(i)
-        if len(window) <= len(rows):
+        if len(window) <= 2:
+            return window
+        _step(p, window, _null([[1.0] * len(window), [words[i] for i in window]], len(window)), rng)
+
+
+def _take_up(p: list[float], at: list[int], words: list[float], miss: float) -> float:
+    """Adds one number to all p[at], within 0 and 1, such that their words change by miss; gives what does not fit in."""
+    free = [i for i in at if words[i] > 0]
+    while free and abs(miss) > _EPS:
+        by = miss / sum(words[i] for i in free)
+        for i in free:
+            v = min(1.0, max(0.0, p[i] + by))
+            miss -= (v - p[i]) * words[i]
+            p[i] = v
+        free = [i for i in free if (p[i] < 1 if miss > 0 else p[i] > 0)]
+    return miss
+
+
+def _exchange(p: list[float], at: list[int], words: list[float], gap: float, low: list[float], high: list[float]) -> float:
+    """Takes a copy more or less of one unit, or of two, while that brings the words nearer; of three if units are few. gap: words that
+    are wanted yet; gives what is left of it."""
+    few = len(at) <= 40
+    while abs(gap) > 0.5:
+        moves = sorted([(words[i], i) for i in at if p[i] < high[i] and words[i] > 0] + [(-words[i], i) for i in at if p[i] > low[i] and words[i] > 0])
+
+        def nearest(rest: float, taken: tuple[int, ...]) -> list[tuple[float, tuple]]:
+            """The moves of other units next to `rest` on both sides."""
+            k, found = bisect_left(moves, (rest,)), []
+            for side in (range(k, len(moves)), range(k - 1, -1, -1)):
+                m = next((moves[n] for n in side if moves[n][1] not in taken), None)
+                found += [(abs(rest - m[0]), (m,))] if m else []
+            return found
+
+        options = nearest(gap, ())
+        for a in moves:
+            options += [(x, (a, *m)) for x, m in nearest(gap - a[0], (a[1],))]
+        if few:
+            for n, a in enumerate(moves):
+                for b in moves[:n]:
+                    if a[1] != b[1]:
+                        options += [(x, (a, b, *m)) for x, m in nearest(gap - a[0] - b[0], (a[1], b[1]))]
+        left, chosen = min(options, key=lambda o: (o[0], len(o[1])), default=(abs(gap), ()))
+        if left >= abs(gap) - 1e-6:
             break
-        _step(p, window, _null([[r[i] for i in window] for r in rows], len(window)), rng)
-    if land and window:
-        gap = lambda values, out: abs(sum(values[i] * (x - p[i]) for i, x in zip(window, out, strict=True)))
-        outcomes = [(round(gap(words, out), 6), round(gap(docs, out), 6), rng.random(), out) for out in product((0.0, 1.0), repeat=len(window))]
+        for w, i in chosen:
+            gap -= w
+            p[i] += 1.0 if w > 0 else -1.0
+    return gap
+
+
+def landed(p: list[float], words: list[float], rng: random.Random, low: list[float] | None = None, high: list[float] | None = None) -> None:
+    """All of p becomes whole, with the words as near to the expected as units allow: 0 or 1, and only where that stays more than 1 % off,
+    as beside a document that is most of its source, other numbers between low and high. Units are in order of size, largest first."""
+    units = [i for i, x in enumerate(p) if 0 < x < 1]
+    wanted, miss, first = sum(p[i] * words[i] for i in units), 0.0, 0
+    while first < len(units):
+        last = first
+        while last < len(units) and 2 * words[units[last]] >= words[units[first]]:
+            last += 1
+        stratum, first = units[first:last], last
+        miss = _take_up(p, stratum, words, miss)
+        hoped = sum(p[i] * words[i] for i in stratum)
+        window = flight(p, stratum, words, rng)
+        fixed = sum(p[i] * words[i] for i in stratum if i not in window)
+        gap = lambda out: abs(hoped + miss - fixed - sum(words[i] * x for i, x in zip(window, out, strict=True)))
+        number = lambda out: abs(sum(out) - sum(p[i] for i in window))
+        outcomes = [(round(gap(out), 6), round(number(out), 6), rng.random(), out) for out in product((0.0, 1.0), repeat=len(window))]
         for i, x in zip(window, min(outcomes)[3], strict=True):
             p[i] = x
-    return p
+        miss += hoped - sum(p[i] * words[i] for i in stratum)
+    n = len(p)
+    gap = _exchange(p, units, words, wanted - sum(p[i] * words[i] for i in units), [0.0] * n, [1.0] * n)
+    if abs(gap) > 0.01 * wanted and low and high:
+        found = []
+        for i in (None, *units[:3]):  # as it is, and with one of the largest the other way
+            q = list(p)
+            by = 0.0 if i is None else -1.0 if q[i] > low[i] else 1.0
+            if i is not None:
+                q[i] += by
+            left = _exchange(q, [u for u in units if u != i], words, gap - (by * words[i] if i is not None else 0.0), low, high)
+            found.append((round(abs(left), 6), len(found), q))
+        p[:] = min(found)[2]
 
 
 def _fly(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
         rng = random.Random(f"{seed} {pdf.level.iloc[0]} {pdf.source_no.iloc[0]} {pdf.block.iloc[0]}")
-        words = pdf["size"].astype(float).tolist()
-        return pdf.assign(p=flight(pdf.p.tolist(), [1.0] * len(words), words, rng, bool(pdf.blocks.iloc[0] == 1)))
+        p, words = pdf.p.tolist(), pdf["size"].astype(float).tolist()
+        if pdf.blocks.iloc[0] > 1:
+            flight(p, list(range(len(p))), words, rng)
+        else:
+            landed(p, words, rng, (-pdf.whole.astype(float)).tolist(), (MOST_COPIES * pdf.rows.astype(float) - pdf.whole).tolist())
+        return pdf.assign(p=p)
 
     return run
 

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstead.llm import decontaminate, jaccard, kernels, licenses, linededup, lm, mixing, quality, queries, sharding, suffixes, toxicity
+from loomstead.llm.common import documents
 from tests.oracle import compare, database, rows_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -446,17 +447,43 @@ def test_targets(spark, sizes):
 def test_flight_balances():
     r = random.Random(1)
     size = [float(r.randint(1, 900)) for _ in range(4000)]
-    p = mixing.flight([0.3] * 4000, [1.0] * 4000, size, random.Random(2), True)
-    assert set(p) <= {0.0, 1.0}
-    assert abs(sum(p) - 1200) <= 2 and abs(sum(x * s for x, s in zip(p, size, strict=True)) - 0.3 * sum(size)) <= 1800
+    p = [0.3] * 4000
+    left = mixing.flight(p, list(range(4000)), size, random.Random(2))
+    assert len(left) <= 2 and all(x in (0.0, 1.0) for i, x in enumerate(p) if i not in left)
+    assert abs(sum(p) - 1200) < 1e-3 and abs(sum(x * s for x, s in zip(p, size, strict=True)) - 0.3 * sum(size)) < 1e-3
 
 
-def test_flight_keeps_totals():
-    hits = np.zeros(6)
+def test_flight_keeps_probabilities():
+    start, hits = [0.5, 0.25, 0.75, 0.5, 0.4, 0.6], np.zeros(6)
     for seed in range(4000):
-        hits += mixing.flight([0.5, 0.25, 0.75, 0.5, 0.4, 0.6], [1.0] * 6, [3.0, 5.0, 2.0, 2.0, 9.0, 0.0], random.Random(seed), True)
-    # three of six fly with their probabilities kept, the last two land on the nearest totals
-    assert np.allclose(hits.sum() / 4000, 3.0, atol=0.3) and np.allclose(hits @ [3.0, 5.0, 2.0, 2.0, 9.0, 0.0] / 4000, 8.85, atol=1)
+        p = list(start)
+        mixing.flight(p, list(range(6)), [3.0, 5.0, 2.0, 2.0, 9.0, 0.0], random.Random(seed))
+        hits += p
+    assert np.allclose(hits / 4000, start, atol=0.03)
+
+
+def test_landing_comes_near_whatever_the_sizes():
+    for seed in range(200):
+        r = random.Random(seed)
+        size = sorted((float(int(r.lognormvariate(5, 1.5))) for _ in range(r.choice([1, 2, 4, 12, 50, 900]))), reverse=True)
+        p = [r.choice([0.37, r.random()]) for _ in size]
+        want = sum(x * s for x, s in zip(p, size, strict=True))
+        mixing.landed(p, size, r, [0.0] * len(size), [3.0] * len(size))
+        assert set(p) <= {0.0, 1.0, 2.0, 3.0}
+        gap = abs(sum(x * s for x, s in zip(p, size, strict=True)) - want)
+        assert gap <= max(min(size), 0.01 * want) or len(size) < 12 and gap <= max(size) / 2
+
+
+@pytest.mark.parametrize("sf_", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_source_comes_near_its_target(spark, sf_):
+    """Within 1 %, or the smallest document of the source."""
+    got = mixing.mixture(documents(spark, f"/root/testdata/{sf_}", "doc_id", "source", "text"))
+    of = spark.read.parquet(f"/root/testdata/{sf_}/documents.parquet").select("doc_id", "source")
+    by = got.join(of, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    rows = by.collect()
+    assert len(rows) == 20
+    for r in rows:
+        assert abs(r.taken - r.target) <= max(0.01 * r.target, r.least), r
 
 
 def test_mixture(docs, none, clash, monkeypatch):
