@@ -36,20 +36,36 @@ def _letters() -> tuple[dict[str, str], dict[str, str]]:
 SINGLE, SEVERAL = _letters()
 
 
+def _ranges(letters: dict[str, str], gap: int = 400) -> str:
+    """A pattern of few ranges that all letters lie in, and others may: beyond Latin letters, letters less than `gap` apart are in one
+    range. A gate for what is costly and right for any letter; patterns of many single letters are tried one after another."""
+    codes, parts = sorted(map(ord, letters)), []
+    for c in codes:
+        if parts and c - parts[-1][1] <= (gap if c >= 0x250 else 1):
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in parts) + "]"
+
+
+SEVERAL_GATE = _ranges(SEVERAL)
+REST = {k: v for k, v in SEVERAL.items() if not v.isascii()}
+REST_GATE = _ranges(REST)
+
+
 def fold(text: Column) -> Column:
-    """Letters without marks; case stays. Combining marks (U+0300 to U+036F) are dropped. Letters that fold to several are
-    looked for first, as most texts have none."""
+    """Letters without marks; case stays. Combining marks (U+0300 to U+036F) are dropped. ASCII texts, which have as many bytes as
+    characters, are as they are; letters that fold to several are looked for by a coarse pattern, as most texts have none."""
     bare = F.regexp_replace(text, "[\u0300-\u036f]", "")
     out = F.translate(bare, "".join(SINGLE), "".join(SINGLE.values()))
     full = out
     for letter, plain in SEVERAL.items():
         if plain.isascii():
             full = F.replace(full, F.lit(letter), F.lit(plain))
-    rest = {k: v for k, v in SEVERAL.items() if not v.isascii()}
-    known = F.create_map(*[F.lit(x) for kv in rest.items() for x in kv])
+    known = F.create_map(*[F.lit(x) for kv in REST.items() for x in kv])
     each = F.array_join(F.transform(F.split(full, ""), lambda c: F.coalesce(F.element_at(known, c), c)), "")
-    full = F.when(text.rlike("[" + "".join(rest) + "]"), each).otherwise(full)
-    return F.when(text.rlike("[" + "".join(SEVERAL) + "]"), full).otherwise(out)
+    full = F.when(text.rlike(REST_GATE), each).otherwise(full)
+    return F.when(F.octet_length(text) == F.length(text), text).when(text.rlike(SEVERAL_GATE), full).otherwise(out)
 
 
 def topic_name(name: Column) -> Column:

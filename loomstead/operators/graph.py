@@ -89,27 +89,127 @@ def weighted(edges: DataFrame, rel: str) -> DataFrame:
 
 def reach(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth, path): breadth-first, each node once for a start, by its earliest parent, then by the strongest
-    edge, then by label. edges: a, b, weight, label, both ways."""
-    seen = kept(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(0).cast("long").alias("place")), "graph-reach")
-    front = seen
+    edge, then by label. edges: a, b, weight, label, both ways. A node's place in the search is the list of its steps (strength, label,
+    node) from the start, so that the first way to a node is a minimum, and no window sorts what a start reaches. For depths
+    alone see `search_depths`."""
+    edges = kept(edges.select("a", "b", "weight", "label"), "graph-edges")  # read once a round
+    step_type = "array<struct<far: double, label: string, node: bigint>>"
+    front = kept(start.select(F.col("node").alias("start"), F.col("node").cast("long").alias("node"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.array().cast(step_type).alias("place")), "graph-front")
+    found = [front]
     for d in range(1, depth + 1):
-        step = front.join(edges, F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(d).alias("depth"), F.concat_ws("/", F.nullif("path", F.lit("")), "label").alias("path"), "place", "weight", "label")
-        step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        w = Window.partitionBy("start", "node").orderBy("place", F.desc("weight"), "label")
-        first = step.withColumn("n_", F.row_number().over(w)).filter("n_ = 1")
-        order = Window.partitionBy("start").orderBy("place", F.desc("weight"), "label", "node")
-        front = kept(first.withColumn("place", F.row_number().over(order).cast("long")).select("start", "node", "depth", "path", "place"), "graph-front")
-        seen = kept(seen.unionByName(front), "graph-reach")
-    return seen.drop("place")
+        by = F.struct("place", (-F.col("weight").cast("double")).alias("far"), "label", "path")
+        step = front.join(edges, F.col("node") == F.col("a")).select("start", F.col("b").cast("long").alias("node"), by.alias("by")).groupBy("start", "node").agg(F.min("by").alias("by"))
+        seen = found[0].select("start", "node")
+        for f in found[1:]:
+            seen = seen.unionByName(f.select("start", "node"))
+        step = step.join(seen, ["start", "node"], "left_anti")
+        last = F.array(F.struct(F.col("by.far").alias("far"), F.col("by.label").alias("label"), F.col("node").alias("node")))
+        path = F.concat_ws("/", F.nullif("by.path", F.lit("")), "by.label")
+        front = kept(step.select("start", "node", F.lit(d).alias("depth"), path.alias("path"), F.concat("by.place", last).cast(step_type).alias("place")), "graph-front")
+        found.append(front)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.drop("place")
+
+
+def search_depths(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(start, node, depth): the depth of each node that is at most so far from a start, for very many starts. Starts are numbered, and
+    what has reached a node is kept as bitmaps of 64 starts, so that a round joins and shuffles nodes with a word of starts each,
+    and not pairs of a start and a node. edges: a, b, both ways. Repeated starts and edges count once, null ones not at all."""
+    edges = kept(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "graph-edges")
+    number = kept(numbered(start.select(F.col("node").alias("start")).filter("start IS NOT NULL").distinct(), [F.col("start")], "number"), "graph-starts")
+    word, bit = F.expr("CAST(floor((number - 1) / 64) AS INT)"), F.expr("shiftleft(1L, CAST((number - 1) % 64 AS INT))")
+    front = kept(number.select(F.col("start").alias("node"), word.alias("word"), bit.alias("bits")), "graph-front")  # one bit a row
+    fronts = [front]
+    for _ in range(depth):
+        step = front.join(edges.hint("merge"), F.col("node") == F.col("a")).groupBy(F.col("b").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        before = fronts[0]
+        for f in fronts[1:]:
+            before = before.unionByName(f)
+        before = before.groupBy("node", "word").agg(F.bit_or("bits").alias("had"))
+        fresh = step.join(before.hint("merge"), ["node", "word"], "left").withColumn("bits", F.expr("bits & ~coalesce(had, 0L)"))
+        front = kept(fresh.filter("bits <> 0").select("node", "word", "bits"), "graph-front")
+        fronts.append(front)
+    every = [f.withColumn("depth", F.lit(d)) for d, f in enumerate(fronts)]
+    rows = every[0]
+    for f in every[1:]:
+        rows = rows.unionByName(f)
+    set_bits = F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)")
+    each = rows.select("node", "depth", "word", F.explode(set_bits).alias("bit")).select("node", "depth", (F.col("word") * F.lit(64).cast("long") + F.col("bit") + 1).alias("n_"))
+    return sized_join(each, number, F.col("n_") == F.col("number"), "inner").select("start", "node", "depth")
 
 
 def ego(start: DataFrame, edges: DataFrame, degree: DataFrame, hops: int, most: int) -> DataFrame:
     """(start, node, depth): nodes by hop, the best connected first in each, at most `most` of them beside the start."""
-    found = reach(start, edges, hops).join(degree.hint("merge"), "node", "left").filter("depth > 0")
+    found = search_depths(start, edges, hops).filter("depth > 0").join(degree.hint("merge"), "node", "left")
     w = Window.partitionBy("start").orderBy("depth", F.desc_nulls_last("degree"), "node")
     return found.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= most).select("start", "node", "depth")
 
 
+class Overview:
+    """A readable part of a large graph: its nodes, the edges among them, and what was left out.
+
+    nodes: node, matched (whether it passes the filters), claims, community. edges: a, b, each once. The best connected nodes that
+    pass are chosen, at most `most`; nodes without edges never are. With `grow` (a search) their neighbours fill up what room is left,
+    those of the first chosen first; then bridges do, nodes that two or more chosen ones touch, the most linked first. A
+    node that no edge among the chosen touches is dropped. Ties go by node. What is chosen has at most `most` rows, so it is
+    broadcast; edges are written once and never collected.
+
+    Defined results: null nodes and ends, loops and repeated edges don't count; edges to unknown nodes neither."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, most: int, grow: bool = False):
+        known = nodes.filter("node IS NOT NULL").dropDuplicates(["node"])
+        both = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = both.join(known.select(F.col("node").alias("a")), "a", "left_semi").join(known.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+        self.known, self.pairs = kept(known, "overview-nodes"), kept(both, "overview-edges")
+        self.touching = self.pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        self.degree = kept(self.touching.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("total_degree")), "overview-degrees")
+        self.candidates = self.known.filter("matched").join(self.degree.hint("merge"), "node")
+        first = self.candidates.orderBy(F.desc("total_degree"), F.desc("claims"), "node").limit(most).select("node", "total_degree", "claims")
+        w = Window.orderBy(F.desc("total_degree"), F.desc("claims"), "node")  # of `most` rows
+        chosen = kept(first.select("node", F.row_number().over(w).alias("place"), F.lit(True).alias("hit")), "overview-chosen")
+        self.n_first = room = chosen.count()
+        if grow and 0 < room < most:
+            chosen = self._more(chosen, most - room, [F.min("place").alias("by"), F.lit(1).alias("links")], 1)
+            room = chosen.count()
+        if 0 < room < most:
+            chosen = self._more(chosen, most - room, [(-F.count("*")).alias("by"), F.count("*").alias("links")], 2)
+        self.chosen = chosen
+
+    def _more(self, chosen: DataFrame, room: int, how: list, least: int) -> DataFrame:
+        """chosen and its neighbours with at least so many links, by `by`, as many as there is room for."""
+        near = self.touching.join(F.broadcast(chosen.select(F.col("node").alias("a"), "place")), "a")
+        near = near.groupBy(F.col("b").alias("node")).agg(*how).filter(F.col("links") >= least)
+        near = near.join(F.broadcast(chosen.select("node")), "node", "left_anti").orderBy("by", "node").limit(room)
+        return kept(chosen.unionByName(near.select("node", F.lit(None).cast("int").alias("place"), F.lit(False).alias("hit"))), "overview-chosen")
+
+    def edges(self) -> DataFrame:
+        ends = F.broadcast(self.chosen.select("node"))
+        return self.pairs.join(ends.withColumnRenamed("node", "a"), "a", "left_semi").join(ends.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+
+    def nodes(self) -> DataFrame:
+        """node, community, claims, degree (among the chosen), total_degree, hit."""
+        inner = self.edges().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        rows = self.known.join(F.broadcast(self.chosen.select("node", "hit")), "node").join(inner.hint("merge"), "node").join(self.degree.hint("merge"), "node")
+        return rows.select("node", "community", "claims", "degree", "total_degree", "hit")
+
+    def communities(self) -> DataFrame:
+        return self.nodes().filter("community IS NOT NULL").groupBy("community").agg(F.count("*").alias("n"))
+
+    def counts(self) -> DataFrame:
+        """One row: nodes, edges, connected and isolated nodes of the graph, candidates left out, chosen nodes that were dropped."""
+        parts = [
+            self.known.agg(F.count("*").alias("total_nodes")), self.pairs.agg(F.count("*").alias("total_edges")), self.degree.agg(F.count("*").alias("connected")),
+            self.candidates.agg((F.count("*") - F.lit(self.n_first)).alias("omitted")), self.chosen.agg(F.count("*").alias("chosen_")), self.nodes().agg(F.count("*").alias("shown")),
+        ]
+        one = parts[0]
+        for other in parts[1:]:  # a row each
+            one = one.join(F.broadcast(other), how="cross")
+        isolated, dropped = F.col("total_nodes") - F.col("connected"), F.col("chosen_") - F.col("shown")
+        return one.select("total_nodes", "total_edges", "connected", isolated.alias("isolated"), "omitted", dropped.alias("dropped"), (F.col("omitted") > 0).alias("truncated"))
+
+
 def communities(edges: DataFrame, rounds: int = 12, levels: int = 3, seed: int = 1) -> DataFrame:
     """(node, community) by modularity: in each round a hashed half of the nodes moves to the neighbouring community of the
     largest gain; then communities become nodes. Ids are from 1 by smallest member. edges: a, b, weight, both ways."""
@@ -168,6 +268,53 @@ def tree_depths(rows: DataFrame, most: int = 12) -> DataFrame:
     return sound.select("id").join(found, "id", "left")
 
 
+def topic_tree(rows: DataFrame, active_claims: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+    """(id, parent_id, depth, claim_count, rel_count, all_claims): each topic under its known parent, with its own claims, the ends of
+    relations at it, and the claims of all that is below it. rows: id, parent_id; active_claims: topic_id; edges: a, b. Unknown and own
+    parents are none; topics in a loop, or deeper than `most`, have no depth and count for themselves alone. A topic's claims are sent
+    up to each of its ancestors, at most `most` rows a topic, and added before the shuffle."""
+    depths = kept(tree_depths(rows, most), "tree-depths")
+    known = depths.filter("depth IS NOT NULL").select("id")
+    parents = rows.select("id", "parent_id").filter("parent_id <> id").join(known.hint("merge"), "id", "left_semi")
+    parents = kept(parents.join(known.select(F.col("id").alias("parent_id")).hint("merge"), "parent_id", "left_semi").select("id", "parent_id"), "tree-parents")
+    own = active_claims.filter("topic_id IS NOT NULL").groupBy(F.col("topic_id").alias("c_")).agg(F.count("*").alias("claims"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("r_")).groupBy("r_").agg(F.count("*").alias("rels"))
+    base = depths.join(own.hint("merge"), F.col("id") == F.col("c_"), "left").join(ends.hint("merge"), F.col("id") == F.col("r_"), "left")
+    base = kept(base.select("id", "depth", F.coalesce("claims", F.lit(0)).alias("claim_count"), F.coalesce("rels", F.lit(0)).alias("rel_count")), "tree-counts")
+    level = base.filter("claim_count > 0").select("id", F.col("claim_count").alias("n"))
+    sums = [level]
+    up = parents.select(F.col("id").alias("u_"), "parent_id")
+    for _ in range(most):
+        level = level.join(up.hint("merge"), F.col("id") == F.col("u_")).groupBy(F.col("parent_id").alias("id")).agg(F.sum("n").alias("n"))
+        level = kept(level, "tree-sums")
+        if level.isEmpty():
+            break
+        sums.append(level)
+    every = sums[0]
+    for x in sums[1:]:
+        every = every.unionByName(x)
+    total = every.groupBy(F.col("id").alias("a_")).agg(F.sum("n").alias("all_claims"))
+    out = base.join(total.hint("merge"), F.col("id") == F.col("a_"), "left").join(up.hint("merge"), F.col("id") == F.col("u_"), "left")
+    return out.select("id", "parent_id", "depth", "claim_count", "rel_count", F.coalesce("all_claims", F.lit(0)).cast("long").alias("all_claims"))
+
+
+def needs_rebuild(rows: DataFrame) -> DataFrame:
+    """One row: topics, those with parents, and whether there are too few of these to place new ones among (under 3, over 5 topics)."""
+    n = rows.agg(F.count("*").alias("n_topics"), F.count("parent_id").alias("n_placed"))
+    return n.withColumn("needs_rebuild", (F.col("n_placed") < 3) & (F.col("n_topics") > 5))
+
+
+def assign_parents(rows: DataFrame, placements: DataFrame) -> DataFrame:
+    """(id, parent_id): topics without a parent get the first of their placements (id, parent_id, place) whose parent is known and not
+    the topic itself; the others keep theirs. Where the tree needs a full rebuild, nothing is placed."""
+    known = rows.select(F.col("id").alias("k_")).distinct()
+    good = placements.filter("id <> parent_id").join(known.hint("merge"), F.col("parent_id") == F.col("k_"), "left_semi")
+    first = good.groupBy(F.col("id").alias("p_")).agg(F.min_by("parent_id", F.struct("place", "parent_id")).alias("given_"))
+    gate = needs_rebuild(rows).select("needs_rebuild")
+    out = rows.select("id", "parent_id").join(first.hint("merge"), F.col("id") == F.col("p_"), "left").join(F.broadcast(gate), how="cross")  # gate is one row
+    return out.select("id", F.when(F.col("parent_id").isNull() & ~F.col("needs_rebuild"), F.col("given_")).otherwise(F.col("parent_id")).alias("parent_id"))
+
+
 def break_cycles(rows: DataFrame) -> DataFrame:
     """(id, parent_id): unknown and own parents go, and so does that of every node whose chain of parents comes to a loop.
     Chains double in length each round; what has no end after as many steps as there are nodes is in a loop."""

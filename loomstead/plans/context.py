@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from loomstead.operators import graph as g
+from loomstead.operators import reports as rp
 from loomstead.operators import retrieval as r
 from loomstead.operators import vectors as v
-from loomstead.plans.basics import w04
+from loomstead.plans.graph import IN_COMMUNITY
 from loomstead.plans.registry import INPUTS, query
-from loomstead.plans.search import TOPK, exact
+from loomstead.plans.search import KEYWORDED, TOPK, UNANSWERED, by_keyword, exact, unanswered
+from loomstead.storage import kept
 
 INPUTS["first_of_label"] = "SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label"
 
@@ -36,6 +38,28 @@ def r07(t):
     return r.community_hits(reports(t), members, 0.05, 2).select("qid", "id")
 
 
+INPUTS["member_claims"] = """SELECT e.label AS community, e.vec_id AS id, o.name, coalesce(k.n, 0) AS claims
+    FROM embeddings e
+    LEFT JOIN topics o ON o.id = e.vec_id
+    LEFT JOIN (SELECT topic_id, count(*) AS n FROM claims WHERE status = 'active' GROUP BY topic_id) k ON k.topic_id = e.vec_id"""
+
+
+@query("R07_thematic_fallback", f"""WITH keyworded AS (SELECT qid FROM ({KEYWORDED}) WHERE qid % 100 = 50),
+    near AS (SELECT k.qid, f.label AS community
+    FROM ({TOPK}) k
+    JOIN first_of_label f ON f.vec_id = k.id
+    WHERE k.score >= 0.05 AND k.qid IN {UNANSWERED} AND k.qid NOT IN (SELECT qid FROM keyworded)
+    QUALIFY row_number() OVER (PARTITION BY k.qid ORDER BY k.score DESC, f.label) <= 2)
+    SELECT DISTINCT n.qid, m.id, 0.35 AS score
+    FROM near n
+    JOIN (SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY claims DESC, name NULLS FIRST, id) AS place FROM member_claims) m ON m.community = n.community
+    WHERE place <= 5""")
+def r07b(t):
+    """Questions that neither a topic's vector nor a keyword answers (every second one has none)."""
+    left = unanswered(t).join(by_keyword(t).filter("qid % 100 = 50").select("qid").distinct().hint("merge"), "qid", "left_anti")
+    return r.thematic_topics(left, reports(t), t.member_claims, 0.05, 2, 5)
+
+
 INPUTS["starts"] = "SELECT node AS id, CAST(floor(node / 50) AS BIGINT) % 7 AS qid FROM graph_nodes WHERE node % 50 = 0"
 
 
@@ -62,15 +86,19 @@ def r09(t):
     return slots(t).select("qid", "claim_id", "score", "place")
 
 
-@query("R10_contexts", f"""SELECT qid, count(DISTINCT topic_id) AS n_topics, CAST(sum(n) AS BIGINT) AS n_claims, bool_or(d) AS disputed
-    FROM (SELECT s.qid, c.topic_id, count(DISTINCT c.claim_text) AS n, bool_or(c.status = 'conflicted') AS d
+@query("R10_contexts", f"""WITH topical AS (SELECT s.qid, c.topic_id, max(s.score) AS score, count(DISTINCT c.claim_text) AS n, bool_or(c.status = 'conflicted') AS d,
+    '## ' || c.topic_id || chr(10) || string_agg(DISTINCT CASE WHEN c.status = 'conflicted' THEN '[disputed] ' ELSE '- ' END || c.claim_text, chr(10)
+    ORDER BY CASE WHEN c.status = 'conflicted' THEN '[disputed] ' ELSE '- ' END || c.claim_text) AS body
     FROM ({SLOTS}) s
     JOIN claims c ON c.id = s.claim_id
     GROUP BY 1, 2)
+    SELECT qid, count(*) AS n_topics, CAST(sum(n) AS BIGINT) AS n_claims, bool_or(d) AS disputed,
+    string_agg(body, chr(10) || chr(10) ORDER BY score DESC, CAST(topic_id AS VARCHAR)) AS context
+    FROM topical
     GROUP BY qid""")
 def r10(t):
     c = t.claims.select(F.col("id").alias("claim_id"), F.col("topic_id").cast("string").alias("topic"), "status", "claim_text")
-    return r.contexts(slots(t).join(c.hint("merge"), "claim_id")).drop("context")
+    return r.contexts(slots(t).join(c.hint("merge"), "claim_id"))
 
 
 @query("G10_assigned_and_noise", """SELECT count(*) FILTER (WHERE node IN (SELECT a
@@ -84,21 +112,19 @@ def g10(t):
     return t.graph_nodes.join(of, "node", "left").agg(F.count("community").alias("assigned"), F.count(F.when(F.col("community").isNull(), 1)).alias("noise"))
 
 
-@query("G13_report_inputs", """SELECT category, count(*) AS n_claims, count(DISTINCT topic_id) AS n_topics, min(id) AS first_claim
-    FROM (SELECT category, topic_id, id, row_number() OVER (PARTITION BY category
-    ORDER BY topic_id, id) AS q
-    FROM (SELECT t.category, c.topic_id, c.id, row_number() OVER (PARTITION BY c.topic_id
-    ORDER BY c.id) AS r, k.n
-    FROM claims c
-    JOIN topics t ON t.id = c.topic_id
-    JOIN (SELECT category, count(*) AS n
-    FROM topics
-    GROUP BY category) k ON k.category = t.category)
-    WHERE r <= ceil(40.0 / n))
-    WHERE q <= 40
-    GROUP BY category""")
+@query("G13_report_inputs", f"""WITH t AS (SELECT community, id, name, count(*) OVER (PARTITION BY community) AS n FROM placed_topics WHERE {IN_COMMUNITY})
+    SELECT community, 'topic' AS kind, NULL AS place, name AS text FROM t
+    UNION ALL SELECT community, 'claim', row_number() OVER (PARTITION BY community ORDER BY topic_id, r) AS place, claim_text
+    FROM (SELECT c.*, t.community, t.n, row_number() OVER (PARTITION BY topic_id ORDER BY created_at, c.id) AS r FROM active_claims c JOIN t ON t.id = topic_id)
+    WHERE r <= ceil(40 / n)
+    QUALIFY place <= 40
+    UNION ALL SELECT s.community, 'relation', row_number() OVER (PARTITION BY s.community ORDER BY source_id, target_id, rel) AS place, s.name || ' \u2014' || rel || '\u2192 ' || o.name
+    FROM inner_edges e
+    JOIN t s ON s.id = e.source_id
+    JOIN t o ON o.id = e.target_id AND o.community = s.community
+    QUALIFY place <= 30""")
 def g13(t):
-    return w04(t).groupBy("category").agg(F.count("*").alias("n_claims"), F.count_distinct("topic_id").alias("n_topics"), F.min("id").alias("first_claim"))
+    return rp.inputs(t.placed_topics, t.active_claims, t.inner_edges)
 
 
 def perturbed(rows, key: str, vector: str, level: float):
@@ -123,6 +149,25 @@ def q02(t):
     return noisy.join(t.queries_vec.hint("merge"), "vec_id").select("vec_id", F.size("noisy").cast("long").alias("n"), (F.abs(norm("noisy") - norm("embedding")) < 1e-4).alias("same_length"))
 
 
+NOISE = [0.0, 0.1, 0.3, 0.5]
+
+
+@query("Q01_recall")
+def q01(t):
+    """For each noise level: recall at 10 and 20 of the scan by codes against the exact one, how often it keeps the exact best first, the mean
+    rank that the exact best has among all codes, and the band of the recall at 20. Held against a slow version in tests."""
+    rows = [perturbed(t.queries_vec, "vec_id", "embedding", x).select((F.col("vec_id") * len(NOISE) + i).alias("vec_id"), "embedding") for i, x in enumerate(NOISE)]
+    asked = rows[0]
+    for other in rows[1:]:
+        asked = asked.unionByName(other)
+    asked = kept(asked, "noisy-queries")
+    exact_ = kept(v.top_k(t.embeddings, asked, "vec_id", "embedding", 20, 9), "noisy-exact")
+    codes = v.code_blocks(t.embeddings, "vec_id", "embedding")
+    near = v.top_k_codes(codes, asked, "vec_id", "embedding", 20).select("qid", "id", F.col("rank").alias("near"))
+    place = v.rank_by_codes(codes, asked, exact_.filter("rank = 1").select("qid", "id"), "vec_id", "embedding")
+    return r.recall_report(exact_, near, place, F.element_at(F.array(*map(F.lit, NOISE)), (F.col("qid") % len(NOISE) + 1).cast("int")))
+
+
 @query("Q04_summary", f"SELECT count(*) AS n_queries, round(avg(score), 5) AS mean_best, round(quantile_cont(score, 0.5), 5) AS median_best FROM ({TOPK}) WHERE rank = 2")
 def q04(t):
     return exact(t, 2).filter("rank = 2").agg(F.count("*").alias("n_queries"), F.round(F.avg("score"), 5).alias("mean_best"), F.round(F.percentile("score", F.lit(0.5)), 5).alias("median_best"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstead.functions.text import members_hash
 from loomstead.operators import graph as g
+from loomstead.operators import reports as rp
 from loomstead.operators import vectors as v
 from loomstead.operators.relational import degrees
 from loomstead.plans.registry import INPUTS, query
+from loomstead.storage import kept
 
 INPUTS["graph_nodes"] = "SELECT s_suppkey AS node FROM supplier UNION ALL SELECT 1000000 + p_partkey FROM part"
 INPUTS["graph_edges"] = "SELECT source_id AS a, target_id AS b, rel FROM topic_edges"
@@ -34,6 +34,10 @@ def two_way(t):
     return w.join(out, ["a", "b"]).select("a", "b", "weight", F.col("l").alias("label"))
 
 
+def undirected(t):
+    return t.graph_edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+
+
 @query("G01_statistics", COMPONENTS + """, comp AS (SELECT node, min(m) AS c
     FROM reach
     GROUP BY node) SELECT (SELECT count(*)
@@ -106,7 +110,36 @@ WALK = f"""SELECT start, node, min(depth) AS depth
 
 @query("G05_bounded_search", WALK)
 def g05(t):
-    return g.reach(t.graph_nodes.filter("node % 50 = 0"), two_way(t), 2).select("start", "node", "depth")
+    return g.search_depths(t.graph_nodes.filter("node % 50 = 0"), undirected(t), 2)
+
+
+@query("G05_paths", f"""WITH w AS (SELECT e.a, e.b, weight, CASE WHEN e.a < 1000000 THEN 'to' ELSE 'inverse_to' END AS label
+    FROM (SELECT a, b, round(sum(CAST(CASE rel WHEN 'is_part_of' THEN 1.0 WHEN 'depends_on' THEN 0.7 ELSE 0.3 END AS DOUBLE)), 6) AS weight
+    FROM (SELECT a, b, rel
+    FROM graph_edges
+    UNION ALL SELECT b, a, rel
+    FROM graph_edges)
+    GROUP BY 1, 2) e),
+    one AS (SELECT a AS start, b AS node, weight, label, row_number() OVER (PARTITION BY a
+    ORDER BY weight DESC, label, b) AS place
+    FROM w
+    WHERE a % 50 = 0),
+    two AS (SELECT o.start, w.b AS node, o.label || '/' || w.label AS path
+    FROM one o
+    JOIN w ON w.a = o.node
+    WHERE w.b <> o.start
+    QUALIFY row_number() OVER (PARTITION BY o.start, w.b
+    ORDER BY o.place, w.weight DESC, w.label) = 1)
+    SELECT node AS start, node, 0 AS depth, '' AS path
+    FROM graph_nodes
+    WHERE node % 50 = 0
+    UNION ALL SELECT start, node, 1, label
+    FROM one
+    UNION ALL SELECT t.start, t.node, 2, t.path
+    FROM two t
+    ANTI JOIN one o ON o.start = t.start AND o.node = t.node""")
+def g05b(t):
+    return g.reach(t.graph_nodes.filter("node % 50 = 0"), two_way(t), 2)
 
 
 @query("G06_ego", f"""SELECT start, node, depth
@@ -120,24 +153,91 @@ def g05(t):
     WHERE depth > 0)
     WHERE r <= 15""")
 def g06(t):
-    return g.ego(t.graph_nodes.filter("node % 50 = 0"), two_way(t), degrees(pairs(t), "a", "b"), 2, 15)
+    return g.ego(t.graph_nodes.filter("node % 50 = 0"), undirected(t), degrees(pairs(t), "a", "b"), 2, 15)
 
 
-TOP = f"""(SELECT node
-    FROM (SELECT node, row_number() OVER (PARTITION BY node < 1000000
-    ORDER BY n DESC, node) AS r
-    FROM (SELECT a AS node, count(*) AS n
-    FROM {TWO_WAY}
-    GROUP BY 1))
-    WHERE r <= 25)"""
+INPUTS["overview_nodes"] = """SELECT n.node, n.node < 1000000 AND n.node % 4 = 1 AS matched, coalesce(c.n, 0) AS claims, CASE WHEN n.node % 11 > 0 THEN n.node % 5 END AS community
+    FROM graph_nodes n
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM claims GROUP BY doc_id) c ON c.doc_id = n.node"""
+
+
+def _overview(grow: bool, most: int) -> str:
+    """What the overview chooses: the best connected matches, then neighbours of the first (a search), then bridges; node by node."""
+    grown = """UNION ALL SELECT node, false
+    FROM (SELECT t.b AS node, min(f.place) AS place
+    FROM touch t
+    JOIN first_ f ON f.node = t.a
+    WHERE t.b NOT IN (SELECT node FROM first_)
+    GROUP BY 1)
+    QUALIFY row_number() OVER (ORDER BY place, node) <= {room}""".format(room=f"{most} - (SELECT count(*) FROM first_)")
+    return f"""WITH touch AS (SELECT a, b
+    FROM graph_pairs
+    UNION SELECT b, a
+    FROM graph_pairs), degree AS (SELECT a AS node, count(*) AS total_degree
+    FROM touch
+    GROUP BY 1), cand AS (SELECT o.node, row_number() OVER (ORDER BY d.total_degree DESC, o.claims DESC, o.node) AS place
+    FROM overview_nodes o
+    JOIN degree d ON d.node = o.node
+    WHERE o.matched), first_ AS (SELECT *
+    FROM cand
+    WHERE place <= {most}), grown AS (SELECT node, true AS hit
+    FROM first_ {grown if grow else ''}), chosen AS (SELECT node, hit
+    FROM grown
+    UNION ALL SELECT node, false
+    FROM (SELECT b AS node, count(*) AS links
+    FROM touch
+    WHERE a IN (SELECT node FROM grown) AND b NOT IN (SELECT node FROM grown)
+    GROUP BY 1
+    HAVING count(*) >= 2)
+    QUALIFY row_number() OVER (ORDER BY links DESC, node) <= {most} - (SELECT count(*) FROM grown)), inner_ AS (SELECT a, b
+    FROM graph_pairs
+    WHERE a IN (SELECT node FROM chosen) AND b IN (SELECT node FROM chosen)), shown AS (SELECT o.node, o.community, o.claims, i.degree, d.total_degree, c.hit
+    FROM overview_nodes o
+    JOIN chosen c ON c.node = o.node
+    JOIN degree d ON d.node = o.node
+    JOIN (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM inner_ UNION ALL SELECT b FROM inner_) GROUP BY 1) i ON i.node = o.node)"""
 
 
-@query("G07_overview", f"SELECT a, b FROM graph_pairs WHERE a IN {TOP} AND b IN {TOP}")
+def overview(t, grow: bool = False, most: int = 60):
+    """Bridges fill up what the matches leave of the room; with a search, their neighbours fill it first."""
+    return g.Overview(t.overview_nodes, t.graph_edges, most, grow)
+
+
+@query("G07_overview", _overview(False, 60) + " SELECT a, b FROM inner_")
 def g07(t):
-    """The 25 best connected nodes of each kind, and the edges among them."""
-    w = Window.partitionBy(F.col("node") < 1000000).orderBy(F.desc("degree"), "node")
-    top = degrees(pairs(t), "a", "b").withColumn("r", F.row_number().over(w)).filter("r <= 25").select("node")
-    return pairs(t).join(top.withColumnRenamed("node", "a"), "a", "left_semi").join(top.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    return overview(t).edges()
+
+
+@query("G07_overview_nodes", _overview(False, 60) + " SELECT node, community, claims, degree, total_degree, hit FROM shown")
+def g07b(t):
+    return overview(t).nodes()
+
+
+@query("G07_overview_communities", _overview(False, 60) + " SELECT community, count(*) AS n FROM shown WHERE community IS NOT NULL GROUP BY 1")
+def g07c(t):
+    return overview(t).communities()
+
+
+COUNTS = """ SELECT (SELECT count(*) FROM overview_nodes) AS total_nodes, (SELECT count(*) FROM graph_pairs) AS total_edges,
+    (SELECT count(*) FROM degree) AS connected, (SELECT count(*) FROM overview_nodes) - (SELECT count(*) FROM degree) AS isolated,
+    (SELECT count(*) FROM cand) - (SELECT count(*) FROM first_) AS omitted, (SELECT count(*) FROM chosen) - (SELECT count(*) FROM shown) AS dropped,
+    (SELECT count(*) FROM cand) > (SELECT count(*) FROM first_) AS truncated"""
+
+
+@query("G07_overview_counts", _overview(False, 5) + COUNTS)
+def g07d(t):
+    """Room for five matches of some ten times as many: the others are left out, and what no edge touches is dropped."""
+    return overview(t, most=5).counts()
+
+
+@query("G07_search", _overview(True, 40) + " SELECT node, community, claims, degree, total_degree, hit FROM shown")
+def g07e(t):
+    return overview(t, True, 40).nodes()
+
+
+@query("G07_search_counts", _overview(True, 40) + COUNTS)
+def g07f(t):
+    return overview(t, True, 40).counts()
 
 
 @query("G08_communities")
@@ -154,25 +254,64 @@ def g09(t):
     return of.join(small, "community").select("node", F.when(F.col("n") >= 2, F.col("community")).alias("community"))
 
 
-@query("G11_members", """SELECT category, id, n
-    FROM (SELECT t.category, t.id, count(c.id) AS n
-    FROM topics t
-    LEFT
-    JOIN claims c ON c.topic_id = t.id AND c.status = 'active'
-    GROUP BY 1, 2)""")
+INPUTS["placed_topics"] = "SELECT id, name, category, CASE WHEN id % 13 = 0 THEN -1 WHEN id % 17 > 0 THEN CAST(floor(id / 7) AS BIGINT) % 60 END AS community FROM topics"
+INPUTS["active_claims"] = "SELECT id, topic_id, claim_text, created_at FROM claims WHERE status = 'active'"
+INPUTS["inner_edges"] = "SELECT source_id, 1 + (target_id - 1000000) % 500 AS target_id, rel FROM topic_edges"
+IN_COMMUNITY = "community IS NOT NULL AND community <> -1"
+
+
+@query("G11_members", f"""SELECT community, t.id, name, count(c.id) AS claims
+    FROM placed_topics t
+    LEFT JOIN active_claims c ON c.topic_id = t.id
+    WHERE {IN_COMMUNITY}
+    GROUP BY ALL""")
 def g11(t):
-    n = t.claims.filter("status = 'active'").groupBy(F.col("topic_id").alias("id")).agg(F.count("*").alias("n"))
-    return t.topics.select("category", "id").join(n, "id", "left").select("category", "id", F.coalesce("n", F.lit(0)).alias("n"))
+    return rp.members(t.placed_topics, t.active_claims)
+
+
+@query("G11_fellows", f"""SELECT a.id AS asked, t.community, t.id, t.name
+    FROM placed_topics a
+    JOIN placed_topics t ON t.community = a.community AND t.id <> a.id
+    WHERE a.id % 50 = 0 AND a.{IN_COMMUNITY.replace('AND ', 'AND a.')}""")
+def g11b(t):
+    return rp.fellows(t.placed_topics, t.placed_topics.filter("id % 50 = 0").select("id"))
+
 
+@query("G11_noise", "SELECT id, name FROM placed_topics WHERE community IS NULL OR community = -1")
+def g11c(t):
+    return rp.noise(t.placed_topics)
 
-@query("G12_report_reuse", """SELECT p_brand AS community, CASE WHEN count(*) < 3 THEN 'small' WHEN max(p_partkey) % 2 = 0 THEN 'reused' ELSE 'new' END AS report
-    FROM part
-    GROUP BY p_brand""")
+
+REPORTS = f"""WITH seen AS (SELECT *, community AS one, (community + 1) % 60 AS two FROM placed_topics WHERE {IN_COMMUNITY}),
+    n AS (SELECT topic_id, count(*) AS n FROM active_claims GROUP BY 1),
+    first_ AS (SELECT one AS community, count(*) AS size, string_agg(id, ',' ORDER BY id) || ':' || coalesce(sum(n), 0) AS what FROM seen LEFT JOIN n ON topic_id = id GROUP BY 1),
+    kept AS (SELECT * FROM first_ WHERE size >= 3 QUALIFY row_number() OVER (ORDER BY size DESC, community) <= 25),
+    now AS (SELECT two AS community, count(*) AS size, string_agg(id, ',' ORDER BY id) || ':' || coalesce(sum(n), 0) AS what FROM seen LEFT JOIN n ON topic_id = id WHERE id % 40 > 0 AND (two > 5 OR id % 3 = 0) GROUP BY 1),
+    plan AS (SELECT *, CASE WHEN size < 3 THEN 'skipped' WHEN what IN (SELECT what FROM kept) THEN 'reused' END AS action FROM now),
+    done AS (SELECT community, size, what, coalesce(action, CASE WHEN row_number() OVER (PARTITION BY action IS NULL ORDER BY size DESC, community) <= 25 THEN 'generate' ELSE 'deferred' END) AS action FROM plan)"""
+
+
+def refreshes(t):
+    """Two refreshes: the first writes reports of the largest communities, the second meets renumbered ones, some of which have changed."""
+    of = rp.members(t.placed_topics, t.active_claims)
+    none = t.spark.createDataFrame([], "identity string, community long, title string, summary string")
+    first = rp.refresh_plan(rp.identities(of), none)
+    text = lambda plan: plan.filter("action = 'generate'").select("identity", F.concat(F.lit("size "), F.col("size")).alias("title"), F.lit("").alias("summary"))
+    stored = kept(rp.refreshed(none, first, text(first)), "reports")
+    later = of.withColumn("community", (F.col("community") + 1) % 60).filter("id % 40 > 0 AND (community > 5 OR id % 3 = 0)")
+    plan = kept(rp.refresh_plan(rp.identities(later), stored), "reports-plan")
+    return plan, rp.refreshed(stored, plan, text(plan))
+
+
+@query("G12_report_reuse", REPORTS + """ SELECT community, size, action FROM done
+    UNION ALL SELECT NULL, NULL, 'pruned' FROM kept WHERE what NOT IN (SELECT what FROM now WHERE size >= 3)""")
 def g12(t):
-    now = t.part.groupBy("p_brand").agg(members_hash(F.collect_list("p_partkey")).alias("h"), F.count("*").alias("n"), F.max("p_partkey").alias("m"))
-    stored = now.filter("m % 2 = 0").select(F.col("h").alias("s_"))
-    rows = now.join(stored, F.col("h") == F.col("s_"), "left")
-    return rows.select(F.col("p_brand").alias("community"), F.when(F.col("n") < 3, "small").when(F.col("s_").isNotNull(), "reused").otherwise("new").alias("report"))
+    return refreshes(t)[0].select("community", "size", "action")
+
+
+@query("G12_reports_after", REPORTS + " SELECT community, 'size ' || size AS title FROM done WHERE action IN ('reused', 'generate')")
+def g12b(t):
+    return refreshes(t)[1].select("community", "title")
 
 
 TREE = """WITH RECURSIVE d AS (SELECT id, 0 AS depth
@@ -184,9 +323,22 @@ TREE = """WITH RECURSIVE d AS (SELECT id, 0 AS depth
     JOIN d ON t.parent_id = d.id AND t.id <> t.parent_id)"""
 
 
-@query("G14_topic_tree", TREE + " SELECT id, depth FROM d")
+@query("G14_topic_tree", TREE + """, up AS (SELECT id, id AS ancestor, parent_id
+    FROM topics
+    WHERE id IN (SELECT id FROM d WHERE depth <= 12)
+    UNION ALL SELECT u.id, t.id, t.parent_id
+    FROM up u
+    JOIN topics t ON t.id = u.parent_id AND u.ancestor <> u.parent_id),
+    c AS (SELECT topic_id, count(*) AS n FROM active_claims GROUP BY 1),
+    e AS (SELECT node, count(*) AS n FROM (SELECT source_id AS node FROM inner_edges UNION ALL SELECT target_id FROM inner_edges) GROUP BY 1)
+    SELECT t.id, CASE WHEN d.depth > 0 THEN t.parent_id END AS parent_id, d.depth, coalesce(c.n, 0) AS claim_count, coalesce(e.n, 0) AS rel_count, coalesce(s.n, c.n, 0) AS all_claims
+    FROM topics t
+    LEFT JOIN d ON d.id = t.id
+    LEFT JOIN c ON c.topic_id = t.id
+    LEFT JOIN e ON e.node = t.id
+    LEFT JOIN (SELECT ancestor, CAST(sum(n) AS BIGINT) AS n FROM up JOIN c ON c.topic_id = up.id GROUP BY 1) s ON s.ancestor = t.id""")
 def g14(t):
-    return g.tree_depths(t.topics.select("id", "parent_id"))
+    return g.topic_tree(t.topics.select("id", "parent_id"), t.active_claims, t.inner_edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
 
 
 @query("G15_break_cycles", """SELECT id, CASE WHEN id % 6 IN (4, 5) OR id = 1 THEN NULL ELSE parent_id END AS parent_id
@@ -201,7 +353,25 @@ def g15(t):
     return g.break_cycles(t.part.select(k.alias("id"), parent.alias("parent_id")))
 
 
-@query("G16_assign_parents", "SELECT id, coalesce(parent_id, id % 10) AS parent_id FROM topics")
+INPUTS["placements"] = """SELECT id, CASE WHEN id % 10 = 0 THEN id WHEN id % 10 = 1 THEN -5 ELSE id % 10 END AS parent_id, 1 AS place FROM topics
+    UNION ALL SELECT id, 1 + id % 3, 2 FROM topics WHERE id % 4 > 0"""
+
+
+@query("G16_assign_parents", """SELECT t.id, coalesce(t.parent_id, p.parent_id) AS parent_id
+    FROM topics t
+    LEFT JOIN (SELECT * FROM placements
+    WHERE id <> parent_id AND parent_id IN (SELECT id FROM topics)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1) p ON p.id = t.id""")
 def g16(t):
-    given = t.topics.select("id", (F.col("id") % 10).alias("given"))
-    return t.topics.select("id", "parent_id").join(given, "id", "left").select("id", F.coalesce("parent_id", "given").alias("parent_id"))
+    """Placements to itself, to unknown topics, and second ones."""
+    return g.assign_parents(t.topics, t.placements)
+
+
+@query("G16_rebuild_gate", """SELECT count(*) AS n_topics, count(parent_id) AS n_placed, count(parent_id) < 3 AND count(*) > 5 AS needs_rebuild FROM topics
+    UNION ALL SELECT count(*), 0, count(*) > 5 FROM topics
+    UNION ALL SELECT count(*), count(*) FILTER (WHERE id <= 2), count(*) FILTER (WHERE id <= 2) < 3 AND count(*) > 5 FROM topics""")
+def g16b(t):
+    """The topics as they are, without any parent, and with two."""
+    bare = t.topics.select("id", F.lit(None).cast("long").alias("parent_id"))
+    two = t.topics.select("id", F.when(F.col("id") <= 2, F.lit(1).cast("long")).alias("parent_id"))
+    return g.needs_rebuild(t.topics).unionByName(g.needs_rebuild(bare)).unionByName(g.needs_rebuild(two))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstead.functions.text import blank_to_null
+from loomstead.functions.text import blank_to_null, topic_key
 from loomstead.operators import corpus as c
+from loomstead.operators import retrieval as r
 from loomstead.operators import vectors as v
 from loomstead.operators.facts import aligned
 from loomstead.plans.registry import INPUTS, query
@@ -139,7 +140,16 @@ def v03(t):
     WHERE r <= 5 AND s >= 0.2)
     GROUP BY 1, 2""")
 def v04(t):
-    return v.neighbour_graph(t.embeddings, "vec_id", "embedding", 5, 0.2).select("a", "b")
+    """Through inverted lists, all of which are searched: the exact graph."""
+    lists = v.Lists(t.embeddings, "vec_id", "embedding", 8)
+    return v.neighbour_graph(t.embeddings, "vec_id", "embedding", 5, 0.2, lists).select("a", "b")
+
+
+@query("V04_neighbours_by_lists")
+def v04b(t):
+    """Each row against the lists nearest to it: the graph as it is built where all pairs are too many. Recall is held in tests."""
+    lists = v.Lists(t.embeddings, "vec_id", "embedding", 8)
+    return v.neighbour_graph(t.embeddings, "vec_id", "embedding", 5, 0.2, lists, 5).select("a", "b")
 
 
 @query("V05_quantised_codes", """SELECT vec_id, len(embedding) // 2 AS n_bytes, round(CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE), 5) AS scale
@@ -149,7 +159,7 @@ def v05(t):
 
 
 def approximate(t, k):
-    return v.top_k_quantised(v.quantise(t.embeddings, "vec_id", "embedding"), t.embeddings, t.queries_vec, "vec_id", "embedding", k)
+    return v.top_k_quantised(v.code_blocks(t.embeddings, "vec_id", "embedding"), t.embeddings, t.queries_vec, "vec_id", "embedding", k)
 
 
 @query("V06_quantised_top_k")
@@ -157,10 +167,20 @@ def v06(t):
     return approximate(t, 10)
 
 
-@query("V07_use_codes", "SELECT count(*) >= 100 AS use_codes FROM embeddings")
+@query("V07_use_codes", """SELECT 'same' AS made_of, count(*) >= 100 AS use_codes FROM embeddings UNION ALL SELECT 'another vector', false UNION ALL SELECT 'a row less', false
+    UNION ALL SELECT 'a row more', false UNION ALL SELECT 'too few', false""")
 def v07(t):
-    now = v.mark(t.embeddings, "vec_id", "embedding")
-    return v.use_codes(now, now, 100)
+    """Codes of these very rows; of rows of which one has changed since; of one row less and one more; and of fewer rows than pay."""
+    at = lambda rows: v.mark(rows, "vec_id", "embedding")
+    rows, first = t.embeddings, F.col("vec_id") == 0
+    one = rows.filter(first)
+    changed = rows.withColumn("embedding", F.when(first, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    cases = {"same": (rows, 100), "another vector": (changed, 100), "a row less": (rows.filter(~first), 100), "a row more": (rows.unionByName(one.withColumn("vec_id", F.lit(-1).cast("long"))), 100), "too few": (rows, 1 << 40)}
+    found = [v.use_codes(at(made_of), at(rows), least).select(F.lit(name).alias("made_of"), "use_codes") for name, (made_of, least) in cases.items()]
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    return every
 
 
 @query("V08_to_embed", "SELECT id, name || CASE WHEN category IS NULL THEN '' ELSE ': ' || category END AS to_embed FROM topics WHERE id % 10 = 0")
@@ -236,33 +256,64 @@ def r04(t):
     return asked.select("qid", (F.size(tokens(F.col("query"))) == 0).alias("vector_only"))
 
 
-@query("R05_pooled_probes", f"SELECT qid, id FROM (SELECT qid, id FROM ({TOPK}) WHERE rank <= 5 UNION SELECT qid, id FROM ({TOPK}) WHERE rank <= 8)")
+INPUTS["probes_vec"] = """SELECT q.vec_id, e.embedding
+    FROM queries_vec q
+    JOIN embeddings e ON e.vec_id = q.vec_id + 1
+    WHERE q.vec_id % 100 = 0"""
+PROBED = TOPK.replace("queries_vec", "probes_vec")
+
+
+@query("R05_pooled_probes", f"""SELECT qid, id, place
+    FROM (SELECT qid, id, CASE WHEN n > 5 AND qid % 200 = 0 THEN CASE WHEN spot = 3 THEN 1 WHEN spot < 3 THEN spot + 2 ELSE spot + 1 END ELSE spot + 1 END AS place
+    FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid
+    ORDER BY score DESC, id) - 1 AS spot, count(*) OVER (PARTITION BY qid) AS n
+    FROM (SELECT qid, id, max(score) AS score
+    FROM (SELECT qid, id, score
+    FROM ({TOPK})
+    WHERE rank <= 15
+    UNION ALL SELECT qid, id, score
+    FROM ({PROBED})
+    WHERE rank <= 15)
+    WHERE score >= 0.2
+    GROUP BY 1, 2)))
+    WHERE place <= 5""")
 def r05(t):
-    both = exact(t, 5).unionByName(exact(t, 8))
-    return both.groupBy("qid", "id").agg(F.max("score").alias("score")).select("qid", "id")
+    """The question's own vector, and for every second question the vector of its keyword probe (the next row's); one list; a
+    ranking that puts the fourth first where there is one."""
+    question = v.top_k(t.embeddings, t.queries_vec, "vec_id", "embedding", 15).filter("score >= 0.2")
+    keywords = v.top_k(t.embeddings, t.probes_vec, "vec_id", "embedding", 15).filter("score >= 0.2")
+    rankings = t.queries_vec.filter("vec_id % 200 = 0").select(F.col("vec_id").alias("qid"), F.array(F.lit(3.2), F.lit(0.0), F.lit(99.0)).alias("ranking"))
+    return r.pooled([question, keywords], rankings, 5).select("qid", "id", "place")
 
 
-@query("R06_keyword_fallback", f"""SELECT q.qid, o.id, 0.4 AS score
-    FROM (SELECT vec_id AS qid
+INPUTS["asked_words"] = "SELECT p_partkey AS qid, p_name AS query, split_part(p_type, ' ', 3) AS keyword FROM part WHERE p_partkey % 50 = 0"
+UNANSWERED = f"""(SELECT vec_id AS qid
     FROM embeddings
     WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT qid
     FROM ({TOPK})
-    WHERE rank <= 3 AND qid <> id AND score >= 0.45)) q
-    JOIN asked a ON a.qid = q.qid
-    JOIN topics o ON list_contains(string_split(lower(o.name), ' '), lower(split_part(a.query, ' ', 1)))""")
-def r06(t):
+    WHERE rank <= 3 AND qid <> id AND score >= 0.45))"""
+KEYWORDED = f"""SELECT qid, id
+    FROM (SELECT DISTINCT a.qid, o.id
+    FROM (SELECT qid, lower(unnest(list_filter(list_append(string_split(query, ' '), keyword), lambda w: length(w) > 3))) AS word
+    FROM asked_words) a
+    JOIN {UNANSWERED} u ON u.qid = a.qid
+    JOIN topics o ON contains(lower(o.name), word) OR contains(lower(o.description), word))
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY id) <= 5"""
+
+
+def unanswered(t):
     answered = exact(t, 3).filter("qid <> id AND score >= 0.45").select("qid").distinct()
-    left = t.queries_vec.select(F.col("vec_id").alias("qid")).join(answered.hint("merge"), "qid", "left_anti").join(t.asked.hint("merge"), "qid")
-    words = left.select("qid", F.lower(F.split_part("query", F.lit(" "), F.lit(1))).alias("word"))
-    named = t.topics.select("id", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    return named.join(words.hint("merge"), "word").select("qid", "id", F.lit(0.4).alias("score"))
+    return t.queries_vec.select(F.col("vec_id").alias("qid")).join(answered.hint("merge"), "qid", "left_anti")
 
 
-@query("Q01_recall", "SELECT 0.9 AS least, true AS good")
-def q01(t):
-    e, a = exact(t, 10).select("qid", "id"), approximate(t, 10).select("qid", "id")
-    share = a.join(e.hint("merge"), ["qid", "id"], "left_semi").agg(F.count("*").alias("hit")).join(F.broadcast(e.agg(F.count("*").alias("n"))), how="cross")  # a row each
-    return share.select(F.lit(0.9).alias("least"), (F.col("hit") >= 0.9 * F.col("n")).alias("good"))
+def by_keyword(t):
+    asked = t.asked_words.select("qid", "query", F.array("keyword").alias("keywords")).join(unanswered(t).hint("merge"), "qid", "left_semi")
+    return r.keyword_topics(asked, t.topics.select("id", topic_key(F.col("name")).alias("key"), "description"), 5)
+
+
+@query("R06_keyword_fallback", f"SELECT qid, id, 0.4 AS score FROM ({KEYWORDED})")
+def r06(t):
+    return by_keyword(t)
 
 
 @query("Q03_case_scores", f"""SELECT qid, count(*) FILTER (WHERE l.label = e.label) / 10.0 AS precision_, coalesce(1.0 / min(rank) FILTER (WHERE l.label = e.label AND qid <> id),

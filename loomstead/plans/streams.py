@@ -34,6 +34,12 @@ def s01(t):
     return s.throttle(rows, "user_id", 2, 86400.0)
 
 
+@query("S01_throttle_stream", THROTTLE)
+def s01b(t):
+    rows = events(t).select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"))
+    return s.drained(s.throttle_stream(rows, "user_id", 2, 86400.0)).select("id", "user_id", "allowed")
+
+
 @query("S02_tumbling_totals", """SELECT CAST(to_timestamp(floor(epoch(date_trunc('second', created_at)) / 21600) * 21600) AT TIME ZONE 'UTC' AS STRING) AS bucket, category,
       CAST(sum(total_tokens) AS BIGINT) AS total, count(*) AS calls
     FROM usage_log
@@ -96,6 +102,14 @@ def s06b(t):
     return s.expire(t.assets.select("id", "end_date"), "end_date", F.expr(NOW))[1].select("id")
 
 
+@query("S06_expired_stream", f"SELECT CAST(substr(id, 2) AS BIGINT) AS p_partkey, CAST(end_date AS STRING) AS end_date FROM assets WHERE fs_type = 'Product' AND end_date < {NOW}")
+def s06c(t):
+    """Products as they were seen today, and which of them the passing of time has ended."""
+    end = F.when((F.col("p_size") % 6).isin(3, 4), F.date_add(F.lit("2023-10-01").cast("date"), (F.col("p_partkey") * 37 % 900).cast("int")))
+    rows = s.read(t.spark, f"{t.sf_dir}/part.parque[t]", t.part.schema).select("p_partkey", end.alias("end_date"), F.expr(NOW).cast("timestamp").alias("seen"))
+    return s.drained(s.expired_stream(rows, "p_partkey", "end_date", "seen")).select("p_partkey", F.col("end_date").cast("date").cast("string").alias("end_date"))
+
+
 @query("D01_fold_in_sql", """SELECT doc_id, replace(replace(replace(translate(strip_accents(text), 'øđðłħı', 'oddlhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS folded
     FROM documents""")
 def d01(t):

@@ -8,10 +8,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from loomstead.operators.corpus import chunk_text, chunks
 from loomstead.storage import shared_dir
@@ -24,11 +26,11 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
     return plain.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"})
 
 
-def drained(stream: DataFrame, mode: str = "append", also: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", also: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote; each batch is written once under its number, and then
-    given to `also` as it was written."""
+    given to `also` as it was written. folder: where its state is, and is taken up again."""
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
@@ -82,24 +84,101 @@ def throttle(rows: DataFrame, key: str, limit: int, window_s: float) -> DataFram
     return events.mapInArrow(_throttle(key, limit, window_s), f"id long, {key} long, allowed boolean")
 
 
-def throttle_stream(stream: DataFrame, key: str, limit: int, window_s: float) -> DataFrame:
-    """As throttle, on a stream: the state of a key is when its window opened and how many events it took. A key's state is two numbers."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        allowed = []
-        for at in rows["at"]:
-            if opened is None or at >= opened + window_s:
-                opened, used = at, 0
-            used += 1
-            allowed.append(used <= limit)
-        state.update((opened, used))
-        yield pd.DataFrame({"id": rows["id"], key: k[0], "allowed": allowed})
 
-    keyed = stream.select("id", key, (F.unix_micros("created_at") / 1e6).alias("at"))
-    return keyed.groupBy(key).applyInPandasWithState(run, f"id long, {key} long, allowed boolean", "opened double, used long", "append", GroupStateTimeout.NoTimeout)
+def _stateful(stream: DataFrame, key: str, processor, out: str) -> DataFrame:
+    """Rows of a watermarked stream through a processor with state and event-time timers of each key. Such state needs the
+    RocksDB store, which also keeps it off the heap."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.groupBy(key).transformWithStateInPandas(processor, out, "append", "eventTime")
+
+
+class _Throttle(StatefulProcessor):
+    """When the key's window opened, and how many events it took; a timer ends the window and takes both away."""
+
+    def __init__(self, key: str, limit: int, window_us: int):
+        self.key, self.limit, self.window_us = key, limit, window_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "opened long, used long")
+
+    def _ends(self, opened: int) -> int:
+        return -(-(opened + self.window_us) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [(b["at"].to_numpy(np.int64), b["id"].to_numpy(np.int64)) for b in rows]  # two numbers an event
+        at, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, at))
+        before = opened, used = self.window.get() if self.window.exists() else (None, 0)
+        allowed = np.empty(len(at), bool)
+        for n, i in enumerate(order):
+            if opened is None or at[i] >= opened + self.window_us:
+                opened, used = int(at[i]), 0
+            used += 1
+            allowed[n] = used <= self.limit
+        if opened != before[0]:
+            if before[0] is not None:
+                self.handle.deleteTimer(self._ends(before[0]))
+            self.handle.registerTimer(self._ends(opened))
+        self.window.update((opened, used))
+        yield pd.DataFrame({"id": ids[order], self.key: key[0], "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(stream: DataFrame, key: str, limit: int, window_s: float, late: str = "1 hour") -> DataFrame:
+    """As throttle, on a stream: a key's state is two numbers while its window is open, and nothing once the watermark has passed
+    the end; the next event would open a new one anyway. Events of a batch are taken in order of time; those later
+    than the watermark, or without a time, are left out."""
+    timed = stream.filter("created_at IS NOT NULL").withWatermark("created_at", late)
+    keyed = timed.select(F.col("id").cast("long").alias("id"), F.col(key).cast("long").alias(key), F.unix_micros("created_at").alias("at"), "created_at")
+    return _stateful(keyed, key, _Throttle(key, limit, round(window_s * 1e6)), f"id long, {key} long, allowed boolean")
+
+
+class _Expiry(StatefulProcessor):
+    """A row's end. Its timer tells that the row is past and takes the state away; a later row of the key moves the end."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = max(((int(s), int(u)) for b in rows for s, u in zip(b["seen"], b["until_us"], strict=True)), default=None)
+        if self.until.exists():
+            self.handle.deleteTimer(self.until.get()[0] // 1000 + 1)
+        if last[1] // 1000 + 1 <= timerValues.getCurrentWatermarkInMs():
+            self.until.clear()
+            yield pd.DataFrame({self.key: [key[0]], "until_us": [last[1]]})
+        else:
+            self.until.update((last[1],))
+            self.handle.registerTimer(last[1] // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = self.until.get()[0]
+        self.until.clear()
+        yield pd.DataFrame({self.key: [key[0]], "until_us": [until]})
+
+    def close(self) -> None:
+        pass
+
+
+def expired_stream(stream: DataFrame, key: str, until: str, seen: str, late: str = "0 seconds") -> DataFrame:
+    """(key, until) of rows whose time is past, each once, when the watermark of `seen` passes it; state is held for rows that are
+    to expire yet, and for no others. The latest row of a key counts; rows without an end never enter the state."""
+    rows = stream.filter(F.col(until).isNotNull() & F.col(key).isNotNull()).withWatermark(seen, late)
+    kind = stream.schema[key].dataType.simpleString()
+    rows = rows.select(key, F.unix_micros(F.col(until).cast("timestamp")).alias("until_us"), F.unix_micros(seen).alias("seen"), F.col(seen).alias("seen_at"))
+    return _stateful(rows, key, _Expiry(key), f"{key} {kind}, until_us long").select(key, F.timestamp_micros("until_us").alias(until))
 
 
 def alert_state(stream: DataFrame) -> DataFrame:
@@ -151,4 +230,4 @@ def _fold_function() -> str:
     for letter, plain in SEVERAL.items():
         if plain.isascii():
             body = f"replace({body}, '{letter}', '{plain}')"
-    return f"CREATE OR REPLACE TEMPORARY FUNCTION fold(t STRING) RETURNS STRING RETURN {body}"
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION fold(t STRING) RETURNS STRING RETURN CASE WHEN octet_length(t) = length(t) THEN t ELSE {body} END"

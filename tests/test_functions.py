@@ -300,7 +300,7 @@ def test_quantised_recall(spark):
     rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(32)]) for i in range(600)], "vec_id long, embedding array<float>")
     asked = rows.filter("vec_id % 20 = 0")
     exact = {tuple(x) for x in vectors.top_k(rows, asked, "vec_id", "embedding", 10).select("qid", "id").collect()}
-    near = {tuple(x) for x in vectors.top_k_quantised(vectors.quantise(rows, "vec_id", "embedding"), rows, asked, "vec_id", "embedding", 10).select("qid", "id").collect()}
+    near = {tuple(x) for x in vectors.top_k_quantised(vectors.code_blocks(rows, "vec_id", "embedding"), rows, asked, "vec_id", "embedding", 10).select("qid", "id").collect()}
     assert len(exact) == 300 and len(exact & near) >= 0.95 * len(exact)
 
 
