@@ -16,7 +16,20 @@ LGPL = GPL.replace("This program is free software:", "This library is free softw
 AGPL = GPL.replace("GNU General", "GNU Affero General")
 MIT_FILE = "MIT Licence text follows\n\nCopyright (c) 2020 Some One\n\n" + next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 400).replace(", ", ",\n")
 BSD_FILE = "Copyright 2019 The Authors\n\n" + next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and len(t) > 400).replace(". ", ".\n\n   ")
+BODY = lambda name: next(t for n, t in licenses.TEMPLATES if n == name and len(t) > 400)
+BSD_2 = "Copyright 2020 X\n\n" + BODY("BSD-2-Clause").replace("WARRANTIES", "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED")
+BSD_3 = BODY("BSD-3-Clause") + "\n\n" + BSD_2[BSD_2.index("THIS SOFTWARE") :]
 CASES = [
+    (BSD_2.replace(", ", ",\n * "), "BSD-2-Clause"),
+    (BSD_3.replace(", ", ",\n * "), "BSD-3-Clause"),
+    ("This story is not licensed under the MIT license, whatever they say.", None),
+    ("It was never released under the MIT License.", None),
+    ("// SPDX-License-Identifier: GPL-3.0-or-later\nint x;", "GPL-3.0"),
+    ("# SPDX-License-Identifier: mit\n# All rights reserved.", "MIT"),
+    ("# SPDX-License-Identifier: Unknown-1.0", None),
+    ("Preamble\n\nThe GNU General Public License is a free, copyleft\nlicense for software and other kinds of works.\n\nThe licenses for most software", "GPL-3.0"),
+    ("1. Definitions.\n\n\"License\" shall mean the terms and conditions for use, reproduction,\nand distribution as defined by Sections 1 through 9 of this document.", "Apache-2.0"),
+    ("They came home late. Released\nunder the MIT License. The end.", "MIT"),
     (ISC, "ISC"),
     (MPL, "MPL-2.0"),
     (LGPL, "LGPL-3.0"),
