@@ -124,13 +124,16 @@ def bm25(index: DataFrame, queries: DataFrame, key: str, k: int | None = None) -
     index = kept(index.repartition("token").sortWithinPartitions("token"), "index")
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.lower(fold(F.col("query")))))).alias("prefix"))
     asked = kept(asked, "index-asked")
-    vocabulary = index.groupBy("token").agg(F.lit(1).alias("one")).select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n_"))
+    lengths = sorted(r[0] for r in asked.select(F.length("prefix")).distinct().collect())  # some ten numbers
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("token"))
+    vocabulary = index.select("token").distinct().select("token", F.explode(fitting).alias("n_"))
     vocabulary = vocabulary.select("token", F.substring("token", F.lit(1), F.col("n_")).alias("prefix"))
     words = vocabulary.join(asked.select("prefix").distinct().hint("merge"), "prefix", "left_semi")  # only prefixes that are asked for stay
     hits = index.join(words.hint("merge"), "token").groupBy("prefix", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     hits = kept(hits, "index-hits")
     df = hits.groupBy("prefix").agg(F.count("*").alias("df"))
-    total = index.select(key, "length").groupBy(key).agg(F.first("length").alias("length")).agg(F.count("*").alias("n_"), F.avg("length").alias("avg_"))
+    share = F.round(F.sum(F.col("tf") / F.col("length")))  # a document's tf add up to its length, so this is the number of documents
+    total = index.agg(share.cast("long").alias("n_"), (F.sum("tf") / share).alias("avg_"))
     idf = F.log(1 + (F.col("n_") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_")))
     scored = hits.join(df.hint("merge"), "prefix").join(F.broadcast(total), how="cross").withColumn("part_", part)  # total is one row

@@ -210,41 +210,65 @@ class Overview:
         return one.select("total_nodes", "total_edges", "connected", isolated.alias("isolated"), "omitted", dropped.alias("dropped"), (F.col("omitted") > 0).alias("truncated"))
 
 
-def communities(edges: DataFrame, rounds: int = 12, levels: int = 3, seed: int = 1) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 8, levels: int = 3, seed: int = 1) -> DataFrame:
     """(node, community) by modularity: in each round a hashed half of the nodes moves to the neighbouring community of the
-    largest gain; then communities become nodes. Ids are from 1 by smallest member. edges: a, b, weight, both ways."""
-    level_edges = kept(edges.select("a", "b", "weight"), "community-edges")
-    total = level_edges.agg(F.sum("weight")).first()[0]
-    member = kept(level_edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("c")), "community-of")
+    largest gain; then communities become nodes. Only nodes are looked at that moved, whose neighbours moved, or whose turn has not come
+    since. After the levels, single nodes move once more between the communities that were found, and communities that fall apart are
+    split. Ids are from 1 by smallest member. edges: a, b, weight, both ways."""
+    edges = kept(edges.select("a", "b", "weight"), "community-edges")
+    total = edges.agg(F.sum("weight")).first()[0]
+    alone = edges.select(F.col("a").alias("node")).distinct()
+    member = kept(alone.select("node", F.col("node").alias("c")), "community-of")
     if not total:
         return member.select("node", F.col("c").alias("community"))
+    level_edges, of = edges, member
     for level in range(levels):
-        strength = kept(level_edges.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), "community-strength")
-        of = kept(strength.select("node", F.col("node").alias("c")), "community-level")
-        moved_any = False
-        for r in range(rounds):
-            sums = of.join(strength, "node").groupBy("c").agg(F.sum("k").alias("s"))
-            near = level_edges.filter("a <> b").join(of.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
-            cand = near.join(sums.select(F.col("c").alias("to"), "s"), "to").join(of.select(F.col("node").alias("a"), F.col("c").alias("own")), "a").join(strength.withColumnRenamed("node", "a"), "a")
-            gain = F.col("w") - F.col("k") * (F.col("s") - F.when(F.col("to") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-            best = cand.withColumn("g", F.round(gain, 9)).groupBy("a").agg(F.max_by(F.struct("to", "g"), F.struct("g", -F.col("to"))).alias("best"), F.max(F.when(F.col("to") == F.col("own"), F.col("g"))).alias("stay"))
-            turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(r), "node"), F.lit(2)) == 0
-            next_ = of.join(best, F.col("node") == F.col("a"), "left").select("node", "c", F.when(turn & (F.col("best.g") > F.coalesce("stay", F.lit(0.0)) + 1e-9), F.col("best.to")).otherwise(F.col("c")).alias("n"))
-            next_ = kept(next_, "community-level")
-            moved = next_.filter("c <> n").count()
-            of = next_.select("node", F.col("n").alias("c"))
-            moved_any |= moved > 0
-            if not moved and r % 2:
-                break
+        of, moved = _settle(level_edges, of, total, rounds, f"{seed} {level}")
         member = kept(member.join(of.select(F.col("node").alias("c"), F.col("c").alias("d")), "c").select("node", F.col("d").alias("c")), "community-of")
-        if not moved_any:
+        if not moved:
             break
         level_edges = level_edges.join(of.select(F.col("node").alias("a"), F.col("c").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("c").alias("y")), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight"))
         level_edges = kept(level_edges, "community-edges")
+        of = kept(of.select(F.col("c").alias("node")).distinct().select("node", F.col("node").alias("c")), "community-level")
+    member, _ = _settle(edges, member, total, rounds, f"{seed} last")
+    member = _connected(edges, member)
     low = member.groupBy("c").agg(F.min("node").alias("low"))
     return member.join(numbered(low, [F.col("low")], "community").hint("merge"), "c").select("node", "community")
 
 
+def _settle(edges: DataFrame, of: DataFrame, total: float, rounds: int, seed: str) -> tuple[DataFrame, bool]:
+    """(node, c) after rounds of moves from a start (node, c), and whether any node moved; ends when both halves of the nodes stay."""
+    strength = kept(edges.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), "community-strength")
+    turn = lambda node, r: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), F.col(node)), F.lit(2)) == 0
+    moved_any, work, quiet = False, of.select(F.col("node").alias("w_")), 0
+    for r in range(rounds):
+        sums = of.join(strength, "node").groupBy("c").agg(F.sum("k").alias("s"))
+        near = edges.filter("a <> b").join(work.filter(turn("w_", r)).hint("merge"), F.col("a") == F.col("w_"), "left_semi")
+        near = near.join(of.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
+        cand = near.join(sums.select(F.col("c").alias("to"), "s"), "to").join(of.select(F.col("node").alias("a"), F.col("c").alias("own")), "a").join(strength.withColumnRenamed("node", "a"), "a")
+        gain = F.col("w") - F.col("k") * (F.col("s") - F.when(F.col("to") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+        best = cand.withColumn("g", F.round(gain, 9)).groupBy("a").agg(F.max_by(F.struct("to", "g"), F.struct("g", -F.col("to"))).alias("best"), F.max(F.when(F.col("to") == F.col("own"), F.col("g"))).alias("stay"))
+        better = F.col("best.g") > F.coalesce("stay", F.lit(0.0)) + 1e-9
+        next_ = kept(of.join(best, F.col("node") == F.col("a"), "left").select("node", "c", F.when(better, F.col("best.to")).otherwise(F.col("c")).alias("n")), "community-level")
+        changed = next_.filter("c <> n").select(F.col("node").alias("m_"))
+        of = next_.select("node", F.col("n").alias("c"))
+        touched = edges.join(changed.hint("merge"), F.col("a") == F.col("m_"), "left_semi").select(F.col("b").alias("w_"))
+        work = kept(touched.unionByName(changed.select(F.col("m_").alias("w_"))).unionByName(work.filter(~turn("w_", r))).distinct(), "community-work")
+        moved = not changed.isEmpty()
+        moved_any, quiet = moved_any or moved, 0 if moved else quiet + 1
+        if quiet == 2 or work.isEmpty():
+            break
+    return of, moved_any
+
+
+def _connected(edges: DataFrame, member: DataFrame) -> DataFrame:
+    """member (node, c) with communities that fall apart split into their connected parts; c is then the least node of each."""
+    ends = lambda side, c: member.select(F.col("node").alias(side), F.col("c").alias(c)).hint("merge")
+    inner = edges.select("a", "b").join(ends("a", "x_"), "a").join(ends("b", "y_"), "b").filter("x_ = y_")
+    part = links(inner.select("a", "b")).select(F.col("node").alias("n_"), "root")
+    return kept(member.join(part.hint("merge"), F.col("node") == F.col("n_"), "left").select("node", F.coalesce("root", "node").alias("c")), "community-of")
+
+
 def modularity(edges: DataFrame, of: DataFrame) -> DataFrame:
     """One row: modularity of communities (node, community) on edges a, b, weight, both ways."""
     e = edges.join(of.select(F.col("node").alias("a"), F.col("community").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("community").alias("y")), "b")

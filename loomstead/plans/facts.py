@@ -11,6 +11,7 @@ from loomstead.functions.text import fingerprint, topic_key
 from loomstead.operators import facts as k
 from loomstead.operators.relational import page
 from loomstead.plans.registry import query
+from loomstead.sources.keyed import KeyedTable
 from loomstead.storage import shared_dir
 
 
@@ -97,6 +98,24 @@ def c10(t):
     return s.replace_children(rows, new, new, "l_orderkey")
 
 
+@query("C10_replace_in_runs", """SELECT l_orderkey, l_linenumber, l_quantity
+    FROM lineitem
+    WHERE l_orderkey % 9 NOT IN (0, 5)
+    UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1
+    FROM lineitem
+    WHERE l_orderkey % 9 = 0""")
+def c10b(t):
+    """Children in a table between runs: the first run stores all, the second replaces those of some parents and takes others away."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"))
+    table = KeyedTable.create(t.spark, f"{shared_dir(t.spark)}/children-{uuid.uuid4().hex}", "l_orderkey long, l_linenumber int, l_quantity double", ["l_orderkey"])
+    cast = lambda df: df.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), "l_quantity")
+    table.apply(0, cast(rows), lambda old: cast(rows))
+    keys = cast(rows).filter("l_orderkey % 9 IN (0, 5)").select("l_orderkey")
+    new = cast(rows).filter("l_orderkey % 9 = 0").withColumn("l_quantity", F.col("l_quantity") + 1)
+    table.apply(1, new, lambda old: s.replace_children(old, new, keys, "l_orderkey"), keys)
+    return table.read()
+
+
 RENDER = """SELECT a.id, concat_ws(chr(10), '# ' || name, 'Type: ' || fs_type, 'Lifecycle: ' || lifecycle, r.relations) AS text FROM assets a LEFT JOIN (SELECT from_id, string_agg(rel || ': ' || names, chr(10) ORDER BY rel || ': ' || names) AS relations FROM
 (SELECT from_id, rel, CASE WHEN len(l) > 12 THEN CAST(len(l) AS STRING) || ' in total, including ' || array_to_string(l[:12], ', ') || ' (and ' || CAST(len(l) - 12 AS STRING) || ' more)' ELSE array_to_string(l, ', ') END AS names FROM (SELECT from_id, rel, list_sort(list(DISTINCT to_name)) AS l FROM relations GROUP BY 1, 2)) GROUP BY from_id) r ON r.from_id = a.id"""
 
@@ -266,14 +285,17 @@ def k11(t):
     return k.reattribute(claims.select("claim_id", "doc_id"), support, removed).agg(F.count("*").alias("claims_left"))
 
 
-@query("K12_alert_reconcile", """SELECT asset_id, title, CAST(coalesce(min(seen_at) FILTER (WHERE id % 2 = 0), min(seen_at)) AS STRING) AS first_seen,
+K12 = """SELECT asset_id, title, CAST(coalesce(min(seen_at) FILTER (WHERE id % 2 = 0), min(seen_at)) AS STRING) AS first_seen,
       CAST(max(seen_at) AS STRING) AS last_seen
     FROM alerts
     WHERE id % 2 = 1 OR asset_id LIKE '%1' OR true
     GROUP BY asset_id, title
     HAVING count(*) FILTER (WHERE id % 2 = 1) > 0 OR asset_id NOT IN (SELECT asset_id
     FROM alerts
-    WHERE id % 2 = 1 AND asset_id LIKE '%1')""")
+    WHERE id % 2 = 1 AND asset_id LIKE '%1')"""
+
+
+@query("K12_alert_reconcile", K12)
 def k12(t):
     keyed = t.alerts.select("id", "asset_id", "title", F.concat_ws("|", "category", "title").alias("fingerprint"), "seen_at")
     stored = keyed.filter("id % 2 = 0").groupBy("asset_id", "fingerprint").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
@@ -286,6 +308,22 @@ def k12(t):
     return out.select("asset_id", F.split_part("fingerprint", F.lit("|"), F.lit(2)).alias("title"), F.coalesce("f_", "first_seen").cast("string").alias("first_seen"), F.col("last_seen").cast("string").alias("last_seen"))
 
 
+@query("K12_reconcile_in_runs", K12)
+def k12b(t):
+    """The stored alerts as a table that one run fills and the next one reconciles; each run is applied twice, and counts once."""
+    keyed = t.alerts.select("id", "asset_id", F.concat_ws("|", "category", "title").alias("fingerprint"), F.col("seen_at").cast("timestamp").alias("seen_at"))
+    schema = "asset_id string, fingerprint string, first_seen timestamp, last_seen timestamp"
+    table = KeyedTable.create(t.spark, f"{shared_dir(t.spark)}/alerts-{uuid.uuid4().hex}", schema, ["asset_id"])
+    for run in (0, 1):
+        new = keyed.filter(F.col("id") % 2 == run)
+        refreshed = new.filter("asset_id LIKE '%1'").select("asset_id") if run else new.limit(0).select("asset_id")
+        for _ in range(2):
+            table.apply(run, new, lambda old, new=new, refreshed=refreshed: k.reconcile_alerts(old, new, refreshed))
+    first = keyed.filter("id % 2 = 0").groupBy("asset_id", "fingerprint").agg(F.min("seen_at").alias("f_"))
+    out = table.read().join(first.hint("merge"), ["asset_id", "fingerprint"], "left")
+    return out.select("asset_id", F.split_part("fingerprint", F.lit("|"), F.lit(2)).alias("title"), F.coalesce("f_", "first_seen").cast("string").alias("first_seen"), F.col("last_seen").cast("string").alias("last_seen"))
+
+
 DUE = """SELECT p_partkey AS id, CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_size * 4 END AS researched_days, p_size % 7 = 0 AS hash_changed,
       p_size % 5 = 0 AS had_error, p_size % 2 = 0 AS identified, p_size % 11 = 0 AS forced, p_partkey % 13 AS priority
     FROM part"""

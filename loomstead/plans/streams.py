@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomstead import streaming as s
 from loomstead.plans.columns import NOW
 from loomstead.plans.registry import query
+from loomstead.sources.keyed import KeyedTable
+from loomstead.storage import shared_dir
 
 
 def events(t):
@@ -70,13 +74,8 @@ def s03(t):
     GROUP BY 1, 2""")
 def s04(t):
     rows = events(t).select(F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("asset_id"), F.concat_ws(" ", "event_type", (F.col("event_id") % 7).cast("string")).alias("title"), F.col("ts").alias("seen_at"))
-    return s.drained(s.alert_state(rows), "complete").withColumn("b", F.max("batch").over(_all())).filter("batch = b").drop("b", "batch")
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("asset_id", "title")
+    table = KeyedTable.create(t.spark, f"{shared_dir(t.spark)}/alerts-{uuid.uuid4().hex}", s.ALERTS, ["asset_id", "title"])
+    return s.alert_state(rows, table).withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_seen")})
 
 
 STRIPPED = "length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''))"

@@ -11,9 +11,9 @@ from loomstead.operators.predicates import ignored_path
 
 def text_files(spark: SparkSession, folder: str, extensions: list[str], skip: str = "cleaned") -> DataFrame:
     """(path, content) of all files below a folder with one of some extensions (case ignored), without ignored paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    ends = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(*[e.lower() for e in extensions])
-    keep = ends & ~ignored_path(F.col("path")) & ~F.contains("path", F.lit(f"/{skip}/"))
+    ends = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{ends}}}").load(folder)  # others aren't listed
+    keep = ~ignored_path(F.col("path")) & ~F.contains("path", F.lit(f"/{skip}/"))
     return files.filter(keep).select("path", F.decode("content", "UTF-8").alias("content"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from loomstead.operators.corpus import chunk_text, chunks
+from loomstead.sources.keyed import KeyedTable
 from loomstead.storage import shared_dir
 
 
@@ -181,9 +182,20 @@ def expired_stream(stream: DataFrame, key: str, until: str, seen: str, late: str
     return _stateful(rows, key, _Expiry(key), f"{key} {kind}, until_us long").select(key, F.timestamp_micros("until_us").alias(until))
 
 
-def alert_state(stream: DataFrame) -> DataFrame:
-    """First seen, last seen and count of each alert so far (complete mode)."""
-    return stream.groupBy("asset_id", "title").agg(F.min("seen_at").cast("string").alias("first_seen"), F.max("seen_at").cast("string").alias("last_seen"), F.count("*").alias("n"))
+ALERTS = "asset_id string, title string, first_seen timestamp, last_seen timestamp, n long"
+
+
+def alert_state(stream: DataFrame, table: KeyedTable) -> DataFrame:
+    """Runs over what is there: first seen, last seen and count of each alert, kept in a table of ALERTS by asset and title. A batch
+    is added up before it meets the table, and rewrites only the buckets of its own alerts; one that is run again counts once."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy("asset_id", "title").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("n"))
+        add = lambda old: old.unionByName(new).groupBy("asset_id", "title").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
+        table.apply(number, new, add)
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{table.path}/stream").trigger(availableNow=True).start().awaitTermination()
+    return table.read()
 
 
 def ingest(stream: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomstead import streaming
 from loomstead.functions import text
 from loomstead.operators import graph, retrieval, vectors
-from loomstead.operators.relational import numbered
+from loomstead.sources.keyed import KeyedTable
 
 
 def pairs_of(df):
@@ -139,6 +139,48 @@ def test_fold_is_letter_by_letter(spark):
     assert [x.f for x in got] == [x.b for x in got]
 
 
+def test_a_keyed_table_takes_batches_once_and_rewrites_what_they_touch(spark, tmp_path):
+    schema = "k string, n long, v long"
+    table = KeyedTable.create(spark, f"{tmp_path}/t", schema, ["k"], 8)
+    assert table.read().count() == 0
+    r, want = random.Random(2), {}
+    add = lambda new: lambda old: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
+    for number in range(4):
+        rows = [(r.choice(["a", "b", "c", None, ""]), 1, r.randrange(99)) for _ in range(3 if number else 40)]
+        new = spark.createDataFrame(rows, schema).groupBy("k").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
+        before = table._now()[2]
+        assert table.apply(number, new, add(new)) and not table.apply(number, new, add(new))
+        for k, n, v in rows:
+            want[k] = (want.get(k, (0, 0))[0] + n, max(want.get(k, (0, 0))[1], v))
+        assert {x.k: (x.n, x.v) for x in table.read().collect()} == want
+        hit = {x[0] for x in new.select(table._bucket()).distinct().collect()}
+        assert {b: f for b, f in table._now()[2].items() if b not in hit} == {b: f for b, f in before.items() if b not in hit}
+    again = KeyedTable(spark, f"{tmp_path}/t", schema, ["k"], 8)  # another run
+    assert again.apply(9, again.read().limit(0), lambda old: old) and {x.k: (x.n, x.v) for x in again.read().collect()} == want
+    gone = again.read().filter("k = 'a'").select("k")
+    assert again.apply(10, gone, lambda old: old.filter("NOT k <=> 'a'")) and again.read().filter("k = 'a'").count() == 0
+    assert {x.k for x in again.read().collect()} == set(want) - {"a"}
+
+
+def test_communities_do_not_fall_apart(spark):
+    r = random.Random(21)
+    pairs = {tuple(sorted((r.randrange(120), r.randrange(120)))) for _ in range(260)}
+    pairs = {p for p in pairs if p[0] != p[1]}
+    both = pairs | {(b, a) for a, b in pairs}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in both], "a long, b long, weight double")
+    of = {x.node: x.community for x in graph.communities(edges).collect()}
+    assert set(of) == {a for a, _ in both}
+    for c in set(of.values()):
+        nodes = {n for n in of if of[n] == c}
+        reached, todo = set(), [min(nodes)]
+        while todo:
+            n = todo.pop()
+            if n not in reached:
+                reached.add(n)
+                todo += [b for a, b in both if a == n and b in nodes]
+        assert reached == nodes
+
+
 def state_rows(spark, folder, name):
     return spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", name).load().count()
 
