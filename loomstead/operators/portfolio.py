@@ -148,6 +148,6 @@ def usage_series(log: DataFrame, now: Column, hours: int, n_buckets: int, offset
     folded = F.when(F.col("category").isin(*categories), F.col("category")).otherwise("other")
     rows = log.select(F.unix_timestamp(dates.bucket_start(F.col("created_at"), hours, offset_minutes)).alias("at"), folded.alias("category"), "total_tokens", "estimated")
     sums = rows.groupBy("at", "category").agg(F.sum("total_tokens").alias("total"), F.count("*").alias("calls"), F.sum(F.when(F.col("estimated") == 1, F.col("total_tokens"))).alias("estimated_tokens"))
-    found = frame.join(sums, (F.col("at") == F.col("b_")) & (F.col("category") == F.col("c_")), "left")
+    found = frame.join(sums.hint("merge"), (F.col("at") == F.col("b_")) & (F.col("category") == F.col("c_")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return found.select(F.col("c_").alias("category"), F.timestamp_seconds("b_").cast("string").alias("bucket"), zero("total"), zero("calls"), zero("estimated_tokens"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomstead import streaming
 from loomstead.functions import text
 from loomstead.operators import graph, retrieval, vectors
+from loomstead.plans.context import perturbed
 from loomstead.sources.keyed import KeyedTable
 
 
@@ -59,6 +60,42 @@ def test_codes_recall_on_the_tables(spark, sf_):
     assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
 
 
+def test_noise_is_seeded_of_its_level_and_keeps_length(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=256).astype(float).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    for level in (0.0, 0.1, 0.5):
+        got = {x.id: np.array(x.v) for x in perturbed(df, "id", "v", level).collect()}
+        again = {x.id: np.array(x.v) for x in perturbed(df.repartition(5), "id", "v", level).collect()}
+        for i, v in rows:
+            v = np.array(v)
+            assert (got[i] == again[i]).all() and abs(np.linalg.norm(got[i]) - np.linalg.norm(v)) < 1e-3
+            cos = got[i] @ v / np.linalg.norm(got[i]) / np.linalg.norm(v)  # noise of level x RMS turns a vector by about atan(level)
+            assert abs(np.tan(np.arccos(min(1.0, cos))) - level) < 0.12
+
+
+def test_rank_by_codes_counts_what_scores_above(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=16).astype(float).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    asked, codes = df.filter("id % 100 = 7"), vectors.code_blocks(df, "id", "v")
+    wanted = spark.createDataFrame([(7, 3), (107, 107), (207, 4), (307, 9999)], "qid long, id long")
+    got = {x.qid: x.place for x in vectors.rank_by_codes(codes, asked, wanted, "id", "v").collect()}
+    order = {}
+    for x in vectors.top_k_codes(codes, asked, "id", "v", 500).collect():
+        order.setdefault(x.qid, {})[x.id] = x.score
+    want = {q: 1 + sum(s > order[q][i] for s in order[q].values()) for q, i in ((7, 3), (107, 107), (207, 4))}
+    assert got == want
+
+
+def test_recall_report_by_hand(spark):
+    exact = spark.createDataFrame([(q, i, i) for q in (4, 5) for i in range(1, 21)], "qid long, id long, rank long")
+    near = spark.createDataFrame([(4, i, i) for i in range(1, 21)] + [(5, i, 21 - i) for i in range(3, 21)], "qid long, id long, near long")
+    place = spark.createDataFrame([(4, 1), (5, 30)], "qid long, place long")
+    got = retrieval.recall_report(exact, near, place, (F.col("qid") % 2).cast("double")).collect()
+    assert sorted(tuple(x) for x in got) == [(0.0, 1, 1.0, 1.0, 1.0, 1.0, "OK"), (1.0, 1, 0.0, 0.9, 0.0, 30.0, "MARGINAL")]
+
+
 def test_rotation_keeps_products():
     r = np.random.default_rng(1)
     m = r.normal(size=(9, 37)).astype(np.float32)
