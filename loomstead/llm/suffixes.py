@@ -8,7 +8,7 @@ strings have equal anchors, 37 bytes or more before their ends, so strings can o
    many texts share reaches the next task at most some times for each task. Contexts are dealt and sorted by the same
    hash, so all equal strings meet in a task, and equal ones are settled there again. A context that is then alone under its
    hash holds no other repeat: its strings have the anchor at different distances.
-3. In a task, the distinct contexts are cut into shards. Each shard's suffixes are sorted and give its Burrows-Wheeler
+3. In a task, the distinct contexts that may hold a repeat (a hash of 100 bytes occurs twice) are cut into shards. Each shard's suffixes are sorted and give its Burrows-Wheeler
    transform. The transforms are merged without sorting suffixes anew: the interleave starts with shard after shard, and
    each round deals it by the symbols of the transforms in their current order (Holt and McMillan). After k rounds the
    interleave is right for prefixes of k bytes, and the block borders carried along part suffixes whose common prefix is
@@ -235,7 +235,26 @@ def merge(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np
 
 
 def repeats(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each of some distinct contexts, earliest first: whether each of its 100-byte strings also starts before."""
+    """For each of some distinct contexts, earliest first: whether each of its 100-byte strings also starts before. Contexts of which
+    no string has the hash of another are not transformed: equal strings have equal hashes, so they hold no repeat."""
+    body = np.frombuffer(b"".join(contexts), np.uint8)
+    counts = np.array([len(c) for c in contexts]) - LENGTH + 1
+    edge = np.cumsum(counts) - counts
+    start = np.arange(counts.sum()) + np.repeat(np.arange(len(counts)) * (LENGTH - 1), counts)
+    hashes = kn.span_hashes(body, start, start + LENGTH, lower=False)
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(hashes), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    some = np.flatnonzero(np.logical_or.reduceat(twice, edge)) if len(edge) else edge
+    out = [np.zeros(n, bool) for n in counts.tolist()]
+    for i, found in zip(some.tolist(), _intervals([contexts[i] for i in some.tolist()]) if len(some) else [], strict=True):
+        out[i] = found
+    return out
+
+
+def _intervals(contexts: list[bytes]) -> list[np.ndarray]:
+    """The same by merging the transforms of shards."""
     length = np.array([len(c) for c in contexts])
     base = np.cumsum([0, *length])
     size = max(SHARD, int(base[-1]) // MOST_SHARDS)
@@ -301,7 +320,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield chunk(rows.slice(edge[i], edge[j] - edge[i]))
             i = j
 
-    size = 0
+    size, enough = 0, READ
     for b in batches:
         whole = b.filter(pc.is_valid(b.column("whole")))
         if whole.num_rows:
@@ -311,7 +330,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
         held.append(b)
         size += b.nbytes
-        if size < READ:
+        if size < enough:
             continue
         rows = pa.Table.from_batches(held)
         key = rows.column("key").to_numpy()
@@ -319,7 +338,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut:
             yield from chunks(rows.slice(0, cut))
         held = rows.slice(cut).to_batches()
-        size = sum(x.nbytes for x in held) if cut else 0  # a key alone is larger than a chunk: look again after as much more
+        size = sum(x.nbytes for x in held)
+        enough = READ if cut else 2 * size  # one key so far: look again when there is twice as much, so each row is laid out a few times
     if held and (rows := pa.Table.from_batches(held)).num_rows:
         yield from chunks(rows)
 
