@@ -149,7 +149,7 @@ def v04(t):
 def v04b(t):
     """Each row against the lists nearest to it: the graph as it is built where all pairs are too many. Recall is held in tests."""
     lists = v.Lists(t.embeddings, "vec_id", "embedding", 8)
-    return v.neighbour_graph(t.embeddings, "vec_id", "embedding", 5, 0.2, lists, 5).select("a", "b")
+    return v.neighbour_graph(t.embeddings, "vec_id", "embedding", 5, 0.2, lists, 6).select("a", "b")
 
 
 @query("V05_quantised_codes", """SELECT vec_id, len(embedding) // 2 AS n_bytes, round(CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE), 5) AS scale

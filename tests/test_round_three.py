@@ -43,6 +43,14 @@ def test_lists_with_all_probes_are_exact_and_with_some_nearly(clustered, monkeyp
     assert len(pairs_of(lists.top_k(asked, "id", "v", 10, 4)) & want) >= 0.9 * len(want)
 
 
+def test_lists_recall_on_the_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = rows.filter("vec_id % 50 = 0")
+    want = pairs_of(vectors.top_k(rows, asked, "vec_id", "embedding", 10))
+    got = pairs_of(vectors.Lists(rows, "vec_id", "embedding", 8).top_k(asked, "vec_id", "embedding", 10, 6))
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_lists_of_nothing(spark):
     none = spark.createDataFrame([(1, None)], "id long, v array<float>")
     assert vectors.Lists(none, "id", "v", 4).top_k(none, "id", "v", 3).count() == 0
