@@ -104,8 +104,7 @@ def _words(line: Column) -> Column:
 
 
 def _known(units: DataFrame) -> DataFrame:
-    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
-    words = units.withColumn("known", F.filter("words", lambda w: F.array_contains(vocabulary, w)))
+    words = units.withColumn("known", F.filter("words", lambda w: w.isin(*VOCABULARY)))  # looked up in a set, not in a list
     return words.select("path", F.size("words").alias("n"), "known", F.exists("words", lambda w: w.isin(*DENIALS)).alias("denies")).filter("n > 0")
 
 
@@ -114,9 +113,13 @@ def _lines(files: DataFrame, text: str, path: str) -> DataFrame:
     return _known(lines.select("path", _words(F.col("line")).alias("words")))
 
 
-def _sentences(able: DataFrame) -> DataFrame:
-    rows = able.select("path", F.explode(F.split("text", r"(?<=[.!?;])\s+")).alias("sentence"))
-    return _known(rows.select("path", _words(F.col("sentence")).alias("words")))
+def _sentences(able: DataFrame, least: float) -> DataFrame:
+    """Sentences for the short templates: with more words than 1 / least^2 times a template's, most of them unknown, none is near enough."""
+    sizes = {i: sum(template_words(body).values()) for i, (_, body) in enumerate(TEMPLATES, 1)}
+    short = {i: n for i, n in sizes.items() if n < WINDOWED}
+    rows = able.filter(F.exists("able", lambda i: i.isin(*short))).select("path", F.explode(F.split("text", r"(?<=[.!?;])\s+")).alias("sentence"))
+    rows = rows.select("path", _words(F.col("sentence")).alias("words"))
+    return _known(rows.filter(F.size("words") <= math.ceil(max(short.values()) / least**2)))
 
 
 def _tags(files: DataFrame, text: str, path: str) -> DataFrame:
@@ -163,14 +166,16 @@ def _dot(share: Column) -> Column:
 def scan(files: DataFrame, text: str = "text", path: str = "path", least: float = LEAST) -> DataFrame:
     """path, licence, cosine of every file that bears a licence."""
     lines = _lines(files, text, path)
-    n_lines, *df = lines.agg(F.count("*"), *[F.count(F.when(F.array_contains("known", w), 1)) for w in VOCABULARY]).first()  # one row
-    idf = {w: math.log((1 + n_lines) / (1 + k)) + 1 for w, k in zip(VOCABULARY, df, strict=True)}
+    held = lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("known"))).alias("w")).groupBy("w").agg(F.count("*").alias("k"))
+    df = {r.w: r.k for r in held.collect()}  # a row a word of the templates, and one for all lines
+    n_lines = df.get("", 0)
+    idf = {w: math.log((1 + n_lines) / (1 + df.get(w, 0))) + 1 for w in VOCABULARY}
     none = math.log(1 + n_lines) + 1
     weight = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
     times = lambda w: F.size(F.filter("known", lambda x: x == w)).cast("double")
     vector = F.transform(F.array_distinct("known"), lambda w: F.struct(w.alias("w"), (times(w) * F.element_at(weight, w)).alias("x")))
     able = written(_able(files, text, path, idf, least), "licence-texts")
-    lines = _lines(able, "text", "path").unionByName(_sentences(able)).unionByName(_windows(able))
+    lines = _lines(able, "text", "path").unionByName(_sentences(able, least)).unionByName(_windows(able))
     lines = lines.filter(F.size("known") > 0).withColumn("v", settled(vector))
     square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"])
     lines = lines.withColumn("inside", square).withColumn("norm", F.sqrt(F.col("inside") + (F.col("n") - F.size("known")) * none * none))
