@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.text import blank_to_null, topic_key
 from loomstead.operators import corpus as c
+from loomstead.operators import impacts
 from loomstead.operators import retrieval as r
 from loomstead.operators import vectors as v
 from loomstead.operators.facts import aligned
@@ -78,6 +79,20 @@ def t06(t):
     return ranked(t)
 
 
+INPUTS["asked_documents"] = """SELECT doc_id AS qid, split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 5) || ' ' || split_part(text, ' ', 8) || ' ' || split_part(text, ' ', 13) AS query
+    FROM documents
+    WHERE doc_id % 50 = 0"""
+OVER_DOCUMENTS = BM25.replace("WITH idx AS", "WITH idx AS MATERIALIZED").replace("FROM texts", "FROM documents").replace("FROM asked", "FROM asked_documents").replace(
+    "JOIN idx ON starts_with(token, prefix)", "JOIN (SELECT DISTINCT token FROM idx) words ON starts_with(token, prefix) JOIN idx USING (token)")
+
+
+@query("T06_bm25_documents", OVER_DOCUMENTS + " SELECT qid, doc_id, score, rank FROM rk WHERE rank <= 10")
+def t06b(t):
+    """Four words of every 50th document against all documents, whole texts: hits in bands of impact that can't bring a document among a
+    query's best ten are not added up."""
+    return impacts.best(impacts.index_of(t.documents, "doc_id", "text"), t.asked_documents, 10)
+
+
 @query("T07_snippets")
 def t07(t):
     rows = t.documents.filter(F.contains(F.lower("text"), F.lit("the"))).select("doc_id", "text")
