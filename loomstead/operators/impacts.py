@@ -44,7 +44,7 @@ class Index:
 
 @dataclass
 class Asked:
-    """terms: qid, prefix, idf, and the most that the prefix adds to a score; hits: prefix, the key, tf, length, impact, band;
+    """terms: qid, prefix, idf, and the most that the prefix adds to a score; hits: prefix, the key, impact, band;
     heads: prefix, band, n, top. Band 0 has the largest impacts."""
 
     terms: DataFrame
@@ -61,18 +61,26 @@ def index_of(docs: DataFrame, key: str, text: str) -> Index:
     return Index(postings, key, n or 0, total / n if n else 1.0)
 
 
-def ask(index: Index, queries: DataFrame) -> Asked:
-    """What a table of queries (qid, query) asks for. Words meet the vocabulary by their few lengths, then the postings, which are
-    counted up to (prefix, document) with partial sums."""
+def ask(index: Index, queries: DataFrame, limit: int = 500_000) -> Asked:
+    """What a table of queries (qid, query) asks for. Up to `limit` counted words meet each posting's own prefixes of their few lengths by a
+    broadcast, so postings aren't shuffled; more words meet the vocabulary first. Hits are counted up to (prefix, document) with
+    partial sums."""
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.lower(fold(F.col("query")))))).alias("prefix"))
     asked = kept(asked, "impact-asked")
-    lengths = sorted(r[0] for r in asked.select(F.length("prefix")).distinct().collect())  # some ten numbers
-    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda x: x <= F.length("token"))
-    vocabulary = index.postings.select("token").distinct().select("token", F.explode(fitting).alias("x_"))
-    words = vocabulary.select("token", F.substring("token", F.lit(1), F.col("x_")).alias("prefix"))
-    words = kept(words.join(asked.select("prefix").distinct().hint("merge"), "prefix", "left_semi"), "impact-words")
-    hits = sized_join(index.postings, words, "token", "inner").groupBy("prefix", index.key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
-    hits = hits.withColumn("impact", index.impact()).withColumn("band", F.floor((1 - F.col("impact") / (K1 + 1)) * BANDS).cast("int"))
+    prefixes = kept(asked.select("prefix").distinct(), "impact-prefixes")
+    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())  # some ten numbers
+
+    def begun(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("x_")).filter(F.length("token") >= F.col("x_"))
+        return rows.withColumn("prefix", F.substring("token", F.lit(1), F.col("x_"))).drop("x_")
+
+    if prefixes.count() <= limit:
+        met = begun(index.postings).join(prefixes.hint("broadcast"), "prefix", "left_semi")
+    else:
+        words = begun(index.postings.select("token").distinct()).join(prefixes.hint("merge"), "prefix", "left_semi")
+        met = index.postings.join(words.hint("merge"), "token")
+    hits = met.groupBy("prefix", index.key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    hits = hits.select("prefix", index.key, index.impact().alias("impact")).withColumn("band", F.floor((1 - F.col("impact") / (K1 + 1)) * BANDS).cast("int"))
     hits = kept(hits, "impact-hits")
     heads = kept(hits.groupBy("prefix", "band").agg(F.count("*").alias("n"), F.max("impact").alias("top")), "impact-heads")
     idf = F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -31,6 +31,13 @@ def test_best_equals_the_full_sum(spark, n, k):
     assert {q for q, *_ in rows} <= {0, 1, 2, 6, 7}
 
 
+def test_more_words_than_a_broadcast_takes(spark):
+    docs, asked = texts(spark, 60, 2), spark.createDataFrame(ASKED, "qid long, query string")
+    index = impacts.index_of(docs, "doc_id", "text")
+    few, many = (sorted(map(tuple, impacts.ask(index, asked, limit).hits.select("prefix", "doc_id", "impact").collect())) for limit in (100, 0))
+    assert few == many and few
+
+
 def test_nothing_to_search_and_nothing_asked(spark):
     docs, asked = texts(spark, 20, 1), spark.createDataFrame(ASKED, "qid long, query string")
     assert impacts.best(impacts.index_of(docs.limit(0), "doc_id", "text"), asked).count() == 0
