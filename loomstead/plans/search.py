@@ -70,13 +70,13 @@ sc AS (SELECT qid, doc_id, round(sum(ln(1 + (tot.n - df + 0.5) / (df + 0.5)) * t
 rk AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
-def ranked(t, k: int | None = 10):
-    return c.bm25(c.inverted_index(t.texts, "doc_id", "text"), t.asked, "doc_id", k)
+def alike(t):
+    return c.Alike(t.texts, t.asked, "doc_id", "text")
 
 
 @query("T06_bm25", BM25 + " SELECT qid, doc_id, score, rank FROM rk WHERE rank <= 10")
 def t06(t):
-    return ranked(t)
+    return alike(t).best(10)
 
 
 INPUTS["asked_documents"] = """SELECT doc_id AS qid, split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 5) || ' ' || split_part(text, ' ', 8) || ' ' || split_part(text, ' ', 13) AS query
@@ -102,7 +102,7 @@ def t07(t):
 @query("T08_passage_search", BM25 + " SELECT doc_id, count(*) AS n_matches, min(rank) AS best FROM rk WHERE doc_id % 2 = 0 GROUP BY doc_id")
 def t08(t):
     allowed = t.texts.filter("doc_id % 2 = 0").select("doc_id")
-    return ranked(t, None).join(allowed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.min("rank").alias("best"))
+    return alike(t).matches().join(allowed.hint("merge"), "doc_id", "left_semi")
 
 
 @query("T09_summaries", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'given' ELSE left(text, 500) END AS summary FROM documents")
@@ -256,7 +256,7 @@ def r02b(t):
     WHERE rank <= 20""")
 def r03(t):
     vec = exact(t, 50).select("qid", F.col("id").alias("doc_id"), F.col("rank").alias("a"))
-    kw = ranked(t, 50).select("qid", "doc_id", F.col("rank").alias("b"))
+    kw = alike(t).best(50).select("qid", "doc_id", F.col("rank").alias("b"))
     part = lambda x: F.coalesce(1 / (60 + F.col(x)), F.lit(0.0))
     both = vec.join(kw.hint("merge"), ["qid", "doc_id"], "full_outer").withColumn("score", F.round(part("a") + part("b"), 9))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
