@@ -142,7 +142,19 @@ def search_depths(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 def ego(start: DataFrame, edges: DataFrame, degree: DataFrame, hops: int, most: int) -> DataFrame:
     """(start, node, depth): nodes by hop, the best connected first in each, at most `most` of them beside the start."""
-    found = search_depths(start, edges, hops).filter("depth > 0").join(degree.hint("merge"), "node", "left")
+    open_, parts = start.select("node").filter("node IS NOT NULL").distinct(), []
+    for d in range(1, hops + 1):  # a start that has enough within fewer hops is not searched from any further
+        near = kept(search_depths(open_, edges, d).filter("depth > 0"), "ego-near")
+        full = near.groupBy("start").agg(F.count("*").alias("n_")).filter(F.col("n_") >= most).select("start")
+        parts.append(near if d == hops else near.join(full.hint("merge"), "start", "left_semi"))
+        if d < hops:
+            open_ = kept(open_.join(full.select(F.col("start").alias("node")).hint("merge"), "node", "left_anti"), "ego-open")
+            if open_.isEmpty():
+                break
+    found = parts[0]
+    for other in parts[1:]:
+        found = found.unionByName(other)
+    found = found.join(degree.hint("merge"), "node", "left")
     w = Window.partitionBy("start").orderBy("depth", F.desc_nulls_last("degree"), "node")
     return found.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= most).select("start", "node", "depth")
 

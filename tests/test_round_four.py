@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomstead.operators import corpus
+from loomstead.operators import corpus, graph
 
 
 def copies(spark, n: int):
@@ -37,3 +37,15 @@ def test_hits_do_not_grow_with_copies(spark):
     again = asked.unionByName(asked.withColumn("qid", F.col("qid") + 100))
     one, ten = corpus.Alike(docs, asked, "doc_id", "text"), corpus.Alike(more, again, "doc_id", "text")
     assert one.scores.count() == ten.scores.count() < corpus.bm25(corpus.inverted_index(more, "doc_id", "text"), again, "doc_id").count() / 9
+
+
+def test_starts_with_enough_near_them_are_not_searched_further(spark, monkeypatch):
+    edges = [(0, i) for i in range(1, 20)] + [(i, i + 100) for i in range(1, 20)] + [(500, 501), (501, 502)]
+    both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "a long, b long")
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    start = spark.createDataFrame([(0,), (500,), (600,)], "node long")
+    asked, search = [], graph.search_depths
+    monkeypatch.setattr(graph, "search_depths", lambda start, edges, d: asked.append((d, sorted(r.node for r in start.collect()))) or search(start, edges, d))
+    found = sorted(map(tuple, graph.ego(start, both, degree, 2, 15).collect()))
+    assert found == [(0, i, 1) for i in range(1, 16)] + [(500, 501, 1), (500, 502, 2)]
+    assert asked == [(1, [0, 500, 600]), (2, [500, 600])]
