@@ -355,12 +355,12 @@ def break_cycles(rows: DataFrame) -> DataFrame:
     """(id, parent_id): unknown and own parents go, and so does that of every node whose chain of parents comes to a loop.
     Chains double in length each round; what has no end after as many steps as there are nodes is in a loop."""
     known = rows.select(F.col("id").alias("p_"))
-    sound = kept(rows.join(known, F.col("parent_id") == F.col("p_"), "left").select("id", F.when(F.col("parent_id") != F.col("id"), F.col("p_")).alias("parent_id")), "cycle")
-    up, steps = sound, 1
-    open_ = up.filter("parent_id IS NOT NULL").count()
-    while open_ and steps <= open_:
+    sound = rows.filter("parent_id <> id").select("id", "parent_id").join(known.hint("merge"), F.col("parent_id") == F.col("p_"), "left_semi")
+    up, steps = kept(sound, "cycle"), 1
+    sound, open_ = up, up.count()
+    while open_ and steps <= open_:  # only chains that go on are joined: no ended one weighs on the key null
         two = up.select(F.col("id").alias("m_"), F.col("parent_id").alias("t_"))
-        up = kept(up.join(two, F.col("parent_id") == F.col("m_"), "left").select("id", F.col("t_").alias("parent_id")), "cycle-up")
-        open_, steps = up.filter("parent_id IS NOT NULL").count(), steps * 2
-    looping = up.filter("parent_id IS NOT NULL").select("id").withColumn("l_", F.lit(True))
-    return sound.join(looping, "id", "left").select("id", F.when(F.col("l_").isNull(), F.col("parent_id")).alias("parent_id"))
+        up = kept(up.join(two.hint("merge"), F.col("parent_id") == F.col("m_")).select("id", F.col("t_").alias("parent_id")), "cycle-up")
+        open_, steps = up.count(), steps * 2
+    straight = sound.join(up.select("id").hint("merge"), "id", "left_anti")
+    return rows.select("id").join(straight.hint("merge"), "id", "left").select("id", "parent_id")

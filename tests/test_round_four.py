@@ -49,3 +49,10 @@ def test_starts_with_enough_near_them_are_not_searched_further(spark, monkeypatc
     found = sorted(map(tuple, graph.ego(start, both, degree, 2, 15).collect()))
     assert found == [(0, i, 1) for i in range(1, 16)] + [(500, 501, 1), (500, 502, 2)]
     assert asked == [(1, [0, 500, 600]), (2, [500, 600])]
+
+
+def test_cycles_are_broken_without_a_broadcast(spark):
+    rows = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 4), (5, 99), (6, None), (7, 6), (8, 7)], "id long, parent_id long")
+    out = graph.break_cycles(rows)
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, None), (2, None), (3, None), (4, None), (5, None), (6, None), (7, 6), (8, 7)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
