@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomstead.llm import lm
 from loomstead.operators import corpus, graph
 
 
@@ -56,3 +58,10 @@ def test_cycles_are_broken_without_a_broadcast(spark):
     out = graph.break_cycles(rows)
     assert sorted(map(tuple, out.collect()), key=str) == [(1, None), (2, None), (3, None), (4, None), (5, None), (6, None), (7, 6), (8, 7)]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_history_is_kept():
+    h = np.arange(1, 201, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    row = np.repeat([0, 1], 100)
+    at, before = lm.kept_histories(row, h, np.ones(200, bool))
+    assert at.tolist() == [*range(4, 100), *range(104, 200)] and len(set(before.tolist())) == 192
