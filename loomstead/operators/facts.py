@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.text import topic_key, words_key
 from loomstead.operators.relational import numbered
+from loomstead.storage import dealt
 
 
 def merge_topics(rows: DataFrame) -> DataFrame:
@@ -39,13 +40,18 @@ def drop_near_duplicates(rows: DataFrame, batch: list[str], text: str, by: str)
     return rows.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_")
 
 
-def apply_verdicts(new: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """new claims (id) with their status: duplicates skipped, misaligned flagged, conflicts marked; an update retires a claim once."""
-    w = Window.partitionBy("supersedes").orderBy("id")
-    v = verdicts.withColumn("first_", F.row_number().over(w) == 1)
+def apply_verdicts(new: DataFrame, verdicts: DataFrame, rows: int | None = None) -> DataFrame:
+    """new claims (id) with their status: duplicates skipped, misaligned flagged, conflicts marked; an update retires a claim once.
+    Verdicts that supersede nothing are dealt by their own ids, as they would all be one group. rows: about how many claims there are, if
+    that is known; tasks are then as many as these need."""
+    spread = (lambda df, *keys: df) if rows is None else (lambda df, *keys: dealt(df, rows, *keys))
+    v = verdicts.withColumn("lone_", F.when(F.col("supersedes").isNull(), F.col("id")))
+    w = Window.partitionBy("supersedes", "lone_").orderBy("id")
+    v = spread(v, "supersedes", "lone_").withColumn("first_", F.row_number().over(w) == 1)
     status = F.when(F.col("verdict") == "duplicate", "skipped").when(~F.coalesce("aligned", F.lit(True)), "flagged").when(F.col("verdict") == "conflict", "conflicted").otherwise("active")
     retires = F.when((F.col("verdict") == "update") & F.col("first_") & F.coalesce("aligned", F.lit(True)), F.col("supersedes"))
-    return new.join(v, "id", "left").withColumns({"status": status, "retires": retires}).drop("first_", "verdict", "supersedes", "aligned")
+    both = spread(new, "id").join(spread(v, "id"), "id", "left")
+    return both.withColumns({"status": status, "retires": retires}).drop("first_", "lone_", "verdict", "supersedes", "aligned")
 
 
 def reattribute(claims: DataFrame, support: DataFrame, removed: DataFrame) -> DataFrame:

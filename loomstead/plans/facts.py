@@ -211,7 +211,7 @@ def k04(t):
 def k05(t):
     v = F.when(F.col("id") % 7 == 0, "duplicate").when(F.col("id") % 3 == 0, "conflict").otherwise("update")
     verdicts = t.claims.select("id", v.alias("verdict"), F.when(v == "update", F.col("topic_id")).alias("supersedes"), (F.col("id") % 5 != 0).alias("aligned"))
-    return k.apply_verdicts(t.claims.select("id"), verdicts)
+    return k.apply_verdicts(t.claims.select("id"), verdicts, t.lineitem.count())
 
 
 SUPPORT = """SELECT h.claim_id, c.doc_id
