@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.operators.relational import numbered
-from loomstead.storage import kept, sized_join
+from loomstead.storage import dealt, kept, sized_join
 
 #: Weight of an edge by its kind, and of any other.
 WEIGHTS = {
@@ -80,11 +80,17 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def weighted(edges: DataFrame, rel: str) -> DataFrame:
-    """(a, b, weight), both ways: weights of parallel edges added."""
+def weighted(edges: DataFrame, rel: str, rows: int | None = None) -> DataFrame:
+    """(a, b, weight), both ways: weights of parallel edges added. Edges are added up one way and then turned; rows: about how many
+    there are, if that is known, else they are written and counted. Tasks are as many as these need."""
     w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col(rel)), F.lit(OTHER_WEIGHT))
-    one = edges.filter("a <> b").select("a", "b", w.alias("weight"))
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    one = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), w.alias("weight"))
+    if rows is None:
+        one = kept(one, "weighted")
+        rows = one.count()
+    each = dealt(one, rows, "a", "b").groupBy("a", "b").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e_")
+    return each.select(ways, "weight").select("e_.a", "e_.b", "weight")
 
 
 def reach(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

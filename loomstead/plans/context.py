@@ -10,7 +10,7 @@ from loomstead.operators import graph as g
 from loomstead.operators import reports as rp
 from loomstead.operators import retrieval as r
 from loomstead.operators import vectors as v
-from loomstead.plans.graph import IN_COMMUNITY
+from loomstead.plans.graph import IN_COMMUNITY, weights
 from loomstead.plans.registry import INPUTS, query
 from loomstead.plans.search import KEYWORDED, TOPK, UNANSWERED, by_keyword, exact, unanswered
 from loomstead.storage import kept
@@ -108,7 +108,7 @@ def r10(t):
     FROM graph_edges)) AS noise
     FROM graph_nodes""")
 def g10(t):
-    of = g.communities(g.weighted(t.graph_edges, "rel"), rounds=4, levels=1)
+    of = g.communities(weights(t), rounds=4, levels=1)
     return t.graph_nodes.join(of, "node", "left").agg(F.count("community").alias("assigned"), F.count(F.when(F.col("community").isNull(), 1)).alias("noise"))
 
 

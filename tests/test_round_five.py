@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from loomstead.operators import facts
+from loomstead import storage
+from loomstead.operators import facts, graph
 
 
 def test_verdicts_that_supersede_nothing_are_no_group(spark):
@@ -16,3 +18,13 @@ def test_verdicts_that_supersede_nothing_are_no_group(spark):
         assert sorted(r.id for r in out.filter("retires IS NOT NULL").collect()) == list(range(0, 40, 4)) and out.count() == 400
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "[supersedes" in plan and ", lone_" in next(x for x in plan.splitlines() if "Window [" in x)
+
+
+@pytest.mark.parametrize("a_task", [7, 250_000])
+def test_weights_are_added_in_as_many_tasks_as_edges_need(spark, monkeypatch, a_task):
+    monkeypatch.setattr(storage, "ROWS_A_TASK", a_task)
+    rows = [(1, 2, "is_part_of"), (2, 1, "depends_on"), (1, 1, "uses"), (2, 3, "odd"), (None, 3, "uses")] + [(i, i + 50, "uses") for i in range(10, 40)]
+    out = graph.weighted(spark.createDataFrame(rows, "a long, b long, rel string"), "rel")
+    want = {(1, 2): 1.7, (2, 3): 0.3} | {(i, i + 50): 0.4 for i in range(10, 40)}
+    assert {(r.a, r.b): r.weight for r in out.collect()} == want | {(b, a): w for (a, b), w in want.items()}
+    assert out.rdd.getNumPartitions() == (1 if a_task > 7 else 5)
