@@ -37,19 +37,22 @@ def links(edges: DataFrame) -> DataFrame:
 
     Edges point from the smaller node to the larger. A round hands what hangs on a node to that node's least neighbour. Only
     nodes that both hang on others and have others hanging on them take part in that join, and the centre of a large star is
-    not one of them: its edges stay where they are."""
-    edges = edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, mark = kept(edges, "links"), None
+    not one of them: its edges stay where they are. What is written is counted, and the next grouping has as many tasks as that needs."""
+    edges = edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = kept(edges, "links")
+    edges, mark = kept(dealt(edges, edges.count(), "a", "b").distinct(), "links"), None
     while True:
+        n = edges.count()
         low = edges.groupBy(F.col("b").alias("x_")).agg(F.min("a").alias("m_"))
         middle = kept(low.join(edges.select(F.col("a").alias("x_")).distinct().hint("merge"), "x_", "left_semi"), "links-middle")
-        large = sized_join(edges, middle, F.col("a") == F.col("x_"), "left").select(F.coalesce("m_", "a").alias("a"), "b").distinct()
-        large = kept(large, "links-large")
+        large = _met(edges, n, "a", middle).select(F.coalesce("m_", "a").alias("a"), "b")
+        large = kept(dealt(large, n, "a", "b").distinct(), "links-large")
         least = large.groupBy(F.col("b").alias("x_")).agg(F.min("a").alias("m_"), F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
         least = kept(least, "links-least")
-        moved = sized_join(large, least, F.col("b") == F.col("x_"), "left")
-        up = moved.filter("m_ IS NOT NULL AND m_ <> a").select(F.col("m_").alias("a"), F.col("a").alias("b"))
-        edges = kept(moved.select(F.coalesce("m_", "a").alias("a"), "b").unionByName(up).distinct(), "links")
+        moved = _met(large, n, "b", least)
+        each = F.when(F.col("m_").isNotNull() & (F.col("m_") != F.col("a")), F.array(F.struct(F.col("m_").alias("a"), "b"), F.struct(F.col("m_").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))
+        both = moved.select(F.explode(each).alias("e_")).select("e_.a", "e_.b")
+        edges = kept(dealt(both, 2 * large.count(), "a", "b").distinct(), "links")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break
@@ -57,6 +60,12 @@ def links(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _met(edges: DataFrame, n: int, key: str, least: DataFrame) -> DataFrame:
+    """n edges with the m_ that belongs to their key (x_), if any: by a broadcast if these are few, else in as many tasks as edges need."""
+    few = least.count() <= 500_000
+    return (edges if few else dealt(edges, n, key)).join(least.hint("broadcast" if few else "merge"), F.col(key) == F.col("x_"), "left")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; a node without edges is its own."""
     found = links(edges).withColumnRenamed("node", "n_")

@@ -28,3 +28,14 @@ def test_weights_are_added_in_as_many_tasks_as_edges_need(spark, monkeypatch, a_
     want = {(1, 2): 1.7, (2, 3): 0.3} | {(i, i + 50): 0.4 for i in range(10, 40)}
     assert {(r.a, r.b): r.weight for r in out.collect()} == want | {(b, a): w for (a, b), w in want.items()}
     assert out.rdd.getNumPartitions() == (1 if a_task > 7 else 5)
+
+
+@pytest.mark.parametrize("a_task", [7, 250_000])
+def test_links_are_found_in_as_many_tasks_as_edges_need(spark, monkeypatch, a_task):
+    monkeypatch.setattr(storage, "ROWS_A_TASK", a_task)
+    asked, real = [], graph.dealt
+    monkeypatch.setattr(graph, "dealt", lambda df, rows, *keys: asked.append(rows) or real(df, rows, *keys))
+    chain = [(i + 1, i) for i in range(20)] + [(100, 101), (101, 102), (102, 100), (5, 5), (7, 8), (8, 7)]
+    found = {r.node: r.root for r in graph.links(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(21)} | {i: 100 for i in (100, 101, 102)}
+    assert len(asked) >= 3 and asked[0] == len(chain) - 1
