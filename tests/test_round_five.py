@@ -39,3 +39,16 @@ def test_links_are_found_in_as_many_tasks_as_edges_need(spark, monkeypatch, a_ta
     found = {r.node: r.root for r in graph.links(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(21)} | {i: 100 for i in (100, 101, 102)}
     assert len(asked) >= 3 and asked[0] == len(chain) - 1
+
+
+@pytest.mark.parametrize("a_task", [7, 250_000])
+def test_edges_of_communities_are_not_shuffled_again(spark, monkeypatch, a_task):
+    monkeypatch.setattr(storage, "ROWS_A_TASK", a_task)
+    ends = [(a, b) for c in range(3) for a in range(6 * c, 6 * c + 6) for b in range(6 * c, 6 * c + 6) if a < b] + [(5, 6), (11, 12)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in ends] + [(b, a, 1.0) for a, b in ends], "a long, b long, weight double")
+    of = {r.node: r.community for r in graph.communities(edges).collect()}
+    assert of == {i: i // 6 + 1 for i in range(18)}
+    near, strength = graph._neighbours(storage.kept(edges, "test-edges"))
+    plan = graph._told(near, strength, 1_000_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Bucketed: true" in plan
+    assert dict(strength.collect()) == {i: 5.0 + (i in (5, 6, 11, 12)) for i in range(18)}
