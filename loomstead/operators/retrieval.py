@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.repair import ranking
 from loomstead.functions.text import fold, tokens
-from loomstead.storage import kept
+from loomstead.storage import kept, sized_join
 
 #: Scores of topics that no vector found: by keyword, and by the report of a community.
 KEYWORD_SCORE, THEMATIC_SCORE = 0.4, 0.35
@@ -82,11 +82,30 @@ def recall_report(exact: DataFrame, near: DataFrame, place: DataFrame, level: Co
     return out.withColumn("band", F.when(F.col("recall_20") >= 0.95, "OK").when(F.col("recall_20") >= 0.9, "MARGINAL").otherwise("LOSSY"))
 
 
+#: Pairs of a query and a member that a task of `community_hits` makes, about.
+PAIRS_A_TASK = 1 << 21
+
+
 def community_hits(reports: DataFrame, members: DataFrame, least: float, top: int) -> DataFrame:
-    """(qid, id, score): members of the communities whose reports are near enough, the nearest `top` a query, all at the floor."""
+    """(qid, id, score): members of the communities whose reports are near enough, the nearest `top` a query, all at the floor.
+
+    A large community is dealt into parts of its members, each of which all of its queries meet. A member of several of a query's
+    communities is found in the least of them alone, so that the pairs, which grow with the square, are neither shuffled nor held."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "community")
     near = reports.filter(F.col("score") >= least).withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= top)
-    return near.join(members.hint("merge"), "community").groupBy("qid", "id").agg(F.lit(least).alias("score"))
+    near = kept(near.filter("community IS NOT NULL").groupBy("qid").agg(F.collect_set("community").alias("near_")), "community-near")
+    of = members.filter("community IS NOT NULL").groupBy("id").agg(F.collect_set("community").alias("in_"))
+    of = kept(of.select("id", "in_", F.explode("in_").alias("c_")), "community-members")
+    asked = near.select("qid", "near_", F.explode("near_").alias("c_"))
+    sizes = asked.groupBy("c_").agg(F.count("*").alias("q_")).join(of.groupBy("c_").agg(F.count("*").alias("m_")).hint("merge"), "c_")
+    parts = F.least(F.ceil(F.col("q_") * F.col("m_") / PAIRS_A_TASK), F.col("m_")).cast("int")
+    sizes = kept(sizes.select("c_", parts.alias("parts_")), "community-parts")
+    n = sizes.agg(F.coalesce(F.sum("parts_"), F.lit(0)).cast("long")).first()[0]
+    of = sized_join(of, sizes, "c_", "inner").withColumn("part_", F.pmod(F.xxhash64("id"), F.col("parts_")).cast("int")).drop("parts_")
+    asked = sized_join(asked, sizes, "c_", "inner").withColumn("part_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1))).drop("parts_")
+    deal = lambda df: df.repartition(max(1, min(n, 100_000)), "c_", "part_")
+    found = deal(asked).join(deal(of).hint("shuffle_hash"), ["c_", "part_"])
+    return found.filter(F.col("c_") == F.array_min(F.array_intersect("near_", "in_"))).select("qid", "id", F.lit(least).alias("score"))
 
 
 def expand(hits: DataFrame, edges: DataFrame, score: float = 0.5, factor: int = 2) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomstead import storage
-from loomstead.operators import facts, graph
+from loomstead.operators import facts, graph, retrieval, vectors
 
 
 def test_verdicts_that_supersede_nothing_are_no_group(spark):
@@ -52,3 +53,38 @@ def test_edges_of_communities_are_not_shuffled_again(spark, monkeypatch, a_task)
     plan = graph._told(near, strength, 1_000_000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1 and "Bucketed: true" in plan
     assert dict(strength.collect()) == {i: 5.0 + (i in (5, 6, 11, 12)) for i in range(18)}
+
+
+@pytest.mark.parametrize("pairs", [5, 1 << 21])
+def test_community_hits_neither_shuffle_nor_hold_pairs(spark, monkeypatch, pairs):
+    monkeypatch.setattr(retrieval, "PAIRS_A_TASK", pairs)
+    reports = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (1, 12, 0.7), (2, 11, 0.5), (3, 10, 0.01), (4, None, 0.9), (4, 11, 0.8), (4, 12, 0.7)], "qid long, community int, score double")
+    members = spark.createDataFrame([(10, i) for i in range(20)] + [(11, i) for i in range(15, 30)] + [(12, 99), (None, 98), (11, 29)], "community int, id long")
+    out = retrieval.community_hits(reports, members, 0.05, 2)
+    want = [(1, i) for i in range(30)] + [(2, i) for i in range(15, 30)] + [(4, i) for i in range(15, 30)]
+    assert sorted((r.qid, r.id) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and (pairs > 5 or out.rdd.getNumPartitions() > 10)
+
+
+def test_scores_are_computed_in_tiles(monkeypatch):
+    r = np.random.default_rng(3)
+    q, m = vectors._unit(r.standard_normal((70, 8)).astype("f4")), vectors._unit(r.standard_normal((90, 8)).astype("f4"))
+    monkeypatch.setattr(vectors, "TILE_SCORES", 100)
+    sizes, best = [], {}
+    for i, n, ids, scores in vectors._scored(q.tobytes(), 70, m.tobytes(), np.arange(90), 8, vectors._products):
+        sizes.append(scores.size)
+        best.setdefault(i, vectors._Best(n, 3)).see(ids, scores)
+    whole = vectors._Best(70, 3)
+    whole.see(np.arange(90), q @ m.T)
+    assert max(sizes) <= 100 and sum(sizes) == 70 * 90
+    assert sorted((i + int(a), int(b)) for i, x in best.items() for a, b in zip(x.q, x.id, strict=True)) == sorted(zip(whole.q.tolist(), whole.id.tolist(), strict=True))
+
+
+def test_candidates_that_are_handed_on_early_change_nothing(spark):
+    r = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [float(x) for x in r.standard_normal(4)]) for i in range(300)], "id long, v array<float>").repartition(3)
+    asked = storage.kept(vectors.packed(rows, "id", "v"), "test-asked")
+    real = sorted(map(tuple, vectors.top_k(rows, rows, "id", "v", 4).collect()))
+    met = vectors._ranked(vectors._meet(vectors.packed(rows, "id", "v"), asked, 4, vectors._products, held=10).withColumn("score", F.round("score", 5)), 4)
+    assert sorted(map(tuple, met.collect())) == real and len(real) == 1200
