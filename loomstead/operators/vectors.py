@@ -36,6 +36,23 @@ def _unit(m: np.ndarray) -> np.ndarray:
 TIE = 1.1e-5
 
 
+#: Scores that a task computes at once: 16 MB, beside which a few matrices of the same size stand while they are compared.
+TILE_SCORES = 1 << 22
+#: Candidates (20 bytes each) that a task holds before it hands them on.
+HELD = 1 << 23
+
+
+def _scored(q: bytes, n_queries: int, data: bytes, ids: np.ndarray, width: int, scores: Callable) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first query, number of queries, ids, their scores) of a block of queries and one of rows, in tiles of at most TILE_SCORES."""
+    q, data, step = memoryview(q), memoryview(data), max(1, min(n_queries, 1024))
+    q_bytes, bytes_, rows = len(q) // max(1, n_queries), len(data) // max(1, len(ids)), max(1, TILE_SCORES // step)
+    for i in range(0, n_queries, step):
+        n = min(step, n_queries - i)
+        for j in range(0, len(ids), rows):
+            m = min(rows, len(ids) - j)
+            yield i, n, ids[j : j + m], scores(q[i * q_bytes : (i + n) * q_bytes], data[j * bytes_ : (j + m) * bytes_], width)
+
+
 class _Best:
     """The k best scores of each query among the rows that a task has seen, with what may tie at the edge."""
 
@@ -83,22 +100,32 @@ def packed(rows: DataFrame, key: str, vector: str, encode: Callable[[np.ndarray]
     return plain.mapInArrow(_pack(encode, kind), _PACKED)
 
 
-def _meet(blocks: DataFrame, queries: DataFrame, k: int, scores: Callable) -> DataFrame:
-    """(qid, id, score) of what may be among the k best of each query, once a task and block of queries. scores: (query data, row data,
+def _meet(blocks: DataFrame, queries: DataFrame, k: int, scores: Callable, held: int = HELD) -> DataFrame:
+    """(qid, id, score) of what may be among the k best of each query, once a task and block of queries, or each time a task holds `held`. scores: (query data, row data,
     width) to a matrix."""
     n_bytes = queries.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     asked = queries.select(F.col("ids").alias("qids"), F.col("data").alias("q"))
     pairs = blocks.join(asked.hint("broadcast" if n_bytes <= BROADCAST_BYTES else "shuffle_replicate_nl"), how="cross")
 
+    def told(best: dict) -> Iterator[pa.RecordBatch]:
+        for (qids, i), x in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qids, np.int64)[i:][x.q]), pa.array(x.id), pa.array(x.score.astype(np.float64))], ["qid", "id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, _Best] = {}
+        best: dict[tuple[bytes, int], _Best] = {}
+        now = 0
         for b in batches:
-            for ids, data, width, qids, q in zip(*(b.column(c).to_pylist() for c in ("ids", "data", "width", "qids", "q")), strict=True):
-                if qids not in best:
-                    best[qids] = _Best(len(qids) // 8, k)
-                best[qids].see(np.frombuffer(ids, np.int64), scores(q, data, width))
-        for qids, x in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qids, np.int64)[x.q]), pa.array(x.id), pa.array(x.score.astype(np.float64))], ["qid", "id", "score"])
+            for r in range(b.num_rows):
+                ids, data, width, qids, q = (b.column(c)[r].as_py() for c in ("ids", "data", "width", "qids", "q"))
+                for i, n, some, found in _scored(q, len(qids) // 8, data, np.frombuffer(ids, np.int64), width, scores):
+                    x = best.setdefault((qids, i), _Best(n, k))
+                    now -= len(x.q)
+                    x.see(some, found)
+                    now += len(x.q)
+                if now > held:  # what goes on now is ranked with the rest later
+                    yield from told(best)
+                    best, now = {}, 0
+        yield from told(best)
 
     return pairs.mapInArrow(run, _FOUND)
 
@@ -210,10 +237,13 @@ class Lists:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for ids, data, qids, q in zip(*(b.column(c).to_pylist() for c in ("ids", "data", "qids", "q")), strict=True):
-                    best = _Best(len(qids) // 8, k)
-                    best.see(np.frombuffer(ids, np.int64), _products(q, data, width))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qids, np.int64)[best.q]), pa.array(best.id), pa.array(best.score.astype(np.float64))], ["qid", "id", "score"])
+                for r in range(b.num_rows):
+                    ids, data, qids, q = (b.column(c)[r].as_py() for c in ("ids", "data", "qids", "q"))
+                    best: dict[int, _Best] = {}
+                    for i, n, some, found in _scored(q, len(qids) // 8, data, np.frombuffer(ids, np.int64), width, _products):
+                        best.setdefault(i, _Best(n, k)).see(some, found)
+                    for i, x in best.items():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qids, np.int64)[i:][x.q]), pa.array(x.id), pa.array(x.score.astype(np.float64))], ["qid", "id", "score"])
 
         return _ranked(pairs.mapInArrow(run, _FOUND).withColumn("score", F.round("score", digits)), k)
 
