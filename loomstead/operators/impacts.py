@@ -15,11 +15,13 @@ Scores and ranks are those of `corpus.bm25`: all documents are judged, none is l
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import fold, tokens
+from loomstead.operators import blocks
 from loomstead.operators.corpus import K1, B, inverted_index
 from loomstead.storage import kept, sized_join
 
@@ -30,12 +32,32 @@ SLACK = 1e-5
 
 @dataclass
 class Index:
-    """postings: token, the key, tf, length; the number of documents that have tokens, and their mean length."""
+    """docs: the key and the text. Where they are needed: postings (token, the key, tf, length), written once; the number of documents that
+    have tokens, and their mean length. Postings are written where their documents are read, without a shuffle, so a token that all
+    documents have is in no task's way; in each file they are sorted by token."""
 
-    postings: DataFrame
+    docs: DataFrame
     key: str
-    documents: int
-    mean: float
+    text: str
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return kept(inverted_index(self.docs, self.key, self.text).sortWithinPartitions("token"), "impact-postings")
+
+    @cached_property
+    def _totals(self) -> tuple[int, int]:
+        share = F.sum(F.col("tf") / F.col("length"))  # a document's tf add up to its length, so this is the number of documents
+        n, total = self.postings.agg(F.round(share).cast("long"), F.sum("tf")).first()
+        return n or 0, total or 0
+
+    @property
+    def documents(self) -> int:
+        return self._totals[0]
+
+    @property
+    def mean(self) -> float:
+        n, total = self._totals
+        return total / n if n else 1.0
 
     def impact(self) -> Column:
         """Of a row with tf and length."""
@@ -53,12 +75,8 @@ class Asked:
 
 
 def index_of(docs: DataFrame, key: str, text: str) -> Index:
-    """The index of a table of documents with distinct keys. Postings are written where their documents are read, without a shuffle, so a
-    token that all documents have is in no task's way; in each file they are sorted by token."""
-    postings = kept(inverted_index(docs, key, text).sortWithinPartitions("token"), "impact-postings")
-    share = F.sum(F.col("tf") / F.col("length"))  # a document's tf add up to its length, so this is the number of documents
-    n, total = postings.agg(F.round(share).cast("long"), F.sum("tf")).first()
-    return Index(postings, key, n or 0, total / n if n else 1.0)
+    """The index of a table of documents with distinct keys."""
+    return Index(docs, key, text)
 
 
 def ask(index: Index, queries: DataFrame, limit: int = 500_000) -> Asked:
@@ -128,9 +146,21 @@ def sums(asked: Asked, wanted: DataFrame, key: str, *more: Column) -> DataFrame:
     return found.groupBy("qid", key).agg(F.sum(F.col("idf") * F.col("impact")).alias("score"), *more)
 
 
-def best(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+def best(index: Index, queries: DataFrame, k: int = 10, limit: int = 500_000) -> DataFrame:
     """(qid, key, score, rank): the k best documents of each query (qid, query), as `corpus.bm25` ranks them: by score to six digits,
-    then by key. Queries without words and words without documents give no rows, as do null queries; an empty table gives none."""
+    then by key. Queries without words and words without documents give no rows, as do null queries; an empty table gives none.
+
+    Up to `limit` counted words are known to every task, and documents meet the queries in blocks (`blocks.best`); more words meet
+    the postings in joins, by bands."""
+    prefixes = queries.select(F.explode(tokens(F.lower(fold(F.col("query"))))).alias("prefix")).distinct()
+    prefixes = kept(prefixes, "impact-prefixes")
+    if prefixes.count() > limit:
+        return best_by_bands(index, queries, k)
+    return blocks.best(index.docs, queries, sorted(prefixes.toArrow().column("prefix").to_pylist()), index.key, index.text, k)
+
+
+def best_by_bands(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """What `best` gives, for any number of words: by the three passes above."""
     key, asked = index.key, ask(index, queries)
     floor = floors(sums(asked, first_bands(asked, k), key), k, asked.terms)
     leveled = kept(levels(asked.terms, floor), "impact-levels")

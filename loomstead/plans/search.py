@@ -88,8 +88,8 @@ OVER_DOCUMENTS = BM25.replace("WITH idx AS", "WITH idx AS MATERIALIZED").replace
 
 @query("T06_bm25_documents", OVER_DOCUMENTS + " SELECT qid, doc_id, score, rank FROM rk WHERE rank <= 10")
 def t06b(t):
-    """Four words of every 50th document against all documents, whole texts: hits in bands of impact that can't bring a document among a
-    query's best ten are not added up."""
+    """Four words of every 50th document against all documents, whole texts: blocks of documents meet all queries, and of each a task
+    hands on the best ten alone."""
     return impacts.best(impacts.index_of(t.documents, "doc_id", "text"), t.asked_documents, 10)
 
 

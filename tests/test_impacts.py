@@ -59,3 +59,44 @@ def test_bands_that_can_not_matter_stay_unread(spark):
     # what is left out adds up to no more than the floor
     assert all(x.cut <= x.most + 1e-12 for x in leveled.collect())
     assert abs(leveled.first().bound - floor.first().floor) < 1e-9
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("qid", "doc_id", "score", "rank").collect()))
+
+
+def test_blocks_and_bands_agree_and_pairs_are_not_shuffled(spark, monkeypatch):
+    """Many queries of common words: what goes from the blocks into the ranking is k rows of a query and task, not its hits."""
+    from loomstead.operators import blocks
+
+    for name, small in (("DOCUMENTS", 150), ("COUNTS", 2000), ("ROWS", 40), ("QUERIES", 30), ("BROADCAST_PARTS", 1)):
+        monkeypatch.setattr(blocks, name, small)
+    r = random.Random(8)
+    docs = texts(spark, 500, 8).repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(r.choices(WORDS[:20], k=4))) for i in range(100)], "qid long, query string")
+    index, seen = impacts.index_of(docs, "doc_id", "text"), []
+    met = blocks._met
+
+    def counted(k, mean):
+        run, total = met(k, mean), spark.sparkContext.accumulator(0)
+        seen.append(total)
+
+        def go(batches):
+            for b in run(batches):
+                total.add(b.num_rows)
+                yield b
+
+        return go
+
+    monkeypatch.setattr(blocks, "_met", counted)
+    got = rows_of(impacts.best(index, asked, 5))
+    want = rows_of(corpus.bm25(corpus.inverted_index(docs, "doc_id", "text"), asked, "doc_id", 5))
+    assert got == want == rows_of(impacts.best(index, asked, 5, limit=0))
+    hits = impacts.sums(found := impacts.ask(index, asked), found.terms.join(found.heads, "prefix"), "doc_id").count()
+    assert len(got) == 500 and seen[0].value < hits / 2
+
+
+def test_a_score_that_rounds_to_nothing_and_ties_by_key(spark):
+    docs = spark.createDataFrame([(i, "same word") for i in range(40, 0, -1)] + [(50, "other")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "same"), (2, "other same")], "qid long, query string")
+    assert [x[1] for x in rows_of(impacts.best(impacts.index_of(docs, "doc_id", "text"), asked, 3))] == [1, 2, 3, 1, 2, 50]
