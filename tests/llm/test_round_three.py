@@ -195,3 +195,35 @@ def test_witnesses_grow_with_each_append(n):
         w.append(x)
     root = w.close(merkle.height(n))
     assert (root, w.witness) == slow_tree(nodes)
+
+
+def test_lm_runs_bring_equal_histories_together():
+    """Each history of the texts arrives once, in one bucket, in a few bytes; lists of hashes and probabilities took 20 for a position."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomstead.llm import kernels as kn
+    from loomstead.llm import lm
+
+    r = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{min(int(x), 5000)}" for x in r.zipf(1.4, 400)) for _ in range(60)] + [None, "one two"])
+    (_, hi, row, h, tail), = lm.sequences(texts)
+    words, times = np.unique(h, return_counts=True)
+    known = words[times > 1]
+    rank = kn.HashIndex(known).find(h)
+    runs = lm.Runs(4)
+    runs.add(np.arange(hi) * 7, np.arange(hi) % 5 == 0, row, h, rank, tail)
+    got, seen, shipped = [], [], 0
+    for bucket, size, data in runs.blocks():
+        code, length, docs, rid, held, strange, _ = lm._thick(size, data)
+        shipped += len(data)
+        hashes = np.where(code < lm.HEAD, known[np.minimum(code, len(known) - 1)], strange[np.maximum(code.astype(np.int64) - lm.HEAD, 0)])
+        run = np.repeat(np.arange(len(length)), length)
+        at, before = lm.kept_histories(run, hashes, code < lm.HEAD)
+        rid = np.repeat(np.cumsum(rid), docs)[run[at]]
+        assert (np.repeat(held, docs)[run[at]] == (rid // 7 % 5 == 0)).all()
+        got += zip(rid.tolist(), before.tolist(), hashes[at].tolist(), strict=True)
+        seen.append(set(before.tolist()))
+    at, before = lm.kept_histories(row, h, rank >= 0)
+    assert sorted(got) == sorted(zip((row[at] * 7).tolist(), before.tolist(), h[at].tolist(), strict=True))
+    assert sum(map(len, seen)) == len(set.union(*seen)) and shipped < 12 * len(at)
