@@ -1,12 +1,13 @@
-"""Candidates of the Jaccard join in corpora where very many texts share a passage."""
+"""Candidates of the Jaccard join in corpora where very many texts share a passage; codes of words in op1."""
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from loomstead.llm import jaccard
+from loomstead.llm import jaccard, lm
 from tests.llm.test_operators import SCHEMA, VOCAB, components_of, pairs, prose
 
 
@@ -50,3 +51,14 @@ def test_near_copies_whose_keys_many_and_few_have(spark, n, num, den):
     want = components_of(rows, n, num, den)
     assert pairs(tuple(x) for x in jaccard.component_ids(spark.createDataFrame(rows, SCHEMA), n, num, den).collect()) == want
     assert 20 < len({x[2] for x in want}) < len(rows) - 60
+
+
+def test_runs_number_unknown_words_from_the_callers_head():
+    """op1: a task's blocks are read with the HEAD of the session, which the task's module need not have."""
+    r = np.random.default_rng(4)
+    runs, h, n = lm.Runs(2, 150), r.integers(0, 1 << 63, 40).astype(np.uint64), 40
+    rank = np.where(r.random(n) < 0.5, r.integers(0, 150, n), -1)
+    runs.add(np.arange(1), np.zeros(1, bool), np.zeros(n, np.int64), h, rank, np.zeros(n, np.int64))
+    for _, size, data in runs.blocks():
+        code, *_, hashes, _ = lm._thick(size, data)
+        assert code.max() < 150 + len(hashes)
